@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import bpe, exact_dedup, secret_scan, sharding, url_filter  # noqa: F401  (each registers its queries)
+from tidegauge.llm import bpe, exact_dedup, language_id, quality, secret_scan, sharding, url_filter  # noqa: F401  (each registers its queries)
 from tidegauge.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
