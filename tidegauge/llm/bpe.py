@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import query, table
 
 #: Words that one generation of a worker's cache holds; longer words than CACHED_LENGTH aren't kept.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 250_000
 CACHED_LENGTH = 64
 
 
@@ -51,10 +51,11 @@ class Bpe:
             raise ValueError("only byte-level BPE without prefixes is supported")
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.end = model.get("end_of_word_suffix") or ""
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.width = max(self.vocab.values()) + 1
+        self.merges: dict[int, tuple[int, int]] = {}  # left id * width + right id: rank, merged id
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
+            self.merges.setdefault(self.vocab[a] * self.width + self.vocab[b], (rank, self.vocab[a + b]))
         special = {a["content"]: a["id"] for a in t["added_tokens"]}
         self.special = special
         self.strings = {i: s for s, i in {**self.vocab, **special}.items()}
@@ -66,35 +67,42 @@ class Bpe:
         self.lower = any(s["type"] == "Lowercase" for s in steps)
         pattern = next(s["pattern"]["Regex"] for s in t["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
         self.pattern = regex.compile(pattern, regex.V0)
-        self.letters = _byte_letters()
+        letters = _byte_letters()
+        self.inner, self.last = [self.vocab.get(x) for x in letters], [self.vocab.get(x + self.end) for x in letters]
+        self.complete = None not in self.inner and None not in self.last
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word by the queue of merge ranks."""
-        letters = [self.letters[b] for b in word.encode("utf-8")]
-        letters[-1] += self.end
-        ids = [self.vocab[x] for x in letters if x in self.vocab]
+        raw = word.encode("utf-8")
+        inner = self.inner
+        ids = [inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        if not self.complete:
+            ids = [i for i in ids if i is not None]
         n = len(ids)
         if n < 2:
             return ids
-        merges = self.merges
+        merges, width = self.merges, self.width
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         right[-1] = -1
-        queue = [(m[0], i, a, b, m[1]) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False)) if (m := merges.get((a, b)))]
+        # an entry is rank * n + position; it is stale when the pair at the position has another rank by now
+        queue = [m[0] * n + i for i, a in enumerate(ids[:-1]) if (m := merges.get(a * width + ids[i + 1]))]
         heapify(queue)
         while queue:
-            _, i, a, b, new = heappop(queue)
+            rank, i = divmod(heappop(queue), n)
             j = right[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue  # stale: one of the two has been merged since
+            if ids[i] < 0 or j < 0 or (m := merges.get(ids[i] * width + ids[j])) is None or m[0] != rank:
+                continue
+            new = m[1]
             ids[i], ids[j] = new, -1
             k = right[i] = right[j]
             if k >= 0:
                 left[k] = i
-                if m := merges.get((new, ids[k])):
-                    heappush(queue, (m[0], i, new, ids[k], m[1]))
+                if m := merges.get(new * width + ids[k]):
+                    heappush(queue, m[0] * n + i)
             h = left[i]
-            if h >= 0 and (m := merges.get((ids[h], new))):
-                heappush(queue, (m[0], h, ids[h], new, m[1]))
+            if h >= 0 and (m := merges.get(ids[h] * width + new)):
+                heappush(queue, m[0] * n + h)
         return [x for x in ids if x >= 0]
 
     def pieces(self, text: str) -> Iterator[str | int]:
@@ -133,23 +141,14 @@ class Cached:
         self.bpe, self.most = bpe, most
         self.young: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
-        self.words: dict[str, list[int]] = {}
-        self.old_words: dict[str, list[int]] = {}
 
     def run(self, run: str) -> tuple[int, str, str]:
         """Number of ids, the ids joined by spaces, and their decoded text."""
-        got = self.old.get(run)
+        got = self.young.get(run) or self.old.get(run)
         if got is None:
             ids: list[int] = []
-            for word in self.bpe.pattern.findall(run):
-                known = self.words.get(word)
-                if known is None:
-                    known = self.old_words.get(word) or self.bpe.merge(word)
-                    if len(word) <= CACHED_LENGTH:
-                        if len(self.words) >= self.most:
-                            self.old_words, self.words = self.words, {}
-                        self.words[word] = known
-                ids += known
+            for word in [run] if run.isalpha() else self.bpe.pattern.findall(run):
+                ids += self.bpe.merge(word)
             got = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
         if len(run) <= CACHED_LENGTH:
             if len(self.young) >= self.most:
@@ -160,15 +159,17 @@ class Cached:
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids and of the decoded text."""
         n, ids, words = 0, [], []
-        young, run = self.young.get, self.run
+        run = self.run
         for part in self.bpe.pieces(text or ""):
             if isinstance(part, int):
                 found = [(1, str(part), self.bpe.strings[part])]
             else:
+                if not _MARKS.search(part):  # points and commas by themselves: the words before them are then found in the cache
+                    part = part.replace(".", " . ").replace(",", " , ")
                 # str.split() also splits at the four control characters FS, GS, RS and US, which are no white space to the pattern
                 runs = part.split() if not _CONTROLS.search(part) else _SPACE.split(part)
-                found = [young(x) or run(x) for x in runs if x]
                 young = self.young.get
+                found = [young(x) or run(x) for x in runs if x]
             n += sum([x[0] for x in found])
             ids += [x[1] for x in found if x[0]]
             words += [x[2] for x in found if x[0]]
@@ -177,6 +178,7 @@ class Cached:
 
 
 _CONTROLS = regex.compile("[\x1c-\x1f]")
+_MARKS = regex.compile(r"[.,][^\s\p{L}\p{N}]|[^\s\p{L}\p{N}][.,]")
 _SPACE = regex.compile(r"\s+")
 _LOADED: dict[str, Cached] = {}
 
