@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidegauge.llm import bpe, decontamination, exact_dedup, language_id, quality, secret_scan, sharding, toxicity, url_filter  # noqa: F401  (each registers its queries)
+from tidegauge.llm import bpe, decontamination, exact_dedup, language_id, near_dedup, quality, secret_scan, sharding, toxicity, url_filter  # noqa: F401  (each registers its queries)
 from tidegauge.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
