@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidegauge.plans.views import with_views
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -13,14 +15,14 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under ``name``; ``sql`` is the equivalent DuckDB statement."""
+    """Register a query under ``name``; ``sql`` is the equivalent DuckDB statement, which may read the views."""
 
     def keep(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = sql
+            ORACLES[name] = with_views(sql)
         return fn
 
     return keep
