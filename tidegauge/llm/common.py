@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,27 @@ def fit_sample(df: DataFrame, columns: list[str], most: int, key: str = "doc_id"
 def rows_once(df: DataFrame) -> DataFrame:
     """Add ``_row``, a unique row number, and fix it by a checkpoint (repeated rows and null keys stay apart)."""
     return cut(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def slices(batch: pa.RecordBatch, text: int, rows: int = 256, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most ``rows`` rows and about ``size`` bytes of text (column ``text``; a longer text stands alone)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = max(1, min(rows, int(np.searchsorted(ends, before + size, side="right")) - at))
+        yield batch.slice(at, n)
+        at += n
+
+
+def chunks(texts: list, rows: int = 256, size: int = 1 << 19) -> Iterator[slice]:
+    """The same for a list of texts: slices of it."""
+    at = n = held = 0
+    for i, t in enumerate(texts):
+        k = len(t) if t else 0
+        if n and (n >= rows or held + k > size):
+            yield slice(at, i)
+            at, n, held = i, 0, 0
+        n, held = n + 1, held + k
+    if n:
+        yield slice(at, at + n)

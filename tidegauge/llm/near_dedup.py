@@ -7,13 +7,12 @@ its next arrival is later than the latest register (Ertl, 2020), so most shingle
 documents agree in a register with the probability Jaccard similarity of their weighted sets.
 
 Documents with equal weighted sets form a class and take part once. The registers are cut into ``BANDS``
-bands of ``ROWS``; at similarity 0.8 two classes share no band with probability 5e-8. In each bucket a
-leader, drawn anew for each band, is compared with the other members: first by the registers, then exactly,
-by the Jaccard similarity of the shingle sets of the whole texts. The links' connected components are the
-groups. What stars can miss, two members of a bucket in different components, is then compared block by
-block: buckets are cut into blocks of ``BLOCK`` members, blocks meet in pairs, and only pairs of different
-components whose registers reach the floor come out, to be verified like the others. So no group is ever
-gathered whole, no bucket is capped, and a group of n near copies costs n links, not n squared.
+bands of ``ROWS``; at similarity 0.8 two classes share no band with probability 5e-8. In each bucket two
+leaders, the member that shares the largest buckets and one drawn anew, are compared with the other members:
+first by the registers, then exactly, by the Jaccard similarity of the shingle sets of the whole texts. The
+links' connected components are the groups. What stars can miss, two members of a bucket in different
+components, is then compared in blocks of bounded size (:func:`_leftover`), from which only links come out.
+So no group is ever gathered whole, no bucket is capped, and a group of n near copies costs about n links.
 
 Edge cases: null, empty and wordless texts have no shingles and stay alone; a text of fewer words than a
 shingle is one shingle; equal texts, repeated rows among them, are one class; ties go to the smaller id; an
@@ -31,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import cut, query, table
+from tidegauge.llm.common import cut, query, slices, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-#: Register agreement below which a pair isn't read again: nearly six standard deviations under the similarity.
-FLOOR = 0.6
+#: Register agreement below which a pair isn't read again: over four standard deviations under the similarity.
+FLOOR = 0.65
 BLOCK = 256
 BROADCAST_KEYS = 300_000
 _PIECE = 1 << 20
@@ -195,8 +194,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in slices(whole, 2):
                 sets, bands, sigs = fingerprint(b.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "mark", "set", "bands", "sig"])
 
@@ -224,18 +222,22 @@ def _agree(pairs: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(batches, "a binary, b binary")
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, text: str = "text") -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the similarity, from the whole texts of their classes."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(reps.select("set", "mark"), "set"))
+def _texts(sets: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(set, text) of the classes in ``sets``, each from one of its documents."""
+    wanted = cut(sets.distinct().join(reps.select("set", "mark"), "set"))
     keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     t = F.col(text).cast("string")
-    texts = docs.select(_mark(t).alias("mark"), t.alias("text")).join(keys, "mark").groupBy("set").agg(F.first("text").alias("text"))
+    return docs.select(_mark(t).alias("mark"), t.alias("text")).join(keys, "mark").groupBy("set").agg(F.first("text").alias("text"))
+
+
+def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, text: str = "text") -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity, from the whole texts of their classes."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("set")), reps, docs, text)
     both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b").select("a", "b", "left", "right")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
+            for b in slices(whole, 2, rows=128):
                 near = jaccard(b.column(2).to_pylist(), b.column(3).to_pylist()) >= similarity - 1e-12
                 yield b.filter(pa.array(near)).select(["a", "b"])
 
@@ -261,51 +263,87 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(edges.select("v", "v").distinct())
 
 
-def _leftover(members: DataFrame, reps: DataFrame, roots: DataFrame, floor: float) -> DataFrame:
-    """Pairs of one bucket in different components whose registers reach the floor, block by block."""
-    of = members.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    mixed = of.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("n > 2 and low <> high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = of.join(mixed.select("bucket", blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("set", F.lit(5)), F.col("blocks")).cast("int"))
-    # a member of block i meets block j under the pair (min, max)
-    dealt = placed.select("bucket", "set", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "root").join(reps.select("set", "sig"), "set")
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+def _leftover(shared: DataFrame, reps: DataFrame, roots: DataFrame, docs: DataFrame, similarity: float, floor: float, text: str) -> DataFrame:
+    """Links that the stars missed: members of one bucket in different components, compared block by block.
+
+    In each bucket the members of its largest component needn't meet each other. The others are cut into blocks
+    of ``BLOCK`` and meet every block of the bucket. Texts are read where registers reach the floor, and a pair
+    is read in the first band that it shares only; what comes out are links, never candidates.
+    """
+    of = shared.select("bucket", "band", "set").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    per = of.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sizes = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).filter("n > 2 and n > top.n")
+    sizes = sizes.select("bucket", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rest"), F.ceil(F.col("top.n") / (4 * BLOCK)).cast("int").alias("main"))
+    draw = lambda n: F.pmod(F.xxhash64("set", F.lit(5)), n).cast("int")
+    placed = of.join(sizes, "bucket").withColumn("own", F.when(F.col("root") == F.col("top"), -1 - draw(F.col("main"))).otherwise(draw(F.col("rest"))))
+    # blocks of the largest component are negative and meet each block of the rest; blocks of the rest meet each other
+    met = F.sequence(F.lit(0), F.col("rest") - 1)
+    mine = F.sequence(-F.col("main"), F.col("rest") - 1)
+    pairs = F.when(F.col("own") < 0, F.transform(met, lambda k: F.struct(F.col("own").alias("i"), k.alias("j")))).otherwise(F.transform(mine, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"))))
+    dealt = placed.select("bucket", "band", "set", "root", "own", F.explode(pairs).alias("m")).select("bucket", "band", "set", "root", "own", F.col("m.i").alias("i"), F.col("m.j").alias("j"))
+    dealt = dealt.join(reps.select("set", "sig"), "set")
+
+    def plausible(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member of block j with the members of block i that it may be linked to."""
+        i, j, band = (int(pdf[c].iloc[0]) for c in ("i", "j", "band"))
         sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(-1, REGISTERS)
         root = pd.factorize(pdf["root"])[0]
-        sets = pdf["set"].to_numpy()
         left, right = np.flatnonzero(pdf["own"] == i), np.flatnonzero(pdf["own"] == j)
+        for y in right:
+            x = left[left < y] if i == j else left
+            same = sig[x] == sig[y]
+            near = (same.mean(axis=1) >= floor) & (root[x] != root[y])
+            first = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+            yield int(y), x[near][first == band]
+
+    def narrow(pdf: pd.DataFrame) -> pd.DataFrame:
+        keep = np.zeros(len(pdf), dtype=bool)
+        for y, xs in plausible(pdf):
+            keep[xs] = True
+            keep[y] |= len(xs) > 0
+        return pdf[keep]
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc, shingle, _ = shingles(list(pdf["text"]))
+        ends = np.searchsorted(doc, np.arange(len(pdf) + 1))
+        own = [shingle[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        sets = pdf["set"].to_numpy()
         a, b = [], []
-        for x in left:
-            near = right[((sig[right] == sig[x]).mean(axis=1) >= floor) & (root[right] != root[x])]
-            for y in near:
-                if sets[x] < sets[y] or i != j:
+        for y, xs in plausible(pdf):
+            for x in xs:
+                both = np.concatenate((own[x], own[y]))
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if common / (len(both) - common) >= similarity - 1e-12:
                     a.append(min(sets[x], sets[y]))
                     b.append(max(sets[x], sets[y]))
         return pd.DataFrame({"a": a, "b": b})
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(meet, "a binary, b binary").distinct()
+    keys, schema = ["bucket", "i", "j"], "bucket long, band int, set binary, root binary, own int, i int, j int, sig binary"
+    kept = cut(dealt.select("bucket", "band", "set", "root", "own", "i", "j", "sig").groupBy(*keys).applyInPandas(narrow, schema))
+    texts = _texts(kept.select("set"), reps, docs, text)
+    return cut(kept.join(texts, "set").groupBy(*keys).applyInPandas(compare, "a binary, b binary").distinct())
 
 
 def links(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY, floor: float = FLOOR, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The verified links (a, b) between classes, and the components (node, root); ``found`` is from :func:`classes`."""
     reps = cut(found.filter("set is not null").groupBy("set").agg(F.min("mark").alias("mark"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    members = reps.select("set", F.explode("bands").alias("bucket"))
-    draw = F.struct(F.xxhash64("set", "bucket").alias("h"), F.col("set").alias("leader"))
-    leaders = members.groupBy("bucket").agg(F.min(draw).alias("l"), F.count("*").alias("n")).filter("n > 1").select("bucket", F.col("l.leader").alias("leader"))
-    shared = cut(members.join(leaders, "bucket"))
-    pairs = shared.filter("set <> leader").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
+    members = reps.select("set", F.posexplode("bands").alias("band", "bucket"))
+    full = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(members.join(full, "bucket"))
+    # who shares the largest buckets is the likely origin of a group; the other leader is drawn
+    central = shared.groupBy("set").agg(F.sum("n").alias("c"))
+    drawn = F.xxhash64("set", "bucket")
+    leaders = shared.join(central, "set").groupBy("bucket").agg(F.max(F.struct("c", drawn, "set")).alias("l"), F.min(F.struct(drawn, "set")).alias("r"))
+    leaders = leaders.select("bucket", F.explode(F.array("l.set", "r.set")).alias("leader"))
+    pairs = shared.join(leaders, "bucket").filter("set <> leader").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
     near = cut(_agree(pairs, reps, floor))
     sure = verify(near, reps, docs, similarity, text)
     roots = cut(components(sure))
-    rest = cut(_leftover(shared.select("bucket", "set"), reps, roots, floor).join(near, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = verify(rest, reps, docs, similarity, text)
-        if not more.isEmpty():
-            sure = sure.union(more)
-            roots = cut(components(sure))
+    more = _leftover(shared, reps, roots, docs, similarity, floor, text)
+    if not more.isEmpty():
+        sure = sure.union(more)
+        roots = cut(components(sure))
     return sure, roots
 
 
