@@ -27,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import query, table
+from tidegauge.llm.common import query, slices, table
 
 #: Words that one generation of a worker's cache holds; longer words than CACHED_LENGTH aren't kept.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
 CACHED_LENGTH = 64
 
 
@@ -237,8 +237,7 @@ def round_trip(docs: DataFrame, path: str | None = None, key: str = "doc_id", te
     """doc_id, n_tokens, and digests of the ids and of the decoded text, in one pass over the texts."""
 
     def rows(cached: Cached, b: pa.RecordBatch):
-        for at in range(0, b.num_rows, 256):
-            part = b.slice(at, 256)
+        for part in slices(b, 1):
             found = [cached.digest(t) for t in part.column(1).to_pylist()]
             n, ids, decoded = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm import svm
-from tidegauge.llm.common import folds, query, table
+from tidegauge.llm.common import folds, query, slices, table
 
 DIMENSIONS = 2048
 FIT_ROWS = 4000
@@ -135,8 +135,7 @@ def identify(docs: DataFrame, model: Model | None, held_out: F.Column, key: str
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for whole in it:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in slices(whole, 2):
                 texts = b.column(2).to_pylist()
                 lang, score = m.predict(np.stack([vector(t) for t in texts])) if m else (["und"] * len(texts), np.zeros(len(texts)))
                 for i, t in enumerate(texts):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import folds, query, table
+from tidegauge.llm.common import chunks, folds, query, slices, table
 
 PASSAGE = 600
 FIT_ROWS = 6000
@@ -148,10 +148,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, rows: int = FIT_ROW
     texts = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in it:
-            x, n = passages(list(b["text"]))
-            ends = np.cumsum(n)
-            yield pd.DataFrame({"id": b["id"], "label": b["label"], "x": [x[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]})
+        for whole in it:
+            for part in chunks(list(whole["text"])):
+                b = whole.iloc[part]
+                x, n = passages(list(b["text"]))
+                ends = np.cumsum(n)
+                yield pd.DataFrame({"id": b["id"], "label": b["label"], "x": [x[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]})
 
     got = texts.join(F.broadcast(chosen), "id").mapInPandas(batches, "id long, label int, x binary").orderBy(F.xxhash64("id"), "id", "label").limit(2 * rows).collect()
     if not got:
@@ -169,8 +171,7 @@ def score(docs: DataFrame, model: Network | None, extra: list[F.Column], key: st
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for whole in it:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
+            for b in slices(whole, len(names)):
                 s = m.score(b.column(len(names)).to_pylist()) if m else np.full(b.num_rows, 0.5)
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
@@ -184,8 +185,10 @@ def keep_good(docs: DataFrame, model: Network | None, threshold: float = 0.5, te
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         m = sent.value
-        parts = [m.score(list(texts.iloc[i : i + 128])) if m else np.full(len(texts.iloc[i : i + 128]), 0.5) for i in range(0, len(texts), 128)]
-        return pd.Series(np.concatenate(parts) if parts else [])
+        if m is None:
+            return pd.Series(np.full(len(texts), 0.5))
+        own = list(texts)
+        return pd.Series(np.concatenate([m.score(own[c]) for c in chunks(own)] or [np.zeros(0)]))
 
     return docs.filter(scored(F.col(text).cast("string")) >= threshold)
 

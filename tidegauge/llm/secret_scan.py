@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import query, table
+from tidegauge.llm.common import query, slices, table
 
 KINDS = ("assign", "access", "hex", "model")
 
@@ -118,8 +118,7 @@ def scan(docs: DataFrame, model: np.ndarray | None = None, threshold: float = TH
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in slices(whole, 1):
                 rows = []
                 for t in b.column(1).to_pylist():
                     base = base_spans(t or "")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import folds, query, table
+from tidegauge.llm.common import folds, query, slices, table
 
 FIT_ROWS = 12_000
 LEXICON = 120
@@ -178,8 +178,7 @@ def score(docs: DataFrame, model: Model, extra: list[F.Column], key: str = "doc_
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for whole in it:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for b in slices(whole, len(names)):
                 s = m.score(b.column(len(names)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
