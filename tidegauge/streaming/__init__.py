@@ -1 +1 @@
-
+"""The ingest edge as Structured Streaming."""
