@@ -249,18 +249,20 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
-        both = edges.union(edges.select("v", "u"))
+        both = edges.select(_rows(("u", "v"), ("v", "u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
-        edges = cut(small)
+        edges = cut(large.join(low, "u").select(_rows(("v", "m"), ("u", "m"))).filter("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            break
+            return edges.select(_rows(("u", "v"), ("v", "v"))).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
         before = now
-    return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(edges.select("v", "v").distinct())
+
+
+def _rows(*pairs: tuple[str, str]) -> F.Column:
+    """Several (u, v) rows from the columns of one."""
+    return F.inline(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs)))
 
 
 def _leftover(shared: DataFrame, reps: DataFrame, roots: DataFrame, docs: DataFrame, similarity: float, floor: float, text: str) -> DataFrame:
