@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import query, rows_once, table, text_of
 
 #: Distinct digests in a shard, about.
-SHARD_KEYS = 20_000
+SHARD_KEYS = 10_000
 _PER_BUCKET = 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 GROUP_SCHEMA = "digest binary, keep_id long, keep_row long, n long, known boolean"
