@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 Voters look at the words of a text. There is one lexicon voter for each listed word (a short list of
-insults in four languages, and the words mined from the labelled rows of the training folds by log-odds of
+insults in four languages, and the words and stems mined from the labelled rows of the training folds by log-odds of
 their document frequencies), and pattern voters for repeated hits, distinct hits, a high share of hits, and
 a hit next to a second-person word. A generative label model (a two-class mixture fitted by EM, where the
 hand label is one more noisy voter) estimates how often each voter fires for either class, and the
@@ -10,7 +10,7 @@ company, so ten voters that always fire together count about once. A logistic mo
 the number and the share of hits is trained on the posteriors, and scores every whole text.
 
 Word frequencies and votes are gathered over a bounded sample of ``FIT_ROWS`` labelled rows in the order of
-a hash of the id; at most ``LEXICON`` words are kept. The fit sees a matrix of FIT_ROWS x voters.
+a hash of the id; at most ``LEXICON`` words and ``STEMS`` stems are kept. The fit sees a matrix of FIT_ROWS x voters.
 
 Edge cases: null and empty texts have no words and get the score of a text without hits; with no labels
 the listed words alone vote; repeated rows are scored one by one; a document with several labels teaches
@@ -33,13 +33,16 @@ from tidegauge.llm.common import folds, query, slices, table
 
 FIT_ROWS = 12_000
 LEXICON = 120
+#: Stems are the first letters of longer words: they find inflected and compounded insults that are rare as whole words.
+STEM, STEMS = 6, 40
 LEAST_SUPPORT = 4
 LEAST_ODDS = 6.0
 # A short list of common insults.
 LISTED = "idiot stupid moron loser scum trash worthless pathetic disgusting clown dumb imbecile bastard arschloch dummkopf trottel depp abschaum imbécile crétin connard salaud ordure idiota estúpido imbécil basura escoria".split()
 SECOND_PERSON = frozenset("you your du dein euch tu vous ton votre tú usted vosotros".split())
 WORD = re.compile(r"\w+")
-PATTERNS = 4
+PATTERNS = 6
+NUMBERS = 4
 
 
 def words(text: str | None) -> list[str]:
@@ -47,18 +50,20 @@ def words(text: str | None) -> list[str]:
 
 
 def votes(text: str | None, lexicon: dict[str, int]) -> tuple[list[int], np.ndarray]:
-    """The lexicon voters that fire, and the pattern voters' votes, number and share of hits."""
+    """The lexicon voters that fire, and the pattern voters' votes, numbers and shares of hits. Stems are entries that end in ``*``."""
     ws = words(text)
     hits = [(i, w) for i, w in enumerate(ws) if w in lexicon]
+    stems = [s for w in ws if len(w) > STEM and (s := w[:STEM] + "*") in lexicon]
     kinds = {w for _, w in hits}
-    n, share = len(hits), len(hits) / max(1, len(ws))
+    n, m, total = len(hits), len(stems), max(1, len(ws))
     near = any(x in SECOND_PERSON for i, _ in hits for x in ws[max(0, i - 3) : i + 4])
-    return sorted(lexicon[w] for w in kinds), np.array([n >= 2, len(kinds) >= 2, share >= 0.005, near, np.log1p(n), min(1.0, 20 * share)])
+    fired = sorted(lexicon[w] for w in kinds | set(stems))
+    return fired, np.array([n >= 2, len(kinds) >= 2, n / total >= 0.005, near, m >= 2, m / total >= 0.01, np.log1p(n), min(1.0, 20 * n / total), np.log1p(m), min(1.0, 20 * m / total)])
 
 
 def matrix(texts: list[str | None], lexicon: dict[str, int]) -> np.ndarray:
-    """Lexicon votes, pattern votes, number and share of hits, a row for each text."""
-    x = np.zeros((len(texts), len(lexicon) + PATTERNS + 2))
+    """Lexicon votes, pattern votes, numbers and shares of hits, a row for each text."""
+    x = np.zeros((len(texts), len(lexicon) + PATTERNS + NUMBERS))
     for r, t in enumerate(texts):
         fired, rest = votes(t, lexicon)
         x[r, fired] = 1
@@ -140,16 +145,18 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, rows: int = FIT_ROW
         size = Counter()
         for b in it:
             for t, y in zip(b["text"], b["label"], strict=True):
-                seen[int(y > 0)].update(set(words(t)))
+                own = set(words(t))
+                seen[int(y > 0)].update(own | {w[:STEM] + "*" for w in own if len(w) > STEM})
                 size[int(y > 0)] += 1
         for y, c in seen.items():
             # the empty word counts the documents
             yield pd.DataFrame({"word": ["", *c], "t": [y * n for n in (size[y], *c.values())], "c": [(1 - y) * n for n in (size[y], *c.values())]})
 
     freq = sample.mapInPandas(count, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    got = [(r["word"], r["t"], r["c"]) for r in freq.filter((F.col("word") == "") | (F.col("t") >= LEAST_SUPPORT)).orderBy(F.col("word") != "", F.desc(F.col("t") / (F.col("c") + 1)), F.desc("t"), "word").limit(5000).collect()]
+    got = [(r["word"], r["t"], r["c"]) for r in freq.filter((F.col("word") == "") | (F.col("t") >= LEAST_SUPPORT)).orderBy(F.col("word") != "", F.desc(F.col("t") / (F.col("c") + 1)), F.desc("t"), "word").limit(20000).collect()]
     toxic, clean = next(((t, c) for w, t, c in got if w == ""), (0, 0))
-    lexicon = list(dict.fromkeys([*LISTED, *mine([g for g in got if g[0]], toxic, clean)]))
+    whole, stems = [g for g in got if g[0] and g[0][-1] != "*"], [g for g in got if g[0].endswith("*")]
+    lexicon = list(dict.fromkeys([*LISTED, *mine(whole, toxic, clean), *mine(stems, toxic, clean, STEMS)]))
     index = {w: i for i, w in enumerate(lexicon)}
 
     def vote(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: F.Column, rows: int = FIT_ROW
             yield pd.DataFrame({"id": b["id"], "label": b["label"], "x": [r.tobytes() for r in x]})
 
     rows_ = sample.mapInPandas(vote, "id long, label int, x binary").orderBy(F.xxhash64("id"), "id", "label").limit(2 * rows).collect()
-    width = len(lexicon) + PATTERNS + 2
+    width = len(lexicon) + PATTERNS + NUMBERS
     if not rows_:  # nothing to learn from: any listed word, more with each
         w = np.zeros(width + 1)
         w[: len(lexicon)], w[-1] = 3.0, -2.0
