@@ -63,7 +63,7 @@ def decode(text: Column, plus: bool = True) -> Column:
 def query_keys(url: Column, keep_blank: bool = False) -> Column:
     """Decoded keys of the query string, sorted and distinct; parameters without a value are left out unless ``keep_blank``."""
     parts = F.split(query_string(F.coalesce(url, F.lit(""))), "&")
-    kept = F.filter(parts, lambda p: (p.contains("=") & (F.substring_index(p, "=", 1) != "") & (F.lit(keep_blank) | ~p.endswith("=") | (F.length(F.regexp_replace(p, "[^=]", "")) > 1))) | (F.lit(keep_blank) & (p != "")))
+    kept = F.filter(parts, lambda p: (p != "") if keep_blank else p.rlike("(?s)^[^=]*=."))
     return F.array_sort(F.array_distinct(F.transform(kept, lambda p: decode(F.substring_index(p, "=", 1)))))
 
 

@@ -157,7 +157,7 @@ def match_rules(urls: DataFrame, rules: DataFrame, url: str = "url", options: di
     active = active.filter(known & agree & ((F.size("domains") == 0) | F.lit(domain is not None)))
     if domain is not None:
         variants = [".".join(domain.split(".")[i:]) for i in range(len(domain.split(".")))]
-        verdicts = F.filter(F.array(*(F.get(F.map_values(F.map_filter("domains", lambda k, v, x=x: k == x)), F.lit(0)) for x in variants)), lambda v: v.isNotNull())
+        verdicts = F.filter(F.array(*(F.try_element_at("domains", F.lit(x)) for x in variants)), lambda v: v.isNotNull())
         active = active.filter((F.size("domains") == 0) | F.coalesce(F.get(verdicts, F.lit(0)), ~F.exists(F.map_values("domains"), lambda v: v)))
     u = urls.select(url).distinct()
     words = u.select(url, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(url), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("token"))

@@ -223,7 +223,7 @@ def _(s, d):
     return _contrast(s, d).filter((F.col("p_value") < 0.05) & (F.abs("log2_lift") > 0.05)).agg(F.count("*").alias("n"))
 
 
-_KEYS = r"list_distinct(list_transform(list_filter(string_split(regexp_extract(regexp_extract(url, '^[^#]*'), '\?(.*)$', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.')), lambda p: split_part(p, '=', 1)))"
+_KEYS = r"list_distinct(list_transform(list_filter(string_split(regexp_extract(regexp_extract(url, '^[^#]*'), '\?(.*)$', 1), '&'), lambda p: regexp_matches(p, '^[^=]*=.')), lambda p: split_part(p, '=', 1)))"
 
 
 @query("qk_topk", f"SELECT key, count(*) AS n FROM (SELECT unnest({_KEYS}) AS key FROM lab WHERE positive) x GROUP BY key ORDER BY n DESC, key LIMIT 100")

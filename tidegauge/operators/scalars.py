@@ -70,7 +70,7 @@ def _(s, d):
 
 @query(
     "url_query_keys",
-    rf"""SELECT id, list_sort(list_distinct(list_transform(list_filter(string_split(regexp_extract(regexp_extract(url, '^[^#]*'), '\?(.*)$', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.')),
+    rf"""SELECT id, list_sort(list_distinct(list_transform(list_filter(string_split(regexp_extract(regexp_extract(url, '^[^#]*'), '\?(.*)$', 1), '&'), lambda p: regexp_matches(p, '^[^=]*=.')),
     lambda p: CASE WHEN regexp_matches(p, '%zz') THEN split_part(p, '=', 1) ELSE url_decode(replace(split_part(p, '=', 1), '+', ' ')) END))) AS keys FROM {_EACH} x""",
 )
 def _(s, d):

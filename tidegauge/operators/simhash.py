@@ -22,6 +22,7 @@ VARIANTS = {"crawl": (r"[^a-z0-9_]", 3, True), "notebook": (r"[^\w]+", 3, True),
 
 def features(text: Column, variant: str = "crawl") -> Column:
     drop, width, repeats = VARIANTS[variant]
+    text = F.coalesce(text, F.lit(""))
     # the crawl variant drops everything but ASCII letters, digits and blanks first, then the blanks
     t = F.regexp_replace(F.lower(F.regexp_replace(text, r"[^a-zA-Z0-9\s]", "")), r"[^a-z0-9]", "") if variant == "crawl" else F.regexp_replace(F.lower(text), drop, "")
     g = T.ngrams(t, width)
