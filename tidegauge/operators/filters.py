@@ -54,12 +54,14 @@ BUNDLERS: list[tuple[str, list[list[str]]]] = [
     ("esbuild", [[rf"\b__{w}\b"] for w in "commonJS toModule markAsModule toCommonJS exportStar create defProp getOwnPropDesc getOwnPropNames getProtoOf reExport require esm export".split()]),
     ("fusebox", [[r"FuseBox\.pkg\("], [r"FuseBox\.import\("], [r"\$fsx\.r\("], [r"\$fsx\.m\("]]),
     ("browserify", [[r"\bfunction\s+o\s*\(", r"\bMODULE_NOT_FOUND\b"]]),
-    ("browserify_like", [[r"Cannot find module", r"\bMODULE_NOT_FOUND\b"]]),
 ]
+# The last rule only holds where no other bundler's mark is found, not even inside a longer word.
+_MARKS = "|".join(p.replace(r"\b", "") for _, rule in BUNDLERS for ps in rule if len(ps) == 1 for p in ps if p != r"\bnewRequire\(")
+BUNDLERS.append(("browserify_like", [[r"Cannot find module", r"\bMODULE_NOT_FOUND\b", "!" + _MARKS + r"|function\s+o\s*\("]]))
 
 
 def bundler(text: Column, rules: Sequence[tuple[str, list[list[str]]]] = tuple(BUNDLERS)) -> Column:
-    """Label of the first rule that fits, else ``unknown``. Later rules imply that the earlier ones failed."""
+    """Label of the first rule that fits, else ``unknown``."""
     out = None
     for label, alternatives in rules:
         cond = None
@@ -76,7 +78,7 @@ def bundler(text: Column, rules: Sequence[tuple[str, list[list[str]]]] = tuple(B
 def bundler_sql(text: str, rules: Sequence[tuple[str, list[list[str]]]] = tuple(BUNDLERS)) -> str:
     """The same as a CASE expression of DuckDB."""
     quote = lambda p: p.replace("'", "''")
-    one = lambda ps: " AND ".join(f"regexp_matches({text}, '{quote(p)}')" for p in ps)
+    one = lambda ps: " AND ".join(f"{'NOT ' * (p[0] == '!')}regexp_matches({text}, '{quote(p.removeprefix('!'))}')" for p in ps)
     return "CASE " + " ".join(f"WHEN {' OR '.join(f'({one(ps)})' for ps in alternatives)} THEN '{label}'" for label, alternatives in rules) + " ELSE 'unknown' END"
 
 
@@ -191,7 +193,7 @@ def _(s, d):
 
 
 # Script texts with a fingerprint each, so that every class has members.
-_SCRIPT = "concat(html, CASE page_id % 9 WHEN 0 THEN 'self.webpackChunk=[]' WHEN 1 THEN 'parcelRequire(1)' WHEN 2 THEN 'import.meta.env' WHEN 3 THEN 'commonjsGlobal' WHEN 4 THEN '__toCommonJS' WHEN 5 THEN 'FuseBox.pkg(' WHEN 6 THEN 'function o (e) MODULE_NOT_FOUND' WHEN 7 THEN 'Cannot find module MODULE_NOT_FOUND' ELSE '' END)"
+_SCRIPT = "concat(html, CASE page_id % 9 WHEN 0 THEN 'self.webpackChunk=[]' WHEN 1 THEN 'parcelRequire(1)' WHEN 2 THEN 'import.meta.env' WHEN 3 THEN 'commonjsGlobal' WHEN 4 THEN '__toCommonJS' WHEN 5 THEN 'FuseBox.pkg(' WHEN 6 THEN 'function o (e) MODULE_NOT_FOUND' WHEN 7 THEN 'Cannot find module MODULE_NOT_FOUND' WHEN 8 THEN 'Cannot find module MODULE_NOT_FOUND x__createy' ELSE '' END)"
 
 
 @query("case_bundle_classify", f"SELECT {bundler_sql('t')} AS bundle, count(*) AS n FROM (SELECT {_SCRIPT} AS t FROM pages) x GROUP BY bundle")
