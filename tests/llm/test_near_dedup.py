@@ -58,7 +58,7 @@ def check(spark, rows):
         members.setdefault(g, []).append(rows[i][0])
     low = lambda v: None if any(x is None for x in v) else min(v)
     want = Counter((rows[i][0], low(members[g])) for i, g in enumerate(first) if rows[i][0] is not None)
-    assert Counter((r.doc_id, r.group_id) for r in out if r.doc_id is not None) == want
+    assert Counter((r.doc_id, r.class_id) for r in out if r.doc_id is not None) == want
     return out
 
 
@@ -66,16 +66,16 @@ def test_report_against_all_pairs(spark):
     rows = [(1000 + i, t) for i, t in enumerate(texts())]
     random.Random(3).shuffle(rows)
     out = check(spark, rows)
-    sizes = Counter(r.group_id for r in out)
-    assert all(r.group_size == sizes[r.group_id] for r in out)
-    assert Counter(r.group_id for r in out if r.kept) == Counter(dict.fromkeys(sizes, 1))
+    sizes = Counter(r.class_id for r in out)
+    assert all(r.class_size == sizes[r.class_id] for r in out)
+    assert Counter(r.class_id for r in out if r.kept) == Counter(dict.fromkeys(sizes, 1))
 
 
 def test_edge_cases(spark):
     rows = [r for r in ODD if r[0] is not None and r[0] != 3] + [(30, "one two"), (31, "one two"), (32, "One, TWO!")]
     # wordless texts stay alone; repeated rows are alike
     out = N.report(docs(spark, rows)).collect()
-    assert {r.doc_id: r.group_id for r in out} == {1: 1, 2: 2, 4: 4, 5: 5, 6: 6, 7: 7, 30: 30, 31: 30, 32: 30}
+    assert {r.doc_id: r.class_id for r in out} == {1: 1, 2: 2, 4: 4, 5: 5, 6: 6, 7: 7, 30: 30, 31: 30, 32: 30}
     assert sum(r.kept for r in out) == len(rows) - 2
     assert N.report(docs(spark, [])).count() == 0
     df = docs(spark, ODD)
@@ -117,4 +117,4 @@ def test_hot_group(spark):
             copy[r.randrange(150)] = f"y{i}"
         rows.append((i, " ".join(copy)))
     out = N.report(docs(spark, rows + [(9000 + i, rows[0][1]) for i in range(300)])).collect()
-    assert {x.group_id for x in out} == {0} and sum(x.kept for x in out) == 1
+    assert {x.class_id for x in out} == {0} and sum(x.kept for x in out) == 1

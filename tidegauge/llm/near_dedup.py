@@ -16,7 +16,8 @@ So no group is ever gathered whole, no bucket is capped, and a group of n near c
 
 Edge cases: null, empty and wordless texts have no shingles and stay alone; a text of fewer words than a
 shingle is one shingle; equal texts, repeated rows among them, are one class; ties go to the smaller id; an
-empty table gives no rows; other columns are ignored by :func:`report` and carried by :func:`dedup`.
+empty table gives no rows; other columns are ignored by :func:`report` and carried by :func:`dedup`. ``kept`` is
+true for repeated rows of the winner alike.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import cut, query, slices, table
+from tidegauge.llm.common import cut, fresh, query, slices, small, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -39,7 +40,6 @@ REGISTERS = BANDS * ROWS
 #: Register agreement below which a pair isn't read again: over four standard deviations under the similarity.
 FLOOR = 0.65
 BLOCK = 256
-BROADCAST_KEYS = 300_000
 _PIECE = 1 << 20
 _U = np.uint64
 _GOLD, _P = _U(0x9E3779B97F4A7C15), 0x100000001B3 * 2 + 1
@@ -224,8 +224,7 @@ def _agree(pairs: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
 
 def _texts(sets: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(set, text) of the classes in ``sets``, each from one of its documents."""
-    wanted = cut(sets.distinct().join(reps.select("set", "mark"), "set"))
-    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    keys = small(sets.distinct().join(reps.select("set", "mark"), "set"))
     t = F.col(text).cast("string")
     return docs.select(_mark(t).alias("mark"), t.alias("text")).join(keys, "mark").groupBy("set").agg(F.first("text").alias("text"))
 
@@ -350,24 +349,21 @@ def links(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY, flo
 
 
 def report(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, class_id, group_id (smallest ids), class_size, group_size, n_links, kept, and the text's mark."""
+    """One row for each document: doc_id, class_id (the smallest id that it is linked to, directly or not), class_size, n_links (links of its text to different ones), kept, and the text's mark."""
     found = cut(classes(docs, key, text))
     sure, roots = links(docs, found, similarity, text=text)
     degree = sure.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
-    own = found.filter("set is not null").groupBy("set").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("class_size"))
+    own = found.filter("set is not null").groupBy("set").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("n"))
     own = own.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")).join(degree, "set", "left")
     own = cut(own)
-    groups = own.groupBy("root").agg(F.min("first").alias("best"), F.sum("class_size").alias("group_size"))
-    own = own.join(groups, "root")
-    out = found.select("doc_id", "mark", "set").join(own, "set", "left")
+    groups = own.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
+    out = found.select("doc_id", "mark", "set").join(own.join(groups, "root").select("set", "n_links", "best", "class_size"), "set", "left")
     alone = F.col("set").isNull()
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     return out.select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("group_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"),
         F.when(alone, one).otherwise(F.col("class_size")).alias("class_size"),
-        F.when(alone, one).otherwise(F.col("group_size")).alias("group_size"),
         F.coalesce("n_links", zero).alias("n_links"),
         (alone | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark")))).alias("kept"),
         "mark",
@@ -376,9 +372,10 @@ def report(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id",
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns, with one of each group: the smallest id. Documents without words all stay."""
-    gone = report(docs, similarity, key, text).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    i, m = fresh(docs, "_id", "_mark")
+    gone = small(report(docs, similarity, key, text).filter("not kept").select(F.col("doc_id").alias(i), F.col("mark").alias(m)).distinct())
     t = F.col(text).cast("string")
-    same = F.col(key).cast("long").eqNullSafe(F.col("_id")) & (_mark(t) == F.col("_mark"))
+    same = F.col(key).cast("long").eqNullSafe(F.col(i)) & (_mark(t) == F.col(m))
     return docs.join(gone, same, "left_anti")
 
 
