@@ -125,9 +125,9 @@ def _(s, d):
     return view(s, d, "js").groupBy("script_line").agg(F.count("*").alias("n")).withColumn("line", F.expr("try_cast(trim(script_line) AS BIGINT)").cast("double"))
 
 
-@query("proj_star_plus", "SELECT *, length(url) AS url_length FROM req WHERE request_id % 10 = 0")
+@query("proj_star_plus", "SELECT *, length(url) AS url_length FROM req")
 def _(s, d):
-    return view(s, d, "req").filter("request_id % 10 = 0").select("*", F.length("url").cast("bigint").alias("url_length"))
+    return view(s, d, "req").select("*", F.length("url").cast("bigint").alias("url_length"))
 
 
 @query("proj_rename_generic", "SELECT n_nationkey AS string_field_0, n_name AS country FROM nation")
@@ -168,10 +168,10 @@ def _(s, d):
     return view(s, d, "req").join(toxic, "page_id", "left_semi").select("request_id", "url")
 
 
-@query("filter_not_in_subquery", "SELECT DISTINCT name FROM ck WHERE name NOT IN (SELECT name FROM ck WHERE first_party_cookie AND site_id < 20)")
+@query("filter_not_in_subquery", "SELECT DISTINCT name FROM ck WHERE name NOT IN (SELECT name FROM ck WHERE first_party_cookie)")
 def _(s, d):
     c = view(s, d, "ck")
-    return not_in(c.select("name").distinct(), c.filter("first_party_cookie and site_id < 20").select("name"), "name")
+    return not_in(c.select("name").distinct(), c.filter("first_party_cookie").select("name"), "name")
 
 
 def not_in(df: DataFrame, taken: DataFrame, key: str) -> DataFrame:

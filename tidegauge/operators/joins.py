@@ -130,11 +130,11 @@ def _(s, d):
 _WIDE = "(SELECT cluster, " + ", ".join(f"max(hash) FILTER (slot = 'cluster_{i}') AS cluster_{i}" for i in range(7)) + " FROM mem GROUP BY cluster)"
 
 
-@query("join_or_slots", f"SELECT DISTINCT w.cluster, l.hash FROM {_WIDE} w JOIN (SELECT DISTINCT hash FROM mem WHERE site_id < 3) l ON " + " OR ".join(f"w.cluster_{i} = l.hash" for i in range(7)))
+@query("join_or_slots", f"SELECT DISTINCT w.cluster, l.hash FROM {_WIDE} w JOIN (SELECT DISTINCT hash FROM mem WHERE first_party_script) l ON " + " OR ".join(f"w.cluster_{i} = l.hash" for i in range(7)))
 def _(s, d):
     m = view(s, d, "mem")
     wide = m.groupBy("cluster").agg(*(F.max(F.when(F.col("slot") == f"cluster_{i}", F.col("hash"))).alias(f"cluster_{i}") for i in range(7)))
-    return slots_join(wide, [f"cluster_{i}" for i in range(7)], m.filter("site_id < 3").select("hash").distinct(), "hash").select("cluster", "hash").distinct()
+    return slots_join(wide, [f"cluster_{i}" for i in range(7)], m.filter("first_party_script").select("hash").distinct(), "hash").select("cluster", "hash").distinct()
 
 
 def slots_join(wide: DataFrame, slots: Sequence[str], other: DataFrame, key: str) -> DataFrame:
@@ -142,27 +142,27 @@ def slots_join(wide: DataFrame, slots: Sequence[str], other: DataFrame, key: str
     return wide.withColumn(key, F.explode(F.array_distinct(F.array(*slots)))).join(other, key)
 
 
-@query("join_comma_where", "SELECT DISTINCT a.cluster, b.cookie_name FROM mem a, (SELECT DISTINCT hash, cookie_name FROM mem WHERE site_id < 2) b WHERE a.hash = b.hash")
+@query("join_comma_where", "SELECT DISTINCT a.cluster, b.cookie_name FROM mem a, (SELECT DISTINCT hash, cookie_name FROM mem WHERE first_party_script) b WHERE a.hash = b.hash")
 def _(s, d):
     m = view(s, d, "mem")
-    return m.select("cluster", "hash").join(m.filter("site_id < 2").select("hash", "cookie_name").distinct(), "hash").select("cluster", "cookie_name").distinct()
+    return m.select("cluster", "hash").join(m.filter("first_party_script").select("hash", "cookie_name").distinct(), "hash").select("cluster", "cookie_name").distinct()
 
 
-@query("join_left_enrich", "SELECT s_suppkey AS cluster, coalesce(c, []) AS cookies FROM supplier LEFT JOIN (SELECT cluster, list(DISTINCT cookie_name ORDER BY cookie_name) AS c FROM mem WHERE site_id = 1 GROUP BY cluster) x ON cluster = s_suppkey")
+@query("join_left_enrich", "SELECT s_suppkey AS cluster, coalesce(c, []) AS cookies FROM supplier LEFT JOIN (SELECT cluster, list(DISTINCT cookie_name ORDER BY cookie_name) AS c FROM mem WHERE first_party_script GROUP BY cluster) x ON cluster = s_suppkey")
 def _(s, d):
-    own = view(s, d, "mem").filter("site_id = 1").groupBy("cluster").agg(F.array_sort(F.collect_set("cookie_name")).alias("cookies"))
+    own = view(s, d, "mem").filter("first_party_script").groupBy("cluster").agg(F.array_sort(F.collect_set("cookie_name")).alias("cookies"))
     base = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("cluster"))
     return base.join(own, "cluster", "left").withColumn("cookies", F.coalesce("cookies", F.array().cast("array<string>")))
 
 
 @query(
     "join_simhash_map",
-    "SELECT m.cluster, m.hash, m.profile, h.simhash_hex FROM mem m LEFT JOIN (SELECT 'A' AS profile, hash, min(md5(hash)) AS simhash_hex FROM mem WHERE profile = 'A' GROUP BY hash UNION ALL SELECT 'R', hash, min(md5(hash)) FROM mem WHERE profile = 'R' GROUP BY hash) h ON m.profile = h.profile AND m.hash = h.hash WHERE m.site_id < 5",
+    "SELECT m.cluster, m.hash, m.profile, h.simhash_hex FROM mem m LEFT JOIN (SELECT 'A' AS profile, hash, min(md5(hash)) AS simhash_hex FROM mem WHERE profile = 'A' GROUP BY hash UNION ALL SELECT 'R', hash, min(md5(hash)) FROM mem WHERE profile = 'R' GROUP BY hash) h ON m.profile = h.profile AND m.hash = h.hash",
 )
 def _(s, d):
     m = view(s, d, "mem")
     maps = [m.filter(F.col("profile") == p).groupBy("hash").agg(F.min(F.md5("hash")).alias("simhash_hex")).withColumn("profile", F.lit(p)) for p in "AR"]
-    return m.filter("site_id < 5").join(maps[0].unionByName(maps[1]), ["profile", "hash"], "left").select("cluster", "hash", "profile", "simhash_hex")
+    return m.join(maps[0].unionByName(maps[1]), ["profile", "hash"], "left").select("cluster", "hash", "profile", "simhash_hex")
 
 
 @query(
@@ -211,9 +211,9 @@ def in_cookiejar(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return df.join(last, list(keys)).select("event_ordinal", (F.struct(*order) == F.col("_last")).alias("in_cookiejar"))
 
 
-@query("join_prefix_overlap", "SELECT DISTINCT a.name FROM (SELECT DISTINCT name FROM ck) a JOIN (SELECT DISTINCT left(cookie_name, 4) AS p FROM mem WHERE site_id = 1) b ON starts_with(a.name, b.p)")
+@query("join_prefix_overlap", "SELECT DISTINCT a.name FROM (SELECT DISTINCT name FROM ck) a JOIN (SELECT DISTINCT left(cookie_name, 4) AS p FROM mem) b ON starts_with(a.name, b.p)")
 def _(s, d):
-    p = view(s, d, "mem").filter("site_id = 1").select(F.substring("cookie_name", 1, 4).alias("p")).distinct()
+    p = view(s, d, "mem").select(F.substring("cookie_name", 1, 4).alias("p")).distinct()
     return longest_prefix(view(s, d, "ck"), "name", p, "p").filter("p is not null").select("name")
 
 
@@ -229,9 +229,9 @@ def _(s, d):
     return update_from(view(s, d, "ck"), j, ["browser_id", "visit_id", "event_ordinal"], {"set_by_js": F.bool_or(F.col("operation") == "set")}).select("event_ordinal", "name", "set_by_js")
 
 
-@query("upd_in_subquery", "SELECT request_id, visit_id IN (SELECT visit_id FROM ck WHERE first_party_cookie AND site_id < 40) AS has_fp FROM req")
+@query("upd_in_subquery", "SELECT request_id, visit_id IN (SELECT visit_id FROM ck WHERE first_party_cookie AND value IS NULL) AS has_fp FROM req")
 def _(s, d):
-    keys = view(s, d, "ck").filter("first_party_cookie and site_id < 40").select("visit_id")
+    keys = view(s, d, "ck").filter("first_party_cookie and value is null").select("visit_id")
     return flag_in(view(s, d, "req"), keys, "visit_id", "has_fp").select("request_id", "has_fp")
 
 
@@ -241,10 +241,10 @@ def _(s, d):
     return update_from(c, c, ["name"], {"first_party_cookie": F.bool_or("first_party_cookie")}, guarded=True).select("event_ordinal", "first_party_cookie")
 
 
-@query("upd_loop_columns", "SELECT cluster, slot, min(b) AS bundle FROM (SELECT cluster, slot, hash FROM mem) m LEFT JOIN (SELECT hash, min(cookie_name) AS b FROM mem WHERE site_id % 2 = 0 GROUP BY hash) x USING (hash) GROUP BY ALL")
+@query("upd_loop_columns", "SELECT cluster, slot, min(b) AS bundle FROM (SELECT cluster, slot, hash FROM mem) m LEFT JOIN (SELECT hash, min(cookie_name) AS b FROM mem WHERE first_party_script GROUP BY hash) x USING (hash) GROUP BY ALL")
 def _(s, d):
     m = view(s, d, "mem")
-    b = m.filter("site_id % 2 = 0").groupBy("hash").agg(F.min("cookie_name").alias("bundle"))
+    b = m.filter("first_party_script").groupBy("hash").agg(F.min("cookie_name").alias("bundle"))
     return m.select("cluster", "slot", "hash").join(b, "hash", "left").groupBy("cluster", "slot").agg(F.min("bundle").alias("bundle"))
 
 

@@ -144,11 +144,11 @@ def _(s, d):
     return share_above(view(s, d, "bk"), "cluster_id", 6)
 
 
-_PIVOT = "SELECT site_id, " + ", ".join(f"count(*) FILTER (browser_id = '{p}') AS n_{p}" for p in PROFILES) + " FROM ck WHERE site_id % 3 = 0 AND first_party_cookie GROUP BY site_id"
+_PIVOT = "SELECT visit_id, " + ", ".join(f"count(*) FILTER (browser_id = '{p}') AS n_{p}" for p in PROFILES) + " FROM ck WHERE first_party_cookie GROUP BY visit_id"
 
 
 def _pivot(s, d):
-    return profile_pivot(view(s, d, "ck").filter("site_id % 3 = 0 and first_party_cookie"), "site_id", "browser_id", PROFILES)
+    return profile_pivot(view(s, d, "ck").filter("first_party_cookie"), "visit_id", "browser_id", PROFILES)
 
 
 @query("agg_countif_pivot", _PIVOT)
@@ -175,10 +175,10 @@ def _(s, d):
     return presence(_pivot(s, d), PROFILES, "any")
 
 
-@query("agg_presence_exactly_one", "SELECT url, min(browser_id) AS profile FROM req WHERE request_id % 5 = 0 GROUP BY url HAVING count(DISTINCT browser_id) = 1")
+@query("agg_presence_exactly_one", "SELECT visit_id, url, min(browser_id) AS profile FROM req GROUP BY visit_id, url HAVING count(DISTINCT browser_id) = 1")
 def _(s, d):
-    g = view(s, d, "req").filter("request_id % 5 = 0").groupBy("url").agg(F.collect_set("browser_id").alias("p"))
-    return g.filter(F.size("p") == 1).select("url", F.col("p")[0].alias("profile"))
+    g = view(s, d, "req").groupBy("visit_id", "url").agg(F.collect_set("browser_id").alias("p"))
+    return g.filter(F.size("p") == 1).select("visit_id", "url", F.col("p")[0].alias("profile"))
 
 
 @query("agg_both_contexts", "SELECT name, count(*) FILTER (first_party_cookie) AS fp, count(*) FILTER (NOT first_party_cookie) AS tp FROM ck GROUP BY name HAVING fp > 0 AND tp > 0")

@@ -158,9 +158,9 @@ def _(s, d):
     return sample_strata(view(s, d, "ck"), "event_ordinal", "first_party_cookie")
 
 
-@query("sample_set_diff", "SELECT DISTINCT md5('42/' || name) AS h, name FROM ck WHERE name NOT IN (SELECT cookie_name FROM mem WHERE site_id = 1 AND cluster < 3) ORDER BY h LIMIT 25")
+@query("sample_set_diff", "SELECT DISTINCT md5('42/' || name) AS h, name FROM ck WHERE name NOT IN (SELECT cookie_name FROM mem WHERE cookie_name LIKE 'ck_1%') ORDER BY h LIMIT 25")
 def _(s, d):
-    taken = view(s, d, "mem").filter("site_id = 1 and cluster < 3").select(F.col("cookie_name").alias("name"))
+    taken = view(s, d, "mem").filter("cookie_name like 'ck_1%'").select(F.col("cookie_name").alias("name"))
     left = view(s, d, "ck").select("name").distinct().join(taken, "name", "left_anti")
     return left.select(hash_order(F.col("name"), 42).alias("h"), "name").orderBy("h").limit(25)
 
@@ -176,11 +176,11 @@ def _(s, d):
     return s.read.parquet(f"{d}/lineitem.parquet").sample(fraction=0.01, seed=42).select("l_orderkey", "l_linenumber")
 
 
-@query("set_union_all", "SELECT url AS x FROM req WHERE request_id < 100 UNION ALL SELECT response_url FROM res WHERE request_id < 100 UNION ALL SELECT script_url FROM js WHERE page_scoped_event_ordinal < 100 UNION ALL SELECT 'literal'")
+@query("set_union_all", "SELECT url AS x FROM req UNION ALL SELECT response_url FROM res UNION ALL SELECT script_url FROM js UNION ALL SELECT 'literal'")
 def _(s, d):
-    a = view(s, d, "req").filter("request_id < 100").select(F.col("url").alias("x"))
-    b = view(s, d, "res").filter("request_id < 100").select(F.col("response_url").alias("x"))
-    c = view(s, d, "js").filter("page_scoped_event_ordinal < 100").select(F.col("script_url").alias("x"))
+    a = view(s, d, "req").select(F.col("url").alias("x"))
+    b = view(s, d, "res").select(F.col("response_url").alias("x"))
+    c = view(s, d, "js").select(F.col("script_url").alias("x"))
     return a.unionByName(b).unionByName(c).unionByName(s.range(1).select(F.lit("literal").alias("x")))
 
 
@@ -226,13 +226,13 @@ def _(s, d):
     return p.filter("page_id % 2 = 0").select(name).intersect(p.filter("page_id % 2 = 1").select(name))
 
 
-@query("set_minus_processed", "SELECT DISTINCT url FROM req WHERE url NOT IN (SELECT response_url FROM res WHERE site_id < 100)")
+@query("set_minus_processed", "SELECT DISTINCT url FROM req WHERE url NOT IN (SELECT response_url FROM res WHERE content_hash IS NOT NULL)")
 def _(s, d):
-    done = view(s, d, "res").filter("site_id < 100").select(F.col("response_url").alias("url"))
+    done = view(s, d, "res").filter("content_hash is not null").select(F.col("response_url").alias("url"))
     return view(s, d, "req").select("url").distinct().join(done, "url", "left_anti")
 
 
-@query("arr_union_key_columns", "SELECT DISTINCT unnest(list_distinct(list_concat(a, b))) AS name FROM (SELECT list(name) FILTER (first_party_cookie) AS a, list(name) FILTER (NOT first_party_cookie) AS b FROM ck WHERE site_id < 20 GROUP BY browser_id) x")
+@query("arr_union_key_columns", "SELECT DISTINCT unnest(list_distinct(list_concat(a, b))) AS name FROM (SELECT list(name) FILTER (first_party_cookie) AS a, list(name) FILTER (NOT first_party_cookie) AS b FROM ck GROUP BY browser_id) x")
 def _(s, d):
-    g = view(s, d, "ck").filter("site_id < 20").groupBy("browser_id").agg(F.collect_set(F.when(F.col("first_party_cookie"), F.col("name"))).alias("a"), F.collect_set(F.when(~F.col("first_party_cookie"), F.col("name"))).alias("b"))
+    g = view(s, d, "ck").groupBy("browser_id").agg(F.collect_set(F.when(F.col("first_party_cookie"), F.col("name"))).alias("a"), F.collect_set(F.when(~F.col("first_party_cookie"), F.col("name"))).alias("b"))
     return g.select(F.explode(F.array_union("a", "b")).alias("name")).distinct()

@@ -50,7 +50,7 @@ FROM ck WHERE event_ordinal % 10 = 7""",
   l_orderkey % 40 AS site_id, concat(cast(l_orderkey % 40 AS string), '_', cast(l_linenumber AS string)) AS visit_id, l_returnflag AS profile,
   CASE WHEN l_quantity < 10 THEN NULL ELSE l_quantity > 30 END AS first_party_script,
   concat('https://s', cast(l_partkey % 90 AS string), CASE WHEN l_partkey % 4 = 0 THEN '.google.com' ELSE '.example.net' END, '/x.js') AS url, concat('ck_', cast(l_partkey % 40 AS string)) AS cookie_name
-FROM lineitem WHERE l_orderkey % 4 = 0""",
+FROM lineitem""",
     # labelled URLs
     "lab": "SELECT p.page_id, p.url, p.html, coalesce(l.toxic, p.page_id % 2) = 1 AS positive FROM pages p LEFT JOIN labels l ON l.doc_id = p.page_id",
     # URLs judged by three lists
