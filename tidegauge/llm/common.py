@@ -39,6 +39,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Keys that are broadcast at most; larger tables are joined by shuffle.
+BROADCAST_KEYS = 300_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_KEYS) -> DataFrame:
+    """Materialise a table of keys and mark it for broadcast if it has at most ``rows`` rows (counted)."""
+    held = cut(df)
+    return F.broadcast(held) if held.count() <= rows else held
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with underscores in front until no column of the frame has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_of(column: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

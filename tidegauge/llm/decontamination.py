@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import cut, query, table
+from tidegauge.llm.common import cut, fresh, query, table
+from tidegauge.llm.common import small as few
 
 WINDOW = 10
 BROADCAST_ROWS = 200_000
@@ -129,9 +130,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
 
     Equal texts fall alike, so documents are found again by a hash of the text and the number of words.
     """
-    bad = report(docs, items, key, text).filter("contaminated").select(F.col("mark").alias("_mark"), F.col("n_words").alias("_n")).distinct()
-    same = (F.xxhash64(F.col(text).cast("string")) == F.col("_mark")) & (F.size(words(F.col(text))) == F.col("_n"))
-    return docs.join(bad, same, "left_anti")
+    m, n = fresh(docs, "_mark", "_n")
+    bad = report(docs, items, key, text).filter("contaminated").select(F.col("mark").alias(m), F.col("n_words").alias(n)).distinct()
+    same = (F.xxhash64(F.col(text).cast("string")) == F.col(m)) & (F.size(words(F.col(text))) == F.col(n))
+    return docs.join(few(bad), same, "left_anti")
 
 
 SQL = f"""

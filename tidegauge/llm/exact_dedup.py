@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import query, rows_once, table, text_of
+from tidegauge.llm.common import cut, fresh, query, rows_once, small, table, text_of
 
 #: Distinct digests in a shard, about.
 SHARD_KEYS = 10_000
@@ -183,13 +183,21 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one row of each text: the winner by id, found again by its id and digest."""
-    _, found = decide(docs, key, text)
+    """The documents, all columns, with one row of each text.
+
+    Rows that lose are taken out by id and digest, so the texts are shuffled once, or not at all while the
+    losers are few. Repeated rows of a winner can't be told apart that way: only where there are any are the
+    rows that are left dealt out by id and digest to keep one.
+    """
+    rows, found = decide(docs, key, text)
+    judged = cut(rows.join(found, "digest").select("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("winner"), (F.col("_row") == F.col("keep_row")).alias("kept")))
+    i, h = fresh(docs, "_id", "_digest")
+    losers = small(judged.filter("not winner").select(F.col("doc_id").alias(i), F.col("digest").alias(h)).distinct())
     digest = F.unhex(F.sha2(text_of(text).cast("binary"), 256))
-    keep = found.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    d, k = docs.withColumn("_digest", digest).alias("d"), keep.alias("k")
-    mine = d.join(k, (F.col("d._digest") == F.col("k._digest")) & F.col(f"d.{key}").cast("long").eqNullSafe(F.col("k._keep")), "left_semi")
-    return mine.dropDuplicates([key, "_digest"]).select(*docs.columns)
+    left = docs.join(losers, F.col(key).cast("long").eqNullSafe(F.col(i)) & (digest == F.col(h)), "left_anti")
+    if judged.filter("winner and not kept").isEmpty():
+        return left
+    return left.withColumn(h, digest).dropDuplicates([key, h]).drop(h)
 
 
 SQL = """
