@@ -199,3 +199,15 @@ def test_lookahead_rules(spark, keys):
     assert not keys or re.search(rule[1:-1], url)
     if len(keys) > 1:
         assert not re.search(rule[1:-1], "http://h/p?" + f"{keys[0]}=1")
+
+
+def test_label_propagation(spark):
+    cliques = [(f"{g}{a}", f"{g}{b}", 5) for g in "xy" for a, b in combinations(range(4), 2)] + [("x0", "y0", 1)]
+    got = {r.node: r.community for r in graph.label_propagation(spark.createDataFrame(cliques, "a string, b string, weight long")).collect()}
+    assert len({got[f"x{i}"] for i in range(4)}) == 1 and len({got[f"y{i}"] for i in range(4)}) == 1 and got["x1"] != got["y1"]
+
+
+def test_minhash(spark):
+    df = spark.createDataFrame([(1, [f"t{i}" for i in range(100)]), (2, [f"t{i}" for i in range(50, 150)])], "k int, s array<string>")
+    a, b = (r.signature for r in simhash.minhash(df, "k", "s", 128).orderBy("k").collect())
+    assert abs(sum(x == y for x, y in zip(a, b, strict=True)) / 128 - 1 / 3) < 0.15
