@@ -118,3 +118,19 @@ def test_hot_group(spark):
         rows.append((i, " ".join(copy)))
     out = N.report(docs(spark, rows + [(9000 + i, rows[0][1]) for i in range(300)])).collect()
     assert {x.class_id for x in out} == {0} and sum(x.kept for x in out) == 1
+
+
+def test_repeated_lines(spark):
+    """A line that is repeated adds few shingles; the copies are near however often it stands there."""
+    r = random.Random(4)
+    rows = []
+    for k in (2, 3, 5, 10, 20, 50, 100, 200):
+        for _ in range(3):
+            body, line = (" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for n in (60, 20))
+            once, more = f"{body} {line}", f"{body} " + " ".join([line] * k)
+            assert N.jaccard([once], [more])[0] >= 0.94
+            x, y = (np.frombuffer(s, dtype=np.uint16) for s in N.fingerprint([once, more])[2])
+            assert (x == y).mean() > 0.8
+            rows += [(2 * len(rows), once), (2 * len(rows) + 1, more)]
+    out = check(spark, rows)
+    assert all(x.class_size == 2 and x.n_links == 1 for x in out)

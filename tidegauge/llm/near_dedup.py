@@ -1,12 +1,13 @@
 """Near-duplicate detection by ProbMinHash, banding and verification.
 
-Documents are weighted sets of shingles of ``SHINGLE`` words (weight 1 + ln of the count). Every shingle is
-a Poisson process whose rate is its weight: its arrivals come after exponential gaps and each falls into a
-random register; a register keeps its earliest arrival and the shingle it came from. A shingle stops once
-its next arrival is later than the latest register (Ertl, 2020), so most shingles stop after one or two. Two
-documents agree in a register with the probability Jaccard similarity of their weighted sets.
-
-Documents with equal weighted sets form a class and take part once. The registers are cut into ``BANDS``
+Documents are sets of shingles of ``SHINGLE`` words. Every shingle is a Poisson process whose rate is its
+weight: its arrivals come after exponential gaps and each falls into a random register; a register keeps its
+earliest arrival and the shingle it came from. A shingle stops once its next arrival is later than the latest
+register (Ertl, 2020), so most shingles stop after one or two. Two documents agree in a register with the
+probability Jaccard similarity of their weighted sets. All weights are 1 here, as links are defined by the
+plain sets: how often a text repeats a line neither makes nor loses a link.
+
+Documents with equal sets form a class and take part once. The registers are cut into ``BANDS``
 bands of ``ROWS``; at similarity 0.8 two classes share no band with probability 5e-8. In each bucket two
 leaders, the member that shares the largest buckets and one drawn anew, are compared with the other members:
 first by the registers, then exactly, by the Jaccard similarity of the shingle sets of the whole texts. The
@@ -37,8 +38,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-#: Register agreement below which a pair isn't read again: over four standard deviations under the similarity.
-FLOOR = 0.65
+#: Register agreement below which a pair isn't read again: over five standard deviations under the similarity.
+FLOOR = 0.6
 BLOCK = 256
 _PIECE = 1 << 20
 _U = np.uint64
@@ -163,13 +164,13 @@ def band_keys(held: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(texts: list[str | None]) -> tuple[list[bytes | None], list[list[int]], list[bytes]]:
-    """For each text: the digest of its weighted set (None without shingles), its band keys, 16 bits of each register."""
-    doc, shingle, counts = shingles(texts)
-    held = registers(doc, shingle, 1 + np.log(counts), len(texts))
+    """For each text: the digest of its set (None without shingles), its band keys, 16 bits of each register."""
+    doc, shingle, _ = shingles(texts)
+    held = registers(doc, shingle, np.ones(len(doc)), len(texts))
     ends = np.searchsorted(doc, np.arange(len(texts) + 1))
     sets: list[bytes | None] = []
     for a, b in zip(ends[:-1], ends[1:], strict=True):
-        sets.append(hashlib.blake2b(shingle[a:b].tobytes() + counts[a:b].tobytes(), digest_size=16).digest() if b > a else None)
+        sets.append(hashlib.blake2b(shingle[a:b].tobytes(), digest_size=16).digest() if b > a else None)
     return sets, band_keys(held).tolist(), [r.tobytes() for r in (held & _U(0xFFFF)).astype(np.uint16)]
 
 
