@@ -2,7 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
-from helpers import ODD, contamination, docs
+from helpers import ODD, contamination, docs, words
 
 from tidegauge.llm import decontamination as D
 
@@ -59,3 +59,40 @@ def test_proximity(spark):
     assert near[1] == 0 and set(near) >= {1} and all(g <= 1 for g in near.values())
     exact = {ids[r._row] for r in D.phrases(index, rare).collect()}
     assert exact == {1}
+
+
+def nearly(text, items, slack, size=10):
+    """{item id: least gap} by trying every start: all words of a window near their places, but for one in a full window."""
+    w, out = words(text), {}
+    for item, t in items:
+        v = words(t)
+        if item is None or not v:
+            continue
+        n = min(size, len(v))
+        for i in range(len(v) - n + 1):
+            for g in range(slack + 1):
+                for s in range(-n - g, len(w) + g + 1):
+                    if sum(v[i + k] in w[max(0, s + k - g) : max(0, s + k + g + 1)] for k in range(n)) >= n - (n >= size):
+                        out[str(item)] = min(g, out.get(str(item), g))
+    return out
+
+
+def test_near_copies(spark):
+    base = [f"p{i}" for i in range(30)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[1:4] + ["p9"])), (8, " ".join(base[::2])), (9, " ".join(base[::-1]))]
+    # every tenth word replaced by one that no item has, put in, left out
+    rows += [(3, " ".join("zz" if i % 10 == 5 else w for i, w in enumerate(base))), (4, " ".join(f"{w} zz" if i % 10 == 5 else w for i, w in enumerate(base)))]
+    rows += [(5, " ".join(w for i, w in enumerate(base) if i % 10 != 5)), (6, "p0 p29 p1 p28"), (7, " ".join(base[1:10]))]
+    items = [(1, rows[0][1]), (2, "p3 zero"), (3, "p9")]
+    # an item with a word that no document holds
+    items.append((4, " ".join(["unseen" if i == 4 else w for i, w in enumerate(base[12:22])])))
+    more, odd = sample(3)
+    more = [x for x in more if len(x[1] or "") < 1000][:50]
+    slack = 1
+    r = {x.doc_id: x for x in D.near(docs(spark, rows), spark.createDataFrame([(*i, 0) for i in items], ITEMS), slack).collect()}
+    assert all("1" in r[i].near_items for i in (1, 3, 4, 5, 7)) and "4" in r[1].near_items and r[9].near_items == ["3"]
+    for given, it in ((rows, items), (more, odd)):
+        out = D.near(docs(spark, given), spark.createDataFrame([(*i, 0) for i in it], ITEMS), slack).collect()
+        want = Counter((i, tuple(sorted(n := nearly(t, it, slack))), min(n.values(), default=None)) for i, t in given)
+        assert Counter((x.doc_id, tuple(x.near_items), x.near_gap) for x in out) == want
+        assert all(x.n_near == len(x.near_items) for x in out)

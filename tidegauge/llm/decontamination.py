@@ -5,8 +5,10 @@ document, position) with the words around it. Only test terms can take part, and
 rarest of each window are needed to find it, so a first pass counts how often every test term occurs in the
 corpus (windows with a term that never occurs are dropped), and a second stores the postings of the rarest.
 A phrase is found by intersecting the lists of its rarest terms, each shifted by its offset in the window,
-and is exact when the words stored around the rarest one equal it. Proximity matches take the same lists
-with some slack between the shifted positions.
+and is exact when the words stored around the rarest one equal it. Proximity matches (:func:`near`) start from
+either of the rarest two terms and are tested over all words of the window: each stands within ``slack`` words
+of its place, all but one in a window of ``WINDOW`` words. So a word that was put in, left out or replaced
+doesn't hide a passage, even where the replaced word occurs in no document.
 
 Every document also gets one posting of an end mark at its number of words, so that one pass over the texts
 gives postings and documents alike. The index is a checkpoint in the shared folder. Nothing runs Python.
@@ -53,18 +55,26 @@ def windows(items: DataFrame, key: str = "item_id", text: str = "text", size: in
     return cuts.select("item_id", F.array_join("w", " ").alias("window"), F.size("w").alias("len")).distinct()
 
 
-def anchors(docs: DataFrame, wins: DataFrame, text: str = "text") -> DataFrame:
-    """(window, len, a1, o1, a2, o2): the rarest two terms of each window that can occur, and their offsets."""
+def anchors(docs: DataFrame, wins: DataFrame, text: str = "text", missing: int = 0) -> DataFrame:
+    """(window, len, a1, o1, a2, o2): the rarest two terms of each window that can occur, and their offsets.
+
+    With ``missing`` = 1 a window of ``WINDOW`` words or more may have one word that never occurs.
+    """
     terms = wins.select("window", "len").distinct().select("window", "len", F.posexplode(F.split("window", " ")).alias("off", "term"))
     vocabulary = cut(terms.select("term").distinct())
     tokens = docs.select(F.explode(words(F.col(text))).alias("term"))
     counts = tokens.join(small(vocabulary, vocabulary.count()), "term").groupBy("term").agg(F.count("*").alias("n"))
     rarest = F.sort_array(F.collect_list(F.struct("n", "off", "term"))).alias("r")  # at most WINDOW entries
-    found = terms.join(counts, "term").groupBy("window", "len").agg(rarest).filter(F.size("r") == F.col("len"))
+    found = terms.join(counts, "term").groupBy("window", "len").agg(rarest).filter(F.size("r") >= F.col("len") - _missing(missing))
     first, second = F.col("r")[0], F.get("r", F.lit(1))
     return cut(found.select("window", "len", first["term"].alias("a1"), first["off"].alias("o1"), second["term"].alias("a2"), second["off"].alias("o2")))
 
 
+def _missing(most: int) -> Column:
+    """How many words of a window needn't be found: none of one shorter than ``WINDOW``."""
+    return F.when(F.col("len") >= WINDOW, F.lit(most)).otherwise(F.lit(0))
+
+
 def index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """Postings (_row, doc_id, mark, term, pos, around, lead) of the given terms and of each document's end mark.
 
@@ -78,19 +88,15 @@ def index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "t
     return cut(each.select("_row", "doc_id", "mark", "term", "pos", around.alias("around"), lead.alias("lead")))
 
 
-def candidates(postings: DataFrame, rare: DataFrame, slack: int = 0) -> DataFrame:
-    """Intersect the offset-adjusted lists of the rarest two terms: (_row, window, len, start, around, from_word, gap)."""
+def candidates(postings: DataFrame, rare: DataFrame) -> DataFrame:
+    """Intersect the offset-adjusted lists of the rarest two terms: (_row, window, len, start, around, from_word)."""
     rare = small(rare, rare.count())
     a = postings.filter(F.col("term") != END).join(rare, F.col("term") == F.col("a1")).withColumn("start", F.col("pos") - F.col("o1"))
-    one = a.filter("len = 1").withColumn("gap", F.lit(0))
+    one = a.filter("len = 1")
     b = postings.filter(F.col("term") != END).select(F.col("_row").alias("r2"), F.col("term").alias("t2"), F.col("pos").alias("p2"))
     same = (F.col("_row") == F.col("r2")) & (F.col("a2") == F.col("t2"))
-    at = F.col("start") + F.col("o2")
-    if slack:
-        two = a.filter("len > 1").join(b, same & F.col("p2").between(at - slack, at + slack)).withColumn("gap", F.abs(F.col("p2") - at))
-    else:
-        two = a.filter("len > 1 and start >= 0").join(b, same & (F.col("p2") == at)).withColumn("gap", F.lit(0))
-    cols = ["_row", "window", "len", "start", "around", (F.col("lead") - F.col("o1")).alias("from_word"), "gap"]
+    two = a.filter("len > 1 and start >= 0").join(b, same & (F.col("p2") == F.col("start") + F.col("o2")))
+    cols = ["_row", "window", "len", "start", "around", (F.col("lead") - F.col("o1")).alias("from_word")]
     return two.select(*cols).unionByName(one.select(*cols))
 
 
@@ -100,13 +106,47 @@ def phrases(postings: DataFrame, rare: DataFrame) -> DataFrame:
     return candidates(postings, rare).filter("from_word >= 0").filter(here == F.col("window")).select("_row", "window", "len", "start")
 
 
-def proximity(postings: DataFrame, rare: DataFrame, slack: int) -> DataFrame:
-    """Matches (_row, window, gap) where the two rarest terms stand within ``slack`` words of their places; gap is the least."""
-    return candidates(postings, rare, slack).groupBy("_row", "window").agg(F.min("gap").alias("gap"))
+def proximity(postings: DataFrame, rare: DataFrame, slack: int, missing: int = 1) -> DataFrame:
+    """Matches (_row, window, gap) where the words of a window stand within ``slack`` words of their places.
+
+    A window of ``WINDOW`` words or more may lack ``missing`` (0 or 1) of them, so one of its rarest two terms is always
+    there to start from. ``gap`` is the least slack that is enough. The postings need ``size`` + 2 ``slack`` words around.
+    """
+    both = F.array(F.struct(F.col("a1").alias("a"), F.col("o1").alias("o")), F.struct(F.col("a2").alias("a"), F.col("o2").alias("o")))
+    starts = rare.select("window", "len", F.inline(both)).filter("a is not null")
+    held = postings.filter(F.col("term") != END).join(small(starts, starts.count()), F.col("term") == F.col("a"))
+    held = held.select("_row", "window", "len", F.split("window", " ").alias("w"), F.split("around", " ").alias("near"), (F.col("lead") - F.col("o")).alias("first"))
+    least = F.col("len") - _missing(missing)
+
+    def found(g: int, d: int) -> Column:
+        """Whether enough words stand within g words of their places, for a window that starts d words before ``first``."""
+
+        def there(k: Column) -> Column:
+            low = F.col("first") - d + k - g
+            return F.array_contains(F.slice("near", F.greatest(low, F.lit(0)) + 1, F.greatest(F.least(low, F.lit(0)) + 2 * g + 1, F.lit(0))), F.get("w", k))
+
+        return F.size(F.filter(F.sequence(F.lit(0), F.col("len") - 1), there)) >= least
+
+    common = F.size(F.array_intersect("near", "w")) >= F.size(F.array_distinct("w")) - _missing(missing)
+    gap = F.coalesce(*(F.when(found(g, d), F.lit(g)) for g in range(slack + 1) for d in range(-g, g + 1)))
+    return held.filter(common).withColumn("gap", gap).filter("gap is not null").groupBy("_row", "window").agg(F.min("gap").alias("gap"))
+
+
+def near(docs: DataFrame, items: DataFrame, slack: int = 1, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
+    """doc_id, n_near, near_items and near_gap (the least, null without a match) of every document: the items with a window that it holds exactly or nearly."""
+    wins = cut(windows(items, size=size))
+    rare = anchors(docs, wins, text, missing=1)
+    terms = rare.select(F.col("a1").alias("term")).union(rare.filter("a2 is not null").select("a2"))
+    postings = index(docs, terms, key, text, size + 2 * slack)
+    names = wins.groupBy("window").agg(F.collect_set("item_id").alias("ids"))
+    listed = proximity(postings, rare, slack).join(small(names, wins.count()), "window").groupBy("_row")
+    per = listed.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("near_items"), F.min("gap").alias("near_gap"))
+    out = postings.filter(F.col("term") == END).select("_row", "doc_id").join(per, "_row", "left").withColumn("near_items", F.coalesce("near_items", F.array().cast("array<string>")))
+    return out.select("doc_id", F.size("near_items").cast("long").alias("n_near"), "near_items", "near_gap")
 
 
 def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and mark of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and mark of every document, by exact matches."""
     wins = cut(windows(items, size=size))
     rare = anchors(docs, wins, text)
     terms = rare.select(F.col("a1").alias("term")).union(rare.filter("a2 is not null").select("a2"))
@@ -154,3 +194,8 @@ FROM t LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 @query("op6_decontamination", SQL)
 def op6(spark, sf_dir):
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "mark")
+
+
+@query("op6_proximity")
+def op6_near(spark, sf_dir):
+    return near(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
