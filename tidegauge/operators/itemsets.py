@@ -174,6 +174,15 @@ def _(s, d):
     return fp_growth(view(s, d, "bk"), "cluster_id", "cookie", 0.02, 2)
 
 
+# The queries named _deep are the same at the reference's depth; SQL would have to spell out every level.
+DEEP = 3
+
+
+@query("fp_growth_deep")
+def _(s, d):
+    return fp_growth(view(s, d, "bk"), "cluster_id", "cookie", 0.02, DEEP)
+
+
 def _classes(s, d):
     b = view(s, d, "bk").join(table(s, d, "orders").select(F.col("o_orderkey").alias("cluster_id"), "o_orderstatus"), "cluster_id")
     return b.filter("o_orderstatus = 'F'").drop("o_orderstatus"), b.filter("o_orderstatus <> 'F'").drop("o_orderstatus")
@@ -208,9 +217,19 @@ def _(s, d):
     return _contrast(s, d).select(F.substring("itemset", 5, 100).alias("cookie"), F.round("p_value", 6).alias("p"))
 
 
-def _contrast(s, d):
+def _contrast(s, d, max_len=1):
     pos, neg = _classes(s, d)
-    return contrast(pos, neg, "cluster_id", "cookie", 0.0001, 1)
+    return contrast(pos, neg, "cluster_id", "cookie", 0.0001, max_len)
+
+
+@query("fp_contrast_table_deep")
+def _(s, d):
+    return _contrast(s, d, DEEP)
+
+
+@query("fp_significant_count_deep")
+def _(s, d):
+    return _contrast(s, d, DEEP).filter((F.col("p_value") < 0.05) & (F.abs("log2_lift") > 0.05)).groupBy("length").agg(F.count("*").alias("n"))
 
 
 @query("fp_contrast_table", f"WITH {_CLASS}, k AS (SELECT cookie, count(*) FILTER (p) AS a, count(*) FILTER (NOT p) AS b FROM c GROUP BY cookie) SELECT 'has_' || cookie AS itemset, 1::BIGINT AS length, a AS count_pos, b AS count_neg, round(log2((a / np + 1e-6) / (b / nn + 1e-6)), 6) AS log2_lift FROM k, t")
