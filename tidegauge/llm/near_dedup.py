@@ -350,7 +350,7 @@ def links(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY, flo
 
 
 def report(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, class_id (the smallest id that it is linked to, directly or not), class_size, n_links (links of its text to different ones), kept, and the text's mark."""
+    """One row for each document: doc_id, class_id (the smallest id that it is linked to, directly or not), class_size, n_links (verified links of its set to others among the pairs that were compared, not all pairs of the group), kept, and the text's mark."""
     found = cut(classes(docs, key, text))
     sure, roots = links(docs, found, similarity, text=text)
     degree = sure.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
