@@ -165,7 +165,7 @@ def _(s, d):
 
 @query("gr_hits")
 def _(s, d):
-    return hits(_edges(s, d), "s", "p", rounds=60, tolerance=1e-5).select("side", "node", F.round("score", 6).alias("score"))
+    return hits(_edges(s, d), "s", "p").select("side", "node", F.round("score", 6).alias("score"))
 
 
 @query("gr_louvain")
@@ -176,4 +176,4 @@ def _(s, d):
 @query("gr_betweenness_sampled")
 def _(s, d):
     e = view(s, d, "mem").select("cluster", "cookie_name").distinct()
-    return s.createDataFrame(betweenness(e, "cluster", "cookie_name", k=60), "node string, score double")
+    return s.createDataFrame(betweenness(e, "cluster", "cookie_name"), "node string, score double")

@@ -271,7 +271,7 @@ def _(s, d):
 
 @query("mh_signature")
 def _(s, d):
-    return minhash(_tokens(s, d), "doc_id", "s", 16)
+    return minhash(_tokens(s, d), "doc_id", "s")
 
 
 @query("db_dbscan")
