@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.operators.overview import r6
-from tidegauge.operators.simhash import components
 from tidegauge.plans.checkpoints import cut
+from tidegauge.plans.skew import components
 from tidegauge.plans.views import select, view
 from tidegauge.registry import query
 

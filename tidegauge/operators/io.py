@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from tidegauge.operators.joins import domain_variants
 from tidegauge.operators.overview import count_by
+from tidegauge.plans.checkpoints import shared_folder
 from tidegauge.plans.views import view
 from tidegauge.registry import query, table
 from tidegauge.sources import readers as R
@@ -17,8 +17,7 @@ from tidegauge.sources import writers as W
 
 def folder(spark) -> str:
     """A fresh folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="io")
-    return f"{root.rstrip('/')}/io-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/io-{uuid.uuid4().hex}"
 
 
 _CUSTOMER = "SELECT c_custkey, c_name, c_mktsegment FROM customer"

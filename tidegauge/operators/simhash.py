@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +10,7 @@ from pyspark.sql.types import LongType
 
 from tidegauge.functions import text as T
 from tidegauge.plans.checkpoints import cut
+from tidegauge.plans.skew import components
 from tidegauge.plans.views import view
 from tidegauge.registry import query, table
 
@@ -90,27 +89,6 @@ def near_pairs(hashes: DataFrame, key: str, k: int) -> DataFrame:
     return found.filter(F.col("distance") <= k)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): the smallest node it is joined to, by large and small stars in turn."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
-    while True:
-        both = e.select(_both(("u", "v"), ("v", "u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(large.join(low, "u").select(_both(("v", "m"), ("u", "m"))).filter("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select(_both(("u", "v"), ("v", "v"))).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-        before = now
-
-
-def _both(*pairs: tuple[str, str]) -> Column:
-    """Several (u, v) rows from the columns of one."""
-    return F.inline(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs)))
-
-
 def clusters(hashes: DataFrame, key: str, k: int) -> DataFrame:
     """(key, cluster): transitive clusters of near hashes, named by their smallest key; singletons too."""
     roots = components(near_pairs(hashes, key, k).select(F.col("ha").alias("a"), F.col("hb").alias("b"))).withColumnRenamed("node", "simhash")

@@ -4,12 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Only a local master, whose executors share the driver's disk, gets a temporary folder where it is unset."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="ckpt")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder (``spark.checkpoint.dir``; a temporary one only where it is unset)."""
+    """Materialise in the shared checkpoint folder and cut the lineage, so that lost executors cost a re-read only."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
