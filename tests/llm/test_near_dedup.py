@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from helpers import ODD, docs, near_groups, shingles
 
 from tidegauge.llm import near_dedup as N
@@ -31,7 +32,7 @@ def texts(n=60, seed=1):
 
 def test_estimates_match_jaccard():
     t = texts(40)
-    sets, _, sigs = N.fingerprint(t)
+    sets, sigs = N.fingerprint(t)
     x = [np.frombuffer(s, dtype=np.uint16) for s in sigs]
     err = []
     for i in range(0, 200, 5):
@@ -49,6 +50,29 @@ def test_weighted_registers():
     assert abs(held.mean() - 0.75) < 0.02
 
 
+def counted(text, k=5):
+    w = text.split()
+    return {s: 1 + np.log(c) for s, c in Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))).items()}
+
+
+def probability_jaccard(u, v):
+    return sum(1 / sum(max(u.get(j, 0) / u[i], v.get(j, 0) / v[i]) for j in u.keys() | v.keys()) for i in u.keys() & v.keys())
+
+
+def test_weighted_similarity():
+    """With weights the registers estimate the probability Jaccard similarity, and the same is verified."""
+    r = random.Random(8)
+    err = []
+    for _ in range(60):
+        body, line = (" ".join(r.choices([f"w{i}" for i in range(500)], k=n)) for n in (60, 12))
+        a, b = f"{body} {line}", " ".join([body[: r.randint(100, 200)], *[line] * r.randint(1, 20)])
+        true = probability_jaccard(counted(a), counted(b))
+        assert abs(N.jaccard([a], [b], weighted=True)[0] - true) < 1e-9
+        x, y = (np.frombuffer(s, dtype=np.uint16) for s in N.fingerprint([a, b], weighted=True)[1])
+        err.append((x == y).mean() - true)
+    assert abs(np.mean(err)) < 0.02 and np.std(err) < 0.06
+
+
 def check(spark, rows):
     out = N.report(docs(spark, rows)).collect()
     assert len(out) == len(rows)
@@ -82,28 +106,57 @@ def test_edge_cases(spark):
     assert N.dedup(df).columns == df.columns and N.dedup(df.limit(0)).count() == 0
 
 
-def test_blocks_find_every_link(spark):
-    """Without any star, the blocks alone find the links of all pairs."""
-    rows = [(i, t) for i, t in enumerate(texts(30, 5))]
+def near_pairs(rows, similarity=0.8):
+    own = [shingles(t) for _, t in rows]
+    return {(i, j) for i, a in enumerate(own) for j, b in enumerate(own[:i]) if len(a & b) >= similarity * len(a | b) and a != b}
+
+
+@pytest.mark.parametrize("block", [N.BLOCK, 3])
+def test_leftover_finds_every_link(spark, block):
+    """Without any star, the comparisons of what is left over find the links of all pairs, in buckets or by the rarest shingles."""
+    r = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, t) for i, t in enumerate([*texts(30, 5), *(" ".join(r.choices([f"u{i}" for i in range(3000)], k=40)) + " " + passage for _ in range(60))])]
     df = docs(spark, rows)
     found = N.cut(N.classes(df))
-    F = N.F
-    reps = N.cut(found.groupBy("set").agg(F.min("mark").alias("mark"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    members = reps.select("set", F.posexplode("bands").alias("band", "bucket"))
-    shared = N.cut(members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket"))
+    reps = N.representatives(found)
     none = spark.createDataFrame([], "node binary, root binary")
-    sizes = {r.bucket: r.n for r in shared.select("bucket", "n").distinct().collect()}
-    got = {(bytes(r.a), bytes(r.b)) for r in N._leftover(shared, reps, none, df, 0.8, N.FLOOR, "text").collect()}
-    text_of = {bytes(r.set): rows[r.doc_id][1] for r in found.collect()}
-    keys = sorted(text_of)
-    want = {(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if len(shingles(text_of[a]) & shingles(text_of[b])) >= 0.8 * len(shingles(text_of[a]) | shingles(text_of[b]))}
-    in_pairs_only = {p for p in want - got}
-    # buckets of two are left to the stars, which compare both members
-    two = {b for b, n in sizes.items() if n == 2}
-    for a, b in in_pairs_only:
-        own = [{r.bucket for r in shared.filter(F.col("set") == bytearray(x)).collect()} for x in (a, b)]
-        assert own[0] & own[1] and (own[0] & own[1]) & two
-    assert got <= want and got
+    got = {(bytes(x.a), bytes(x.b)) for x in N._leftover(N.buckets(reps), reps, none, df, 0.8, "text", block=block).collect()}
+    of = {x.doc_id: bytes(x.set) for x in found.collect()}
+    want = {tuple(sorted((of[rows[i][0]], of[rows[j][0]]))) for i, j in near_pairs(rows)}
+    assert got == want and len(want) > 50
+
+
+def test_near_clique(spark):
+    """All of a group of mutually near texts and of a chain are one class, whatever leaders are drawn."""
+    r = random.Random(10)
+    base = [f"c{i}" for i in range(200)]
+    rows = [(i, " ".join(f"x{i}" if k == r.randrange(200) else w for k, w in enumerate(base))) for i in range(120)]
+    check(spark, rows)
+
+
+def test_shared_passages(spark):
+    """Texts with one passage in common are no near copies; the near copies among them are found."""
+    r = random.Random(11)
+    passage = " ".join(f"p{i}" for i in range(80))
+    own = lambda n: " ".join(f"u{r.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for i in range(700):
+        t = f"{own(40)} {passage}"
+        rows.append((2 * i, t))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, t + " more"))
+    out = check(spark, rows)
+    assert sum(x.class_size == 2 for x in out) == 140
+
+
+def test_dedup_keeps_one_of_repeated_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, long), (5, long), (5, long), (9, long + " x"), (9, long + " x"), (7, "!!!"), (7, "!!!"), (8, "alone here"), (8, "alone here"), (None, "null id"), (None, "null id")]
+    df = docs(spark, rows)
+    out = N.dedup(df)
+    assert out.columns == df.columns
+    assert Counter((x.doc_id, x.text) for x in out.collect()) == Counter({(5, long): 1, (7, "!!!"): 2, (8, "alone here"): 1, (None, "null id"): 1})
 
 
 def test_hot_group(spark):
@@ -129,8 +182,8 @@ def test_repeated_lines(spark):
             body, line = (" ".join(f"w{r.randrange(10**6)}" for _ in range(n)) for n in (60, 20))
             once, more = f"{body} {line}", f"{body} " + " ".join([line] * k)
             assert N.jaccard([once], [more])[0] >= 0.94
-            x, y = (np.frombuffer(s, dtype=np.uint16) for s in N.fingerprint([once, more])[2])
+            x, y = (np.frombuffer(s, dtype=np.uint16) for s in N.fingerprint([once, more])[1])
             assert (x == y).mean() > 0.8
             rows += [(2 * len(rows), once), (2 * len(rows) + 1, more)]
     out = check(spark, rows)
-    assert all(x.class_size == 2 and x.n_links == 1 for x in out)
+    assert all(x.class_size == 2 for x in out)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,8 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.plans.checkpoints import cut
+from tidegauge.registry import table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES", "chunks", "cut", "folds", "fresh", "query", "rows_once", "slices", "small", "table", "text_of"]
 
 
 def query(name: str, sql: str | None = None):
@@ -27,18 +30,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage, so that lost executors cost a re-read only."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint()
-
-
 #: Keys that are broadcast at most; larger tables are joined by shuffle.
 BROADCAST_KEYS = 300_000
 
@@ -70,11 +61,6 @@ def folds(n: int, left_out: int, key: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n)) == left_out, F.lit(False))
 
 
-def fit_sample(df: DataFrame, columns: list[str], most: int, key: str = "doc_id") -> list:
-    """At most ``most`` rows by the order of a hash of the key: a bounded, repeatable sample for fitting a model."""
-    return df.select(*columns).orderBy(F.xxhash64(key), key).limit(most).collect()
-
-
 def rows_once(df: DataFrame) -> DataFrame:
     """Add ``_row``, a unique row number, and fix it by a checkpoint (repeated rows and null keys stay apart)."""
     return cut(df.withColumn("_row", F.monotonically_increasing_id()))

@@ -4,21 +4,24 @@ Documents are sets of shingles of ``SHINGLE`` words. Every shingle is a Poisson
 weight: its arrivals come after exponential gaps and each falls into a random register; a register keeps its
 earliest arrival and the shingle it came from. A shingle stops once its next arrival is later than the latest
 register (Ertl, 2020), so most shingles stop after one or two. Two documents agree in a register with the
-probability Jaccard similarity of their weighted sets. All weights are 1 here, as links are defined by the
-plain sets: how often a text repeats a line neither makes nor loses a link.
-
-Documents with equal sets form a class and take part once. The registers are cut into ``BANDS``
-bands of ``ROWS``; at similarity 0.8 two classes share no band with probability 5e-8. In each bucket two
-leaders, the member that shares the largest buckets and one drawn anew, are compared with the other members:
-first by the registers, then exactly, by the Jaccard similarity of the shingle sets of the whole texts. The
-links' connected components are the groups. What stars can miss, two members of a bucket in different
-components, is then compared in blocks of bounded size (:func:`_leftover`), from which only links come out.
-So no group is ever gathered whole, no bucket is capped, and a group of n near copies costs about n links.
+probability Jaccard similarity of their weighted sets, and it is that similarity that is verified exactly
+afterwards. By default all weights are 1, which makes it the plain Jaccard similarity of the sets: how often a
+text repeats a line neither makes nor loses a link. With ``weighted`` a shingle weighs 1 + ln(count).
+
+Documents with equal (weighted) sets form a class and take part once. A register is kept in 16 bits; ``BANDS``
+bands of ``ROWS`` registers are the keys of the buckets as they stand, so buckets and registers never disagree.
+At similarity 0.8 two classes share no band with probability 5e-8. In each bucket two leaders, the member that
+shares the largest buckets and one drawn anew, are compared with the other members: first by the registers,
+then exactly, from the whole texts. The links' connected components are the groups. What stars can miss, two
+members of a bucket in different components, is then compared (:func:`_leftover`): in the bucket itself where
+few members are left over, else among the texts that share one of their rarest shingles, which no two texts of
+the similarity can avoid. Only links come out, so no group is ever gathered whole, no bucket is capped, and a
+group of n near copies costs about n links. Joins on leaders, buckets and roots deal hot keys out.
 
 Edge cases: null, empty and wordless texts have no shingles and stay alone; a text of fewer words than a
 shingle is one shingle; equal texts, repeated rows among them, are one class; ties go to the smaller id; an
-empty table gives no rows; other columns are ignored by :func:`report` and carried by :func:`dedup`. ``kept`` is
-true for repeated rows of the winner alike.
+empty table gives no rows; other columns are ignored by :func:`report` and carried by :func:`dedup`. Repeated
+rows of the winner (same id and text) are all ``kept`` in the report; :func:`dedup` returns one of them.
 """
 
 from __future__ import annotations
@@ -27,20 +30,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import cut, fresh, query, slices, small, table
+from tidegauge.plans.skew import components, skew_join
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-#: Register agreement below which a pair isn't read again: over five standard deviations under the similarity.
-FLOOR = 0.6
+#: A pair is read again when its registers agree in the similarity less this share: over five standard deviations.
+MARGIN = 0.2
 BLOCK = 256
+#: Counters of the sketch by which shingles are ordered; any order finds every pair, so its size is no matter of results.
+SKETCH = 1 << 20
 _PIECE = 1 << 20
 _U = np.uint64
 _GOLD, _P = _U(0x9E3779B97F4A7C15), 0x100000001B3 * 2 + 1
@@ -153,74 +158,87 @@ def registers(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
     return held.reshape(n, m)
 
 
-def band_keys(held: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band (n x BANDS); the number of the band is part of it."""
-    with np.errstate(over="ignore"):
-        x = held.reshape(len(held), BANDS, ROWS)
-        total = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * _GOLD
-        for k in range(ROWS):
-            total = _mix(total + x[:, :, k] * _COEFFICIENTS[k])
-    return total.view(np.int64)
+def _weights(counts: np.ndarray, weighted: bool) -> np.ndarray:
+    return 1 + np.log(counts) if weighted else np.ones(len(counts))
 
 
-def fingerprint(texts: list[str | None]) -> tuple[list[bytes | None], list[list[int]], list[bytes]]:
-    """For each text: the digest of its set (None without shingles), its band keys, 16 bits of each register."""
-    doc, shingle, _ = shingles(texts)
-    held = registers(doc, shingle, np.ones(len(doc)), len(texts))
+def fingerprint(texts: list[str | None], weighted: bool = False) -> tuple[list[bytes | None], list[bytes]]:
+    """For each text: the digest of its (weighted) set, None without shingles, and 16 bits of each register."""
+    doc, shingle, counts = shingles(texts)
+    held = registers(doc, shingle, _weights(counts, weighted), len(texts))
     ends = np.searchsorted(doc, np.arange(len(texts) + 1))
     sets: list[bytes | None] = []
     for a, b in zip(ends[:-1], ends[1:], strict=True):
-        sets.append(hashlib.blake2b(shingle[a:b].tobytes(), digest_size=16).digest() if b > a else None)
-    return sets, band_keys(held).tolist(), [r.tobytes() for r in (held & _U(0xFFFF)).astype(np.uint16)]
+        own = shingle[a:b].tobytes() + (counts[a:b].tobytes() if weighted else b"")
+        sets.append(hashlib.blake2b(own, digest_size=16).digest() if b > a else None)
+    return sets, [r.tobytes() for r in (held & _U(0xFFFF)).astype(np.uint16)]
 
 
-def jaccard(left: list[str | None], right: list[str | None]) -> np.ndarray:
-    """Jaccard similarity of the shingle sets of each two texts."""
-    texts = list(dict.fromkeys([*left, *right]))
-    doc, shingle, _ = shingles(texts)
-    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
-    own = {t: shingle[a:b] for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)}
-    out = np.zeros(len(left))
-    for i, (a, b) in enumerate(zip(left, right, strict=True)):
-        x, y = own[a], own[b]
+def _likeness(x: np.ndarray, y: np.ndarray, m: np.ndarray | None = None, n: np.ndarray | None = None) -> float:
+    """Jaccard similarity of two sorted sets of shingles, or the probability Jaccard similarity with weights m and n."""
+    if m is None:
         both = np.concatenate((x, y))
         both.sort()
         common = int((both[1:] == both[:-1]).sum())
-        out[i] = common / max(1, len(x) + len(y) - common)
-    return out
+        return common / max(1, len(both) - common)
+    each = np.union1d(x, y)
+    u, v = np.zeros(len(each)), np.zeros(len(each))
+    u[np.searchsorted(each, x)], v[np.searchsorted(each, y)] = m, n
+    # sum over shared i of 1 / sum over j of max(u_j / u_i, v_j / v_i): which one is larger depends on v / u alone
+    with np.errstate(divide="ignore"):
+        order = np.argsort(v / u)
+    u, v = u[order], v[order]
+    before, after = np.cumsum(u) - u, np.cumsum(v[::-1])[::-1]
+    shared = (u > 0) & (v > 0)
+    return float((1 / (before[shared] / u[shared] + after[shared] / v[shared])).sum())
+
+
+def _sets(texts: list[str | None], weighted: bool) -> list[tuple]:
+    """The arguments of :func:`_likeness` that each text brings."""
+    doc, shingle, counts = shingles(texts)
+    ends = np.searchsorted(doc, np.arange(len(texts) + 1))
+    weight = _weights(counts, weighted)
+    return [(shingle[a:b], weight[a:b] if weighted else None) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
 
+def jaccard(left: list[str | None], right: list[str | None], weighted: bool = False) -> np.ndarray:
+    """Similarity of the shingle sets of each two texts."""
+    texts = list(dict.fromkeys([*left, *right]))
+    own = dict(zip(texts, _sets(texts, weighted), strict=True))
+    return np.array([_likeness(own[a][0], own[b][0], own[a][1], own[b][1]) for a, b in zip(left, right, strict=True)])
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mark, set, bands, sig) of every document; ``mark`` is the MD5 of the text."""
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
+    """(doc_id, mark, set, sig) of every document; ``mark`` is the MD5 of the text."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for b in slices(whole, 2):
-                sets, bands, sigs = fingerprint(b.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "mark", "set", "bands", "sig"])
+                sets, sigs = fingerprint(b.column(2).to_pylist(), weighted)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "mark", "set", "sig"])
 
     t = F.col(text).cast("string")
     three = docs.select(F.col(key).cast("long").alias("doc_id"), _mark(t).alias("mark"), t.alias("text"))
-    return three.mapInArrow(batches, "doc_id long, mark binary, set binary, bands array<bigint>, sig binary")
+    return three.mapInArrow(batches, "doc_id long, mark binary, set binary, sig binary")
 
 
 def _mark(text: F.Column) -> F.Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _agree(pairs: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
-    """The pairs (a, b) whose registers agree in at least the floor."""
+def _agree(pairs: DataFrame, reps: DataFrame, floor: float, n: int) -> DataFrame:
+    """The pairs (leader, set) whose registers agree in at least the floor; ``n`` bounds the pairs."""
     sig = reps.select("set", "sig")
-    both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
+    both = skew_join(pairs.join(sig.withColumnRenamed("sig", "own"), "set"), sig.toDF("leader", "lead"), ["leader"], n)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in (2, 3))
                 near = (x == y).mean(axis=1) >= floor
-                yield b.filter(pa.array(near)).select(["a", "b"])
+                yield b.filter(pa.array(near)).select(["leader", "set"])
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(batches, "a binary, b binary")
+    return both.select("leader", "set", "own", "lead").mapInArrow(batches, "leader binary, set binary")
 
 
 def _texts(sets: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -230,154 +248,226 @@ def _texts(sets: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> Data
     return docs.select(_mark(t).alias("mark"), t.alias("text")).join(keys, "mark").groupBy("set").agg(F.first("text").alias("text"))
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, text: str = "text") -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the similarity, from the whole texts of their classes."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("set")), reps, docs, text)
-    both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b").select("a", "b", "left", "right")
+def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, text: str = "text", weighted: bool = False) -> DataFrame:
+    """The links (a, b) among the pairs (leader, set): those whose shingle sets have the similarity, from the whole texts of their classes."""
+    texts = _texts(pairs.select(F.explode(F.array("leader", "set")).alias("set")), reps, docs, text)
+    both = skew_join(pairs.join(texts.withColumnRenamed("text", "own"), "set"), texts.toDF("leader", "lead"), ["leader"], pairs.count())
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for b in slices(whole, 2, rows=128):
-                near = jaccard(b.column(2).to_pylist(), b.column(3).to_pylist()) >= similarity - 1e-12
-                yield b.filter(pa.array(near)).select(["a", "b"])
+                near = jaccard(b.column(2).to_pylist(), b.column(3).to_pylist(), weighted) >= similarity - 1e-12
+                yield b.filter(pa.array(near)).select(["leader", "set"])
+
+    found = both.select("leader", "set", "own", "lead").mapInArrow(batches, "leader binary, set binary")
+    return cut(found.select(F.least("leader", "set").alias("a"), F.greatest("leader", "set").alias("b")).distinct())
+
+
+_GROUP = ["band", "bucket", "i", "j"]
+
+
+def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each group from batches that are sorted by ``_GROUP``; a group may span batches."""
+    held: pa.Table | None = None
+    for b in it:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        keys = list(zip(*(t.column(c).to_pylist() for c in _GROUP), strict=True))
+        first = 0
+        for k in range(1, len(keys)):
+            if keys[k] != keys[k - 1]:
+                yield t.slice(first, k - first)
+                first = k
+        held = t.slice(first) if keys else None
+    if held is not None:
+        yield held
+
+
+def _plausible(t: pa.Table, floor: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of block j with the members of block i that it may be linked to, in other components; where the group is a bucket, in the first band only that they share."""
+    i, j, band = (t.column(c)[0].as_py() for c in ("i", "j", "band"))
+    own = t.column("own").to_numpy()
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+    root = np.unique(np.array(t.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for y in right:
+        x = left[left < y] if i == j else left
+        same = sig[x] == sig[y]
+        near = (same.mean(axis=1) >= floor) & (root[x] != root[y])
+        x = x[near]
+        if band >= 0 and len(x):
+            x = x[same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(x):
+            yield int(y), x
+
+
+def _meet(groups: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, text: str, weighted: bool) -> DataFrame:
+    """Links between members of a group (band, bucket; set, root) that are in different components.
+
+    The members of a group's largest component needn't meet each other. The others are cut into blocks of
+    ``BLOCK`` and meet every block of the group. Texts are read where registers agree enough; what comes out
+    are links, never candidates.
+    """
+    floor = similarity - MARGIN
+    per = groups.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
+    sizes = per.groupBy("band", "bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).filter("n > top.n")
+    sizes = sizes.select("band", "bucket", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rest"), F.ceil(F.col("top.n") / (4 * BLOCK)).cast("int").alias("main"))
+    draw = lambda n: F.pmod(F.xxhash64("set", F.lit(5)), n).cast("int")
+    placed = skew_join(groups, sizes, ["band", "bucket"], groups.count()).withColumn("own", F.when(F.col("root") == F.col("top"), -1 - draw(F.col("main"))).otherwise(draw(F.col("rest"))))
+    # blocks of the largest component are negative and meet each block of the rest; blocks of the rest meet each other
+    met = F.sequence(F.lit(0), F.col("rest") - 1)
+    mine = F.sequence(-F.col("main"), F.col("rest") - 1)
+    pairs = F.when(F.col("own") < 0, F.transform(met, lambda k: F.struct(F.col("own").alias("i"), k.alias("j")))).otherwise(F.transform(mine, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"))))
+    dealt = placed.select("band", "bucket", "set", "root", "own", F.inline(pairs)).join(reps.select("set", "sig"), "set")
+    columns = [*_GROUP, "set", "root", "own", "sig"]
+
+    def narrow(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(it):
+            keep = np.zeros(t.num_rows, dtype=bool)
+            for y, xs in _plausible(t, floor):
+                keep[xs] = keep[y] = True
+            if keep.any():
+                yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(it):
+            own, sets = _sets(t.column("text").to_pylist(), weighted), t.column("set").to_pylist()
+            found = [(min(sets[x], sets[y]), max(sets[x], sets[y])) for y, xs in _plausible(t, floor) for x in xs if _likeness(own[x][0], own[y][0], own[x][1], own[y][1]) >= similarity - 1e-12]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    together = lambda df: df.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "set")
+    schema = "band int, bucket binary, i int, j int, set binary, root binary, own int, sig binary"
+    kept = cut(together(dealt.select(*columns)).mapInArrow(narrow, schema))
+    texts = _texts(kept.select("set"), reps, docs, text)
+    return cut(together(kept.join(texts, "set").select(*columns, "text")).mapInArrow(compare, "a binary, b binary").distinct())
 
-    return cut(both.mapInArrow(batches, "a binary, b binary"))
 
+def _rarest(sets: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, text: str, weighted: bool) -> DataFrame:
+    """(set, bucket): each set's rarest shingles, as many as no set of the similarity can miss all (all of them where shingles have weights).
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of the links (a, b): the smallest node that it is joined to, by alternating large and small stars."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
-    while True:
-        both = edges.select(_rows(("u", "v"), ("v", "u")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = cut(large.join(low, "u").select(_rows(("v", "m"), ("u", "m"))).filter("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(_rows(("u", "v"), ("v", "v"))).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-        before = now
+    Shingles are ordered by a sketch of ``SKETCH`` counters over all these sets, then by value.
+    """
+    texts = _texts(sets, reps, docs, text).select("set", "text")
 
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, dtype=np.int64)
+        for whole in it:
+            for b in slices(whole, 1):
+                total += np.bincount((shingles(b.column(1).to_pylist())[1] % _U(SKETCH)).astype(np.int64), minlength=SKETCH)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
-def _rows(*pairs: tuple[str, str]) -> F.Column:
-    """Several (u, v) rows from the columns of one."""
-    return F.inline(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs)))
+    counted = texts.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    sketch = np.zeros(SKETCH, dtype=np.int64)
+    sketch[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
+    def pick(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in it:
+            for b in slices(whole, 1):
+                doc, shingle, _ = shingles(b.column(1).to_pylist())
+                rows, keys = [], []
+                for k, own in enumerate(np.split(shingle, np.searchsorted(doc, np.arange(1, b.num_rows)))):
+                    most = len(own) if weighted else len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+                    first = own[np.lexsort((own, sent.value[(own % _U(SKETCH)).astype(np.int64)]))[:most]]
+                    rows += [k] * len(first)
+                    keys += [x.tobytes() for x in first]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.binary())], ["set", "bucket"])
 
-def _leftover(shared: DataFrame, reps: DataFrame, roots: DataFrame, docs: DataFrame, similarity: float, floor: float, text: str) -> DataFrame:
-    """Links that the stars missed: members of one bucket in different components, compared block by block.
+    return texts.mapInArrow(pick, "set binary, bucket binary")
 
-    In each bucket the members of its largest component needn't meet each other. The others are cut into blocks
-    of ``BLOCK`` and meet every block of the bucket. Texts are read where registers reach the floor, and a pair
-    is read in the first band that it shares only; what comes out are links, never candidates.
-    """
-    of = shared.select("bucket", "band", "set").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    per = of.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    sizes = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).filter("n > 2 and n > top.n")
-    sizes = sizes.select("bucket", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rest"), F.ceil(F.col("top.n") / (4 * BLOCK)).cast("int").alias("main"))
-    draw = lambda n: F.pmod(F.xxhash64("set", F.lit(5)), n).cast("int")
-    placed = of.join(sizes, "bucket").withColumn("own", F.when(F.col("root") == F.col("top"), -1 - draw(F.col("main"))).otherwise(draw(F.col("rest"))))
-    # blocks of the largest component are negative and meet each block of the rest; blocks of the rest meet each other
-    met = F.sequence(F.lit(0), F.col("rest") - 1)
-    mine = F.sequence(-F.col("main"), F.col("rest") - 1)
-    pairs = F.when(F.col("own") < 0, F.transform(met, lambda k: F.struct(F.col("own").alias("i"), k.alias("j")))).otherwise(F.transform(mine, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"))))
-    dealt = placed.select("bucket", "band", "set", "root", "own", F.explode(pairs).alias("m")).select("bucket", "band", "set", "root", "own", F.col("m.i").alias("i"), F.col("m.j").alias("j"))
-    dealt = dealt.join(reps.select("set", "sig"), "set")
-
-    def plausible(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-        """Each member of block j with the members of block i that it may be linked to."""
-        i, j, band = (int(pdf[c].iloc[0]) for c in ("i", "j", "band"))
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(-1, REGISTERS)
-        root = pd.factorize(pdf["root"])[0]
-        left, right = np.flatnonzero(pdf["own"] == i), np.flatnonzero(pdf["own"] == j)
-        for y in right:
-            x = left[left < y] if i == j else left
-            same = sig[x] == sig[y]
-            near = (same.mean(axis=1) >= floor) & (root[x] != root[y])
-            first = same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-            yield int(y), x[near][first == band]
-
-    def narrow(pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = np.zeros(len(pdf), dtype=bool)
-        for y, xs in plausible(pdf):
-            keep[xs] = True
-            keep[y] |= len(xs) > 0
-        return pdf[keep]
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, shingle, _ = shingles(list(pdf["text"]))
-        ends = np.searchsorted(doc, np.arange(len(pdf) + 1))
-        own = [shingle[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        sets = pdf["set"].to_numpy()
-        a, b = [], []
-        for y, xs in plausible(pdf):
-            for x in xs:
-                both = np.concatenate((own[x], own[y]))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if common / (len(both) - common) >= similarity - 1e-12:
-                    a.append(min(sets[x], sets[y]))
-                    b.append(max(sets[x], sets[y]))
-        return pd.DataFrame({"a": a, "b": b})
-
-    keys, schema = ["bucket", "i", "j"], "bucket long, band int, set binary, root binary, own int, i int, j int, sig binary"
-    kept = cut(dealt.select("bucket", "band", "set", "root", "own", "i", "j", "sig").groupBy(*keys).applyInPandas(narrow, schema))
-    texts = _texts(kept.select("set"), reps, docs, text)
-    return cut(kept.join(texts, "set").groupBy(*keys).applyInPandas(compare, "a binary, b binary").distinct())
 
+def _leftover(shared: DataFrame, reps: DataFrame, roots: DataFrame, docs: DataFrame, similarity: float, text: str, weighted: bool = False, block: int = BLOCK) -> DataFrame:
+    """Links that the stars missed: members of one bucket in different components.
 
-def links(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY, floor: float = FLOOR, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The verified links (a, b) between classes, and the components (node, root); ``found`` is from :func:`classes`."""
-    reps = cut(found.filter("set is not null").groupBy("set").agg(F.min("mark").alias("mark"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    members = reps.select("set", F.posexplode("bands").alias("band", "bucket"))
-    full = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut(members.join(full, "bucket"))
+    Buckets where at most ``block`` members are outside the largest component are compared as they are. The
+    members of the others are many texts that share a passage, say: they meet where they share one of their
+    rarest shingles, and not in the bucket, so the passage itself brings nobody together.
+    """
+    of = cut(shared.select("band", "bucket", "set").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")))
+    n = of.count()
+    per = of.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("band", "bucket").agg((F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
+    mixed = cut(mixed.withColumn("crowded", F.col("others") > block))
+    members = skew_join(of, mixed.drop("others"), ["band", "bucket"], n)
+    groups = members.filter("not crowded").select("band", "bucket", "set", "root")
+    if not mixed.filter("crowded").isEmpty():
+        loose = cut(members.filter("crowded").select("set", "root").distinct())
+        rare = _rarest(loose.select("set"), reps, docs, similarity, text, weighted)
+        groups = groups.unionByName(rare.join(loose, "set").select(F.lit(-1).alias("band"), "bucket", "set", "root"))
+    return _meet(cut(groups), reps, docs, similarity, text, weighted)
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """(set, mark, sig) of each class."""
+    return cut(found.filter("set is not null").groupBy("set").agg(F.min("mark").alias("mark"), F.first("sig").alias("sig")))
+
+
+def buckets(reps: DataFrame) -> DataFrame:
+    """(band, bucket, set, n) of the buckets with several members; a bucket is what the registers of a band hold."""
+    wide = 2 * ROWS
+    members = reps.select("set", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring(F.col("sig"), k * wide + 1, F.lit(wide)))).alias("band", "bucket"))
+    full = members.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return cut(skew_join(members, full, ["band", "bucket"], BANDS * reps.count()))
+
+
+def links(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY, text: str = "text", weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between classes, enough to join all that belong together, and the components (node, root); ``found`` is from :func:`classes`."""
+    reps = representatives(found)
+    shared = buckets(reps)
     # who shares the largest buckets is the likely origin of a group; the other leader is drawn
     central = shared.groupBy("set").agg(F.sum("n").alias("c"))
-    drawn = F.xxhash64("set", "bucket")
-    leaders = shared.join(central, "set").groupBy("bucket").agg(F.max(F.struct("c", drawn, "set")).alias("l"), F.min(F.struct(drawn, "set")).alias("r"))
-    leaders = leaders.select("bucket", F.explode(F.array("l.set", "r.set")).alias("leader"))
-    pairs = shared.join(leaders, "bucket").filter("set <> leader").select(F.least("set", "leader").alias("a"), F.greatest("set", "leader").alias("b")).distinct()
-    near = cut(_agree(pairs, reps, floor))
-    sure = verify(near, reps, docs, similarity, text)
+    drawn = F.xxhash64("set", "bucket", "band")
+    leaders = shared.join(central, "set").groupBy("band", "bucket").agg(F.max(F.struct("c", drawn, "set")).alias("l"), F.min(F.struct(drawn, "set")).alias("r"))
+    leaders = leaders.select("band", "bucket", F.explode(F.array_distinct(F.array("l.set", "r.set"))).alias("leader"))
+    n = shared.count()
+    pairs = skew_join(shared.select("band", "bucket", "set"), leaders, ["band", "bucket"], n).filter("set <> leader").select("leader", "set").distinct()
+    near = cut(_agree(pairs, reps, similarity - MARGIN, 2 * n))
+    sure = verify(near, reps, docs, similarity, text, weighted)
     roots = cut(components(sure))
-    more = _leftover(shared, reps, roots, docs, similarity, floor, text)
+    more = _leftover(shared, reps, roots, docs, similarity, text, weighted)
     if not more.isEmpty():
         sure = sure.union(more)
         roots = cut(components(sure))
     return sure, roots
 
 
-def report(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, class_id (the smallest id that it is linked to, directly or not), class_size, n_links (verified links of its set to others among the pairs that were compared, not all pairs of the group), kept, and the text's mark."""
-    found = cut(classes(docs, key, text))
-    sure, roots = links(docs, found, similarity, text=text)
-    degree = sure.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("n_links"))
+def report(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
+    """One row for each document: doc_id, class_id (the smallest id that it is linked to, directly or not), class_size, kept, and the text's mark."""
+    found = cut(classes(docs, key, text, weighted))
+    _, roots = links(docs, found, similarity, text, weighted)
     own = found.filter("set is not null").groupBy("set").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("n"))
-    own = own.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")).join(degree, "set", "left")
-    own = cut(own)
+    own = cut(own.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")))
     groups = own.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
-    out = found.select("doc_id", "mark", "set").join(own.join(groups, "root").select("set", "n_links", "best", "class_size"), "set", "left")
+    named = skew_join(own.select("root", "set"), groups, ["root"], own.count()).select("set", "best", "class_size")
+    rows = found.select("doc_id", "mark", "set")
+    out = skew_join(rows.filter("set is not null"), named, ["set"], found.count()).unionByName(rows.filter("set is null"), allowMissingColumns=True)
     alone = F.col("set").isNull()
-    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     return out.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"),
-        F.when(alone, one).otherwise(F.col("class_size")).alias("class_size"),
-        F.coalesce("n_links", zero).alias("n_links"),
+        F.when(alone, F.lit(1).cast("long")).otherwise(F.col("class_size")).alias("class_size"),
         (alone | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark")))).alias("kept"),
         "mark",
     )
 
 
-def dedup(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, with one of each group: the smallest id. Documents without words all stay."""
-    i, m = fresh(docs, "_id", "_mark")
-    gone = small(report(docs, similarity, key, text).filter("not kept").select(F.col("doc_id").alias(i), F.col("mark").alias(m)).distinct())
+def dedup(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
+    """The documents, all columns, with one of each group: the smallest id, once. Documents without words all stay."""
+    i, m, r = fresh(docs, "_id", "_mark", "_whole")
+    judged = cut(report(docs, similarity, key, text, weighted))
+    gone = small(judged.filter("not kept").select(F.col("doc_id").alias(i), F.col("mark").alias(m)).distinct())
+    # repeated rows of a winner: set apart from the documents without words, each of which stays, by their class size
+    twice = judged.filter("kept and class_size > 1").groupBy("doc_id", "mark").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = small(twice.select(F.col("doc_id").alias(i), F.col("mark").alias(m)))
     t = F.col(text).cast("string")
     same = F.col(key).cast("long").eqNullSafe(F.col(i)) & (_mark(t) == F.col(m))
-    return docs.join(gone, same, "left_anti")
+    left = docs.join(gone, same, "left_anti")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice, same).groupBy(i, m).agg(F.first(F.struct(*(F.col(c) for c in docs.columns))).alias(r)).select(f"{r}.*")
+    return left.join(twice, same, "left_anti").unionByName(once)
 
 
 @query("op4_near_dedup")
