@@ -60,20 +60,74 @@ def test_passages_cover_whole_texts():
     assert list(n) == [5, 1, 1, 1] and len(x) == 8 and np.isfinite(x).all()
 
 
-def test_label_model_discounts_copies():
-    """Ten copies of one voter weigh like one, and accuracies are recovered."""
-    rng = np.random.default_rng(2)
-    y = rng.random(4000) < 0.3
-    good = np.where(rng.random(4000) < 0.9, y, ~y)
-    other = np.where(rng.random(4000) < 0.8, y, ~y)
-    third = np.where(rng.random(4000) < 0.8, y, ~y)
-    votes = np.stack([good, other, third, *[good] * 9], axis=1).astype(float)
-    m = toxicity.LabelModel(votes, np.where(rng.random(4000) < 0.2, y, np.nan))
-    assert m.discount[0] < 0.2 and m.discount[1] > 0.7
-    assert abs(m.if_toxic[0] - 0.9) < 0.08 and abs(m.if_clean[0] - 0.1) < 0.08
+def voters(n=4000, seed=2, copies=9, labelled=0.2):
+    rng = np.random.default_rng(seed)
+    y = rng.random(n) < 0.3
+    noisy = lambda p: np.where(rng.random(n) < p, y, ~y)
+    good, other, third = noisy(0.9), noisy(0.8), noisy(0.8)
+    votes = np.stack([good, other, third, *[good] * copies], axis=1).astype(float)
+    return y, votes, np.where(rng.random(n) < labelled, y, np.nan)
+
+
+def test_label_model_counts_copies_once():
+    """Accuracies are recovered, and nine copies of a voter change the posteriors little."""
+    y, votes, hand = voters()
+    m, plain = toxicity.LabelModel(votes, hand), toxicity.LabelModel(votes[:, :3], hand)
+    assert abs(m.rate[1, 0] - 0.9) < 0.04 and abs(m.rate[0, 0] - 0.1) < 0.04
+    assert abs(m.accuracy[0] - 0.9) < 0.03 and abs(m.accuracy[1] - 0.8) < 0.03
+    assert (m.parent[3:] >= 0).sum() >= 8 and (plain.parent < 0).all()
+    assert np.abs(m.posterior - plain.posterior).mean() < 0.03
     assert ((m.posterior > 0.5) == y).mean() > 0.88
 
 
+def test_posterior_by_enumeration():
+    """Each class's probabilities of all vote patterns sum to 1, and the posterior is Bayes' rule on them."""
+    rng = np.random.default_rng(5)
+    y, votes, hand = voters(copies=1, seed=3)
+    votes[:, 3] = np.where(rng.random(len(y)) < 0.9, votes[:, 3], 1 - votes[:, 3])
+    votes = np.hstack([votes, np.where(rng.random((len(y), 1)) < 0.7, votes[:, 3:4], votes[:, 1:2])])
+    m = toxicity.LabelModel(votes, hand)
+    assert (m.parent >= 0).sum() >= 2
+    patterns = np.array([[i >> j & 1 for j in range(5)] for i in range(32)], dtype=float)
+    chance = np.ones((2, 32))
+    for c in (0, 1):
+        for i, v in enumerate(patterns):
+            for j, p in enumerate(m.parent):
+                on = m.table[c, j, int(v[p]) if p >= 0 else 0]
+                chance[c, i] *= on if v[j] else 1 - on
+    assert np.allclose(chance.sum(axis=1), 1)
+    bayes = m.prior * chance[1] / (m.prior * chance[1] + (1 - m.prior) * chance[0])
+    assert np.allclose(m.predict(patterns), bayes, atol=1e-6)
+    seen = [np.mean((votes[y] == v).all(axis=1)) for v in patterns]
+    assert np.abs(chance[1] - seen).max() < 0.05
+
+
+def test_hand_labels_are_no_votes():
+    """Rows without a label get as good a posterior as rows with one, and wrong labels are outvoted."""
+    y, votes, hand = voters(copies=0, labelled=0.3)
+    wrong = ~np.isnan(hand) & (np.random.default_rng(1).random(len(y)) < 0.1)
+    m = toxicity.LabelModel(votes, np.where(wrong, 1 - hand, hand))
+    known = ~np.isnan(hand)
+    right = (m.posterior > 0.5) == y
+    assert abs(right[known].mean() - right[~known].mean()) < 0.04 and right[wrong].mean() > 0.85
+    same = {}
+    for v, p in zip(map(tuple, votes), m.posterior, strict=True):
+        assert abs(same.setdefault(v, p) - p) < 1e-9
+    assert np.isnan(toxicity.LabelModel(votes, np.full(len(y), np.nan)).agreement)
+
+
+@tables
+def test_posterior_of_unlabelled_rows(spark):
+    """Labels hidden from the fit agree with the posteriors of their rows."""
+    d, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    hide = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(4)) == 0
+    m = toxicity.fit(d, labels.filter(~hide), ~folds(5, 0))
+    hidden = d.join(labels.filter(hide), "doc_id").filter(~folds(5, 0)).select("text", "toxic").collect()
+    x = toxicity.matrix([r.text for r in hidden], m.lexicon)
+    posterior = m.voters.predict(x[:, : len(m.lexicon) + toxicity.PATTERNS])
+    assert np.mean((posterior > 0.5) == np.array([r.toxic == 1 for r in hidden])) > 0.93 and m.voters.agreement > 0.95
+
+
 def test_edge_cases(spark):
     rows = [(i, t, "en") for i, t in ODD] + [(100, "12 34 !!", "en"), (101, "plain words here", None)]
     df = docs(spark, rows)
