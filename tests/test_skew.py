@@ -14,6 +14,18 @@ def test_skew_join(spark):
         assert len(rows) == len(want) and set(rows) == want
 
 
+def test_sized_join(spark):
+    rows = [(0 if i % 3 else i, i) for i in range(5000)]
+    size = {k: sum(x == k for x, _ in rows) for k in {0, 3, 6}}
+    many = spark.createDataFrame([(k, v, size.get(k, 1)) for k, v in rows], "k long, v long, n long")
+    one = spark.createDataFrame([(i, f"x{i}", size.get(i, 1)) for i in range(0, 5000, 2)], "k long, w string, n long")
+    out = skew.sized_join(many, one, ["k"], "n", hot=10)
+    assert out.columns == ["k", "v", "w"]
+    got = [tuple(r) for r in out.collect()]
+    want = {(k, v, f"x{k}") for k, v in rows if k % 2 == 0}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_components_with_a_hub(spark):
     r = random.Random(2)
     edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(40)] + [(9000 + r.randrange(60), 9000 + r.randrange(60)) for _ in range(30)]

@@ -33,6 +33,16 @@ def skew_join(many: DataFrame, one: DataFrame, on: Sequence[str], rows: int, hot
     return dealt.join(repeated, [*on, "_part"]).drop("_part")
 
 
+def sized_join(many: DataFrame, one: DataFrame, on: Sequence[str], size: str, hot: int = HOT_ROWS) -> DataFrame:
+    """The same where both sides carry ``size``, the rows of the key in ``many`` or more: nothing has to be counted or broadcast."""
+    on = list(on)
+    parts = F.ceil(F.greatest(F.col(size), F.lit(1)) / hot)
+    draw = F.pmod(F.xxhash64(*many.columns, F.lit(7)), parts.cast("long")).cast("int")
+    dealt = many.withColumn("_part", draw).drop(size)
+    repeated = one.withColumn("_part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1))).drop(size)
+    return dealt.join(repeated, [*on, "_part"]).drop("_part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the smallest node it is joined to, by large and small stars in turn.
 
