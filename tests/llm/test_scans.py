@@ -1,12 +1,17 @@
 import hashlib
+import os
 import random
 import re
 from collections import Counter
 
+import pytest
 from helpers import ODD, docs
 
 from tidegauge.llm import secret_scan as S
 from tidegauge.llm import url_filter as U
+from tidegauge.llm.common import folds, table
+
+SF = "/root/testdata/sf0.01"
 
 LITERAL = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m.group(2)) >= 12),
@@ -43,14 +48,88 @@ def test_spans(spark):
     assert S.scan(docs(spark, [])).count() == 0
 
 
+ORDINARY = "getUserNameFromIndexPage set_default_configuration_value org/apache/spark/sql/functions AbstractSingletonProxyFactoryBean internationalization Donaudampfschifffahrtsgesellschaft application/x-www-form-urlencoded ----------------------------- /usr/local/lib/python3/dist-packages xxxxxxxxxxxxxxxxxxxxxxxxx CONTENT_SECURITY_POLICY_REPORT_ONLY".split()
+
+
 def test_model_tells_random_from_ordinary():
-    model = S.train(*S.samples())
+    model = S.fit()
     secret, ordinary = S.samples(99, 3000)
-    caught = sum(S.ratio(model, x) > S.THRESHOLD for x in secret) / len(secret)
-    wrong = sum(S.ratio(model, x) > S.THRESHOLD for x in ordinary) / len(ordinary)
-    assert caught > 0.97 and wrong < 0.01
+    found = lambda x: bool(S.model_spans(x, model, []))
+    assert sum(map(found, secret)) / len(secret) > 0.95
+    assert sum(map(found, ordinary)) / len(ordinary) < 0.01
+    assert not any(map(found, ORDINARY))
     text = "id ghp_16C7e42F292c6912E7710c838347Ae178B4a and get_user_name_from_index_page_1"
     assert [text[a:b] for a, _, b in S.model_spans(text, model, [])] == ["ghp_16C7e42F292c6912E7710c838347Ae178B4a"]
+    # behind a long path only the end is random; letters alone; beside a base span
+    path = "/usr/share/get_name/index/page/static/content/" + "x7Kq9TzB3mWf8RvL2pYd"
+    (a, _, b), = S.model_spans(path, model, [])
+    assert b == len(path) and 40 <= a <= 50
+    assert found("QwXzKpVbNtRjLmGhYcFdSq")
+    text = "0123456789abcdef0123" + "Zq8Rt5Yw2Xc7Vb1Nm4Lk9"
+    base = S.base_spans(text)
+    assert base and all(a >= base[0][2] for a, _, b in S.model_spans(text, model, base)) and S.model_spans(text, model, base)
+
+
+def test_stretches_against_all_sums():
+    """Every stretch is as good as any of its beginnings and ends, and none that is far above the bounds is missed."""
+    r = random.Random(3)
+    for _ in range(200):
+        score = S.np.array([r.uniform(-1, 1.5) + S.MARGIN for _ in range(r.randint(0, 80))])
+        got = S.stretches(score)
+        own = score - S.MARGIN
+        for a, b, total in got:
+            assert abs(own[a:b].sum() - total) < 1e-9 and b - a >= S.KERNEL and total >= S.EVIDENCE
+            assert all(own[a:k].sum() > 0 for k in range(a + 1, b)) and all(own[k:b].sum() >= -1e-9 for k in range(a, b))
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        sums = [(own[a:b].sum(), a, b) for a in range(len(own)) for b in range(a + S.KERNEL, len(own) + 1)]
+        if sums and max(sums)[0] >= S.EVIDENCE:
+            top, a, b = max(sums)
+            assert any(s < b and a < e for s, e, _ in got)
+
+
+def test_learned_from_documents(spark):
+    """Counts come from the spans of the fixed patterns and from the runs outside of them; secrets of other documents are found."""
+    r = random.Random(7)
+    hexes = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    rows = [(i, f'ordinary_words here token = "{hexes(40)}" and Zusammengehörigkeit') for i in range(50)] + list(ODD)
+    random_, ordinary = S.observe(docs(spark, rows))
+    assert random_.sum() >= 50 * 40 and ordinary.sum() > 0
+    at = {c: i for i, c in enumerate(S.ALPHABET)}
+    assert random_[:, [at["z"], at["Q"]]].sum() == 0 and ordinary[at["d"], at["i"]] >= 50
+    model = S.fit(docs(spark, rows))
+    assert all(S.model_spans(hexes(40), model, []) for _ in range(50)) and not any(S.model_spans(x, model, []) for x in ORDINARY)
+    assert (S.fit(docs(spark, [])) == S.fit()).all()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_held_out_documents(spark):
+    """Fitted on half of the documents, the model alone finds the other half's secrets and adds nothing to their ordinary text."""
+    d = table(spark, SF, "documents")
+    model = S.fit(d.filter(folds(2, 0)))
+    secrets, found, added = 0, 0, 0
+    for x in d.filter(~folds(2, 0)).collect():
+        base = S.base_spans(x.text or "")
+        added += len(S.model_spans(x.text or "", model, base))
+        for s, e in S._merged(base):
+            secrets += 1
+            found += bool(S.model_spans(re.sub(r"^.*[:= \"']", "", x.text[s:e]), model, []))
+    assert secrets > 10 and found >= 0.95 * secrets and added == 0
+
+
+def test_long_texts_with_many_spans():
+    """The time grows with the text: many base spans and runs, one unbroken run."""
+    import time
+
+    model = S.fit()
+    took = []
+    for n in (2000, 8000):
+        text = " ".join(f"{i:020x} get_user_name_{i}_from_index_page" for i in range(n)) + "x" * n
+        began = time.perf_counter()
+        base = S.base_spans(text)
+        more = S.model_spans(text, model, base)
+        took.append(time.perf_counter() - began)
+        assert len(base) >= n and S._merged(sorted(base + more)) == sorted((s, e) for s, _, e in base + more)
+    assert took[1] < 10 * took[0] + 0.5
 
 
 URLS = [None, "", "no scheme", "http://Example.NET/en/x", "http://example.net/", "http://example.net", "https://a.b.net/x?q=1#f", "ftp://fr.example.org/fr/", "http://example.org/fr", "http://xexample.com/de/", "http://w.example.com/de/1", "http://example.com/den", "x://://y/z", "http://h?x=/net/", "http://net/", "http://İ.net/A"]

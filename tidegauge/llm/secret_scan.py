@@ -1,17 +1,24 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
-Two first-order Markov models over character classes and characters are trained from labelled samples:
-one on random strings, one on ordinary identifiers and words. A run of identifier characters of 20 or
-more is a secret when its log-likelihood ratio per character (random against ordinary) is above the
-threshold and it mixes letters and digits. The spans that the fixed patterns find always stay; the model
-adds spans of kind ``model`` that overlap none of them.
-
-The labelled samples are drawn by a fixed seed (random strings over the usual alphabets) and composed
-from identifier parts (ordinary ones); pass your own lists to :func:`train` instead. The models are 2 x 65
-x 65 numbers, so what is sent to the workers does not grow.
+Two first-order Markov models over the characters of identifiers are trained from labelled samples: one on random
+strings, one on ordinary identifiers and words. The labels come from the documents themselves (:func:`observe`): what
+the fixed patterns mark as a secret is random, the other runs of eight or more characters are ordinary. To these are
+added, with equal weight, random strings over the usual alphabets and identifiers composed of common parts
+(:func:`samples`), for kinds of secrets that the sample lacks.
+
+The text outside the fixed patterns' spans is cut into runs of identifier characters of ``LEAST`` or more, and the
+stretches of a run that the random model explains best are found in one pass: every character adds its log-likelihood
+ratio less ``MARGIN``; a stretch starts where the sum leaves zero, ends at its highest value, and is closed when the
+sum has fallen by ``DROP`` below that. So a secret behind a long ordinary path is still found, and the rest of a run
+beside a fixed span is scanned too. A stretch of ``KERNEL`` characters or more whose sum reaches ``EVIDENCE`` (more where
+it holds no digit) is a span of kind ``model``. The spans that the fixed patterns find always stay, and no model span touches them.
+
+The models are fitted on at most ``FIT_DOCS`` documents in the order of a hash of the id (counts only come back: 2 x 66
+x 65 numbers), and as many numbers are sent to the workers.
 
 Offsets are code points, ends exclusive. Edge cases: null texts count as empty; whole texts of any length
-are scanned; repeated rows are scanned one by one; an empty table gives no rows; other columns are ignored.
+are scanned, in time that grows with the text; repeated rows are scanned one by one; with no documents to learn from
+the composed samples alone are the training set; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +48,14 @@ ASSIGN = re.compile("(?:" + "|".join([_either("password"), _either("passwd"), _e
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 12, 18, 16
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile(f"[0-9a-f]{{{HEX_LEAST},}}")  # a shorter run fails and holds no other match
-RUN = re.compile("[A-Za-z0-9+/_=-]{20,}")
+LEAST = 16
+RUN = re.compile(f"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+ORDINARY = re.compile("[A-Za-z0-9+/_=-]{8,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-THRESHOLD = 0.4
+#: Of a stretch: characters at least; sum at least, and where it holds no digit.
+KERNEL, EVIDENCE, LETTERS_EVIDENCE = 12, 8.0, 16.0
+MARGIN, DROP = 0.3, 12.0
+FIT_DOCS = 20_000
 _AT = {c: i for i, c in enumerate(ALPHABET)}
 
 
@@ -56,7 +68,7 @@ def samples(seed: int = 7, n: int = 4000) -> tuple[list[str], list[str]]:
     plain = []
     for i in range(n):
         chosen = r.choices(parts, k=r.randint(2, 7))
-        style = i % 5
+        style = i % 7
         if style == 0:
             plain.append("_".join(chosen))
         elif style == 1:
@@ -65,28 +77,88 @@ def samples(seed: int = 7, n: int = 4000) -> tuple[list[str], list[str]]:
             plain.append("/".join(chosen))
         elif style == 3:
             plain.append("".join(chosen))
+        elif style == 4:
+            plain.append("_".join(chosen).upper())
+        elif style == 5:
+            plain.append("-".join(chosen).upper() if i % 2 else "-".join(chosen))
         else:
-            plain.append(("-".join(chosen)).upper() if i % 2 else "=" * r.randint(3, 40) + "-" * r.randint(0, 40))
+            plain.append(r.choice(ALPHABET) * r.randint(4, 40) if i % 2 else "=" * r.randint(3, 40) + "-" * r.randint(0, 40))
     return secrets, plain
 
 
-def train(secrets: Sequence[str], ordinary: Sequence[str], smoothing: float = 0.5) -> np.ndarray:
-    """Log-likelihood ratio of every transition; the last row is for the first character."""
+def transitions(texts: Iterable[str]) -> np.ndarray:
+    """How often each character follows each other one; the last row is for the first character."""
+    n = np.zeros((len(ALPHABET) + 1, len(ALPHABET)))
+    for t in texts:
+        at = [_AT[c] for c in t if c in _AT]
+        np.add.at(n, ([len(ALPHABET), *at[:-1]] if at else [], at), 1)
+    return n
 
-    def model(texts: Sequence[str]) -> np.ndarray:
-        n = np.full((len(ALPHABET) + 1, len(ALPHABET)), smoothing)
-        for t in texts:
-            at = [_AT[c] for c in t if c in _AT]
-            np.add.at(n, ([len(ALPHABET), *at[:-1]], at), 1)
-        return np.log(n / n.sum(axis=1, keepdims=True))
 
+def train(secrets: np.ndarray, ordinary: np.ndarray, smoothing: float = 0.5) -> np.ndarray:
+    """Log-likelihood ratio of every transition from the counts of both kinds of samples."""
+    model = lambda n: np.log((n + smoothing) / (n + smoothing).sum(axis=1, keepdims=True))
     return model(secrets) - model(ordinary)
 
 
-def ratio(table_: np.ndarray, run: str) -> float:
-    """Mean log-likelihood ratio per character of a run over the alphabet."""
+def observe(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: int = FIT_DOCS) -> tuple[np.ndarray, np.ndarray]:
+    """Transition counts (random, ordinary) of the documents' own strings, labelled by the fixed patterns."""
+    ids = docs.select(F.col(key).alias("id")).filter("id is not null").orderBy(F.xxhash64("id", F.lit(4)), "id").limit(rows).distinct()
+    chosen = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "id").select("text")
+    width = len(ALPHABET)
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, width + 1, width))
+        for b in it:
+            for t in b.column(0).to_pylist():
+                spans = base_spans(t or "")
+                # of an assignment the value only; repeated digits of a span within a span count once
+                total[0] += transitions(re.sub(r"^.*[:= \"']", "", t[s:e]) for s, e in _merged(spans))
+                total[1] += transitions(m.group() for m in _outside(t or "", spans, ORDINARY))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["cell", "n"])
+
+    out = np.zeros(2 * (width + 1) * width)
+    for r in chosen.mapInArrow(count, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    random_, ordinary = out.reshape(2, width + 1, width)
+    return random_, ordinary
+
+
+def fit(docs: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> np.ndarray:
+    """The table of log-likelihood ratios from the documents' strings and the composed samples, each half of the weight."""
+    seen = observe(docs, key, text) if docs is not None else (np.zeros((len(ALPHABET) + 1, len(ALPHABET))),) * 2
+    out = []
+    for own, composed in zip(seen, map(transitions, samples()), strict=True):
+        out.append(composed + own * (composed.sum() / own.sum() if own.sum() else 0.0))
+    return train(*out)
+
+
+def ratios(table_: np.ndarray, run: str) -> np.ndarray:
+    """The log-likelihood ratio of each character of a run over the alphabet."""
     at = [_AT[c] for c in run]
-    return float(table_[[len(ALPHABET), *at[:-1]], at].mean())
+    return table_[[len(ALPHABET), *at[:-1]], at]
+
+
+def stretches(score: np.ndarray) -> list[tuple[int, int, float]]:
+    """(start, end, sum) of the stretches with the highest sums of ``score`` less the margin, in one pass."""
+    out: list[tuple[int, int, float]] = []
+    total = top = 0.0
+    start = end = 0
+
+    def close() -> None:
+        if end - start >= KERNEL and top >= EVIDENCE:
+            out.append((start, end, top))
+
+    for k, v in enumerate((score - MARGIN).tolist()):
+        total += v
+        if total > top:
+            top, end = total, k + 1
+        if total <= 0 or total < top - DROP:
+            close()
+            total, top, start, end = 0.0, 0.0, k + 1, k + 1
+    close()
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -98,13 +170,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def model_spans(text: str, table_: np.ndarray, base: list[tuple[int, int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """Runs that the random model explains better and that overlap no base span."""
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The places that spans cover, in order, overlaps joined."""
+    out: list[tuple[int, int]] = []
+    for s, _, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _outside(text: str, spans: list[tuple[int, int, int]], pattern: re.Pattern) -> Iterator[re.Match]:
+    """Matches in the text between the spans."""
+    at = 0
+    for s, e in [*_merged(spans), (len(text), len(text))]:
+        yield from pattern.finditer(text, at, s)
+        at = e
+
+
+def model_spans(text: str, table_: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Stretches that the random model explains better and that touch no base span; one that is most of its run stands for all of it."""
     out = []
-    for m in RUN.finditer(text):
+    for m in _outside(text, base, RUN):
         run = m.group()
-        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and ratio(table_, run) > threshold and not any(s < m.end() and m.start() < e for s, _, e in base):
-            out.append((m.start(), 3, m.end()))
+        for s, e, total in stretches(ratios(table_, run)):
+            if total >= LETTERS_EVIDENCE or any(c.isdigit() for c in run[s:e]):
+                out.append((m.start(), 3, m.end()) if 4 * (e - s) >= 3 * len(run) else (m.start() + s, 3, m.start() + e))
     return out
 
 
@@ -112,9 +204,9 @@ def spell(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
 
-def scan(docs: DataFrame, model: np.ndarray | None = None, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: np.ndarray | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_model of every document."""
-    model = train(*samples()) if model is None else model
+    model = fit() if model is None else model
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
@@ -122,7 +214,7 @@ def scan(docs: DataFrame, model: np.ndarray | None = None, threshold: float = TH
                 rows = []
                 for t in b.column(1).to_pylist():
                     base = base_spans(t or "")
-                    more = model_spans(t or "", model, base, threshold)
+                    more = model_spans(t or "", model, base)
                     kinds = [k for _, k, _ in base]
                     rows.append((kinds.count(0), kinds.count(1), kinds.count(2), hashlib.sha256(spell(base).encode()).hexdigest(), spell(base + more), len(more)))
                 cols = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()], strict=True)]
@@ -134,4 +226,5 @@ def scan(docs: DataFrame, model: np.ndarray | None = None, threshold: float = TH
 
 @query("op3_secret_scan")
 def op3(spark, sf_dir):
-    return scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, fit(docs))
