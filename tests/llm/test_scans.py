@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 from helpers import ODD, docs
+from pyspark.sql import functions as F
 
 from tidegauge.llm import secret_scan as S
 from tidegauge.llm import url_filter as U
@@ -163,23 +164,54 @@ def test_rules_against_counts(spark):
     """Learned verdicts follow the best rule by confidence, found by counting all token subsets."""
     r = random.Random(6)
     labelled = [(i, sorted(r.sample("abcdef", r.randint(1, 4)))) for i in range(300)]
-    rows = [(i, t, "block" if "a" in t and "b" in t or r.random() < 0.1 else "allow") for i, t in labelled]
-    df = spark.createDataFrame(rows, "_row long, tokens array<string>, verdict string")
-    rules = U.mine(df, 0.02, 0.6)
-    got = {r["_row"]: (r.learned, r.learned_rule) for r in U.match(df, rules).collect()}
+    rows = [(i, t, r.choice(["r1", "r2", "r3"]) if t[0] != "c" else "r1", "block" if "a" in t and "b" in t or r.random() < 0.1 else "allow") for i, t in labelled]
+    df = spark.createDataFrame(rows, "_row long, tokens array<string>, rule string, verdict string")
+    rules, named = U.learn(df, 0.02, 0.6)
+    got = {x["_row"]: (x.learned, x.learned_rule) for x in U.match(U.as_items(df, named, []), rules, named).collect()}
     from itertools import combinations
 
     stats = {}
     for k in range(1, 5):
         for s in combinations("abcdef", k):
-            own = [v for _, t, v in rows if set(s) <= set(t)]
+            own = [v for _, t, _, v in rows if set(s) <= set(t)]
             for v in ("block", "allow"):
+                by = {h for _, t, h, w in rows if set(s) <= set(t) and w == v}
                 if own and own.count(v) / 300 >= 0.02 and own.count(v) / len(own) >= 0.6:
-                    stats[s, v] = (own.count(v) / len(own), own.count(v) / 300)
-    for i, t, _ in rows:
-        fits = [(round(c, 9), round(s, 9), -len(k), v) for (k, v), (c, s) in stats.items() if set(k) <= set(t)]
+                    stats[s, v] = (own.count(v) / len(own), own.count(v) / 300, len(by))
+    # a rule that one token less serves as well never has the last word, whether or not the shorter one is proven
+    plain = {k: x for k, x in stats.items() if not any(stats.get((tuple(c for c in k[0] if c != g), k[1]), (0,))[0] >= x[0] for g in k[0])}
+    for i, t, _, _ in rows:
+        fits = [(round(c, 9), round(s, 9), -len(k), v) for (k, v), (c, s, by) in plain.items() if set(k) <= set(t) and by >= 2]
         if not fits:
             assert i not in got
         else:
             top = max(fits)[:3]
             assert got[i][0] in {v for c, s, n, v in fits if (c, s, n) == top}
+
+
+def test_evidence_of_one_rule_is_not_enough(spark):
+    """A token that is seen under one hand-written rule teaches nothing; one that two of them block does."""
+    urls = [f"http://{h}.example.{t}/{p}/{i}" for i in range(20) for h in ("a", "b") for t, p in (("net", "de"), ("com", "de"), ("net", "en"), ("com", "fr"), ("org", "de"), ("org", "es"))]
+    out = {x.page_id: x for x in U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    for i, u in enumerate(urls):
+        if ".com/fr" in u or ".org/es" in u:
+            assert out[i].rule is None and out[i].verdict == "allow"
+        if ".org/de" in u:  # blocked under net/ and under example.com/de/
+            assert out[i].rule is None and out[i].verdict == "block" and out[i].learned_rule == "p:de"
+
+
+def test_urls_of_many_tokens(spark):
+    """Keys that always come together count as one token; others that come together often raise the support."""
+    keys = "&".join(f"k{i}=1" for i in range(60))
+    r = random.Random(1)
+    urls = [f"http://x.net/{i}?{keys}" for i in range(40)] + [f"http://h{i}.example.com/de/{i}?{keys}" for i in range(40)] + [f"http://y.org/a?{keys}", "http://y.org/b?k3=1", "http://z.org/c"]
+    out = {x.page_id: x for x in U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [out[i].verdict for i in range(80, 83)] == ["block", "block", "allow"]
+    rows = [(i, [f"t{k:02}" for k in range(40) if r.random() < 0.9], f"r{i % 2}", "block") for i in range(200)]
+    df = spark.createDataFrame(rows, "_row long, tokens array<string>, rule string, verdict string")
+    named = U.bundles(df)
+    items = U.as_items(df, named, ["rule", "verdict"])
+    support = U.least_support(items, 200, 0.01, together=5)
+    n = Counter(t for _, ts, _, _ in rows for t in ts)
+    assert max(sum(n[t] >= support * 200 for t in ts) for _, ts, _, _ in rows) <= 5
+    assert U.least_support(items, 200, 0.01, together=50) == 0.01
