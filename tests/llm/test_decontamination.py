@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
+import pandas as pd
 from helpers import ODD, contamination, docs, words
 
 from tidegauge.llm import decontamination as D
@@ -48,17 +50,19 @@ def test_empty(spark):
 
 def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha b c d e f g h i omega", 0)], ITEMS)
-    rows = [(1, "alpha b c d e f g h i omega"), (2, "alpha b x c d e f g h i omega"), (3, "alpha b x y z c d e f g h i omega"), (4, "alpha omega b c d e f g h i")]
-    df = docs(spark, rows)
-    wins = D.cut(D.windows(items))
-    rare = D.anchors(df, wins)
-    terms = rare.select(rare.a1.alias("term")).union(rare.select("a2"))
-    index = D.index(df, terms)
-    ids = {r._row: r.doc_id for r in index.collect()}
-    near = {ids[r._row]: r.gap for r in D.proximity(index, rare, 1).collect()}
-    assert near[1] == 0 and set(near) >= {1} and all(g <= 1 for g in near.values())
-    exact = {ids[r._row] for r in D.phrases(index, rare).collect()}
-    assert exact == {1}
+    rows = [(1, "alpha b c d e f g h i omega"), (2, "alpha b x c d e f g h i omega"), (3, "alpha b x y z c d e f g h i omega"), (4, "alpha omega b c d e f g h i"), (5, "alpha zz c d e f g h i omega"), (6, "alpha b c d e"), (7, None)]
+    out = {r.doc_id: r for r in D.report(docs(spark, rows), items, slack=1).collect()}
+    assert {i: r.near_gap for i, r in out.items()} == {1: 0, 2: 1, 3: None, 4: 1, 5: 0, 6: None, 7: None}
+    assert {i for i, r in out.items() if r.contaminated} == {1}
+    assert all(r.near_items == (["1"] if r.near_gap is not None else []) and r.n_near == len(r.near_items) for r in out.values())
+
+
+def test_many_terms_are_joined_by_shuffle(spark, monkeypatch):
+    rows, items = sample(4)
+    df, it = docs(spark, rows), spark.createDataFrame([(*i, 0) for i in items], ITEMS)
+    few = Counter(map(str, D.report(df, it, slack=1).collect()))
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    assert Counter(map(str, D.report(df, it, slack=1).collect())) == few
 
 
 def nearly(text, items, slack, size=10):
@@ -89,10 +93,17 @@ def test_near_copies(spark):
     more, odd = sample(3)
     more = [x for x in more if len(x[1] or "") < 1000][:50]
     slack = 1
-    r = {x.doc_id: x for x in D.near(docs(spark, rows), spark.createDataFrame([(*i, 0) for i in items], ITEMS), slack).collect()}
+    r = {x.doc_id: x for x in D.report(docs(spark, rows), spark.createDataFrame([(*i, 0) for i in items], ITEMS), slack).collect()}
     assert all("1" in r[i].near_items for i in (1, 3, 4, 5, 7)) and "4" in r[1].near_items and r[9].near_items == ["3"]
     for given, it in ((rows, items), (more, odd)):
-        out = D.near(docs(spark, given), spark.createDataFrame([(*i, 0) for i in it], ITEMS), slack).collect()
+        out = D.report(docs(spark, given), spark.createDataFrame([(*i, 0) for i in it], ITEMS), slack).collect()
         want = Counter((i, tuple(sorted(n := nearly(t, it, slack))), min(n.values(), default=None)) for i, t in given)
         assert Counter((x.doc_id, tuple(x.near_items), x.near_gap) for x in out) == want
         assert all(x.n_near == len(x.near_items) for x in out)
+        # the oracle's SQL says the same
+        documents, benchmark = (pd.DataFrame(x, columns=c).astype({c[0]: "Int64"}) for x, c in ((given, ["doc_id", "text"]), (it, ["item_id", "text"])))
+        with duckdb.connect() as db:
+            db.register("documents", documents)
+            db.register("benchmark", benchmark)
+            told = db.sql(D.SQL).fetchall()
+        assert Counter((x[0], x[6], x[7], x[8]) for x in told) == Counter((i, len(n := nearly(t, it, slack)), ",".join(sorted(n)), min(n.values(), default=None)) for i, t in given)

@@ -5,7 +5,7 @@ document, position) with the words around it. Only test terms can take part, and
 rarest of each window are needed to find it, so a first pass counts how often every test term occurs in the
 corpus (windows with a term that never occurs are dropped), and a second stores the postings of the rarest.
 A phrase is found by intersecting the lists of its rarest terms, each shifted by its offset in the window,
-and is exact when the words stored around the rarest one equal it. Proximity matches (:func:`near`) start from
+and is exact when the words stored around the rarest one equal it. Proximity matches (:func:`proximity`) start from
 either of the rarest two terms and are tested over all words of the window: each stands within ``slack`` words
 of its place, all but one in a window of ``WINDOW`` words. So a word that was put in, left out or replaced
 doesn't hide a passage, even where the replaced word occurs in no document.
@@ -31,6 +31,8 @@ from tidegauge.llm.common import cut, fresh, query, table
 from tidegauge.llm.common import small as few
 
 WINDOW = 10
+#: Words that a word of a proximity match may be off its place.
+SLACK = 1
 BROADCAST_ROWS = 200_000
 END = "\u0001"  # no word: the end mark's term
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,11 +83,16 @@ def index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "t
     ``mark`` is a hash of the text, ``around`` are the words from ``lead`` words before the posting to ``size`` - 1 words behind it.
     """
     listed = cut(terms.select("term").union(docs.sparkSession.range(1).select(F.lit(END).alias("term"))).distinct())
+    n = listed.count()
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.array_append(words(F.col(text)), END).alias("w"))
-    each = own.select("_row", "doc_id", "mark", "w", F.posexplode("w").alias("pos", "term")).join(small(listed, listed.count()), "term")
+    each = own.select("_row", "doc_id", "mark", "w", F.posexplode("w").alias("pos", "term"))
     lead = F.least(F.col("pos"), F.lit(size - 1))
     around = F.when(F.col("term") != END, F.array_join(F.slice("w", F.col("pos") - lead + 1, lead + size), " "))
-    return cut(each.select("_row", "doc_id", "mark", "term", "pos", around.alias("around"), lead.alias("lead")))
+    posting = ["_row", "doc_id", "mark", "term", "pos", around.alias("around"), lead.alias("lead")]
+    if n <= BROADCAST_ROWS:
+        return cut(each.join(F.broadcast(listed), "term").select(*posting))
+    # many terms: the join shuffles, so the words around are cut out first and no text travels with each of its words
+    return cut(each.select(*posting).join(listed, "term").select("_row", "doc_id", "mark", "term", "pos", "around", "lead"))
 
 
 def candidates(postings: DataFrame, rare: DataFrame) -> DataFrame:
@@ -132,37 +139,35 @@ def proximity(postings: DataFrame, rare: DataFrame, slack: int, missing: int = 1
     return held.filter(common).withColumn("gap", gap).filter("gap is not null").groupBy("_row", "window").agg(F.min("gap").alias("gap"))
 
 
-def near(docs: DataFrame, items: DataFrame, slack: int = 1, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """doc_id, n_near, near_items and near_gap (the least, null without a match) of every document: the items with a window that it holds exactly or nearly."""
-    wins = cut(windows(items, size=size))
-    rare = anchors(docs, wins, text, missing=1)
-    terms = rare.select(F.col("a1").alias("term")).union(rare.filter("a2 is not null").select("a2"))
-    postings = index(docs, terms, key, text, size + 2 * slack)
-    names = wins.groupBy("window").agg(F.collect_set("item_id").alias("ids"))
-    listed = proximity(postings, rare, slack).join(small(names, wins.count()), "window").groupBy("_row")
-    per = listed.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("near_items"), F.min("gap").alias("near_gap"))
-    out = postings.filter(F.col("term") == END).select("_row", "doc_id").join(per, "_row", "left").withColumn("near_items", F.coalesce("near_items", F.array().cast("array<string>")))
-    return out.select("doc_id", F.size("near_items").cast("long").alias("n_near"), "near_items", "near_gap")
-
+def report(docs: DataFrame, items: DataFrame, slack: int | None = None, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and mark of every document, by exact matches.
 
-def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items and mark of every document, by exact matches."""
+    With ``slack`` also n_near, near_items and near_gap (the least, null without a match), from the same postings: the
+    items with a window that the document holds exactly or nearly.
+    """
     wins = cut(windows(items, size=size))
-    rare = anchors(docs, wins, text)
+    rare = anchors(docs, wins, text, missing=0 if slack is None else 1)
     terms = rare.select(F.col("a1").alias("term")).union(rare.filter("a2 is not null").select("a2"))
-    postings = index(docs, terms, key, text, size)
+    postings = index(docs, terms, key, text, size + 2 * (slack or 0))
     found = phrases(postings, rare).withColumn("end", F.col("start") + F.col("len"))
     before = Window.partitionBy("_row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
     covered = found.withColumn("fresh", fresh)
     per = covered.groupBy("_row").agg(F.sum("fresh").cast("long").alias("n_hit"), F.collect_set("window").alias("windows"))
-    names = wins.groupBy("window").agg(F.collect_set("item_id").alias("ids"))
-    listed = per.select("_row", F.explode("windows").alias("window")).join(small(names, wins.count()), "window").groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
+    names = small(wins.groupBy("window").agg(F.collect_set("item_id").alias("ids")), wins.count())
+    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids"))))
+    listed = per.select("_row", F.explode("windows").alias("window")).join(names, "window").groupBy("_row").agg(merged.alias("items"))
     hits = per.select("_row", "n_hit").join(listed, "_row")
     ends = postings.filter(F.col("term") == END).select("_row", "doc_id", "mark", F.col("pos").cast("long").alias("n_words"))
-    out = ends.join(hits, "_row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    out = ends.join(hits, "_row", "left").withColumn("items", F.coalesce("items", none))
     n = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n > 0).alias("contaminated"), "items", "mark")
+    columns = ["doc_id", "n_words", n.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n > 0).alias("contaminated"), "items", "mark"]
+    if slack is not None:
+        close = proximity(postings, rare, slack).join(names, "window").groupBy("_row").agg(merged.alias("near_items"), F.min("gap").alias("near_gap"))
+        out = out.join(close, "_row", "left").withColumn("near_items", F.coalesce("near_items", none))
+        columns += [F.size("near_items").cast("long").alias("n_near"), "near_items", "near_gap"]
+    return out.select(*columns)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,7 +176,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     Equal texts fall alike, so documents are found again by a hash of the text and the number of words.
     """
     m, n = fresh(docs, "_mark", "_n")
-    bad = report(docs, items, key, text).filter("contaminated").select(F.col("mark").alias(m), F.col("n_words").alias(n)).distinct()
+    bad = report(docs, items, key=key, text=text).filter("contaminated").select(F.col("mark").alias(m), F.col("n_words").alias(n)).distinct()
     same = (F.xxhash64(F.col(text).cast("string")) == F.col(m)) & (F.size(words(F.col(text))) == F.col(n))
     return docs.join(few(bad), same, "left_anti")
 
@@ -185,17 +190,23 @@ grams AS (SELECT r, n, s, array_to_string(w[s + 1:s + n], ' ') AS g
     FROM (SELECT r, w, n, unnest(range(greatest(0, len(w) - n + 1))) AS s FROM t, (SELECT DISTINCT n FROM win) k) x),
 hit AS (SELECT r, item_id, s, grams.n AS n FROM grams JOIN win USING (n, g)),
 pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hit) x GROUP BY r),
-its AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY r)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM t LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+its AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM hit GROUP BY r),
+place AS (SELECT g, n, unnest(v) AS word, generate_subscripts(v, 1) - 1 AS o FROM (SELECT DISTINCT g, n, string_split(g, ' ') AS v FROM win) x),
+word AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM t),
+often AS (SELECT word, count(*) AS c FROM word GROUP BY word),
+anchor AS (SELECT g, word, o FROM place LEFT JOIN often USING (word) QUALIFY row_number() OVER (PARTITION BY g ORDER BY coalesce(c, 0), o) <= 2),
+off AS (SELECT unnest(range(-{SLACK}, {SLACK + 1})) AS d),
+start AS (SELECT DISTINCT r, g, p - o + d AS s FROM word JOIN anchor USING (word), off),
+there AS (SELECT r, g, s, n, o, min(abs(d)) AS gap FROM (SELECT r, g, s, n, o, word, d, s + o + d AS p FROM start JOIN place USING (g), off) x JOIN word USING (r, word, p) GROUP BY r, g, s, n, o),
+near AS (SELECT r, g, CASE WHEN count(*) FILTER (gap = 0) >= n - (n = {WINDOW})::INT THEN 0 ELSE 1 END AS gap FROM there GROUP BY r, g, s, n HAVING count(*) >= n - (n = {WINDOW})::INT),
+close AS (SELECT r, count(DISTINCT item_id) AS n_near, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS near_items, min(gap) AS near_gap FROM near JOIN win USING (g) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+    coalesce(n_near, 0)::BIGINT AS n_near, coalesce(near_items, '') AS near_items, near_gap::INTEGER AS near_gap
+FROM t LEFT JOIN pos USING (r) LEFT JOIN its USING (r) LEFT JOIN close USING (r)
 """
 
 
 @query("op6_decontamination", SQL)
 def op6(spark, sf_dir):
-    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "mark")
-
-
-@query("op6_proximity")
-def op6_near(spark, sf_dir):
-    return near(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=SLACK)
+    return out.withColumn("near_items", F.array_join("near_items", ",")).drop("items", "mark")
