@@ -6,19 +6,26 @@ whose symbols have changed meanwhile are stale and skipped. A word of n symbols
 unbroken run of 100,000 letters is no special case. Decoding looks every id up and concatenates the
 vocabulary strings, with the separator that the tokenizer file implies (a space where it names no decoder).
 
+Characters that Unicode 3.2 lacks may have other properties in Python's tables than in the tokenizer library's (letter
+or not, lower case, order of marks); a part of a text that holds one is normalised and cut into words by the library
+itself, and its words are merged here like all others. Everything else is done here.
+
 Words repeat, so each worker keeps the results of the words it has seen in two generations of a bounded
 cache; nothing depends on what is cached. The tokenizer file is read once on the driver from a path that
 is a parameter (about 2 MB, broadcast).
 
 Edge cases: null and empty texts give no ids and the empty string; ids and text survive repeated rows,
-very long texts and words; an empty table gives no rows; other columns are ignored.
+very long texts and words; an empty table gives no rows; other columns are ignored. A tokenizer file with parts that
+aren't known here is refused with an error.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
+from functools import cache
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -32,6 +39,10 @@ from tidegauge.llm.common import query, slices, table
 #: Words that one generation of a worker's cache holds; longer words than CACHED_LENGTH aren't kept.
 CACHED_WORDS = 100_000
 CACHED_LENGTH = 64
+# What a tokenizer file must say for its texts to be normalised and cut here.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _byte_letters() -> list[str]:
@@ -41,14 +52,36 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+@cache
+def _unsure() -> re.Pattern:
+    """A character that Unicode 3.2 doesn't assign."""
+    assigned = unicodedata.ucd_3_2_0.category
+    ranges, first = [], None
+    for c in range(0x110001):
+        out = c < 0x110000 and assigned(chr(c)) == "Cn"
+        if out and first is None:
+            first = c
+        elif not out and first is not None:
+            ranges.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return re.compile("[" + "".join(ranges) + "]")
+
+
 class Bpe:
-    """The parts of a tokenizer file that encoding and decoding need."""
+    """The parts of a tokenizer file that encoding and decoding need; other parts than these are refused."""
 
     def __init__(self, spec: str):
         t = json.loads(spec)
         model = t["model"]
-        if model["type"] != "BPE" or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
-            raise ValueError("only byte-level BPE without prefixes is supported")
+        others = ("unk_token", "dropout", "continuing_subword_prefix", "byte_fallback", "fuse_unk", "ignore_merges")
+        if model["type"] != "BPE" or any(model.get(k) for k in others) or t.get("decoder") is not None:
+            raise ValueError("only byte-level BPE with word ends and without a decoder is supported")
+        steps = (t.get("normalizer") or {}).get("normalizers")
+        cuts = (t.get("pre_tokenizer") or {}).get("pretokenizers")
+        if steps != NORMALIZER or not cuts or len(cuts) != 2 or cuts[0].get("type") != "Split" or (cuts[0].get("behavior"), cuts[0].get("invert")) != ("Removed", True) or cuts[1] != BYTES:
+            raise ValueError("the normalizer or pre-tokenizer of this file isn't supported")
+        if any(a["normalized"] or a["single_word"] or a["lstrip"] or a["rstrip"] for a in t["added_tokens"]):
+            raise ValueError("added tokens must match literally")
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.end = model.get("end_of_word_suffix") or ""
         self.width = max(self.vocab.values()) + 1
@@ -59,17 +92,17 @@ class Bpe:
         special = {a["content"]: a["id"] for a in t["added_tokens"]}
         self.special = special
         self.strings = {i: s for s, i in {**self.vocab, **special}.items()}
-        self.joint = " " if t.get("decoder") is None else ""
+        self.joint = " "
         parts = sorted(special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, parts)) + ")") if parts else None
-        steps = (t.get("normalizer") or {}).get("normalizers", [])
-        self.nfc = any(s["type"] == "NFC" for s in steps)
-        self.lower = any(s["type"] == "Lowercase" for s in steps)
-        pattern = next(s["pattern"]["Regex"] for s in t["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
-        self.pattern = regex.compile(pattern, regex.V0)
+        self.pattern = regex.compile(cuts[0]["pattern"]["Regex"], regex.V0)
+        #: Whether runs of letters, and points and commas among letters, are words by themselves.
+        self.plain = cuts[0]["pattern"]["Regex"] == PATTERN
         letters = _byte_letters()
+        self.bytes = {c: b for b, c in enumerate(letters)}
         self.inner, self.last = [self.vocab.get(x) for x in letters], [self.vocab.get(x + self.end) for x in letters]
         self.complete = None not in self.inner and None not in self.last
+        self.spec, self._library = spec, None
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word by the queue of merge ranks."""
@@ -105,18 +138,29 @@ class Bpe:
                 heappush(queue, m[0] * n + h)
         return [x for x in ids if x >= 0]
 
-    def pieces(self, text: str) -> Iterator[str | int]:
-        """Ids of special tokens that stand in the text, and the normalised text between them."""
+    def pieces(self, text: str) -> Iterator[str | int | list[str]]:
+        """Ids of special tokens that stand in the text, and between them the normalised text, or its words where the library has to cut them."""
         for part in self.specials.split(text) if self.specials else [text]:
             if part in self.special:
                 yield self.special[part]
             elif part:
-                if self.nfc and not part.isascii():
+                if part.isascii():
+                    yield part.lower()
+                elif _unsure().search(part):
+                    yield self.library_words(part)
+                else:
                     part = unicodedata.normalize("NFC", part)
-                if self.lower:
                     # character by character: no final sigma
-                    part = part.lower() if "Σ" not in part else part.replace("Σ", "σ").lower()
-                yield part
+                    yield part.lower() if "Σ" not in part else part.replace("Σ", "σ").lower()
+
+    def library_words(self, part: str) -> list[str]:
+        """Words of a part as the tokenizer library normalises and cuts it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self.spec)
+        t = self._library
+        return [bytes(map(self.bytes.__getitem__, w)).decode("utf-8") for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(part))]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text."""
@@ -125,7 +169,7 @@ class Bpe:
             if isinstance(part, int):
                 out.append(part)
             else:
-                for word in self.pattern.findall(part):
+                for word in self.pattern.findall(part) if isinstance(part, str) else part:
                     out += self.merge(word)
         return out
 
@@ -142,12 +186,12 @@ class Cached:
         self.young: dict[str, tuple[int, str, str]] = {}
         self.old: dict[str, tuple[int, str, str]] = {}
 
-    def run(self, run: str) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by spaces, and their decoded text."""
+    def run(self, run: str, whole: bool = False) -> tuple[int, str, str]:
+        """Number of ids, the ids joined by spaces, and their decoded text; ``whole``: the run is one word."""
         got = self.young.get(run) or self.old.get(run)
         if got is None:
             ids: list[int] = []
-            for word in [run] if run.isalpha() else self.bpe.pattern.findall(run):
+            for word in [run] if whole or run.isalpha() else self.bpe.pattern.findall(run):
                 ids += self.bpe.merge(word)
             got = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
         if len(run) <= CACHED_LENGTH:
@@ -163,6 +207,10 @@ class Cached:
         for part in self.bpe.pieces(text or ""):
             if isinstance(part, int):
                 found = [(1, str(part), self.bpe.strings[part])]
+            elif isinstance(part, list):
+                found = [run(x, True) for x in part]
+            elif not self.bpe.plain:
+                found = [run(x, True) for x in self.bpe.pattern.findall(part)]
             else:
                 if not _MARKS.search(part):  # points and commas by themselves: the words before them are then found in the cache
                     part = part.replace(".", " . ").replace(",", " , ")
