@@ -45,6 +45,18 @@ def test_history_and_nonmembers(spark):
     assert {(r.keep_id, r.n, r.known) for r in E.groups(new, old.limit(0)).collect()} == {(5, 1, False), (20, 1, False), (7, 2, False)}
 
 
+def test_small_history_beside_a_large_batch(spark):
+    """The batch is dealt over as many shards as it needs, whatever the history holds."""
+    new = E.digests(docs(spark, [(i, f"t{i % 900}") for i in range(1000)]))
+    for old in ([(5000, "t1"), (5001, "other")], []):
+        history = E.digests(docs(spark, old))
+        got = {r.keep_id: (r.n, r.known) for r in E.groups(new, history, shard_keys=100).collect()}
+        assert len(got) == 900 + bool(old) and sum(n for n, _ in got.values()) == 1000 + len(old)
+        assert {i for i, (_, k) in got.items() if k} == ({5000, 5001} if old else set())
+        shards = E._winners(new, 10).groupBy("shard").count().collect()
+        assert len(shards) == 10 and max(r["count"] for r in shards) < 200
+
+
 def test_dedup_keeps_columns(spark):
     df = docs(spark, ODD + [(50, "x"), (51, "x")])
     out = E.dedup(df)

@@ -8,7 +8,7 @@ and compares all 32 bytes, since a minimal perfect hash gives a slot to nonmembe
 their slot's group; nonmembers are grouped among themselves by digest.
 
 Rows of equal digest are counted before any shuffle, so a text that fills a third of the corpus is one
-row by the time it reaches a shard. Shards hold about ``SHARD_KEYS`` digests at any corpus size.
+row by the time it reaches a shard. A shard meets at most about ``SHARD_KEYS`` digests of either side at any corpus size.
 
 Edge cases: a null text counts as empty; of repeated rows (same id and text) exactly one is kept; a null
 id loses to any other; an empty table gives no rows; other columns are ignored by :func:`groups` and
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.llm.common import cut, fresh, query, rows_once, small, table, text_of
 
-#: Distinct digests in a shard, about.
+#: Distinct digests of either side in a shard, about.
 SHARD_KEYS = 10_000
 _PER_BUCKET = 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -157,8 +157,12 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def groups(rows: DataFrame, history: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """Index ``history`` (rows as from :func:`digests`), look ``rows`` up, and return the groups of both."""
-    shards = max(1, -(-history.count() // shard_keys))
+    """Index ``history`` (rows as from :func:`digests`), look ``rows`` up, and return the groups of both.
+
+    A task reads one shard of the history with the rows that fall into it, so the larger side sets how many there are: a
+    history that is small or empty beside the batch is no bottleneck.
+    """
+    shards = max(1, -(-max(history.count(), rows.count()) // shard_keys))
     return look_up(build_index(history, shards), rows, shards)
 
 
