@@ -43,24 +43,47 @@ def sized_join(many: DataFrame, one: DataFrame, on: Sequence[str], size: str, ho
     return dealt.join(repeated, [*on, "_part"]).drop("_part")
 
 
+#: Rows of a side, counted, that is broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
+def match(many: DataFrame, one: DataFrame, on: Sequence[str], rows: int) -> DataFrame:
+    """Inner join with a side that is materialised, counted, and broadcast if it has at most ``BROADCAST_ROWS`` rows, else by :func:`skew_join`."""
+    held = cut(one)
+    return many.join(F.broadcast(held), list(on)) if held.count() <= BROADCAST_ROWS else skew_join(many, held, on, rows)
+
+
+#: Edges, counted, up to which the nodes' minima are broadcast and the work is done in one partition for each ``PART_EDGES``.
+FEW_EDGES, PART_EDGES = 100_000, 20_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): the smallest node it is joined to, by large and small stars in turn.
 
-    The root of a large component is a node of as many edges, so both stars join by :func:`skew_join`.
+    The root of a large component is a node of as many edges, so both stars join by :func:`skew_join` unless there are
+    few edges in all.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before, n = None, e.count()
+
+    def packed(df: DataFrame) -> DataFrame:
+        return df.coalesce(n // PART_EDGES + 1) if n <= FEW_EDGES else df
+
+    def join(many: DataFrame, low: DataFrame) -> DataFrame:
+        return many.join(F.broadcast(packed(low)), "u") if n <= FEW_EDGES else skew_join(many, low, ["u"], 2 * n)
+
+    e = packed(e)
     while True:
         both = e.select(_both(("u", "v"), ("v", "u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = skew_join(both, low, ["u"], 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        # a node keeps no more edges to smaller ones than it has, so 2 n bounds the rows here too
-        e = cut(skew_join(large, low, ["u"], 2 * n).select(_both(("v", "m"), ("u", "m"))).filter("u <> v").distinct())
+        e = cut(packed(join(large, low).select(_both(("v", "m"), ("u", "m"))).filter("u <> v").distinct()))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(_both(("u", "v"), ("v", "v"))).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-        before, n = now, now[0]
+        before = now
+        n = max(n, now[0])
 
 
 def _both(*pairs: tuple[str, str]) -> Column:
