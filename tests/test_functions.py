@@ -211,3 +211,46 @@ def test_minhash(spark):
     df = spark.createDataFrame([(1, [f"t{i}" for i in range(100)]), (2, [f"t{i}" for i in range(50, 150)])], "k int, s array<string>")
     a, b = (r.signature for r in simhash.minhash(df, "k", "s", 128).orderBy("k").collect())
     assert abs(sum(x == y for x, y in zip(a, b, strict=True)) / 128 - 1 / 3) < 0.15
+
+
+def test_bundlers(spark):
+    from tidegauge.operators.filters import bundler
+
+    want = {
+        "Cannot find module MODULE_NOT_FOUND null:!1": "browserify_like",
+        "Cannot find module MODULE_NOT_FOUND l:!1": "webpack",
+        "Cannot find module MODULE_NOT_FOUND x__vitePreloady": "browserify_like",
+        "Cannot find module MODULE_NOT_FOUND x__createy": "unknown",
+        "Cannot find module MODULE_NOT_FOUND unloaded:!1": "unknown",
+        "Cannot find module": "unknown",
+        "function o (a) MODULE_NOT_FOUND": "browserify",
+        "__esm": "esbuild",
+        "x__esm": "unknown",
+        "module.exports = require(1)": "parcel",
+        "module.exports": "unknown",
+        "typeof  globalThis": "rollup",
+        "$fsx.r(1)": "fusebox",
+        "my webpacked": "webpack",
+    }
+    got = {r.t: r.b for r in spark.createDataFrame([(t,) for t in want], "t string").select("t", bundler(F.col("t")).alias("b")).collect()}
+    assert got == want
+
+
+def test_script_fields_are_put_together(spark):
+    rows = [("u", "1", "2", "f"), ("", "https://x", "/a.js:1", "f"), (None, "", "/a.js", "https://x"), (None, None, "/a.js", "https://x"), ("", "1", "", "f"), ("", "", "7", ""), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "u string, l string, c string, f string")
+    got = [tuple(r) for r in df.select(*T.repair_script_fields(*(F.col(c) for c in "ulcf"))).collect()]
+    assert got == [("u", "1", "2", "f", False), ("https://x/a.js:1", "", "", "f", True), ("https://x/a.js", "", "", "", True), ("https://x/a.js", None, "", "", True), ("", "1", "", "f", False), ("", "", "7", "", False), (None, None, None, None, False)]
+
+
+def test_bodies_and_records(spark):
+    rows = [(b"a=1&b=x+y%21&a=2&c", "application/x-www-form-urlencoded"), (b"\xff\x00", "image/png"), (None, None), (b"", None), (b"%zz=1&&=v", "APPLICATION/X-WWW-FORM-URLENCODED")]
+    df = spark.createDataFrame(rows, "b binary, k string")
+    got = [tuple(r) for r in df.select(*T.post_body(F.col("b"), F.col("k"))).collect()]
+    assert got == [('{"a":["1","2"],"b":["x y!"],"c":[""]}', None), (None, '[[null,"/wA="]]'), (None, None), (None, '[[null,""]]'), ('{"":["v"],"%zz":["1"]}', None)]
+    df = spark.createDataFrame([(True, False), (False, False), (None, None), (False, True)], "r boolean, s boolean")
+    assert [r[0] for r in df.select(T.record_type(F.col("r"), F.col("s"))).collect()] == ["deleted", "added-or-changed", "added-or-changed", "manual-export"]
+    df = spark.createDataFrame([(b"ok \xff\xc3", 1), (None, 2)], "b binary, i int")
+    assert [tuple(r) for r in df.select(T.coerce(F.col("b"), "bytes"), T.coerce(F.struct("i"), "record"), T.coerce(F.col("i"), "function")).collect()] == [("ok ", '{"i":1}', "1"), (None, '{"i":2}', "2")]
+    ids = {r[0] for r in spark.createDataFrame([("a", None), (None, "a"), ("a", "a"), ("aa", "")], "x string, y string").select(T.stable_id(F.col("x"), F.col("y"))).collect()}
+    assert len(ids) == 4 and all(len(i) == 36 for i in ids)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 
 def cookie_name(pair: Column, trim: bool = False) -> Column:
@@ -44,15 +44,20 @@ def regex_escape(text: Column) -> Column:
 
 
 def repair_script_fields(url: Column, line: Column, col: Column, func: Column) -> list[Column]:
-    """Move fields back that a call site ``url:line:col`` or a ``func@url`` shifted into the URL."""
-    tail = url.rlike(r":\d+:\d+$")
-    at = url.contains("@")
-    u = F.when(at, F.substring_index(url, "@", -1)).otherwise(url)
+    """script_url, script_line, script_col, func_name and repaired: a URL that was split over the fields behind it is put together.
+
+    Without a URL, line and column are its two halves where both are there, else function and column where those are and
+    the line isn't; the fields that the URL came from become empty. Null counts as empty; all else stays as it is.
+    """
+    empty = lambda c: F.coalesce(c.cast("string"), F.lit("")) == ""
+    by_line = empty(url) & ~empty(line) & ~empty(col)
+    by_func = empty(url) & empty(line) & ~empty(col) & ~empty(func)
     return [
-        F.regexp_replace(u, r":\d+:\d+$", "").alias("script_url"),
-        F.when(tail, F.regexp_extract(url, r":(\d+):\d+$", 1)).otherwise(line).alias("script_line"),
-        F.when(tail, F.regexp_extract(url, r":(\d+)$", 1)).otherwise(col).alias("script_col"),
-        F.when(at, F.substring_index(url, "@", 1)).otherwise(func).alias("func_name"),
+        F.when(by_line, F.concat(line, col)).when(by_func, F.concat(func, col)).otherwise(url).alias("script_url"),
+        F.when(by_line, "").otherwise(line).alias("script_line"),
+        F.when(by_line | by_func, "").otherwise(col).alias("script_col"),
+        F.when(by_func, "").otherwise(func).alias("func_name"),
+        (by_line | by_func).alias("repaired"),
     ]
 
 
@@ -63,9 +68,15 @@ def drop_tokens(text: Column, stop: Sequence[str]) -> Column:
 
 
 def ngrams(text: Column, width: int) -> Column:
-    """Character n-grams; a shorter text is its only gram."""
-    n = F.greatest(F.length(text) - width + 1, F.lit(1))
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(width)))
+    """Character n-grams; a shorter text is its only gram. The text is cut into characters once, so the time grows with the text."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+    def grams(c: Column) -> Column:
+        n = F.greatest(F.size(c) - width + 1, F.lit(1))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(*(F.coalesce(F.get(c, i + k), F.lit("")) for k in range(width))))
+
+    # by way of an array of one, so that the characters are cut once and not for every gram
+    return F.transform(F.array(chars), grams)[0]
 
 
 def shift(ts: Column, hours: int) -> Column:
@@ -155,3 +166,60 @@ def length_ok(a: Column, b: Column, most: float = 0.25) -> Column:
     """Lengths differ by at most the share of the longer; two empty texts pass, one empty text doesn't."""
     n, m = F.length(a), F.length(b)
     return F.when((n == 0) & (m == 0), True).when((n == 0) | (m == 0), False).otherwise(F.abs(n - m) / F.greatest(n, m) <= most)
+
+
+def crawl_state(status: Column, started: Column, duration_ms: Column, hours: int = 2) -> list[Column]:
+    """state, timeout, start and finish of a page visit from its command's status: ok and timeout count as crawled (1), anything else as failed (-1)."""
+    start = shift(started, hours)
+    finish = F.timestamp_micros(F.unix_micros(start) + duration_ms.cast("bigint") * 1000)
+    return [F.when(status.isin("ok", "timeout"), 1).otherwise(-1).alias("state"), F.coalesce(status == "timeout", F.lit(False)).cast("int").alias("timeout"), start.alias("start"), finish.alias("finish")]
+
+
+# The operations that a script call record may name.
+OPERATIONS = ["call", "get", "get(failed)", "get(function)", "set", "set(failed)", "set(prevented)"]
+
+
+def known_operation(operation: Column) -> Column:
+    return F.coalesce(operation.isin(*OPERATIONS), F.lit(False))
+
+
+def record_type(removed: Column, snapshot: Column | None = None) -> Column:
+    """``deleted`` for a cookie that was removed, else ``added-or-changed``; ``manual-export`` for records of a snapshot of the whole jar."""
+    kind = F.when(F.coalesce(removed, F.lit(False)), "deleted").otherwise("added-or-changed")
+    return kind if snapshot is None else F.when(F.coalesce(snapshot, F.lit(False)), "manual-export").otherwise(kind)
+
+
+def post_body(body: Column, kind: Column) -> list[Column]:
+    """post_body and post_body_raw of a request: form data as a JSON object of the lists of each field's values, anything else as ``[[file, base64 of the bytes]]`` with the file null.
+
+    ``body`` is binary, ``kind`` the content type; one of the two is null, both where there is no body. Fields are ordered by name.
+    """
+    text = body.cast("string")
+    pairs = F.transform(F.filter(F.split(text, "&"), lambda p: p != ""), lambda p: F.struct(_form(F.substring_index(p, "=", 1)).alias("k"), _form(F.when(p.contains("="), F.substring(p, F.instr(p, "=") + 1, F.length(p))).otherwise("")).alias("v")))
+    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["k"])))
+    fields = F.map_from_arrays(names, F.transform(names, lambda n: F.transform(F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"])))
+    form = F.coalesce(F.lower(kind).contains("application/x-www-form-urlencoded"), F.lit(False))
+    raw = F.to_json(F.array(F.array(F.lit(None).cast("string"), F.base64(body))))
+    return [F.when(body.isNotNull() & form, F.to_json(fields)).alias("post_body"), F.when(body.isNotNull() & ~form, raw).alias("post_body_raw")]
+
+
+def _form(part: Column) -> Column:
+    return F.coalesce(F.try_url_decode(part), part)
+
+
+def coerce(value: Column, kind: str) -> Column:
+    """What a store of texts takes: ``bytes`` as UTF-8 without what isn't valid, ``record`` (a struct, map or array) as JSON, ``function`` and others as text."""
+    if kind == "bytes":
+        return _valid_utf8(value)
+    return F.to_json(value) if kind == "record" else value.cast("string")
+
+
+@F.pandas_udf(StringType())
+def _valid_utf8(value: pd.Series) -> pd.Series:
+    return pd.Series([None if v is None else bytes(v).decode("utf-8", "ignore") for v in value], dtype=object)
+
+
+def stable_id(*parts: Column) -> Column:
+    """A UUID-shaped id that is the same for the same parts, whatever run or machine makes it (null parts count as a mark of their own)."""
+    h = F.md5(F.to_json(F.struct(*(p.cast("string").alias(f"c{i}") for i, p in enumerate(parts))), {"ignoreNullFields": "false"}).cast("binary"))
+    return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))

@@ -51,13 +51,43 @@ BUNDLERS: list[tuple[str, list[list[str]]]] = [
     ),
     ("vite", [[r"\b__vitePreload\b"], [r"\bimport\.meta\.env\b"], [r"\bmodulepreload\b"], [r"vite/modulepreload"]]),
     ("rollup", [[r"\bcommonjsGlobal\b"], [r"\bgetAugmentedNamespace\b"], [r"typeof\s+globalThis\b"]]),
-    ("esbuild", [[rf"\b__{w}\b"] for w in "commonJS toModule markAsModule toCommonJS exportStar create defProp getOwnPropDesc getOwnPropNames getProtoOf reExport require esm export".split()]),
+    (
+        "esbuild",
+        [
+            [r"\b__commonJS\b"],
+            [r"\b__toModule\b"],
+            [r"\b__markAsModule\b"],
+            [r"\b__toCommonJS\b"],
+            [r"\b__exportStar\b"],
+            [r"\b__create\b"],
+            [r"\b__defProp\b"],
+            [r"\b__getOwnPropDesc\b"],
+            [r"\b__getOwnPropNames\b"],
+            [r"\b__getProtoOf\b"],
+            [r"\b__reExport\b"],
+            [r"\b__require\b"],
+            [r"\b__esm\b"],
+            [r"\b__export\b"],
+        ],
+    ),
     ("fusebox", [[r"FuseBox\.pkg\("], [r"FuseBox\.import\("], [r"\$fsx\.r\("], [r"\$fsx\.m\("]]),
     ("browserify", [[r"\bfunction\s+o\s*\(", r"\bMODULE_NOT_FOUND\b"]]),
+    # only where no mark of another bundler is found, for most of them not even inside a longer word
+    (
+        "browserify_like",
+        [
+            [
+                r"Cannot find module",
+                r"\bMODULE_NOT_FOUND\b",
+                r"!__webpack_require__|__webpack_modules__|__webpack_module_cache__|webpackChunk|webpackJsonp|loaded\s*:\s*!1|\bl\s*:\s*!1|Symbol\.toStringTag"
+                r"|parcelRequire|isParcelRequire|@parcel/runtime-js|newRequire\.Module|newRequire\.modules|newRequire\.cache|newRequire\.parent|newRequire\.register"
+                r"|\b__vitePreload|import\.meta\.env|modulepreload|vite/modulepreload|commonjsGlobal|getAugmentedNamespace|typeof\s+globalThis"
+                r"|__commonJS|__toModule|__markAsModule|__toCommonJS|__exportStar|__create|__defProp|__getOwnPropDesc|__getOwnPropNames|__getProtoOf|__reExport|__require|__esm|__export"
+                r"|FuseBox\.pkg\(|FuseBox\.import\(|\$fsx\.r\(|\$fsx\.m\(|function\s+o\s*\(",
+            ]
+        ],
+    ),
 ]
-# The last rule only holds where no other bundler's mark is found, not even inside a longer word.
-_MARKS = "|".join(p.replace(r"\b", "") for _, rule in BUNDLERS for ps in rule if len(ps) == 1 for p in ps if p != r"\bnewRequire\(")
-BUNDLERS.append(("browserify_like", [[r"Cannot find module", r"\bMODULE_NOT_FOUND\b", "!" + _MARKS + r"|function\s+o\s*\("]]))
 
 
 def bundler(text: Column, rules: Sequence[tuple[str, list[list[str]]]] = tuple(BUNDLERS)) -> Column:
@@ -75,13 +105,6 @@ def bundler(text: Column, rules: Sequence[tuple[str, list[list[str]]]] = tuple(B
     return out.otherwise("unknown")
 
 
-def bundler_sql(text: str, rules: Sequence[tuple[str, list[list[str]]]] = tuple(BUNDLERS)) -> str:
-    """The same as a CASE expression of DuckDB."""
-    quote = lambda p: p.replace("'", "''")
-    one = lambda ps: " AND ".join(f"{'NOT ' * (p[0] == '!')}regexp_matches({text}, '{quote(p.removeprefix('!'))}')" for p in ps)
-    return "CASE " + " ".join(f"WHEN {' OR '.join(f'({one(ps)})' for ps in alternatives)} THEN '{label}'" for label, alternatives in rules) + " ELSE 'unknown' END"
-
-
 def entropy_flag(value: Column, least: int = 8) -> Column:
     """True for values of at least ``least`` characters, else null: the flag is never set to false."""
     return F.when(value.isNotNull() & (F.length(value) >= least), True)
@@ -192,13 +215,27 @@ def _(s, d):
     return view(s, d, "bk").groupBy("cookie").agg(F.count("*").alias("cluster_count")).filter("cluster_count >= 100")
 
 
-# Script texts with a fingerprint each, so that every class has members.
-_SCRIPT = "concat(html, CASE page_id % 9 WHEN 0 THEN 'self.webpackChunk=[]' WHEN 1 THEN 'parcelRequire(1)' WHEN 2 THEN 'import.meta.env' WHEN 3 THEN 'commonjsGlobal' WHEN 4 THEN '__toCommonJS' WHEN 5 THEN 'FuseBox.pkg(' WHEN 6 THEN 'function o (e) MODULE_NOT_FOUND' WHEN 7 THEN 'Cannot find module MODULE_NOT_FOUND' WHEN 8 THEN 'Cannot find module MODULE_NOT_FOUND x__createy' ELSE '' END)"
-
-
-@query("case_bundle_classify", f"SELECT {bundler_sql('t')} AS bundle, count(*) AS n FROM (SELECT {_SCRIPT} AS t FROM pages) x GROUP BY bundle")
+# Script texts with a fingerprint each, so that every class has members, and some that only part of a rule fits.
+_SCRIPT = "concat(html, CASE page_id % 14 WHEN 0 THEN 'self.webpackChunk=[]' WHEN 1 THEN 'parcelRequire(1)' WHEN 2 THEN 'import.meta.env' WHEN 3 THEN 'commonjsGlobal' WHEN 4 THEN '__toCommonJS' WHEN 5 THEN 'FuseBox.pkg(' WHEN 6 THEN 'function o (e) MODULE_NOT_FOUND' WHEN 7 THEN 'Cannot find module MODULE_NOT_FOUND' WHEN 8 THEN 'Cannot find module MODULE_NOT_FOUND x__createy' WHEN 9 THEN 'Cannot find module MODULE_NOT_FOUND {null:!1}' WHEN 10 THEN 'Cannot find module MODULE_NOT_FOUND x__vitePreloady' WHEN 11 THEN 'module.exports=require(1)' WHEN 12 THEN 'module.exports=1' ELSE '' END)"
+_BUNDLE = r"""CASE
+  WHEN regexp_matches(t, '\b__webpack_require__\b|\b__webpack_modules__\b|\b__webpack_module_cache__\b|\b__webpack_exports\b|\b__webpack_hash__\b|\b__webpack_get_script_filename__\b|\bwebpackChunk\b|\bwebpackJsonp\b|\bloaded\s*:\s*!1\b|\bl\s*:\s*!1\b|\bSymbol\.toStringTag\b') OR contains(t, 'webpack') THEN 'webpack'
+  WHEN regexp_matches(t, '\bparcelRequire\b|\bisParcelRequire\b|@parcel/runtime-js|\bnewRequire\(|newRequire\.Module|newRequire\.modules|newRequire\.cache|newRequire\.parent|newRequire\.register') OR (regexp_matches(t, '\bmodule\.exports\b') AND regexp_matches(t, '\brequire\(')) THEN 'parcel'
+  WHEN regexp_matches(t, '\b__vitePreload\b|\bimport\.meta\.env\b|\bmodulepreload\b|vite/modulepreload') THEN 'vite'
+  WHEN regexp_matches(t, '\bcommonjsGlobal\b|\bgetAugmentedNamespace\b|typeof\s+globalThis\b') THEN 'rollup'
+  WHEN regexp_matches(t, '\b__commonJS\b|\b__toModule\b|\b__markAsModule\b|\b__toCommonJS\b|\b__exportStar\b|\b__create\b|\b__defProp\b|\b__getOwnPropDesc\b|\b__getOwnPropNames\b|\b__getProtoOf\b|\b__reExport\b|\b__require\b|\b__esm\b|\b__export\b') THEN 'esbuild'
+  WHEN contains(t, 'FuseBox.pkg(') OR contains(t, 'FuseBox.import(') OR contains(t, '$fsx.r(') OR contains(t, '$fsx.m(') THEN 'fusebox'
+  WHEN regexp_matches(t, '\bfunction\s+o\s*\(') AND regexp_matches(t, '\bMODULE_NOT_FOUND\b') THEN 'browserify'
+  WHEN contains(t, 'Cannot find module') AND regexp_matches(t, '\bMODULE_NOT_FOUND\b')
+    AND NOT regexp_matches(t, '__webpack_require__|__webpack_modules__|__webpack_module_cache__|webpackChunk|webpackJsonp|loaded\s*:\s*!1|\bl\s*:\s*!1|Symbol\.toStringTag')
+    AND NOT regexp_matches(t, 'parcelRequire|isParcelRequire|@parcel/runtime-js|newRequire\.(Module|modules|cache|parent|register)')
+    AND NOT regexp_matches(t, '\b__vitePreload|import\.meta\.env|modulepreload|commonjsGlobal|getAugmentedNamespace|typeof\s+globalThis')
+    AND NOT regexp_matches(t, '__commonJS|__toModule|__markAsModule|__toCommonJS|__exportStar|__create|__defProp|__getOwnPropDesc|__getOwnPropNames|__getProtoOf|__reExport|__require|__esm|__export|FuseBox\.pkg\(|FuseBox\.import\(|\$fsx\.[rm]\(|function\s+o\s*\(') THEN 'browserify_like'
+  ELSE 'unknown' END"""
+
+
+@query("case_bundle_classify", f"SELECT page_id, {_BUNDLE} AS bundle FROM (SELECT page_id, {_SCRIPT} AS t FROM pages) x")
 def _(s, d):
-    return s.read.parquet(f"{d}/pages.parquet").select(F.expr(_SCRIPT).alias("t")).groupBy(bundler(F.col("t")).alias("bundle")).agg(F.count("*").alias("n"))
+    return s.read.parquet(f"{d}/pages.parquet").select("page_id", F.expr(_SCRIPT).alias("t")).select("page_id", bundler(F.col("t")).alias("bundle"))
 
 
 @query("case_dominance", "SELECT hash, CASE WHEN tp > fp THEN 'third' ELSE 'first' END AS party FROM (SELECT hash, count(*) FILTER (first_party_script) AS fp, count(*) FILTER (NOT first_party_script) AS tp FROM mem GROUP BY hash) x")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.plans.views import view
+from tidegauge.plans.views import select, view
 from tidegauge.registry import query
 
 #: A side is broadcast only up to this many counted rows.
@@ -46,16 +46,36 @@ def flag_in(df: DataFrame, keys: DataFrame, on: str, flag: str) -> DataFrame:
     return out.withColumn(flag, F.when(F.col(on).isNotNull(), F.coalesce("_hit", F.lit(False)))).drop("_hit")
 
 
+def own_prefixes(values: DataFrame, col: str, prefixes: DataFrame, prefix: str) -> DataFrame:
+    """(col, prefix) of each distinct value and each listed prefix that it starts with.
+
+    Instead of a theta join, the value's own prefixes of the listed lengths are looked up; the lengths are one array.
+    """
+    lengths = F.broadcast(prefixes.agg(F.array_sort(F.collect_set(F.length(prefix))).alias("_lengths")))  # one row
+    v = values.select(col).distinct().filter(F.col(col).isNotNull())
+    fits = F.filter("_lengths", lambda n: n <= F.length(col))
+    parts = v.crossJoin(lengths).select(col, F.explode(F.transform(fits, lambda n: F.substring(F.col(col), F.lit(1), n))).alias(prefix))
+    return parts.join(prefixes.select(prefix).distinct(), prefix).select(col, prefix)
+
+
 def longest_prefix(values: DataFrame, col: str, prefixes: DataFrame, prefix: str) -> DataFrame:
-    """Each distinct value with the longest listed prefix that it starts with (null if none).
+    """Each distinct value with the longest listed prefix that it starts with (null if none)."""
+    found = own_prefixes(values, col, prefixes, prefix).groupBy(col).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
+    return values.select(col).distinct().join(found, col, "left")
 
-    Instead of a theta join, the value's own prefixes of the listed lengths are looked up.
+
+def name_overlap(ours: DataFrame, theirs: DataFrame, name: str) -> DataFrame:
+    """One row: distinct names of both sides, names in both, ours that start with one of theirs, theirs that start with one of ours, and the percentages (of ours, ours, theirs).
+
+    Empty names are names, but no prefixes and without any.
     """
-    lengths = [r[0] for r in prefixes.select(F.length(prefix)).distinct().orderBy(F.desc(F.length(prefix))).limit(1000).collect()]
-    v = values.select(col).distinct()
-    parts = v.select(col, F.explode(F.array(*(F.substring(col, 1, n) for n in lengths)) if lengths else F.array().cast("array<string>")).alias(prefix))
-    found = parts.join(prefixes.select(prefix).distinct(), prefix).groupBy(col).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
-    return v.join(found, col, "left")
+    a, b = (x.select(name).filter(F.col(name).isNotNull()).distinct() for x in (ours, theirs))
+    one = lambda df, n: F.broadcast(df.agg(F.count("*").alias(n)))  # noqa: E731  (a row each)
+    full, other = a.filter(F.col(name) != ""), b.filter(F.col(name) != "")
+    prefix = lambda v, p: own_prefixes(v, name, p.withColumnRenamed(name, "_p"), "_p").select(name).distinct()
+    out = one(a, "n_ours").crossJoin(one(b, "n_theirs")).crossJoin(one(a.join(b, name, "left_semi"), "n_exact")).crossJoin(one(prefix(full, other), "n_prefix")).crossJoin(one(prefix(other, full), "n_reverse"))
+    pct = lambda n, of: F.round(F.try_divide(F.col(n) * 100.0, F.col(of)), 2)
+    return out.select("*", pct("n_exact", "n_ours").alias("exact_pct"), pct("n_prefix", "n_ours").alias("prefix_pct"), pct("n_reverse", "n_theirs").alias("reverse_pct"))
 
 
 def domain_variants(host: Column) -> Column:
@@ -211,10 +231,19 @@ def in_cookiejar(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return df.join(last, list(keys)).select("event_ordinal", (F.struct(*order) == F.col("_last")).alias("in_cookiejar"))
 
 
-@query("join_prefix_overlap", "SELECT DISTINCT a.name FROM (SELECT DISTINCT name FROM ck) a JOIN (SELECT DISTINCT left(cookie_name, 4) AS p FROM mem) b ON starts_with(a.name, b.p)")
+# Names of ours, and of another list that holds some of them, beginnings of others, and longer ones.
+_OURS = "SELECT DISTINCT name FROM ck UNION SELECT ''"
+_THEIRS = "SELECT DISTINCT CASE l_partkey % 4 WHEN 0 THEN left(cookie_name, 4) WHEN 1 THEN concat(cookie_name, '_x') WHEN 2 THEN cookie_name ELSE concat('zz', cookie_name) END AS name FROM (SELECT l_partkey, concat('ck_', cast(l_partkey % 60 AS string)) AS cookie_name FROM lineitem) x"
+
+
+@query(
+    "join_prefix_overlap",
+    f"""WITH a AS ({_OURS}), b AS ({_THEIRS}), n AS (SELECT (SELECT count(*) FROM a) AS n_ours, (SELECT count(*) FROM b) AS n_theirs, (SELECT count(*) FROM a WHERE name IN (SELECT name FROM b)) AS n_exact,
+    (SELECT count(*) FROM a WHERE name <> '' AND EXISTS (SELECT 1 FROM b WHERE b.name <> '' AND starts_with(a.name, b.name))) AS n_prefix, (SELECT count(*) FROM b WHERE name <> '' AND EXISTS (SELECT 1 FROM a WHERE a.name <> '' AND starts_with(b.name, a.name))) AS n_reverse)
+    SELECT *, round(n_exact * 100.0 / n_ours, 2)::DOUBLE AS exact_pct, round(n_prefix * 100.0 / n_ours, 2)::DOUBLE AS prefix_pct, round(n_reverse * 100.0 / n_theirs, 2)::DOUBLE AS reverse_pct FROM n""",
+)
 def _(s, d):
-    p = view(s, d, "mem").select(F.substring("cookie_name", 1, 4).alias("p")).distinct()
-    return longest_prefix(view(s, d, "ck"), "name", p, "p").filter("p is not null").select("name")
+    return name_overlap(select(s, d, _OURS), select(s, d, _THEIRS), "name")
 
 
 @query("upd_set_where", "SELECT event_ordinal, CASE WHEN length(value) >= 8 THEN true ELSE first_party_cookie END AS first_party_cookie FROM ck")
@@ -254,11 +283,6 @@ def _(s, d):
     return base.unionByName(s.createDataFrame([(90, "ATLANTIS"), (91, None)], "k bigint, name string"))
 
 
-@query("any_command_failed", "SELECT visit_id, bool_or(operation LIKE '%failed%') AS failed FROM js GROUP BY visit_id")
-def _(s, d):
-    return view(s, d, "js").groupBy("visit_id").agg(F.bool_or(F.col("operation").contains("failed")).alias("failed"))
-
-
 @query("join_unnest_offset_theta", "SELECT a.cookie AS a, b.cookie AS b, count(*) AS n FROM bk a JOIN bk b ON a.cluster_id = b.cluster_id AND a.cookie < b.cookie GROUP BY ALL")
 def _(s, d):
     return offset_pairs(view(s, d, "bk").groupBy("cluster_id").agg(F.array_sort(F.collect_set("cookie")).alias("items")), "items").groupBy("a", "b").agg(F.count("*").alias("n"))

@@ -165,9 +165,12 @@ def _(s, d):
 _HERE = " + ".join(f"(n_{p} > 0)::INT" for p in PROFILES)
 
 
-@query("agg_presence_all", f"WITH p AS ({_PIVOT}) SELECT * FROM p WHERE {_HERE} = 5")
+_SITES = _PIVOT.replace("visit_id", "site_id")
+
+
+@query("agg_presence_all", f"WITH p AS ({_SITES}) SELECT * FROM p WHERE {_HERE} = 5")
 def _(s, d):
-    return presence(_pivot(s, d), PROFILES, "all")
+    return presence(profile_pivot(view(s, d, "ck").filter("first_party_cookie"), "site_id", "browser_id", PROFILES), PROFILES, "all")
 
 
 @query("agg_presence_any_missing", f"WITH p AS ({_PIVOT}) SELECT * FROM p WHERE {_HERE} < 5")
@@ -181,9 +184,9 @@ def _(s, d):
     return g.filter(F.size("p") == 1).select("visit_id", "url", F.col("p")[0].alias("profile"))
 
 
-@query("agg_both_contexts", "SELECT name, count(*) FILTER (first_party_cookie) AS fp, count(*) FILTER (NOT first_party_cookie) AS tp FROM ck GROUP BY name HAVING fp > 0 AND tp > 0")
+@query("agg_both_contexts", "SELECT host, count(*) FILTER (first_party_cookie) AS fp, count(*) FILTER (NOT first_party_cookie) AS tp FROM ck GROUP BY host HAVING fp > 0 AND tp > 0")
 def _(s, d):
-    return both_contexts(view(s, d, "ck"), "name", "first_party_cookie")
+    return both_contexts(view(s, d, "ck"), "host", "first_party_cookie")
 
 
 @query("agg_pct_scalar_subq", "SELECT count(*) FILTER (ok) AS n, round(count(*) FILTER (ok) * 100.0 / count(*), 6)::DOUBLE AS pct FROM (SELECT url, bool_or(is_tracker) AS ok FROM req GROUP BY url) x")

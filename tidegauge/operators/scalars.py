@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import text as T
 from tidegauge.functions import url as U
-from tidegauge.plans.views import view
+from tidegauge.plans.views import select, view
 from tidegauge.registry import query, table
 
 
@@ -150,10 +150,21 @@ def _(s, d):
     return view(s, d, "ck").select("event_ordinal", T.as_bool(F.upper(f)).alias("a"), T.as_bool(F.substring(f, 1, 1), ("1", "true", "t", "yes")).alias("b"))
 
 
-@query("str_repair_js_fields", "SELECT page_scoped_event_ordinal, copy, script_url, '12' AS script_line, '7' AS script_col, 'fn' AS func_name FROM js")
+# Calls with the URL in its place, split over line and column, split over function and column, or not there at all.
+_BROKEN = """SELECT page_scoped_event_ordinal AS o, copy, CASE WHEN k = 0 THEN script_url WHEN k = 3 THEN NULL ELSE '' END AS u, CASE WHEN k = 0 THEN '12' WHEN k = 1 THEN left(script_url, 10) ELSE '' END AS l,
+  CASE k WHEN 0 THEN '7' WHEN 3 THEN '' ELSE substr(script_url, 11) END AS c, CASE k WHEN 1 THEN 'fn' WHEN 4 THEN '' ELSE left(script_url, 10) END AS f FROM (SELECT *, page_scoped_event_ordinal % 5 AS k FROM js) x"""
+
+
+@query(
+    "str_repair_js_fields",
+    f"""SELECT o, copy, CASE WHEN coalesce(u, '') <> '' THEN u WHEN l <> '' AND c <> '' THEN l || c WHEN l = '' AND c <> '' AND f <> '' THEN f || c ELSE u END AS script_url,
+    CASE WHEN coalesce(u, '') = '' AND c <> '' THEN '' ELSE l END AS script_line,
+    CASE WHEN coalesce(u, '') = '' AND c <> '' AND (l <> '' OR f <> '') THEN '' ELSE c END AS script_col,
+    CASE WHEN coalesce(u, '') = '' AND c <> '' AND l = '' THEN '' ELSE f END AS func_name, coalesce(u, '') = '' AND c <> '' AND (l <> '' OR f <> '') AS repaired FROM ({_BROKEN}) y""",
+)
 def _(s, d):
-    broken = F.concat(F.lit("fn@"), "script_url", F.lit(":12:7"))
-    return view(s, d, "js").select("page_scoped_event_ordinal", "copy", *T.repair_script_fields(broken, F.lit(""), F.lit(""), F.lit("")))
+    rows = select(s, d, _BROKEN)
+    return rows.select("o", "copy", *T.repair_script_fields(*(F.col(c) for c in "ulcf")))
 
 
 @query("str_regex_escape", r"SELECT page_id, regexp_replace(url, '([^A-Za-z0-9_])', '\\\1', 'g') AS escaped FROM pages")
@@ -317,10 +328,11 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("content_hash"))
 
 
-@query("rec_coerce", "SELECT p_partkey, to_json({'name': p_name, 'brand': p_brand})::VARCHAR AS record FROM part")
+@query("rec_coerce", "SELECT p_partkey, p_name AS name, to_json({'brand': p_brand, 'size': p_size})::VARCHAR AS record, p_partkey::VARCHAR AS other FROM part")
 def _(s, d):
-    name = F.decode(F.encode("p_name", "UTF-8"), "UTF-8").alias("name")
-    return table(s, d, "part").select("p_partkey", F.to_json(F.struct(name, F.col("p_brand").alias("brand"))).alias("record"))
+    broken = F.concat(F.unhex(F.lit("ff80")), F.encode("p_name", "UTF-8"), F.unhex(F.lit("c3")))
+    record = F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    return table(s, d, "part").select("p_partkey", T.coerce(broken, "bytes").alias("name"), T.coerce(record, "record").alias("record"), T.coerce(F.col("p_partkey"), "other").alias("other"))
 
 
 @query("rec_fill_missing", "SELECT r_regionkey::BIGINT AS k, r_name AS name, NULL::VARCHAR AS extra FROM region UNION ALL SELECT n_nationkey, NULL, n_name FROM nation")
@@ -330,9 +342,10 @@ def _(s, d):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query("id_uuid", "SELECT cluster, min(hash) AS id FROM mem GROUP BY cluster")
+@query("id_uuid", "SELECT cluster, regexp_replace(md5('{\"c0\":\"' || cluster || '\",\"c1\":' || coalesce('\"' || slot || '\"', 'null') || '}'), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5') AS id FROM (SELECT DISTINCT cluster, CASE WHEN slot <> 'cluster_3' THEN slot END AS slot FROM mem) x")
 def _(s, d):
-    return view(s, d, "mem").groupBy("cluster").agg(F.min("hash").alias("id"))
+    m = view(s, d, "mem").select("cluster", F.when(F.col("slot") != "cluster_3", F.col("slot")).alias("slot")).distinct()
+    return m.select("cluster", T.stable_id(F.col("cluster"), F.col("slot")).alias("id"))
 
 
 @query("explode_subpages", "SELECT site_id, 0 AS ordinal, concat(site_id, '_0') AS visit_id FROM (SELECT DISTINCT site_id FROM req) x UNION ALL SELECT site_id, o, concat(site_id, '_', o) FROM (SELECT site_id, row_number() OVER (PARTITION BY site_id ORDER BY url) AS o FROM (SELECT DISTINCT site_id, url FROM req) y) z")
@@ -348,24 +361,46 @@ def explode_subpages(sites, key, subpages):
     return out.withColumn("visit_id", F.concat(F.col(key).cast("string"), F.lit("_"), F.col("ordinal").cast("string")))
 
 
-@query("crawl_history_states", "SELECT event_id, CASE event_type WHEN 'view' THEN 2 WHEN 'error' THEN 4 ELSE 3 END AS state, event_type = 'error' AS timeout, ts + to_milliseconds((value * 1000)::BIGINT) AS finished FROM events WHERE event_type <> 'click'")
+# Commands of a crawl: page visits and others, with a status and a duration.
+_HISTORY = "SELECT event_id, CASE WHEN event_type = 'click' THEN 'BrowseCommand' ELSE 'GetCommand' END AS command, CASE event_type WHEN 'view' THEN 'ok' WHEN 'error' THEN 'timeout' WHEN 'signup' THEN 'neterror' END AS command_status, cast(event_id % 90000 AS bigint) AS duration, ts AS dtg FROM events"
+
+
+@query("crawl_history_states", f"SELECT event_id, CASE WHEN command_status IN ('ok', 'timeout') THEN 1 ELSE -1 END AS state, coalesce(command_status = 'timeout', false)::INT AS timeout, dtg + INTERVAL 2 HOUR AS start, dtg + INTERVAL 2 HOUR + to_milliseconds(duration) AS finish FROM ({_HISTORY}) x WHERE command = 'GetCommand'")
 def _(s, d):
-    e = F.col("event_type")
-    done = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 1000).cast("bigint") * 1000)
-    return table(s, d, "events").filter(e != "click").select("event_id", F.when(e == "view", 2).when(e == "error", 4).otherwise(3).alias("state"), (e == "error").alias("timeout"), done.cast("timestamp_ntz").alias("finished"))
+    h = select(s, d, _HISTORY).withColumn("dtg", F.col("dtg").cast("timestamp")).filter("command = 'GetCommand'")
+    out = h.select("event_id", *T.crawl_state(F.col("command_status"), F.col("dtg"), F.col("duration")))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "finish")})
 
 
-@query("js_operation_domain", "SELECT operation, count(*) AS n FROM js WHERE symbol = 'window.document.cookie' AND value <> '' AND operation IN ('call', 'get', 'get(failed)', 'get(function)', 'set', 'set(failed)', 'set(prevented)') GROUP BY operation")
+@query("any_command_failed", f"SELECT event_id % 100 AS visit_id, bool_or(coalesce(command_status, '') <> 'ok') AS failed FROM ({_HISTORY}) x GROUP BY 1")
 def _(s, d):
-    known = ["call", "get", "get(failed)", "get(function)", "set", "set(failed)", "set(prevented)"]
-    return view(s, d, "js").filter((F.col("symbol") == "window.document.cookie") & (F.col("value") != "") & F.col("operation").isin(*known)).groupBy("operation").agg(F.count("*").alias("n"))
+    return any_failed(select(s, d, _HISTORY).withColumn("visit_id", F.col("event_id") % 100), "visit_id", "command_status")
+
+
+def any_failed(history, visit, status):
+    """Whether a visit has a command whose status isn't ``ok`` (null is not)."""
+    return history.groupBy(visit).agg(F.bool_or(F.coalesce(F.col(status), F.lit("")) != "ok").alias("failed"))
+
+
+@query("js_operation_domain", "SELECT operation, count(*) AS n FROM (SELECT symbol, value, CASE WHEN page_scoped_event_ordinal % 31 = 0 THEN 'other' ELSE operation END AS operation FROM js) x WHERE symbol = 'window.document.cookie' AND value <> '' AND operation IN ('call', 'get', 'get(failed)', 'get(function)', 'set', 'set(failed)', 'set(prevented)') GROUP BY operation")
+def _(s, d):
+    js = view(s, d, "js").withColumn("operation", F.when(F.col("page_scoped_event_ordinal") % 31 == 0, "other").otherwise(F.col("operation")))
+    return cookie_uses(js).groupBy("operation").agg(F.count("*").alias("n"))
+
+
+def cookie_uses(js):
+    """Calls of a known operation that read or write a cookie with a value."""
+    return js.filter((F.col("symbol") == "window.document.cookie") & (F.col("value") != "") & T.known_operation(F.col("operation")))
 
 
-@query("post_body_json", "SELECT c_custkey, to_json({'name': c_name, 'segment': c_mktsegment})::VARCHAR AS form, base64(encode(c_name)) AS raw FROM customer")
+@query("post_body_json", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '{\"a\":[\"x y\",\"&\"],\"name\":[\"' || c_name || '\"]}' END AS post_body, CASE c_custkey % 3 WHEN 1 THEN '[[null,\"' || base64(encode(c_name)) || '\"]]' END AS post_body_raw FROM customer")
 def _(s, d):
-    return table(s, d, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))).alias("form"), F.base64(F.col("c_name").cast("binary")).alias("raw"))
+    k = F.col("c_custkey") % 3
+    body = F.when(k == 0, F.concat(F.lit("a=x+y&name="), "c_name", F.lit("&a=%26"))).when(k == 1, F.col("c_name")).cast("binary")
+    kind = F.when(k == 0, "Application/x-www-form-urlencoded; charset=UTF-8").otherwise("text/plain")
+    return table(s, d, "customer").select("c_custkey", *T.post_body(body, kind))
 
 
-@query("cookie_record_type", "SELECT event_ordinal, CASE WHEN value IS NULL THEN 'deleted' ELSE 'added-or-changed' END AS record_type FROM ck")
+@query("cookie_record_type", "SELECT event_ordinal, CASE WHEN event_ordinal % 7 = 0 THEN 'manual-export' WHEN value IS NULL THEN 'deleted' ELSE 'added-or-changed' END AS record_type FROM ck")
 def _(s, d):
-    return view(s, d, "ck").select("event_ordinal", F.when(F.col("value").isNull(), "deleted").otherwise("added-or-changed").alias("record_type"))
+    return view(s, d, "ck").select("event_ordinal", T.record_type(F.col("value").isNull(), F.col("event_ordinal") % 7 == 0).alias("record_type"))

@@ -33,17 +33,23 @@ def feature_hash(gram: Column) -> Column:
     return F.conv(F.substring(F.md5(gram.cast("binary")), 17, 16), 16, -10).cast("bigint")
 
 
+_LANE = 32  # two counters share a sum: bit i in its lower half, bit i + 32 in its upper
+_LANES = 1 << _LANE | 1
+
+
 def fingerprint(df: DataFrame, key: str, text: str, variant: str = "crawl") -> DataFrame:
     """(key, simhash) in SQL functions: a bit is set when more than half of the features set it.
 
-    Features are counted per key and hash before the bits are, so a repeated gram costs one row.
+    Features are counted per key and hash before the bits are, so a repeated gram costs one row. A text has less than 2^31 grams.
     """
     rows = df.select(key, F.explode(features(F.col(text), variant)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("w")).withColumn("h", feature_hash(F.col("g")))
-    bits = [F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("w"))).alias(f"b{i}") for i in range(BITS)]
-    counted = rows.groupBy(key).agg(F.sum("w").alias("n"), *bits)
+    sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(_LANES).cast("bigint")) * F.col("w")).alias(f"b{i}") for i in range(_LANE)]
+    counted = rows.groupBy(key).agg(F.sum("w").alias("n"), *sums)
     out = F.lit(0).cast("bigint")
-    for i in range(BITS):
-        out = out.bitwiseOR(F.when(F.coalesce(F.col(f"b{i}"), F.lit(0)) * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    for i in range(_LANE):
+        low, high = F.col(f"b{i}").bitwiseAND(F.lit((1 << _LANE) - 1).cast("bigint")), F.shiftrightunsigned(f"b{i}", _LANE)
+        for n, bit in ((low, i), (high, i + _LANE)):
+            out = out.bitwiseOR(F.when(n * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint")))
     return counted.select(key, out.alias("simhash"))
 
 
