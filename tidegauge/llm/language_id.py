@@ -109,9 +109,11 @@ class Model:
 def fit(docs: DataFrame, train: F.Column, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """Fit on at most about ``rows`` of the rows where ``train`` holds and the language is known."""
     known = docs.filter(train & F.col(lang).isNotNull()).select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(rows // 2 + 1).collect()}
     if not counts:
         return None
+    if len(counts) > rows // 2:
+        raise ValueError(f"more than {rows // 2} languages: there is a pair of rows for each at least, so raise rows")
     each = max(2, rows // len(counts))
     fraction = F.lit(0.0)
     for code, n in counts.items():

@@ -13,10 +13,10 @@ bands of ``ROWS`` registers are the keys of the buckets as they stand, so bucket
 At similarity 0.8 two classes share no band with probability 5e-8. In each bucket two leaders, the member that
 shares the largest buckets and one drawn anew, are compared with the other members: first by the registers,
 then exactly, from the whole texts. The links' connected components are the groups. What stars can miss, two
-members of a bucket in different components, is then compared (:func:`_leftover`): in the bucket itself where
-few members are left over, else among the texts that share one of their rarest shingles, which no two texts of
-the similarity can avoid. Only links come out, so no group is ever gathered whole, no bucket is capped, and a
-group of n near copies costs about n links. Joins on leaders, buckets and roots deal hot keys out.
+members of a bucket in different components, is then compared (:func:`_leftover`): whole stars first, by their
+centers; in the bucket itself where few are left over, else among the texts that share one of their rarest shingles,
+which no two texts of the similarity can avoid. Only links come out, so no group is ever gathered whole, no bucket is
+capped, and a group of n near copies costs about n links. Joins on leaders, buckets and roots deal hot keys out.
 
 Edge cases: null, empty and wordless texts have no shingles and stay alone; a text of fewer words than a
 shingle is one shingle; equal texts, repeated rows among them, are one class; ties go to the smaller id; an
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import cut, fresh, query, slices, small, table
-from tidegauge.plans.skew import components, skew_join
+from tidegauge.plans.skew import components, match, sized_join, skew_join
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -162,8 +162,8 @@ def _weights(counts: np.ndarray, weighted: bool) -> np.ndarray:
     return 1 + np.log(counts) if weighted else np.ones(len(counts))
 
 
-def fingerprint(texts: list[str | None], weighted: bool = False) -> tuple[list[bytes | None], list[bytes]]:
-    """For each text: the digest of its (weighted) set, None without shingles, and 16 bits of each register."""
+def fingerprint(texts: list[str | None], weighted: bool = False) -> tuple[list[bytes | None], np.ndarray]:
+    """For each text: the digest of its (weighted) set, None without shingles, and 16 bits of each register, a row of BANDS 64-bit integers."""
     doc, shingle, counts = shingles(texts)
     held = registers(doc, shingle, _weights(counts, weighted), len(texts))
     ends = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -171,7 +171,13 @@ def fingerprint(texts: list[str | None], weighted: bool = False) -> tuple[list[b
     for a, b in zip(ends[:-1], ends[1:], strict=True):
         own = shingle[a:b].tobytes() + (counts[a:b].tobytes() if weighted else b"")
         sets.append(hashlib.blake2b(own, digest_size=16).digest() if b > a else None)
-    return sets, [r.tobytes() for r in (held & _U(0xFFFF)).astype(np.uint16)]
+    return sets, (held & _U(0xFFFF)).astype(np.uint16).view(np.int64)
+
+
+def _registers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The registers (rows x REGISTERS) of a column of signatures, all of BANDS integers."""
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return np.ascontiguousarray(flat.to_numpy(zero_copy_only=False)).view(np.uint16).reshape(-1, REGISTERS)
 
 
 def _likeness(x: np.ndarray, y: np.ndarray, m: np.ndarray | None = None, n: np.ndarray | None = None) -> float:
@@ -209,17 +215,18 @@ def jaccard(left: list[str | None], right: list[str | None], weighted: bool = Fa
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
-    """(doc_id, mark, set, sig) of every document; ``mark`` is the MD5 of the text."""
+    """(doc_id, mark, digest, sig) of every document: the MD5 of its text, the digest of its set, its registers."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for b in slices(whole, 2):
                 sets, sigs = fingerprint(b.column(2).to_pylist(), weighted)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "mark", "set", "sig"])
+                sig = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(sigs.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary()), sig], ["doc_id", "mark", "digest", "sig"])
 
     t = F.col(text).cast("string")
     three = docs.select(F.col(key).cast("long").alias("doc_id"), _mark(t).alias("mark"), t.alias("text"))
-    return three.mapInArrow(batches, "doc_id long, mark binary, set binary, sig binary")
+    return three.mapInArrow(batches, "doc_id long, mark binary, digest binary, sig array<bigint>")
 
 
 def _mark(text: F.Column) -> F.Column:
@@ -234,22 +241,21 @@ def _agree(pairs: DataFrame, reps: DataFrame, floor: float, n: int) -> DataFrame
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in (2, 3))
-                near = (x == y).mean(axis=1) >= floor
+                near = (_registers(b.column(2)) == _registers(b.column(3))).mean(axis=1) >= floor
                 yield b.filter(pa.array(near)).select(["leader", "set"])
 
-    return both.select("leader", "set", "own", "lead").mapInArrow(batches, "leader binary, set binary")
+    return both.select("leader", "set", "own", "lead").mapInArrow(batches, "leader long, set long")
 
 
 def _texts(sets: DataFrame, reps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(set, text) of the classes in ``sets``, each from one of its documents."""
-    keys = small(sets.distinct().join(reps.select("set", "mark"), "set"))
+    keys = small(match(reps.select("set", "mark"), sets.distinct(), ["set"], reps.count()))
     t = F.col(text).cast("string")
     return docs.select(_mark(t).alias("mark"), t.alias("text")).join(keys, "mark").groupBy("set").agg(F.first("text").alias("text"))
 
 
 def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, text: str = "text", weighted: bool = False) -> DataFrame:
-    """The links (a, b) among the pairs (leader, set): those whose shingle sets have the similarity, from the whole texts of their classes."""
+    """The pairs (leader, set) whose shingle sets have the similarity, from the whole texts of their classes."""
     texts = _texts(pairs.select(F.explode(F.array("leader", "set")).alias("set")), reps, docs, text)
     both = skew_join(pairs.join(texts.withColumnRenamed("text", "own"), "set"), texts.toDF("leader", "lead"), ["leader"], pairs.count())
 
@@ -259,8 +265,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float
                 near = jaccard(b.column(2).to_pylist(), b.column(3).to_pylist(), weighted) >= similarity - 1e-12
                 yield b.filter(pa.array(near)).select(["leader", "set"])
 
-    found = both.select("leader", "set", "own", "lead").mapInArrow(batches, "leader binary, set binary")
-    return cut(found.select(F.least("leader", "set").alias("a"), F.greatest("leader", "set").alias("b")).distinct())
+    return cut(both.select("leader", "set", "own", "lead").mapInArrow(batches, "leader long, set long"))
 
 
 _GROUP = ["band", "bucket", "i", "j"]
@@ -283,64 +288,77 @@ def _groups(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def _plausible(t: pa.Table, floor: float) -> Iterator[tuple[int, np.ndarray]]:
-    """Each member of block j with the members of block i that it may be linked to, in other components; where the group is a bucket, in the first band only that they share."""
+def _plausible(t: pa.Table, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of block j with the members of block i that it may be linked to, in other components.
+
+    A wide member stands for others that are within the distance of a link from it, so by the triangle inequality
+    (which holds where registers agree with the probability of the similarity) its pairs may be that much farther
+    apart. Two members that aren't wide meet in the first band only that they share, where the group is a bucket.
+    """
     i, j, band = (t.column(c)[0].as_py() for c in ("i", "j", "band"))
-    own = t.column("own").to_numpy()
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-    root = np.unique(np.array(t.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+    own, wide = t.column("own").to_numpy(), t.column("wide").to_numpy(zero_copy_only=False).astype(int)
+    sig, root = _registers(t.column("sig")), t.column("root").to_numpy()
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     for y in right:
         x = left[left < y] if i == j else left
         same = sig[x] == sig[y]
-        near = (same.mean(axis=1) >= floor) & (root[x] != root[y])
-        x = x[near]
-        if band >= 0 and len(x):
-            x = x[same[near].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
-        if len(x):
-            yield int(y), x
+        reach = wide[x] + wide[y]
+        near = (same.mean(axis=1) >= similarity - (1 - similarity) * reach - MARGIN) & (root[x] != root[y])
+        if band >= 0 and near.any():
+            near &= (reach > 0) | (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band)
+        if near.any():
+            yield int(y), x[near]
 
 
-def _meet(groups: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, text: str, weighted: bool) -> DataFrame:
-    """Links between members of a group (band, bucket; set, root) that are in different components.
+_COLUMNS = [*_GROUP, "set", "root", "own", "wide", "sig"]
+
+
+def _together(df: DataFrame) -> DataFrame:
+    return df.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "set")
+
+
+def _narrow(groups: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
+    """Members of a group (band, bucket; set, root, wide) that may be linked to one in another component, with their blocks.
 
     The members of a group's largest component needn't meet each other. The others are cut into blocks of
-    ``BLOCK`` and meet every block of the group. Texts are read where registers agree enough; what comes out
-    are links, never candidates.
+    ``BLOCK`` and meet every block of the group. What comes out are members, never pairs.
     """
-    floor = similarity - MARGIN
     per = groups.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
     sizes = per.groupBy("band", "bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).filter("n > top.n")
     sizes = sizes.select("band", "bucket", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("rest"), F.ceil(F.col("top.n") / (4 * BLOCK)).cast("int").alias("main"))
     draw = lambda n: F.pmod(F.xxhash64("set", F.lit(5)), n).cast("int")
-    placed = skew_join(groups, sizes, ["band", "bucket"], groups.count()).withColumn("own", F.when(F.col("root") == F.col("top"), -1 - draw(F.col("main"))).otherwise(draw(F.col("rest"))))
+    placed = match(groups, sizes, ["band", "bucket"], groups.count()).withColumn("own", F.when(F.col("root") == F.col("top"), -1 - draw(F.col("main"))).otherwise(draw(F.col("rest"))))
     # blocks of the largest component are negative and meet each block of the rest; blocks of the rest meet each other
     met = F.sequence(F.lit(0), F.col("rest") - 1)
     mine = F.sequence(-F.col("main"), F.col("rest") - 1)
     pairs = F.when(F.col("own") < 0, F.transform(met, lambda k: F.struct(F.col("own").alias("i"), k.alias("j")))).otherwise(F.transform(mine, lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j"))))
-    dealt = placed.select("band", "bucket", "set", "root", "own", F.inline(pairs)).join(reps.select("set", "sig"), "set")
-    columns = [*_GROUP, "set", "root", "own", "sig"]
+    dealt = placed.select("band", "bucket", "set", "root", "own", "wide", F.inline(pairs)).join(reps.select("set", "sig"), "set")
 
     def narrow(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(it):
             keep = np.zeros(t.num_rows, dtype=bool)
-            for y, xs in _plausible(t, floor):
+            for y, xs in _plausible(t, similarity):
                 keep[xs] = keep[y] = True
             if keep.any():
                 yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
 
+    schema = "band int, bucket long, i int, j int, set long, root long, own int, wide boolean, sig array<bigint>"
+    return cut(_together(dealt.select(*_COLUMNS)).mapInArrow(narrow, schema))
+
+
+def _meet(groups: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, text: str, weighted: bool) -> DataFrame:
+    """Links (a, b) between members of a group (band, bucket; set, root) that are in different components: registers first, then whole texts."""
+    kept = _narrow(groups.withColumn("wide", F.lit(False)), reps, similarity)
+    texts = _texts(kept.select("set"), reps, docs, text)
+
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(it):
             own, sets = _sets(t.column("text").to_pylist(), weighted), t.column("set").to_pylist()
-            found = [(min(sets[x], sets[y]), max(sets[x], sets[y])) for y, xs in _plausible(t, floor) for x in xs if _likeness(own[x][0], own[y][0], own[x][1], own[y][1]) >= similarity - 1e-12]
+            found = [(min(sets[x], sets[y]), max(sets[x], sets[y])) for y, xs in _plausible(t, similarity) for x in xs if _likeness(own[x][0], own[y][0], own[x][1], own[y][1]) >= similarity - 1e-12]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found, strict=True)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
-    together = lambda df: df.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "set")
-    schema = "band int, bucket binary, i int, j int, set binary, root binary, own int, sig binary"
-    kept = cut(together(dealt.select(*columns)).mapInArrow(narrow, schema))
-    texts = _texts(kept.select("set"), reps, docs, text)
-    return cut(together(kept.join(texts, "set").select(*columns, "text")).mapInArrow(compare, "a binary, b binary").distinct())
+    return cut(_together(kept.join(texts, "set").select(*_COLUMNS, "text")).mapInArrow(compare, "a long, b long").distinct())
 
 
 def _rarest(sets: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, text: str, weighted: bool) -> DataFrame:
@@ -372,61 +390,86 @@ def _rarest(sets: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float
                     most = len(own) if weighted else len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
                     first = own[np.lexsort((own, sent.value[(own % _U(SKETCH)).astype(np.int64)]))[:most]]
                     rows += [k] * len(first)
-                    keys += [x.tobytes() for x in first]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.binary())], ["set", "bucket"])
+                    keys += first.tolist()
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64())], ["set", "bucket"])
 
-    return texts.mapInArrow(pick, "set binary, bucket binary")
+    return texts.mapInArrow(pick, "set long, bucket long")
 
 
-def _leftover(shared: DataFrame, reps: DataFrame, roots: DataFrame, docs: DataFrame, similarity: float, text: str, weighted: bool = False, block: int = BLOCK) -> DataFrame:
-    """Links that the stars missed: members of one bucket in different components.
+def _homes(star: DataFrame, roots: DataFrame) -> DataFrame:
+    """(set, root, center, wide) of every set with links: a leader that it is linked to (else itself), and whether the center has others."""
+    led = star.groupBy("set").agg(F.min("leader").alias("center"))
+    own = cut(roots.withColumnRenamed("node", "set").join(small(led), "set", "left").withColumn("center", F.coalesce("center", "set")))
+    wide = small(own.filter("center <> set").select("center").distinct().withColumn("wide", F.lit(True)))
+    return own.join(wide, "center", "left").select("set", "root", "center", F.coalesce("wide", F.lit(False)).alias("wide"))
 
-    Buckets where at most ``block`` members are outside the largest component are compared as they are. The
-    members of the others are many texts that share a passage, say: they meet where they share one of their
-    rarest shingles, and not in the bucket, so the passage itself brings nobody together.
+
+def _leftover(shared: DataFrame, reps: DataFrame, homes: DataFrame, docs: DataFrame, similarity: float, text: str, weighted: bool = False, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that the stars missed: members of one bucket in different components.
+
+    A star is first compared as one, by its center: only where that is near enough for some of its members to be linked
+    do the members themselves come. Buckets with more than ``block`` stars outside their largest component hold many texts
+    that share a passage, say: those meet where they share one of their rarest shingles, and not in the bucket, so the
+    passage itself brings nobody together.
     """
-    of = cut(shared.select("band", "bucket", "set").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")))
-    n = of.count()
-    per = of.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
-    mixed = per.groupBy("band", "bucket").agg((F.sum("n") - F.max("n")).alias("others")).filter("others > 0")
-    mixed = cut(mixed.withColumn("crowded", F.col("others") > block))
-    members = skew_join(of, mixed.drop("others"), ["band", "bucket"], n)
-    groups = members.filter("not crowded").select("band", "bucket", "set", "root")
-    if not mixed.filter("crowded").isEmpty():
-        loose = cut(members.filter("crowded").select("set", "root").distinct())
-        rare = _rarest(loose.select("set"), reps, docs, similarity, text, weighted)
-        groups = groups.unionByName(rare.join(loose, "set").select(F.lit(-1).alias("band"), "bucket", "set", "root"))
-    return _meet(cut(groups), reps, docs, similarity, text, weighted)
+    homes = small(homes)
+
+    def at_home(df: DataFrame) -> DataFrame:
+        own = df.join(homes, "set", "left")
+        return own.withColumn("root", F.coalesce("root", "set")).withColumn("center", F.coalesce("center", "set")).withColumn("wide", F.coalesce("wide", F.lit(False)))
+
+    def stars(df: DataFrame) -> DataFrame:
+        return df.select("band", "bucket", F.col("center").alias("set"), "root", "wide").distinct()
+
+    def members(df: DataFrame, kept: DataFrame, n: int) -> DataFrame:
+        return match(df.select("band", "bucket", "center", "set", "root"), kept.select("band", "bucket", F.col("set").alias("center")).distinct(), ["band", "bucket", "center"], n).drop("center")
+
+    of = at_home(shared)
+    mixed = of.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high").select("band", "bucket", "n")
+    inside = cut(sized_join(of, mixed, ["band", "bucket"], "n"))
+    n = inside.count()
+    cells = cut(stars(inside))
+    per = cells.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
+    crowded = cut(per.groupBy("band", "bucket").agg((F.sum("n") - F.max("n")).alias("others")).filter(F.col("others") > block).select("band", "bucket"))
+    few = crowded.count()
+    if not few:
+        return _meet(cut(members(inside, _narrow(cells, reps, similarity), n)), reps, docs, similarity, text, weighted)
+    crowded = small(crowded)
+    loose = inside.join(crowded, ["band", "bucket"], "left_semi").select("set").distinct()
+    rare = cut(at_home(_rarest(loose, reps, docs, similarity, text, weighted).select(F.lit(-1).alias("band"), "bucket", "set")))
+    cells = cells.join(crowded, ["band", "bucket"], "left_anti").unionByName(stars(rare))
+    kept = _narrow(cut(cells), reps, similarity)
+    both = inside.select("band", "bucket", "center", "set", "root").unionByName(rare.select("band", "bucket", "center", "set", "root"))
+    return _meet(cut(members(both, kept, n + rare.count())), reps, docs, similarity, text, weighted)
 
 
 def representatives(found: DataFrame) -> DataFrame:
-    """(set, mark, sig) of each class."""
-    return cut(found.filter("set is not null").groupBy("set").agg(F.min("mark").alias("mark"), F.first("sig").alias("sig")))
+    """(set, digest, mark, sig, first, n) of each class: a number that the checkpoint fixes, a text's mark, the registers, the smallest (doc_id, mark), and the documents."""
+    each = found.filter("digest is not null").groupBy("digest").agg(F.first("sig").alias("sig"), F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("n"))
+    return cut(each.select(F.monotonically_increasing_id().alias("set"), "digest", F.col("first.mark").alias("mark"), "sig", "first", "n"))
 
 
 def buckets(reps: DataFrame) -> DataFrame:
     """(band, bucket, set, n) of the buckets with several members; a bucket is what the registers of a band hold."""
-    wide = 2 * ROWS
-    members = reps.select("set", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring(F.col("sig"), k * wide + 1, F.lit(wide)))).alias("band", "bucket"))
+    members = reps.select("set", F.posexplode("sig").alias("band", "bucket"))
     full = members.groupBy("band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    return cut(skew_join(members, full, ["band", "bucket"], BANDS * reps.count()))
+    return cut(match(members, full, ["band", "bucket"], BANDS * reps.count()))
 
 
-def links(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY, text: str = "text", weighted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between classes, enough to join all that belong together, and the components (node, root); ``found`` is from :func:`classes`."""
-    reps = representatives(found)
+def links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, text: str = "text", weighted: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between classes, enough to join all that belong together, and the components (node, root); ``reps`` is from :func:`representatives`."""
     shared = buckets(reps)
     # who shares the largest buckets is the likely origin of a group; the other leader is drawn
     central = shared.groupBy("set").agg(F.sum("n").alias("c"))
     drawn = F.xxhash64("set", "bucket", "band")
-    leaders = shared.join(central, "set").groupBy("band", "bucket").agg(F.max(F.struct("c", drawn, "set")).alias("l"), F.min(F.struct(drawn, "set")).alias("r"))
-    leaders = leaders.select("band", "bucket", F.explode(F.array_distinct(F.array("l.set", "r.set"))).alias("leader"))
-    n = shared.count()
-    pairs = skew_join(shared.select("band", "bucket", "set"), leaders, ["band", "bucket"], n).filter("set <> leader").select("leader", "set").distinct()
-    near = cut(_agree(pairs, reps, similarity - MARGIN, 2 * n))
-    sure = verify(near, reps, docs, similarity, text, weighted)
+    leaders = shared.join(central, "set").groupBy("band", "bucket", "n").agg(F.max(F.struct("c", drawn, "set")).alias("l"), F.min(F.struct(drawn, "set")).alias("r"))
+    leaders = leaders.select("band", "bucket", "n", F.explode(F.array_distinct(F.array("l.set", "r.set"))).alias("leader"))
+    pairs = sized_join(shared, leaders, ["band", "bucket"], "n").filter("set <> leader").select("leader", "set").distinct()
+    near = cut(_agree(pairs, reps, similarity - MARGIN, 2 * shared.count()))
+    star = verify(near, reps, docs, similarity, text, weighted)
+    sure = star.select(F.least("leader", "set").alias("a"), F.greatest("leader", "set").alias("b")).distinct()
     roots = cut(components(sure))
-    more = _leftover(shared, reps, roots, docs, similarity, text, weighted)
+    more = _leftover(shared, reps, _homes(star, roots), docs, similarity, text, weighted)
     if not more.isEmpty():
         sure = sure.union(more)
         roots = cut(components(sure))
@@ -436,14 +479,16 @@ def links(docs: DataFrame, found: DataFrame, similarity: float = SIMILARITY, tex
 def report(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
     """One row for each document: doc_id, class_id (the smallest id that it is linked to, directly or not), class_size, kept, and the text's mark."""
     found = cut(classes(docs, key, text, weighted))
-    _, roots = links(docs, found, similarity, text, weighted)
-    own = found.filter("set is not null").groupBy("set").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("n"))
-    own = cut(own.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")))
-    groups = own.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
-    named = skew_join(own.select("root", "set"), groups, ["root"], own.count()).select("set", "best", "class_size")
-    rows = found.select("doc_id", "mark", "set")
-    out = skew_join(rows.filter("set is not null"), named, ["set"], found.count()).unionByName(rows.filter("set is null"), allowMissingColumns=True)
-    alone = F.col("set").isNull()
+    reps = representatives(found)
+    _, roots = links(docs, reps, similarity, text, weighted)
+    linked = cut(match(reps.select("set", "first", "n"), roots.withColumnRenamed("node", "set"), ["set"], reps.count()))
+    groups = linked.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
+    joined = match(linked.select("root", "set"), groups, ["root"], linked.count()).drop("root")
+    named = reps.select("set", "digest", "first", "n").join(small(joined), "set", "left")
+    named = named.select("digest", F.coalesce("best", "first").alias("best"), F.coalesce("class_size", "n").alias("class_size"))
+    rows = found.select("doc_id", "mark", "digest")
+    out = skew_join(rows.filter("digest is not null"), named, ["digest"], found.count()).unionByName(rows.filter("digest is null"), allowMissingColumns=True)
+    alone = F.col("digest").isNull()
     return out.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"),
