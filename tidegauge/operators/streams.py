@@ -31,7 +31,11 @@ _VALID = f"{_RECORDS}, v AS (SELECT * FROM r WHERE visit_id IS NOT NULL AND payl
 
 
 def _finished(s, d):
-    return I.to_table(I.visits(I.valid(records(s, d), TYPES), timeout="NoTimeout"), "append", folder(s))
+    return I.to_table(I.visits(I.valid(records(s, d), TYPES)), "append", folder(s), timers=True)
+
+
+def _rows(finished):
+    return finished.filter((F.col("record_type") != I.FINALIZE) & (F.col("status") != I.LATE))
 
 
 @query("st_record_router", f"WITH {_RECORDS} SELECT record_type, count(*) AS n FROM r WHERE visit_id IS NOT NULL AND payload <> 'broken' AND record_type <> 'finalize' GROUP BY record_type")
@@ -50,12 +54,12 @@ def _(s, d):
 
 @query("st_finalize", f"WITH {_VALID} SELECT v.visit_id, count(*) AS n FROM v JOIN e USING (visit_id) WHERE v.record_type <> 'finalize' AND v.seq < done GROUP BY v.visit_id")
 def _(s, d):
-    return _finished(s, d).filter(F.col("record_type") != I.FINALIZE).groupBy("visit_id").agg(F.count("*").alias("n"))
+    return _rows(_finished(s, d)).groupBy("visit_id").agg(F.count("*").alias("n"))
 
 
 @query("st_visit_buffer", f"WITH {_VALID} SELECT v.visit_id, v.record_type, v.payload FROM v JOIN e USING (visit_id) WHERE v.record_type <> 'finalize' AND v.seq < done")
 def _(s, d):
-    return _finished(s, d).filter(F.col("record_type") != I.FINALIZE).select("visit_id", "record_type", "payload")
+    return _rows(_finished(s, d)).select("visit_id", "record_type", "payload")
 
 
 @query("st_interrupted", f"WITH {_VALID} SELECT visit_id FROM e WHERE mark LIKE '%false%'")
@@ -63,13 +67,17 @@ def _(s, d):
     return I.incomplete(_finished(s, d))
 
 
-@query("st_late_after_finalize", f"WITH {_VALID} SELECT count(*) AS late FROM v JOIN e USING (visit_id) WHERE v.record_type <> 'finalize' AND v.seq > done")
+@query("st_late_after_finalize", f"WITH {_VALID} SELECT v.visit_id, count(*) AS late FROM v JOIN e USING (visit_id) WHERE v.seq > done GROUP BY v.visit_id")
+def _(s, d):
+    return _finished(s, d).filter(F.col("status") == I.LATE).groupBy("visit_id").agg(F.count("*").alias("late"))
+
+
+@query("st_idle_timeout", f"WITH {_VALID} SELECT visit_id, count(*) AS n FROM v WHERE visit_id % 10 = 3 AND visit_id NOT IN (SELECT visit_id FROM e) GROUP BY visit_id")
 def _(s, d):
-    done = _finished(s, d)
-    closed = done.select("visit_id").distinct()
-    kept = done.filter(F.col("record_type") != I.FINALIZE).agg(F.count("*").alias("k"))
-    seen = I.to_table(I.valid(records(s, d), TYPES), "append", folder(s)).filter(F.col("record_type") != I.FINALIZE).join(closed, "visit_id", "left_semi").agg(F.count("*").alias("a"))
-    return seen.crossJoin(kept).select((F.col("a") - F.col("k")).alias("late"))
+    # the stream runs on until the visits that nobody finalised have been idle for the timeout
+    stream = I.valid(records(s, d), TYPES).filter("visit_id % 10 = 3")
+    out = I.to_table(I.visits(stream, timeout_ms=1000), "append", folder(s), idle_s=8)
+    return out.filter((F.col("status") == "failed") & (F.col("record_type") != I.FINALIZE)).groupBy("visit_id").agg(F.count("*").alias("n"))
 
 
 @query("st_shutdown_drain", f"WITH {_VALID} SELECT DISTINCT visit_id FROM v WHERE visit_id NOT IN (SELECT visit_id FROM e)")
@@ -83,10 +91,16 @@ def _(s, d):
     return I.to_table(I.new_blobs(blobs, delay="1000 days"), "append", folder(s)).select("content_hash")
 
 
-@query("st_cache_limit", "SELECT count(*) AS n FROM events")
+@query("st_cache_limit", "SELECT count(*) AS rows, 3::BIGINT AS batches, 5::BIGINT AS most_files FROM events")
 def _(s, d):
-    limited = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(d)
-    return I.to_table(limited, "append", folder(s)).agg(F.count("*").alias("n"))
+    at = folder(s)
+    t = table(s, d, "events")
+    t.repartition(12).write.parquet(f"{at}/in")  # twelve files, of which five at most are held before they are written out
+    stream = I.limited(s, f"{at}/in", t.schema, 5).select("*", F.col("_metadata.file_path").alias("file"))
+    q = stream.writeStream.foreachBatch(lambda b, e: b.groupBy("file").count().write.parquet(f"{at}/out/epoch={e}")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    per = s.read.parquet(f"{at}/out").groupBy("epoch").agg(F.count("*").alias("files"), F.sum("count").alias("rows"))
+    return per.agg(F.sum("rows").alias("rows"), F.count("*").alias("batches"), F.max("files").alias("most_files"))
 
 
 @query("st_event_windows", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -103,19 +117,33 @@ def _(s, d):
 
 @query("st_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS n, min(ts) AS start FROM s GROUP BY user_id, k")
 def _(s, d):
-    b = table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return b.groupBy(F.session_window("ts", "12 hours").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", "n", F.col("w.start").cast("timestamp_ntz").alias("start"))
+    out = I.to_table(I.sessions(events(s, d), "ts", "user_id", "12 hours"), "complete", folder(s))
+    return out.select("user_id", "n", F.col("w.start").cast("timestamp_ntz").alias("start"))
+
+
+_NOW = 6000  # seconds; a site that has been crawled since before 4200 is late
+
+
+@query("st_site_queue", f"SELECT user_id AS site_id, CASE WHEN arg_max(event_id % 5, event_id) = 1 AND {_NOW} - max(event_id) > 1800 THEN 4 ELSE arg_max(event_id % 5, event_id) END::INT AS state FROM events GROUP BY user_id")
+def _(s, d):
+    t = table(s, d, "events").select(F.col("user_id").alias("site_id"), F.timestamp_seconds(F.col("event_id")).alias("at"), (F.col("event_id") % 5).cast("int").alias("state"))
+    return I.site_states(t, F.timestamp_seconds(F.lit(_NOW)))
+
+
+@query("st_site_claim", "SELECT site_id, 1 AS state FROM (SELECT user_id AS site_id, arg_max(event_id % 5, event_id) AS state FROM events GROUP BY user_id) x WHERE state = 0 ORDER BY site_id LIMIT 7")
+def _(s, d):
+    t = table(s, d, "events").select(F.col("user_id").alias("site_id"), F.timestamp_seconds(F.col("event_id")).alias("at"), (F.col("event_id") % 5).cast("int").alias("state"))
+    return I.claim(I.site_states(t, F.timestamp_seconds(F.lit(0))), 7)
 
 
-@query("st_site_queue", "SELECT user_id AS site_id, arg_max(event_id % 5, event_id)::INT AS state FROM events GROUP BY user_id")
+@query("st_completion_queue", f"WITH {_VALID} SELECT visit_id, mark LIKE '%true%' AS success FROM e")
 def _(s, d):
-    t = table(s, d, "events").select(F.col("user_id").alias("site_id"), F.timestamp_seconds(F.col("event_id")).alias("at"), (F.col("event_id") % 5).cast("int").alias("state"), F.timestamp_seconds(F.lit(0)).alias("now"))
-    return I.site_states(t)
+    return I.completed(_finished(s, d))
 
 
-@query("st_status", "SELECT count(*) AS rows FROM events")
+@query("st_status", "SELECT count(*) AS rows, 0::BIGINT AS running FROM events")
 def _(s, d):
     at = folder(s)
     q = events(s, d).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.createDataFrame([(I.rows_done(q),)], "rows long")
+    return s.createDataFrame([(I.rows_done(q), int(q.isActive))], "rows long, running long")

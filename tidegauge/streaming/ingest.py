@@ -1,24 +1,29 @@
 """Record streams of a crawl: routing, visits that become visible when they are finalised, windows and dedup.
 
-A record is (record_type, visit_id, payload JSON, received_at). Records of a visit are buffered until its
-``finalize`` record; then they come out together, and a visit that was interrupted is marked incomplete.
-Records after that are late and are dropped. A visit that is idle for the timeout is closed as failed.
+A record is (record_type, visit_id, payload JSON, seq). Records of a visit are held in a list state, to which each batch
+appends, until its ``finalize`` record; then they come out together, and a visit that was interrupted is marked
+incomplete. A visit that is idle for the timeout is closed as failed. A closed visit leaves a mark behind: what comes for
+it later is late and comes out as that, and never opens the visit again. The marks are dropped after ``forget`` (a visit's
+number isn't used again for so long), so the state is bounded by the visits of that time.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
 
 FINALIZE = "finalize"
+LATE = "late"
+#: Rows of a frame that a closed visit comes out in.
+FRAME = 10_000
 OUT_SCHEMA = "visit_id long, record_type string, payload string, status string"
-STATE_SCHEMA = "closed boolean, buffer string"
 
 
 def valid(records: DataFrame, types: Sequence[str]) -> DataFrame:
@@ -37,41 +42,86 @@ def _ok(types: Sequence[str]) -> F.Column:
     return F.coalesce(known & F.col("visit_id").isNotNull() & F.from_json("payload", "map<string,string>").isNotNull() & F.ltrim("payload").startswith("{"), F.lit(False))
 
 
-def visits(records: DataFrame, timeout_ms: int = 30_000, timeout: str = "ProcessingTimeTimeout") -> DataFrame:
-    """Streaming (visit_id, record_type, payload, status) of finalised visits: ``complete``, ``incomplete`` (interrupted) or ``failed`` (idle)."""
-    conf = timeout
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        closed, held = (bool(state.get[0]), json.loads(state.get[1])) if state.exists else (False, [])
-        status = None
-        if state.hasTimedOut:
-            if closed:
-                state.remove()
-                return
-            status = "failed"
-        else:
-            rows = [r for b in batches for r in zip(b["seq"], b["record_type"], b["payload"], strict=True)]
-            for _, kind, payload in sorted(rows, key=lambda r: (r[0], r[1] == FINALIZE)):
-                if closed or status:
-                    continue  # late: the visit is closed
-                if kind == FINALIZE:
-                    status = "complete" if json.loads(payload).get("success", True) else "incomplete"
-                else:
-                    held.append([kind, payload])
-        if status:
-            state.update((True, "[]"))
-            yield pd.DataFrame([(key[0], k, p, status) for k, p in held] + [(key[0], FINALIZE, "{}", status)], columns=["visit_id", "record_type", "payload", "status"])
+class _Visits(StatefulProcessor):
+    """The state of one visit: whether it is closed, its records so far, and a timer for when it is idle."""
+
+    def __init__(self, timeout_ms: int, forget_ms: int):
+        self.timeout_ms, self.forget_ms = timeout_ms, forget_ms
+
+    def init(self, handle: Any) -> None:
+        self.handle = handle
+        self.closed = handle.getValueState("closed", "closed boolean", self.forget_ms)
+        self.held = handle.getListState("held", "record_type string, payload string")
+
+    def _out(self, visit: int, rows: list[tuple[str, str]], status: str) -> pd.DataFrame:
+        kinds, payloads = zip(*rows, strict=True)
+        return pd.DataFrame({"visit_id": visit, "record_type": kinds, "payload": payloads, "status": status})
+
+    def _close(self, visit: int, rows: list[tuple[str, str]], buffered: bool, status: str) -> Iterator[pd.DataFrame]:
+        """What is held, then the rows, then the finalize record, in frames of bounded size."""
+        if buffered:
+            part: list[tuple[str, str]] = []
+            for r in self.held.get():
+                part.append((r[0], r[1]))
+                if len(part) == FRAME:
+                    yield self._out(visit, part, status)
+                    part = []
+            rows = part + rows
+            self.held.clear()
+        yield self._out(visit, [*rows, (FINALIZE, "{}")], status)
+        self.closed.update((True,))
+
+    def _still(self) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        visit = key[0]
+        new = sorted((r for b in rows for r in zip(b["seq"], b["record_type"], b["payload"], strict=True)), key=lambda r: (r[0], r[1] == FINALIZE))
+        done = next((i for i, r in enumerate(new) if r[1] == FINALIZE), None)
+        if self.closed.exists():
+            own, late, done = [], new, None
         else:
-            state.update((closed, json.dumps(held)))
-        if conf == "ProcessingTimeTimeout":
-            state.setTimeoutDuration(timeout_ms)
-
-    return records.groupBy("visit_id").applyInPandasWithState(step, OUT_SCHEMA, STATE_SCHEMA, "append", conf)
+            own, late = new[:done], new[done + 1 :] if done is not None else []
+        if done is not None:
+            success = json.loads(new[done][2]).get("success", True)
+            buffered = self.held.exists()
+            if buffered:
+                self._still()
+            yield from self._close(visit, [(k, p) for _, k, p in own], buffered, "complete" if success else "incomplete")
+        elif own:
+            if self.held.exists():
+                self._still()
+            self.held.appendList([(k, p) for _, k, p in own])
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+        if late:
+            yield self._out(visit, [(k, p) for _, k, p in late], LATE)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if not self.closed.exists():
+            yield from self._close(key[0], [], self.held.exists(), "failed")
+
+    def close(self) -> None:
+        pass
+
+
+def visits(records: DataFrame, timeout_ms: int = 30_000, forget_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
+    """Streaming (visit_id, record_type, payload, status) of closed visits, ``complete``, ``incomplete`` (interrupted) or ``failed`` (idle), and of ``late`` records.
+
+    Timers and list states need the RocksDB state store, so the session is set to it.
+    """
+    records.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return records.groupBy("visit_id").transformWithStateInPandas(_Visits(timeout_ms, forget_ms), OUT_SCHEMA, "append", "ProcessingTime")
 
 
 def incomplete(finished: DataFrame) -> DataFrame:
     """Visits that were interrupted or went idle."""
-    return finished.filter((F.col("record_type") == FINALIZE) & (F.col("status") != "complete")).select("visit_id")
+    return finished.filter((F.col("record_type") == FINALIZE) & F.col("status").isin("incomplete", "failed")).select("visit_id")
+
+
+def completed(finished: DataFrame) -> DataFrame:
+    """The completion queue: (visit_id, success) of every closed visit."""
+    return finished.filter((F.col("record_type") == FINALIZE) & (F.col("status") != LATE)).select("visit_id", (F.col("status") == "complete").alias("success"))
 
 
 def route(batch: DataFrame, folder: str, types: Sequence[str]) -> None:
@@ -101,25 +151,79 @@ def sessions(stream: DataFrame, event_time: str, key: str, gap: str, delay: str
     return stream.withWatermark(event_time, delay).groupBy(F.session_window(event_time, gap).alias("w"), key).agg(F.count("*").alias("n"))
 
 
-def site_states(transitions: DataFrame) -> DataFrame:
-    """Latest state of each site (-1 not started, 0 waiting, 1 crawling, 2 ok, 3 error, 4 timeout); crawls of over 30 minutes count as timed out."""
-    last = transitions.groupBy("site_id").agg(F.max(F.struct("at", "state")).alias("l"), F.max(F.struct(F.col("now"))).alias("n"))
-    late = (F.col("l.state") == 1) & (F.col("n.now").cast("long") - F.col("l.at").cast("long") > 1800)
+def site_states(transitions: DataFrame, now: F.Column, limit_s: int = 1800) -> DataFrame:
+    """Latest state of each site (-1 not started, 0 waiting, 1 crawling, 2 ok, 3 error, 4 timeout); what is crawled for over the limit counts as timed out."""
+    last = transitions.groupBy("site_id").agg(F.max(F.struct("at", "state")).alias("l"))
+    late = (F.col("l.state") == 1) & (now.cast("long") - F.col("l.at").cast("long") > limit_s)
     return last.select("site_id", F.when(late, 4).otherwise(F.col("l.state")).alias("state"))
 
 
-def to_table(stream: DataFrame, mode: str, folder: str) -> DataFrame:
-    """Run a stream over what its source holds now, and return what it wrote."""
+def claim(states: DataFrame, most: int) -> DataFrame:
+    """The next sites to crawl: the first ``most`` that wait, by id, as transitions to state 1."""
+    return states.filter("state = 0").orderBy("site_id").limit(most).select("site_id", F.lit(1).alias("state"))
+
+
+def limited(spark: SparkSession, folder: str, schema: Any, files: int, **options: str) -> DataFrame:
+    """A stream of files that takes at most ``files`` of them into a batch, so that no more is held before it is written out."""
+    return spark.readStream.schema(schema).options(**options).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def to_table(stream: DataFrame, mode: str, folder: str, idle_s: float | None = None, timers: bool = False) -> DataFrame:
+    """Run a stream over what its source holds now, and return what it wrote.
+
+    With ``idle_s`` the stream runs on, so that timers fire, until nothing came out for so many seconds. A stream with
+    ``timers`` asks for batches without data for ever, so without ``idle_s`` it gets none.
+    """
     spark = stream.sparkSession
+    last = [time.monotonic()]
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
-
-    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+        if idle_s is not None and not spark.read.schema(stream.schema).parquet(f"{folder}/out/epoch={epoch}").isEmpty():
+            last[0] = time.monotonic()
+
+    started = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state")
+    if idle_s is None:
+        setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, str(not timers).lower())
+        try:
+            q = started.trigger(availableNow=True).start()  # takes the settings as they are now
+        finally:
+            spark.conf.set(setting, before)
+        q.awaitTermination()
+    else:
+        q = started.trigger(processingTime="500 milliseconds").start()
+        try:
+            while q.isActive and (not q.recentProgress or time.monotonic() - last[0] < idle_s):
+                q.awaitTermination(0.5)
+            if q.exception() is not None:
+                raise q.exception()
+        finally:
+            q.stop()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
 
 
 def rows_done(q: StreamingQuery) -> int:
     """Rows that a streaming query has read, from its progress reports."""
     return sum(p["numInputRows"] for p in q.recentProgress)
+
+
+class Status(StreamingQueryListener):
+    """Counters of the queries of a session while it is registered (``spark.streams.addListener``): batches, rows read, queries that run."""
+
+    def __init__(self) -> None:
+        self.batches = self.rows = self.running = 0
+
+    def onQueryStarted(self, event: Any) -> None:
+        self.running += 1
+
+    def onQueryProgress(self, event: Any) -> None:
+        self.batches += 1
+        self.rows += event.progress.numInputRows
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        self.running -= 1
