@@ -185,10 +185,146 @@ def test_hits_and_betweenness(spark):
         h = m @ (m.T @ h)
         h /= h.sum()
     assert [s["left", str(i)] for i in (1, 2, 3)] == pytest.approx(h, abs=1e-6)
-    b = dict(graph.betweenness(edges, "l", "r"))
+    b = {r.node: r.score for r in graph.betweenness(edges, "l", "r").collect()}
     assert b["r:b"] == pytest.approx(b["l:1"]) and b["l:3"] == 0
 
 
+def paths_through(pairs):
+    """Betweenness of all nodes by counting the shortest paths of each two."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    away = {}
+    for s in near:
+        dist, count, todo = {s: 0}, {s: 1}, [s]
+        for v in todo:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], count[w] = dist[v] + 1, 0
+                    todo.append(w)
+                if dist[w] == dist[v] + 1:
+                    count[w] += count[v]
+        away[s] = dist, count
+    n = len(near)
+    out = dict.fromkeys(near, 0.0)
+    for s, t in combinations(near, 2):
+        if t in away[s][0]:
+            for v in near:
+                if v not in (s, t) and v in away[s][0] and v in away[t][0] and away[s][0][v] + away[t][0][v] == away[s][0][t]:
+                    out[v] += away[s][1][v] * away[t][1][v] / away[s][1][t]
+    return {v: 2 * x / ((n - 1) * (n - 2)) for v, x in out.items()}
+
+
+def test_betweenness_against_all_paths(spark):
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(a), f"n{b}") for a, b in zip(rng.integers(0, 12, 26), rng.integers(0, 9, 26), strict=True)}) + [(90, "x"), (91, "x")]
+    df = spark.createDataFrame(rows + [(None, "n1"), (3, None)], "l long, r string")
+    want = paths_through([(f"l:{a}", f"r:{b}") for a, b in rows])
+    got = {r.node: r.score for r in graph.betweenness(df, "l", "r").collect()}
+    assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v], abs=1e-9) for v in want)
+    few = graph.betweenness(df, "l", "r", k=5)
+    assert few.count() == len(want) and few.filter("score < 0").isEmpty()
+    assert graph.betweenness(df.limit(0), "l", "r").count() == 0
+
+
+def quality(pairs, label):
+    both = [(a, b, w) for a, b, w in pairs] + [(b, a, w) for a, b, w in pairs]
+    total = sum(w for *_, w in both)
+    out = {}
+    for a, _, w in both:
+        out[label[a]] = out.get(label[a], 0) + w
+    return sum(w for a, b, w in both if label[a] == label[b]) / total - sum((x / total) ** 2 for x in out.values())
+
+
+def partitions(items):
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        for i in range(len(rest)):
+            yield [*rest[:i], [items[0], *rest[i]], *rest[i + 1 :]]
+        yield [[items[0]], *rest]
+
+
+def test_modularity_clustering(spark):
+    rng = np.random.default_rng(7)
+    groups = [(f"{g}{a}", f"{g}{b}", 3.0) for g in "wxyz" for a, b in combinations(range(5), 2)] + [("w0", "x0", 1.0), ("x1", "y1", 1.0), ("y2", "z2", 1.0)]
+    got = {r.node: r.community for r in graph.louvain(spark.createDataFrame(groups, "a string, b string, weight double")).collect()}
+    assert got == {f"{g}{i}": f"{g}0" for g in "wxyz" for i in range(5)}
+    assert graph.modularity(spark.createDataFrame([(x, y, w) for a, b, w in groups for x, y in ((a, b), (b, a))], "a string, b string, weight double"), spark.createDataFrame(list(got.items()), "node string, community string"), 2 * sum(w for *_, w in groups)) == pytest.approx(quality(groups, got))
+    nodes = [f"n{i}" for i in range(7)]
+    pairs = [(a, b, float(rng.integers(1, 6))) for a, b in combinations(nodes, 2) if rng.random() < 0.5]
+    top = max(quality(pairs, {v: i for i, g in enumerate(p) for v in g}) for p in partitions(sorted({v for a, b, _ in pairs for v in (a, b)})))
+    got = {r.node: r.community for r in graph.louvain(spark.createDataFrame(pairs, "a string, b string, weight double")).collect()}
+    assert quality(pairs, got) >= 0.85 * top
+    assert graph.louvain(spark.createDataFrame([], "a string, b string, weight double")).count() == 0
+
+
+def test_near_pairs_with_any_number_of_pieces(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(-(2**63), 2**63, 12)
+    hashes = [int(x) for x in base]
+    for x in base:
+        for k in (1, 2, 4, 8, 9):
+            for _ in range(3):
+                y = int(x) & (2**64 - 1)
+                for bit in rng.choice(64, k, replace=False):
+                    y ^= 1 << int(bit)
+                hashes.append(y - 2**64 if y >= 2**63 else y)
+    rows = list(enumerate(hashes + hashes[:5]))
+    df = spark.createDataFrame(rows, "id long, simhash long")
+    rep = {}
+    for i, h in rows:
+        rep.setdefault(h, i)
+    for k, several in ((0, (1, 2)), (2, (None, 3, 5)), (8, (None, 9, 11))):
+        want = {(min(a, b), max(a, b)): bin((a ^ b) & (2**64 - 1)).count("1") for a, b in combinations(rep, 2)}
+        want = {(a, b, d, rep[a], rep[b]) for (a, b), d in want.items() if d <= k}
+        for pieces in several:
+            got = [tuple(r) for r in simhash.near_pairs(df, "id", k, pieces).collect()]
+            assert len(got) == len(want) and set(got) == want
+    assert {r.id: r.rep for r in simhash.members(df, "id").collect()} == {i: rep[h] for i, h in rows}
+
+
+def test_running_sums(spark):
+    rows = [(f"k{i:03}", (i * 7919) % 50) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, n long").repartition(7)
+    got = {r.k: (r.rank, r.cum_pct) for r in ranking.coverage(df, "k").collect()}
+    total, run = sum(n for _, n in rows), 0
+    for i, (k, n) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0]))):
+        run += n
+        assert got[k] == (i + 1, pytest.approx(run * 100 / total, abs=1e-6))
+    assert {r.n_keys for r in ranking.n_for_coverage(df.limit(0), "k", [80.0]).collect()} == {0}
+    # 79.9999996 per cent isn't 80
+    near = spark.createDataFrame([("a", 799_999_996), ("b", 200_000_004)], "k string, n long")
+    assert [(r.target, r.n_keys) for r in ranking.n_for_coverage(near, "k", [79.0, 80.0]).collect()] == [(79.0, 1), (80.0, 2)]
+
+
+def test_long_prefixes(spark):
+    prefixes = [("x" * n,) for n in range(1, 1500)]
+    df = spark.createDataFrame([("x" * 1400 + "y",), ("xy",), ("zz",), ("",), (None,)], "v string")
+    got = {r.v: r.p for r in joins.longest_prefix(df, "v", spark.createDataFrame(prefixes, "p string"), "p").collect()}
+    assert got == {"x" * 1400 + "y": "x" * 1400, "xy": "x", "zz": None, "": None, None: None}
+
+
+def test_rules_without_a_token(spark):
+    lines = [("spam-farm",), ("*pills*de",), ("a|b/",), ("/ad[0-9]+/",), ("/q./",)]
+    rules = B.parse_rules(spark.createDataFrame(lines, "value string"))
+    assert {r.raw: r.gram for r in rules.collect()} == {"spam-farm": "spa", "*pills*de": "pil", "a|b/": "a|b", "/ad[0-9]+/": "", "/q./": ""}
+    urls = ["http://h/xspam-farmy", "http://h/PILLS/de", "http://h/pills/xde", "http://h/ad77", "http://h/qz", "http://h/SPAM-farm", "http://h/a|b/c", "http://h/none"]
+    got = {r.url: r.rule for r in B.match_rules(spark.createDataFrame([(u,) for u in urls], "url string"), rules).filter("blocked").collect()}
+    assert got == {urls[0]: "spam-farm", urls[2]: "*pills*de", urls[3]: "/ad[0-9]+/", urls[4]: "/q./", urls[6]: "a|b/"}
+
+
+def test_values_of_a_cookie_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [("c", "s", "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 12)), f"p{i % 3}") for i in range(25)]
+    rows += [("d", "s", v, p) for _, _, v, p in rows[:-1]] + [("d", "s", rows[3][2][:-1] + "#", "p9")]
+    df = spark.createDataFrame(rows, "name string, top_level_etld string, value string, browser_id string")
+    monkeypatch.setattr(B, "PAIR_BLOCK", 4)
+    assert {r.name: r.hold_id for r in B.hold_id(df).collect()} == {"c": hold([(p, v) for n, _, v, p in rows if n == "c"]), "d": False}
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b.c", "k[1]", "x-y"]), max_size=3, unique=True))
 def test_lookahead_rules(spark, keys):

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 
 def cookie_name(pair: Column, trim: bool = False) -> Column:
@@ -162,6 +162,22 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def similar(threshold: float):
+    """Whether the ratio of two texts is above the threshold; its upper bounds, which are cheap, decide most pairs."""
+
+    @F.pandas_udf(BooleanType())
+    def above(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        out = []
+        for x, y in zip(a, b, strict=True):
+            m = SequenceMatcher(None, x or "", y or "")
+            out.append(m.real_quick_ratio() > threshold and m.quick_ratio() > threshold and m.ratio() > threshold)
+        return pd.Series(out, dtype=bool)
+
+    return above
+
+
 def length_ok(a: Column, b: Column, most: float = 0.25) -> Column:
     """Lengths differ by at most the share of the longer; two empty texts pass, one empty text doesn't."""
     n, m = F.length(a), F.length(b)

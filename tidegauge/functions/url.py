@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEME = r"^[a-zA-Z][a-zA-Z0-9+\-.]*://"
-#: A small built-in part of the public suffix list; pass the full list (with its ``*.`` and ``!`` rules) where it matters.
+#: A small built-in part of the public suffix list; pass the full list (:func:`tidegauge.sources.readers.public_suffixes`) where it matters.
 SUFFIXES = "com net org edu gov mil int info biz io dev app de fr es it nl be at ch eu us ca jp cn br uk co.uk org.uk ac.uk gov.uk au com.au net.au com.br co.jp or.jp *.ck !www.ck".split()
 
 
@@ -21,14 +21,15 @@ def host(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(ensure_scheme(url), r"://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def registrable_domain(hosts: DataFrame, col: str, suffixes: Iterable[str] = SUFFIXES) -> DataFrame:
+def registrable_domain(hosts: DataFrame, col: str, suffixes: Iterable[str] | DataFrame = SUFFIXES) -> DataFrame:
     """Distinct hosts with ``suffix`` and ``domain`` (one label more than the longest public suffix).
 
     Wildcard and exception rules hold; a host that is a suffix itself or an address has no domain; without a
-    rule the last label is the suffix. The host's own endings are looked up, so no host meets all rules.
+    rule the last label is the suffix. The host's own endings are looked up, so no host meets all rules. ``suffixes``
+    are texts or a frame (rule).
     """
-    spark = hosts.sparkSession
-    rules = spark.createDataFrame([(r.lstrip("!*").lstrip("."), r[0] if r[0] in "!*" else "") for r in suffixes], "ending string, kind string")
+    rules = suffixes if isinstance(suffixes, DataFrame) else hosts.sparkSession.createDataFrame([(r,) for r in suffixes], "rule string")
+    rules = rules.select(F.regexp_replace("rule", r"^[!*]?\.?", "").alias("ending"), F.regexp_extract("rule", "^[!*]?", 0).alias("kind"))
     h = hosts.select(col).distinct().filter(F.col(col).isNotNull())
     labels = F.split(col, r"\.")
     n = F.size(labels)

@@ -18,6 +18,8 @@ from tidegauge.registry import query, table
 # ---- identifier heuristic
 
 SIMILARITY = 0.6
+#: Values of a block whose pairs one group compares with another block.
+PAIR_BLOCK = 500
 
 
 def hold_id(cookies: DataFrame, name: str = "name", site: str = "top_level_etld", value: str = "value", profile: str = "browser_id", threshold: float = SIMILARITY) -> DataFrame:
@@ -35,8 +37,14 @@ def hold_id(cookies: DataFrame, name: str = "name", site: str = "top_level_etld"
     stats = own.groupBy(name, site).agg(F.count("*").alias("n"), F.countDistinct("v").alias("k"), F.min_by("v", F.length("v")).alias("short"), F.max_by("v", F.length("v")).alias("long"))
     stats = stats.withColumn("open", (F.col("n") > 1) & (F.col("n") == F.col("k")) & T.length_ok(F.col("short"), F.col("long")))
     live = own.join(stats.filter("open").select(name, site), [name, site], "left_semi").select(name, site, F.struct(profile, "v").alias("x"))
-    pairs = live.join(live.withColumnRenamed("x", "y"), [name, site]).filter("x < y")
-    alike = pairs.filter(T.similarity(F.col("x.v"), F.col("y.v")) > threshold).select(name, site).distinct().withColumn("bad", F.lit(True))
+    # the values of a cookie are cut into blocks by their hash, and each two blocks meet in a group of their own
+    blocks = stats.filter("open").select(name, site, F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("_b"))
+    live = live.join(blocks, [name, site]).withColumn("_own", F.pmod(F.xxhash64("x"), F.col("_b")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("_b") - 1)
+    left = live.select(name, site, "x", F.col("_own").alias("_i"), F.explode(others).alias("_j"))
+    right = live.select(name, site, F.col("x").alias("y"), F.explode(others).alias("_i"), F.col("_own").alias("_j"))
+    pairs = left.join(right, [name, site, "_i", "_j"]).filter("x < y")
+    alike = pairs.filter(T.similar(threshold)(F.col("x.v"), F.col("y.v"))).select(name, site).distinct().withColumn("bad", F.lit(True))
     return stats.join(alike, [name, site], "left").select(name, site, "n", (F.col("open") & F.col("bad").isNull()).alias("hold_id"))
 
 
@@ -70,6 +78,7 @@ def hold_id_faithful(cookies: DataFrame, name: str = "name", site: str = "top_le
 # The options of the filter language that are on or off.
 BINARY = "script image stylesheet object xmlhttprequest object-subrequest subdocument document elemhide other background xbl ping dtd media third-party match-case collapse donottrack websocket".split()
 _OPTIONS = re.compile(r",(?=~?(?:" + "|".join([*BINARY, "domain"]) + r")(?:[,=]|$))")
+# What ``||`` and ``^`` mean.
 LABEL_START = r"^(?:[^:/?#]+:)?(?://(?:[^/?#]*\.)?)?"
 SEPARATOR = r"(?:[^\w\-.%]|$)"
 
@@ -132,14 +141,24 @@ def literal_token(regex: str) -> str:
     return max((r.lower() for r in closed), key=len, default="")
 
 
+def literal_gram(regex: str) -> str:
+    """Three lower-cased characters that every match holds, from the longest literal run; empty if there are none."""
+    bare = re.sub(r"\(\?[^)]*\)\??|\[[^\]]*\]|\\[A-Za-z]", "\0", regex.replace(LABEL_START, "\0").replace(SEPARATOR, "\0"))
+    if re.search(r"[|?+*{(]", re.sub(r"\\.", "", bare.replace(".*", ""))):
+        return ""
+    text = re.sub(r"\\(.)", r"\1", re.sub(r"(?<!\\)(\.\*|\.|\^|\$)", "\0", bare))
+    runs = [r.lower() for r in text.split("\0") if r.isascii() and len(r) >= 3]
+    return max(runs, key=len)[:3] if runs else ""
+
+
 def parse_rules(lines: DataFrame, text: str = "value", list_name: Column | None = None) -> DataFrame:
-    """(list, raw, kind, regex, token, options, domains) of the lines; comments and element-hiding rules included."""
-    schema = "list string, raw string, kind string, regex string, token string, options map<string,boolean>, domains map<string,boolean>"
+    """(list, raw, kind, regex, token, gram, options, domains) of the lines; comments and element-hiding rules included."""
+    schema = "list string, raw string, kind string, regex string, token string, gram string, options map<string,boolean>, domains map<string,boolean>"
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             parsed = [parse_rule(t or "") for t in b["raw"]]
-            yield pd.DataFrame({"list": b["list"], "raw": b["raw"], "kind": [p.kind for p in parsed], "regex": [p.regex for p in parsed], "token": [literal_token(p.regex) for p in parsed], "options": [p.options for p in parsed], "domains": [p.domains for p in parsed]})
+            yield pd.DataFrame({"list": b["list"], "raw": b["raw"], "kind": [p.kind for p in parsed], "regex": [p.regex for p in parsed], "token": [literal_token(p.regex) for p in parsed], "gram": [literal_gram(p.regex) for p in parsed], "options": [p.options for p in parsed], "domains": [p.domains for p in parsed]})
 
     return lines.select((list_name if list_name is not None else F.lit("rules")).alias("list"), F.col(text).alias("raw")).mapInPandas(batches, schema)
 
@@ -147,8 +166,9 @@ def parse_rules(lines: DataFrame, text: str = "value", list_name: Column | None
 def match_rules(urls: DataFrame, rules: DataFrame, url: str = "url", options: dict[str, bool] | None = None, domain: str | None = None) -> DataFrame:
     """(url, list, blocked, rule) of each distinct URL and list: an exception wins, else the first blocking rule by text.
 
-    URL words are joined to the rules' literal tokens and only those pairs are matched; rules without a token
-    meet every URL, as a broadcast of at most ``UNTOKENED`` rules. A rule whose options aren't given is not applied.
+    URL words are joined to the rules' literal tokens and only those pairs are matched; rules without a token are looked
+    up by three literal characters, and the few that have no such either (at most ``UNTOKENED``) meet every URL. A rule
+    whose options aren't given is not applied.
     """
     given = options or {}
     active = rules.filter(F.col("kind").isin("block", "allow"))
@@ -162,9 +182,13 @@ def match_rules(urls: DataFrame, rules: DataFrame, url: str = "url", options: di
     u = urls.select(url).distinct()
     words = u.select(url, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(url), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("token"))
     hits = words.join(active.filter("token <> ''"), "token").filter(F.expr(f"{url} rlike regex")).select(url, "list", "kind", "raw")
-    loose = active.filter("token = ''").select("list", "kind", "raw", "regex")
+    grams = active.filter("token = '' and gram <> ''")
+    if not grams.isEmpty():
+        parts = u.select(url, F.explode(F.array_distinct(T.ngrams(F.lower(url), 3))).alias("gram"))
+        hits = hits.unionByName(parts.join(grams, "gram").filter(F.expr(f"{url} rlike regex")).select(url, "list", "kind", "raw"))
+    loose = active.filter("token = '' and gram = ''").select("list", "kind", "raw", "regex")
     if loose.limit(UNTOKENED + 1).count() > UNTOKENED:
-        raise ValueError(f"more than {UNTOKENED} rules have no literal token")
+        raise ValueError(f"more than {UNTOKENED} rules have no three literal characters")
     rest = u.join(F.broadcast(loose), F.expr(f"{url} rlike regex")).select(url, "list", "kind", "raw")
     g = hits.unionByName(rest).groupBy(url, "list").agg(F.bool_or(F.col("kind") == "allow").alias("allowed"), F.min(F.when(F.col("kind") == "block", F.col("raw"))).alias("rule"))
     return g.select(url, "list", (~F.col("allowed") & F.col("rule").isNotNull()).alias("blocked"), F.when(~F.col("allowed"), F.col("rule")).alias("rule"))
@@ -222,7 +246,12 @@ def _(s, d):
     return _rules(s).select("raw", "kind")
 
 
-@query("fr_to_regex")
+_REGEX = r"""SELECT * FROM (VALUES ('! comment', '', ''), ('[Adblock Plus 2.0]', '', ''), ('||example.net^', '^(?:[^:/?#]+:)?(?://(?:[^/?#]*\.)?)?example\.net(?:[^\w\-.%]|$)', 'example'),
+    ('@@||www.example.net^', '^(?:[^:/?#]+:)?(?://(?:[^/?#]*\.)?)?www\.example\.net(?:[^\w\-.%]|$)', 'example'), ('utm_source=', 'utm_source=', 'source'), ('/page=\d/', 'page=\d', ''), ('|http://blog.', '^http://blog\.', 'http'),
+    ('.html|', '\.html$', 'html'), ('spam-farm$third-party', 'spam-farm', ''), ('##.ad', '', ''), ('*pills*de', '.*pills.*de', ''), ('@@/en/4$domain=example.com', '/en/4', 'en')) v(raw, regex, token)"""
+
+
+@query("fr_to_regex", _REGEX)
 def _(s, d):
     return _rules(s).select("raw", "regex", "token")
 

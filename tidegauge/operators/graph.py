@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import random
-from collections import deque
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +65,7 @@ def hits(edges: DataFrame, left: str, right: str, rounds: int = 200, tolerance:
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community) from weighted edges (a, b, weight), the scalable stand-in for modularity clustering.
+    """(node, community) from weighted edges (a, b, weight), cheaper than modularity clustering (:func:`louvain`).
 
     All nodes take the label with the largest weight among their neighbours and themselves at once (ties to
     the smaller label), until nothing changes or the rounds are over.
@@ -86,45 +85,98 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-#: Edges that the driver takes for betweenness.
-DRIVER_EDGES = 2_000_000
-
-
-def betweenness(edges: DataFrame, left: str, right: str, k: int = 2000, seed: int = 42) -> list[tuple[str, float]]:
-    """Betweenness from k sampled sources by Brandes' accumulation, on the driver: only for graphs of at most ``DRIVER_EDGES`` edges."""
-    e = edges.select(F.concat(F.lit("l:"), F.col(left).cast("string")), F.concat(F.lit("r:"), F.col(right).cast("string"))).distinct()
-    rows = e.limit(DRIVER_EDGES + 1).collect()
-    if len(rows) > DRIVER_EDGES:
-        raise ValueError("the graph is too large for one machine; take a component or a projection of it")
-    near: dict[str, list[str]] = {}
-    for a, b in sorted(map(tuple, rows)):
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    nodes = sorted(near)
-    sources = nodes if k >= len(nodes) else random.Random(seed).sample(nodes, k)
-    score = dict.fromkeys(nodes, 0.0)
-    for s in sources:
-        order, paths, dist, before = [], {s: 1.0}, {s: 0}, {s: []}
-        queue = deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in near[v]:
-                if w not in dist:
-                    dist[w], paths[w], before[w] = dist[v] + 1, 0.0, []
-                    queue.append(w)
-                if dist[w] == dist[v] + 1:
-                    paths[w] += paths[v]
-                    before[w].append(v)
-        share = dict.fromkeys(order, 0.0)
-        for w in reversed(order):
-            for v in before[w]:
-                share[v] += paths[v] / paths[w] * (1 + share[w])
-            if w != s:
-                score[w] += share[w]
-    n = len(nodes)
-    scale = 1 / ((n - 1) * (n - 2)) * n / len(sources) if n > 2 else 1.0
-    return [(v, score[v] * scale) for v in nodes]
+def modularity(both: DataFrame, labels: DataFrame, total: float) -> float:
+    """Modularity of communities (node, community) for edges in both directions (a, b, weight) whose weights sum to ``total``."""
+    named = both.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b")
+    per = named.groupBy("ca").agg(F.sum("weight").alias("out"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("own"))
+    return per.agg(F.sum(F.col("own") / total - (F.col("out") / total) * (F.col("out") / total))).first()[0] or 0.0
+
+
+def _local_moves(both: DataFrame, total: float, rounds: int) -> DataFrame:
+    """(node, community) after moves to neighbouring communities while the modularity grows, from a community for each node.
+
+    In each round the half of the nodes that a hash picks moves at once, each to the community of the largest gain, so
+    two nodes seldom chase each other; a round that doesn't raise the modularity is undone.
+    """
+    degree = cut(both.groupBy("a").agg(F.sum("weight").alias("k")))
+    labels = degree.select(F.col("a").alias("node"), F.col("a").alias("community"))
+    best, idle = modularity(both, labels, total), 0
+    for r in range(rounds):
+        sums = labels.join(degree.withColumnRenamed("a", "node"), "node").groupBy("community").agg(F.sum("k").alias("all"))
+        links = both.filter("a <> b").join(labels.toDF("b", "to"), "b").groupBy("a", "to").agg(F.sum("weight").alias("w"))
+        own = labels.join(degree.withColumnRenamed("a", "node"), "node").toDF("a", "at", "k")
+        turn = F.pmod(F.xxhash64("a", F.lit(r // 2)) + r, F.lit(2)) == 0
+        to = links.join(own.filter(turn), "a").join(sums.withColumnRenamed("community", "to"), "to")
+        # weight to the community less what chance would give, the node itself left out
+        value = F.col("w") - F.col("k") * (F.col("all") - F.when(F.col("to") == F.col("at"), F.col("k")).otherwise(0.0)) / total
+        rated = to.withColumn("value", F.round(value, 9))
+        stay = rated.filter("to = at").select("a", F.col("value").alias("stay"))
+        alone = F.coalesce("stay", F.lit(0.0))  # without a link into the own community leaving it costs what chance gives: none of it is certain, so 0
+        moved = rated.join(stay, "a", "left").filter((F.col("to") != F.col("at")) & (F.col("value") > alone)).groupBy("a").agg(F.max(F.struct("value", "to")).alias("m"))
+        new = cut(labels.join(moved.select(F.col("a").alias("node"), F.col("m.to").alias("new")), "node", "left").select("node", F.coalesce("new", "community").alias("community")))
+        q = modularity(both, new, total)
+        if q > best + 1e-9:
+            labels, best, idle = new, q, 0
+        else:
+            idle += 1
+            if idle == 2:
+                break
+    return labels
+
+
+def louvain(edges: DataFrame, rounds: int = 12, passes: int = 8) -> DataFrame:
+    """(node, community) by modularity from weighted edges (a, b, weight): local moves, then the communities become nodes, until nothing merges.
+
+    A community is named by its smallest node. Moves are made for many nodes at once, so results differ from those of
+    the sequential method; like it, this never lowers the modularity.
+    """
+    turned = F.inline(F.array(F.struct("a", "b", "weight"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "weight")))
+    both = cut(edges.select("a", "b", F.col("weight").cast("double").alias("weight")).select(turned).groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    total = both.agg(F.sum("weight")).first()[0] or 0.0
+    named = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
+    for _ in range(passes if total else 0):
+        labels = _local_moves(both, total, rounds)
+        if labels.filter("node <> community").isEmpty():
+            break
+        names = labels.groupBy("community").agg(F.min("node").alias("name"))
+        labels = cut(labels.join(names, "community").select("node", F.col("name").alias("community")))
+        named = cut(named.join(labels.toDF("community", "next"), "community").select("node", F.col("next").alias("community")))
+        both = cut(both.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")))
+    names = named.groupBy("community").agg(F.min("node").alias("name"))
+    return named.join(names, "community").select("node", F.col("name").alias("community"))
+
+
+def betweenness(edges: DataFrame, left: str, right: str, k: int = 2000, seed: int = 42) -> DataFrame:
+    """(node, score): betweenness from k sampled sources (all, where there are no more), by Brandes' accumulation in breadth-first rounds.
+
+    All sources go one step further in each round: paths are counted per source and node, and the dependencies come back
+    level by level. There is a row for each source and node that it reaches, and every level is a checkpoint.
+    """
+    l, r = F.concat(F.lit("l:"), F.col(left).cast("string")), F.concat(F.lit("r:"), F.col(right).cast("string"))
+    e = edges.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(l.alias("v"), r.alias("w")).distinct()
+    e = cut(e.select(F.inline(F.array(F.struct("v", "w"), F.struct(F.col("w").alias("v"), F.col("v").alias("w"))))))
+    nodes = cut(e.select("v").distinct())
+    n = nodes.count()
+    sources = nodes.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), "v").cast("binary"))).limit(k)
+    levels = [cut(sources.select(F.col("v").alias("s"), "v", F.lit(1.0).alias("paths")))]
+    used = levels[0].count()
+    while True:
+        near = levels[-1].join(e, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
+        for before in levels[-2:]:  # a neighbour is at most one level nearer
+            near = near.join(before.select("s", "v"), ["s", "v"], "left_anti")
+        near = cut(near)
+        if near.isEmpty():
+            break
+        levels.append(near)
+    scores, share = [], levels[-1].select("s", "v", "paths", F.lit(0.0).alias("share"))
+    for nearer in reversed(levels[:-1]):
+        scores.append(share)
+        back = share.select("s", F.col("v").alias("w"), ((F.col("share") + 1) / F.col("paths")).alias("part")).join(e, "w").groupBy("s", "v").agg(F.sum("part").alias("part"))
+        share = cut(nearer.join(back, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")))
+    scale = n / ((n - 1) * (n - 2) * used) if n > 2 and used else 1.0
+    parts = [x.filter("s <> v").groupBy("v").agg(F.sum("share").alias("share")) for x in scores]
+    total = reduce(DataFrame.unionByName, parts).groupBy("v").agg(F.sum("share").alias("share")) if parts else nodes.select("v", F.lit(0.0).alias("share"))
+    return nodes.join(total, "v", "left").select(F.col("v").alias("node"), (F.coalesce("share", F.lit(0.0)) * scale).alias("score"))
 
 
 _EDGES = "SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem"
@@ -149,13 +201,17 @@ def _(s, d):
     return degrees(_edges(s, d), "s", "p").filter("side = 'right'").groupBy("degree").agg(F.count("*").alias("n"))
 
 
-@query("gr_components", "SELECT count(DISTINCT cluster % 20) AS n, (SELECT max(k) FROM (SELECT count(DISTINCT cluster) + count(DISTINCT hash || '/' || (cluster % 20)) AS k FROM mem GROUP BY cluster % 20) x) AS largest FROM mem")
+# Suppliers and parts of single orders: a graph of many components.
+_SPARSE = "SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_linenumber = 7"
+
+
+@query(
+    "gr_components",
+    f"""WITH RECURSIVE e AS (SELECT 'l:' || s AS x, 'r:' || p AS y FROM ({_SPARSE}) z), b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+    r(x, y) AS (SELECT x, x FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x) SELECT x AS node, min(y) AS root FROM r GROUP BY x""",
+)
 def _(s, d):
-    # clusters are tied to hashes of their own twenty-fold residue only, so the components are known
-    m = view(s, d, "mem").select("cluster", F.concat_ws("/", "hash", (F.col("cluster") % 20).cast("string")).alias("h")).distinct()
-    ties = m.union(m.select("cluster", F.concat(F.lit("all/"), (F.col("cluster") % 20).cast("string"))))
-    c = graph_components(ties, "cluster", "h").filter(~F.col("node").startswith("r:all/"))
-    return c.groupBy("root").agg(F.count("*").alias("k")).agg(F.count("*").alias("n"), F.max("k").alias("largest"))
+    return graph_components(select(s, d, _SPARSE), "s", "p")
 
 
 @query("gr_projection", "SELECT a.cookie AS a, b.cookie AS b, count(*) AS weight FROM bk a JOIN bk b ON a.cluster_id = b.cluster_id AND a.cookie < b.cookie GROUP BY ALL")
@@ -169,11 +225,15 @@ def _(s, d):
 
 
 @query("gr_louvain")
+def _(s, d):
+    return louvain(projection(view(s, d, "bk"), "cluster_id", "cookie"))
+
+
+@query("gr_label_propagation")
 def _(s, d):
     return label_propagation(projection(view(s, d, "bk"), "cluster_id", "cookie"))
 
 
 @query("gr_betweenness_sampled")
 def _(s, d):
-    e = view(s, d, "mem").select("cluster", "cookie_name").distinct()
-    return s.createDataFrame(betweenness(e, "cluster", "cookie_name"), "node string, score double")
+    return betweenness(view(s, d, "mem").select("cluster", "cookie_name").distinct(), "cluster", "cookie_name")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
@@ -10,28 +12,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidegauge.functions import url as U
+from tidegauge.plans.checkpoints import cut
 from tidegauge.plans.views import view
 from tidegauge.registry import query, table
 
 EPS = 1e-6
 
 
-def frequent(baskets: DataFrame, basket: str, item: str, least: int, size: int) -> DataFrame:
-    """Itemsets of exactly ``size`` items in at least ``least`` baskets, as (items, n), level by level (Apriori).
+def levels(baskets: DataFrame, basket: str, item: str, least: int, most: int) -> list[DataFrame]:
+    """Itemsets (items, n) of 1, 2, ... ``most`` items in at least ``least`` baskets, level by level (Apriori).
 
     Items that are rare alone go first; each level joins the baskets' itemsets of the level before with the
-    frequent ones, so a basket only makes candidates whose prefix is frequent.
+    frequent ones, so a basket only makes candidates whose prefix is frequent. Levels are materialised, so each is made once.
     """
     rows = baskets.select(basket, item).distinct()
-    single = rows.groupBy(item).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    rows = rows.join(single.select(item), item, "left_semi")
+    single = cut(rows.groupBy(item).agg(F.count("*").alias("n")).filter(F.col("n") >= least))
+    rows = cut(rows.join(single.select(item), item, "left_semi")) if most > 1 else rows
     level = rows.select(basket, F.array(item).alias("items"))
-    good = single.select(F.array(item).alias("items"), "n")
-    for _ in range(size - 1):
+    out = [single.select(F.array(item).alias("items"), "n")]
+    for k in range(2, most + 1):
         longer = level.join(rows, basket).filter(F.col(item) > F.element_at("items", -1)).select(basket, F.array_append("items", F.col(item)).alias("items"))
-        good = longer.groupBy("items").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-        level = longer.join(good.select("items"), "items", "left_semi")
-    return good
+        out.append(cut(longer.groupBy("items").agg(F.count("*").alias("n")).filter(F.col("n") >= least)))
+        if k < most:
+            level = cut(longer.join(out[-1].select("items"), "items", "left_semi"))
+    return out
+
+
+def frequent(baskets: DataFrame, basket: str, item: str, least: int, size: int) -> DataFrame:
+    """Itemsets of exactly ``size`` items in at least ``least`` baskets, as (items, n)."""
+    return levels(baskets, basket, item, least, size)[-1]
 
 
 def inverted_support(baskets: DataFrame, basket: str, item: str, sets: DataFrame) -> DataFrame:
@@ -47,10 +56,7 @@ def fp_growth(baskets: DataFrame, basket: str, item: str, min_support: float, ma
     if max_len <= 4:
         n = baskets.select(basket).distinct().count()
         least = max(1, int(np.ceil(min_support * n - 1e-9)))
-        out = frequent(baskets, basket, item, least, 1)
-        for k in range(2, max_len + 1):
-            out = out.unionByName(frequent(baskets, basket, item, least, k))
-        return out
+        return reduce(DataFrame.unionByName, levels(baskets, basket, item, least, max_len))
     lists = baskets.groupBy(basket).agg(F.collect_set(item).alias("items"))
     found = FPGrowth(itemsCol="items", minSupport=min_support).fit(lists).freqItemsets
     return found.filter(F.size("items") <= max_len).select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))

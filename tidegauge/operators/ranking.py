@@ -8,28 +8,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.operators.overview import r6
+from tidegauge.plans.checkpoints import cut
 from tidegauge.plans.views import view
 from tidegauge.registry import query
 
 
+def running(df: DataFrame, order: Sequence[Column], value: str) -> DataFrame:
+    """``_rank`` (from 1) and ``_sum`` (of ``value`` up to the row) in the given order, for any number of rows.
+
+    The rows are dealt out by ranges of the order; each part is numbered and summed on its own, and what the parts before
+    it hold is added from a table with a row for each part.
+    """
+    parts = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    first = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    before = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    before = before.select("_part", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_s").over(first), F.lit(0)).alias("_total"))
+    own = Window.partitionBy("_part").orderBy(*order)
+    inside = parts.select("*", F.row_number().over(own).alias("_r"), F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
+    return inside.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_r") + F.col("_rows")).alias("_rank"), (F.col("_s") + F.col("_total")).alias("_sum"))
+
+
+def _shares(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """``rank`` and the unrounded ``_pct`` of the counts up to it, in descending order (ties by key)."""
+    total = F.broadcast(counts.agg(F.sum(n).alias("_all")))  # one row
+    return running(counts, [F.desc(n), F.col(key)], n).crossJoin(total).select(*counts.columns, F.col("_rank").cast("int").alias("rank"), (F.col("_sum") * 100.0 / F.col("_all")).alias("_pct"))
+
+
 def coverage(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
     """Cumulative percentage of the counts in descending order (ties by key). Takes one row per key: aggregate first."""
-    w = Window.partitionBy().orderBy(F.desc(n), key)
-    total = F.sum(n).over(Window.partitionBy())
-    return counts.select("*", F.row_number().over(w).alias("rank"), r6(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)) * 100.0 / total).alias("cum_pct"))
+    return _shares(counts, key, n).withColumn("cum_pct", r6(F.col("_pct"))).drop("_pct")
 
 
-def n_for_coverage(counts: DataFrame, key: str, target: float, n: str = "n") -> DataFrame:
-    """Smallest number of keys whose counts reach the target percentage; 0 for an empty frame."""
-    c = coverage(counts, key, n)
-    return c.agg(F.coalesce(F.min(F.when(F.col("cum_pct") >= target, F.col("rank"))), F.lit(0)).cast("bigint").alias("n_keys"))
+def n_for_coverage(counts: DataFrame, key: str, targets: Sequence[float], n: str = "n") -> DataFrame:
+    """(target, n_keys): the smallest number of keys whose counts reach each target percentage, unrounded; 0 for an empty frame."""
+    one = _shares(counts, key, n).agg(*(F.min(F.when(F.col("_pct") >= t, F.col("rank"))).alias(f"t{i}") for i, t in enumerate(targets)))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(float(t)).alias("target"), F.coalesce(f"t{i}", F.lit(0)).cast("bigint").alias("n_keys")) for i, t in enumerate(targets)))))
 
 
 def ecdf(df: DataFrame, col: str) -> DataFrame:
     """Empirical distribution function at each distinct value: counts per value first, then their running sum."""
     n = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("x")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy().orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return n.select("x", r6(F.sum("n").over(w) / F.sum("n").over(Window.partitionBy())).alias("p"))
+    total = F.broadcast(n.agg(F.sum("n").alias("_all")))  # one row
+    return running(n, [F.col("x")], "n").crossJoin(total).select("x", r6(F.col("_sum") / F.col("_all")).alias("p"))
+
+
+def rank_frequency(counts: DataFrame, n: str = "n") -> DataFrame:
+    """The counts with their dense rank, the highest first: the distinct counts are ranked, and those are few."""
+    ranks = running(counts.select(n).distinct(), [F.desc(n)], n).select(n, F.col("_rank").cast("int").alias("rank"))
+    return counts.join(ranks, n)
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -93,10 +119,7 @@ def _(s, d):
 
 @query("qk_coverage_N", f"SELECT target, (SELECT count(*) + 1 FROM (SELECT sum(n) OVER (ORDER BY n DESC, name ROWS UNBOUNDED PRECEDING) * 100.0 / sum(n) OVER () AS c FROM {_NAMES} x) y WHERE c < target) AS n_keys FROM (VALUES (80.0), (90.0), (95.0), (99.0)) t(target)")
 def _(s, d):
-    n = view(s, d, "ck").groupBy("name").agg(F.count("*").alias("n"))
-    c = coverage(n, "name")
-    targets = s.createDataFrame([(80.0,), (90.0,), (95.0,), (99.0,)], "target double")
-    return targets.crossJoin(F.broadcast(c.select("rank", "cum_pct").groupBy().agg(F.sort_array(F.collect_list(F.struct("rank", "cum_pct"))).alias("c")))).select("target", F.filter("c", lambda x: x["cum_pct"] >= F.col("target"))[0]["rank"].cast("bigint").alias("n_keys"))
+    return n_for_coverage(view(s, d, "ck").groupBy("name").agg(F.count("*").alias("n")), "name", [80.0, 90.0, 95.0, 99.0])
 
 
 @query("win_ecdf", "SELECT x, round(max(p), 6) AS p FROM (SELECT n_chars AS x, cume_dist() OVER (ORDER BY n_chars) AS p FROM documents) y GROUP BY x")
@@ -107,7 +130,7 @@ def _(s, d):
 @query("win_rank_frequency", f"SELECT name, n, dense_rank() OVER (ORDER BY n DESC) AS rank FROM {_NAMES} x")
 def _(s, d):
     n = view(s, d, "ck").groupBy("name").agg(F.count("*").alias("n"))
-    return n.select("name", "n", F.dense_rank().over(Window.partitionBy().orderBy(F.desc("n"))).alias("rank"))
+    return rank_frequency(n).select("name", "n", "rank")
 
 
 @query("win_latest_per_key", "SELECT name, host, event_ordinal FROM ck QUALIFY row_number() OVER (PARTITION BY name, host ORDER BY time_stamp DESC, event_ordinal DESC) = 1")

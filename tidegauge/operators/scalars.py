@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import text as T
 from tidegauge.functions import url as U
+from tidegauge.operators.io import folder
 from tidegauge.plans.views import select, view
 from tidegauge.registry import query, table
+from tidegauge.sources import readers as R
+from tidegauge.sources import writers as W
 
 
 def pages(s, d):
@@ -51,7 +54,8 @@ _DOMAIN = rf"""CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN NULL WHEN regexp
 @query("url_reg_domain", f"SELECT DISTINCT host, {_DOMAIN} AS domain FROM (SELECT {_HOST} AS host FROM {_EACH} x) y WHERE host IS NOT NULL AND host <> 'data'")
 def _(s, d):
     hosts = each(s, d).select(U.host(F.col("url")).alias("host")).filter("host is not null and host <> 'data'")
-    return U.registrable_domain(hosts, "host").select("host", "domain")
+    W.report(s.createDataFrame([("// a list as it is published",), ("",), *((f"{r}  ",) for r in U.SUFFIXES)], "value string"), at := folder(s))
+    return U.registrable_domain(hosts, "host", R.public_suffixes(s, at)).select("host", "domain")
 
 
 @query("url_etld1_tldextract", f"SELECT domain, count(*) AS n FROM (SELECT {_DOMAIN} AS domain FROM (SELECT {_HOST} AS host FROM pages) x) y GROUP BY domain")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -78,21 +82,61 @@ def bands(k: int, bits: int = BITS) -> list[tuple[int, int]]:
     return [(i * step, step if i < k else bits - i * step) for i in range(k + 1)]
 
 
-def near_pairs(hashes: DataFrame, key: str, k: int) -> DataFrame:
-    """Pairs (a, b, distance) with Hamming distance at most k. By the pigeonhole principle they share one of k + 1 bands.
+#: Pieces that hashes may be cut into.
+PIECES = range(1, 21)
+
+
+def plan_pieces(k: int, n: int, bits: int = BITS) -> int:
+    """Into how many pieces to cut n hashes: the number with the fewest rows to make and to compare.
 
-    Equal hashes are one candidate; a pair that shares several bands is made in the first only.
+    With distance at most k, m - k of m pieces are equal, so there is a key for each choice of m - k pieces: few short
+    keys suit few hashes, many long ones suit many.
     """
-    distinct = hashes.select("simhash").distinct()
-    cuts = bands(k)
-    value = lambda c, o, w: F.shiftrightunsigned(c, o).bitwiseAND(F.lit((1 << w) - 1).cast("bigint")) if w < 64 else c
-    rows = distinct.select("simhash", F.posexplode(F.array(*(value(F.col("simhash"), o, w) for o, w in cuts))).alias("band", "v"))
-    a, b = rows.select("band", "v", F.col("simhash").alias("ha")), rows.select("band", "v", F.col("simhash").alias("hb"))
-    first = F.lit(False)
-    for i, (o, w) in enumerate(cuts):
-        first = F.when((F.col("band") > i) & (value(F.col("ha"), o, w) == value(F.col("hb"), o, w)), True).otherwise(first)
-    found = a.join(b, ["band", "v"]).filter((F.col("ha") < F.col("hb")) & ~first).select("ha", "hb", T.hamming(F.col("ha"), F.col("hb")).alias("distance"))
-    return found.filter(F.col("distance") <= k)
+    cost = {}
+    for m in PIECES:
+        if m > k:
+            keys = comb(m, k)
+            cost[m] = keys * n * (1 + n / 2 ** (bits * (m - k) / m))
+    return min(cost, key=cost.__getitem__)
+
+
+def near_pairs(hashes: DataFrame, key: str, k: int, pieces: int | None = None) -> DataFrame:
+    """Pairs (ha, hb, distance, a, b) of different hashes with Hamming distance at most k; a and b are the smallest keys that have them.
+
+    By the pigeonhole principle a pair agrees in m - k of m pieces, and is made for the first m - k of those that it
+    agrees in only. Equal hashes are one candidate: their members are found by the smallest key (:func:`members`).
+    """
+    distinct = cut(hashes.groupBy("simhash").agg(F.min(key).alias("rep")))
+    m = pieces or plan_pieces(k, distinct.count())
+    cuts = bands(m - 1)
+    masks = [((1 << w) - 1) << o for o, w in cuts]
+    signed = lambda x: x - (1 << BITS) if x >= 1 << (BITS - 1) else x
+    chosen = [(sum(1 << i for i in c), signed(sum(masks[i] for i in c))) for c in combinations(range(m), m - k)]
+
+    def keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            h = b["simhash"].to_numpy(dtype=np.int64)
+            for lo in range(0, len(chosen), 64):
+                some = chosen[lo : lo + 64]
+                yield pd.DataFrame({"choice": np.repeat([c for c, _ in some], len(h)), "v": np.concatenate([h & np.int64(mask) for _, mask in some]), "h": np.tile(h, len(some)), "rep": np.tile(b["rep"].to_numpy(), len(some))})
+
+    rep = distinct.schema["rep"].dataType.simpleString()
+    rows = distinct.mapInPandas(keys, f"choice long, v long, h long, rep {rep}")
+    a, b = rows.select("choice", "v", F.col("h").alias("ha"), F.col("rep").alias("a")), rows.select("choice", "v", F.col("h").alias("hb"), F.col("rep").alias("b"))
+    both = F.col("ha").bitwiseXOR(F.col("hb"))
+    equal = F.lit(0).cast("bigint")
+    for i, mask in enumerate(masks):
+        equal = equal + F.when(both.bitwiseAND(F.lit(signed(mask)).cast("bigint")) == 0, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    found = a.join(b, ["choice", "v"]).filter((F.col("ha") < F.col("hb")) & (F.bit_count(both) <= k)).withColumn("equal", equal)
+    # the lowest m - k pieces that are equal are the choice: none that is equal stands below its highest piece and isn't chosen
+    high = F.pow(F.lit(2.0), F.floor(F.log2("choice")) + 1).cast("bigint") - 1
+    first = F.col("equal").bitwiseAND(high) == F.col("choice")
+    return found.filter(first).select("ha", "hb", F.bit_count(both).alias("distance"), "a", "b")
+
+
+def members(hashes: DataFrame, key: str) -> DataFrame:
+    """(key, rep): every key with the smallest one of its hash, by which pairs name it."""
+    return hashes.join(hashes.groupBy("simhash").agg(F.min(key).alias("rep")), "simhash").select(key, "rep")
 
 
 def clusters(hashes: DataFrame, key: str, k: int) -> DataFrame:
@@ -134,9 +178,20 @@ def jaccard_pairs(df: DataFrame, key: str, tokens: str, least: float) -> DataFra
     return x.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
+#: Modulus of the hash functions, a prime.
+PRIME = (1 << 31) - 1
+
+
+def coefficients(n: int) -> list[tuple[int, int]]:
+    """(a, b) of n functions h -> (a h + b) mod PRIME, drawn by powers of a primitive root."""
+    return [(pow(16807, 2 * i + 1, PRIME), pow(16807, 2 * i + 2, PRIME)) for i in range(n)]
+
+
 def minhash(df: DataFrame, key: str, tokens: str, n: int = 128) -> DataFrame:
-    """(key, signature): the smallest of n seeded hashes over the tokens."""
-    return df.select(key, F.explode(F.array_distinct(tokens)).alias("t")).groupBy(key).agg(F.array(*(F.min(F.xxhash64("t", F.lit(i))) for i in range(n))).alias("signature"))
+    """(key, signature): the smallest value of each of n hash functions over the tokens, whose own hash is taken from their MD5."""
+    h = F.conv(F.substring(F.md5(F.col("t").cast("binary")), 1, 7), 16, 10).cast("bigint")
+    rows = df.select(key, F.explode(F.array_distinct(tokens)).alias("t")).select(key, h.alias("h"))
+    return rows.groupBy(key).agg(F.array(*(F.min((F.col("h") * a + b) % PRIME) for a, b in coefficients(n))).alias("signature"))
 
 
 def dbscan(pairs: DataFrame, points: DataFrame, key: str, least: int = 5) -> DataFrame:
@@ -188,7 +243,7 @@ def _(s, d):
     return p.crossJoin(F.broadcast(one)).select("doc_id", T.hamming(F.col("simhash"), F.col("x")).alias("distance"))
 
 
-_NEAR = f"WITH {_PRINTS}, u AS (SELECT DISTINCT simhash FROM p), n AS (SELECT a.simhash AS ha, b.simhash AS hb, bit_count(xor(a.simhash, b.simhash))::INT AS distance FROM u a JOIN u b ON a.simhash < b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 2)"
+_NEAR = f"WITH {_PRINTS}, u AS (SELECT simhash, min(doc_id) AS rep FROM p GROUP BY simhash), n AS (SELECT a.simhash AS ha, b.simhash AS hb, bit_count(xor(a.simhash, b.simhash))::INT AS distance, a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.simhash < b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 2)"
 
 
 @query("sh_near_dups", f"{_NEAR} SELECT * FROM n")
@@ -201,6 +256,11 @@ def _(s, d):
     return near_pairs(_fast(s, d), "doc_id", 8)
 
 
+@query("sh_members", f"WITH {_PRINTS} SELECT doc_id, min(doc_id) OVER (PARTITION BY simhash) AS rep FROM p")
+def _(s, d):
+    return members(_fast(s, d), "doc_id")
+
+
 @query("sh_index_add", f"WITH {_PRINTS} SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 7 ELSE simhash END AS simhash FROM p WHERE doc_id % 10 <> 3")
 def _(s, d):
     p = _fast(s, d)
@@ -208,7 +268,10 @@ def _(s, d):
     return delete(upsert(p, new, "doc_id"), p.filter("doc_id % 10 = 3"), "doc_id")
 
 
-@query("sh_bucket_stats")
+_BUCKETS = " UNION ALL ".join(f"SELECT {i} AS band, (u >> {o}) & {(1 << w) - 1} AS v FROM u" for i, (o, w) in enumerate([(0, 21), (21, 21), (42, 22)]))
+
+
+@query("sh_bucket_stats", f"WITH {_PRINTS}, u AS (SELECT DISTINCT simhash AS u FROM p), b AS (SELECT band, v, count(*) AS n FROM ({_BUCKETS}) x GROUP BY band, v) SELECT band, count(*) AS buckets, max(n) AS largest, count(*) FILTER (n > 200) AS crowded FROM b GROUP BY band")
 def _(s, d):
     return bucket_stats(_fast(s, d), 2)
 
@@ -253,12 +316,21 @@ def _(s, d):
     return jaccard_pairs(_tokens(s, d), "doc_id", "s", 0.8).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("mh_signature")
+_HASHES = ", ".join(f"min((h * {a} + {b}) % {PRIME})" for a, b in coefficients(128))
+
+
+@query("mh_signature", f"SELECT doc_id, [{_HASHES}] AS signature FROM (SELECT doc_id, ('0x' || md5(unnest(s))[1:7])::BIGINT AS h FROM ({_TOKENS}) t) x GROUP BY doc_id")
 def _(s, d):
     return minhash(_tokens(s, d), "doc_id", "s")
 
 
-@query("db_dbscan")
+@query(
+    "db_dbscan",
+    f"""WITH RECURSIVE {_JACCARD[5:].replace(" SELECT a.doc_id AS a", ", j AS (SELECT a.doc_id AS a", 1)}), e AS (SELECT a, b FROM j UNION SELECT b, a FROM j), core AS (SELECT a AS c FROM e GROUP BY a HAVING count(*) >= 4),
+    r(x, y) AS (SELECT c, c FROM core UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a JOIN core ON core.c = e.b), named AS (SELECT x AS c, min(y) AS cluster FROM r GROUP BY x),
+    border AS (SELECT e.a AS doc_id, arg_min(cluster, named.c) AS cluster FROM e JOIN named ON e.b = named.c WHERE e.a NOT IN (SELECT c FROM core) GROUP BY e.a)
+    SELECT doc_id, coalesce(named.cluster, border.cluster, -1) AS cluster FROM documents LEFT JOIN named ON doc_id = named.c LEFT JOIN border USING (doc_id)""",
+)
 def _(s, d):
     p = cut(jaccard_pairs(_tokens(s, d), "doc_id", "s", 0.8))
-    return dbscan(p, table(s, d, "documents"), "doc_id", least=3)
+    return dbscan(p, table(s, d, "documents"), "doc_id").fillna(-1)

@@ -101,6 +101,12 @@ def blobs(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("content_hash"), "content").mapInPandas(unpack, "content_hash string, content binary")
 
 
+def public_suffixes(spark: SparkSession, path: str) -> DataFrame:
+    """(rule): the rules of a public suffix list file, with their ``*.`` and ``!``; comments and blank lines are left out."""
+    rule = F.regexp_extract("value", r"^\s*(\S+)", 1)
+    return spark.read.text(path).select(F.lower(rule).alias("rule")).filter((F.col("rule") != "") & ~F.col("rule").startswith("//")).distinct()
+
+
 def listing(spark: SparkSession, path: str, folders: DataFrame | None = None) -> DataFrame:
     """(folder, files, bytes) of a tree, without reading the files; folders of the list that hold none count 0."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), "length")

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -90,11 +90,21 @@ def add_column(df: DataFrame, name: str, kind: str) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
 
 
-def size_of(df: DataFrame) -> int:
-    """Bytes of the files that a frame reads."""
-    files = df.sparkSession.createDataFrame([(f,) for f in df.inputFiles()], "f string")
-    parts = [r[0] for r in files.limit(100_000).collect()]
-    return df.sparkSession.read.format("binaryFile").load(parts).agg(F.sum("length")).first()[0] if parts else 0
+def size_of(df: DataFrame, step: int = 10_000) -> int:
+    """Bytes of the files that a frame reads, listed in steps of so many files."""
+    files = df.inputFiles()
+    parts = (files[i : i + step] for i in range(0, len(files), step))
+    return sum(df.sparkSession.read.format("binaryFile").load(p).agg(F.sum("length")).first()[0] or 0 for p in parts)
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """One file in any file system that Spark knows, overwritten if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
 
 
 def from_params(df: DataFrame, params: DataFrame, on: Sequence[str], fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
