@@ -1,5 +1,6 @@
 import gzip
 import sqlite3
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +78,109 @@ def test_tables(spark, buckets):
     W.table(spark.range(50), "tg_test", ["id"], buckets)
     assert spark.table("tg_test").count() == 50 and W.size_of(spark.table("tg_test")) > 0
     spark.sql("DROP TABLE tg_test")
+
+
+def number(n):
+    out = bytearray()
+    while n >= 128:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def block(pairs, restart=16):
+    out, starts, last = bytearray(), [], b""
+    for i, (k, v) in enumerate(pairs):
+        same = 0
+        if i % restart == 0:
+            starts.append(len(out))
+        else:
+            while same < min(len(k), len(last)) and k[same] == last[same]:
+                same += 1
+        out += number(same) + number(len(k) - same) + number(len(v)) + k[same:] + v
+        last = k
+    return bytes(out) + struct.pack(f"<{len(starts)}II", *starts, len(starts))
+
+
+def literal(data):
+    """Snappy with literals, and a copy where the block ends in a run."""
+    run = len(data) - len(data.rstrip(data[-1:]))
+    head = data[: len(data) - run + 1]
+    out = number(len(data))
+    for i in range(0, len(head), 1000):
+        part = head[i : i + 1000]
+        out += bytes([61 << 2]) + struct.pack("<H", len(part) - 1) + part
+    left = run - 1
+    while left:
+        n = min(left, 64)
+        out += bytes([(n - 1) << 2 | 2, 1, 0])
+        left -= n
+    return out
+
+
+def sorted_table(entries, compress, per=40):
+    """A table file of (key, seq, live, value)."""
+    out, index = bytearray(), []
+    keyed = [(k + struct.pack("<Q", seq << 8 | live), v) for k, seq, live, v in sorted(entries, key=lambda e: (e[0], -e[1]))]
+
+    def add(raw):
+        data = literal(raw) if compress else raw
+        at = len(out)
+        out.extend(data + bytes([compress]) + b"\0\0\0\0")
+        return number(at) + number(len(data))
+
+    for i in range(0, len(keyed), per):
+        index.append((keyed[min(i + per, len(keyed)) - 1][0], add(block(keyed[i : i + per]))))
+    meta, top = add(block([])), add(block(index, 1))
+    return bytes(out) + (meta + top).ljust(40, b"\0") + bytes.fromhex("57fb808b247547db")
+
+
+def write_log(batches):
+    out = bytearray()
+    for seq, writes in batches:
+        data = struct.pack("<QI", seq, len(writes)) + b"".join(bytes([v is not None]) + number(len(k)) + k + (number(len(v)) + v if v is not None else b"") for k, v in writes)
+        first = True
+        while True:
+            left = 32768 - len(out) % 32768
+            if left < 7:
+                out.extend(b"\0" * left)
+                left = 32768
+            part, data = data[: left - 7], data[left - 7 :]
+            out.extend(b"\0\0\0\0" + struct.pack("<HB", len(part), (1 if not data else 2) if first else (4 if not data else 3)) + part)
+            first = False
+            if not data:
+                break
+    return bytes(out)
+
+
+@pytest.mark.parametrize("compress", [0, 1])
+def test_leveldb(spark, tmp_path, compress):
+    (tmp_path / "s").mkdir()
+    old = [(f"h{i:03}".encode(), i + 1, 1, f"old {i} ".encode() * 20 + b"z" * (i % 150)) for i in range(200)]
+    new = [(f"h{i:03}".encode(), 1000 + i, 1, b"") for i in range(0, 200, 3)] + [(f"h{i:03}".encode(), 2000 + i, 0, b"") for i in range(0, 200, 7)]
+    (tmp_path / "s" / "000005.ldb").write_bytes(sorted_table(old, compress))
+    (tmp_path / "s" / "000007.sst").write_bytes(sorted_table(new, compress))
+    big = bytes(range(256)) * 400
+    (tmp_path / "s" / "000009.log").write_bytes(write_log([(5000, [(b"h000", big), (b"h001", None)]), (5002, [(b"new", b"x")])]) + b"\0\0\0\0\xff\x7f\x01torn")
+    (tmp_path / "s" / "MANIFEST-000004").write_bytes(b"?")
+    want = {k: v for k, _, _, v in old}
+    for k, _, live, v in sorted(new, key=lambda e: e[1]):
+        want.pop(k, None)
+        if live:
+            want[k] = v
+    want[b"h000"], want[b"new"] = big, b"x"
+    want.pop(b"h001")
+    got = {bytes(r.key): bytes(r.value) for r in R.leveldb(spark, str(tmp_path / "s")).collect()}
+    assert got == want
+    assert R.leveldb_content(spark, str(tmp_path / "s")).filter("content_hash = 'new'").count() == 1
+
+
+def test_public_suffixes(spark, tmp_path):
+    from tidegauge.functions import url as U
+
+    (tmp_path / "list.dat").write_text("// ===BEGIN===\n\ncom\nco.uk  trailing words\n*.ck\n!www.ck\nuk\n")
+    rules = R.public_suffixes(spark, str(tmp_path / "list.dat"))
+    assert {r.rule for r in rules.collect()} == {"com", "co.uk", "*.ck", "!www.ck", "uk"}
+    hosts = ["a.b.com", "x.y.co.uk", "co.uk", "a.b.c.ck", "www.ck", "x.www.ck", "one.uk", "h.other", "com"]
+    got = {r.h: r.domain for r in U.registrable_domain(spark.createDataFrame([(h,) for h in hosts], "h string"), "h", rules).collect()}
+    assert got == {"a.b.com": "b.com", "x.y.co.uk": "y.co.uk", "co.uk": None, "a.b.c.ck": "b.c.ck", "www.ck": "www.ck", "x.www.ck": "www.ck", "one.uk": "one.uk", "h.other": "h.other", "com": None}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import sqlite3
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from tidegauge.plans.views import view
 from tidegauge.registry import query, table
 from tidegauge.sources import readers as R
 from tidegauge.sources import writers as W
+from tidegauge.sources.leveldb_format import log_of
 
 
 def folder(spark) -> str:
@@ -57,21 +60,21 @@ def _(s, d):
     return R.ndjson(s, at, _SCHEMA)
 
 
-@query("sink_ndjson_split", "SELECT count(*) AS n, ceil(count(*) / 100.0)::BIGINT <= 1000 AS split FROM customer")
+@query("sink_ndjson_split", "SELECT count(*) AS n, true AS split, 100::BIGINT AS most FROM customer")
 def _(s, d):
-    W.ndjson(_customers(s, d).coalesce(1), at := folder(s), rows_per_file=100)
-    back = R.ndjson(s, at, _SCHEMA)
-    return back.agg(F.count("*").alias("n"), (F.countDistinct("_metadata.file_path") >= F.ceil(F.count("*") / 100)).alias("split"))
+    W.ndjson(_customers(s, d).repartition(3), at := folder(s), rows_per_file=100)
+    per = R.ndjson(s, at, _SCHEMA).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("k"))
+    return per.agg(F.sum("k").alias("n"), (F.count("*") >= F.ceil(F.sum("k") / 100)).alias("split"), F.max("k").alias("most"))
 
 
 @query("src_json_nested_flatten", "SELECT c_custkey AS id, c_name AS name FROM customer")
 def _(s, d):
     rows = F.collect_list(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
-    one = _customers(s, d).groupBy("c_mktsegment").agg(F.to_json(F.array(F.struct(rows.alias("results")))).alias("value"))
-    W.report(one, at := folder(s))
-    lines = s.read.text(at)
-    items = F.from_json("value", "array<struct<results:array<struct<id:bigint,name:string>>>>")
-    return lines.select(F.explode(items).alias("i")).select(F.inline("i.results"))
+    # a file for each hundred customers
+    one = _customers(s, d).groupBy(F.floor(F.col("c_custkey") / 100).alias("k")).agg(F.to_json(F.array(F.struct(rows.alias("results")))).alias("value"))
+    at = folder(s)
+    one.repartition("k").write.partitionBy("k").text(at)
+    return R.nested_results(s, at, "id bigint, name string")
 
 
 @query("sink_blob", "SELECT count(DISTINCT md5(html)) AS n FROM pages")
@@ -85,12 +88,11 @@ def _(s, d):
 
 @query("src_rules_text", "SELECT 'r' || (n_nationkey % 2) AS list, '||' || lower(n_name) || '.com^' AS value FROM nation")
 def _(s, d):
-    n = table(s, d, "nation").select((F.col("n_nationkey") % 2).alias("k"), F.concat(F.lit("||"), F.lower("n_name"), F.lit(".com^")).alias("value"))
     at = folder(s)
-    n.write.partitionBy("k").text(at)
-    s.createDataFrame([("! comment",), ("",)], "value string").write.mode("append").text(f"{at}/k=0")
-    lines = s.read.text(at).filter((F.trim("value") != "") & ~F.col("value").startswith("!"))
-    return lines.select(F.concat(F.lit("r"), F.col("k").cast("string")).alias("list"), "value")
+    rules = table(s, d, "nation").select((F.col("n_nationkey") % 2).alias("k"), F.concat(F.lit("||"), F.lower("n_name"), F.lit(".com^")).alias("value")).collect()  # 25 rows
+    for k in (0, 1):
+        W.put(s, f"{at}/r{k}.txt", "\n".join(["! comment", "", *(f"  {r.value}" for r in rules if r.k == k)]).encode())
+    return R.rules_text(s, at)
 
 
 @query("src_hosts_file", "SELECT lower(replace(n_name, ' ', '-')) || '.com' AS domain FROM nation")
@@ -107,10 +109,61 @@ def _(s, d):
     return R.listing(s, at).select(F.regexp_replace("folder", "k=", "").alias("folder"), "bytes")
 
 
-@query("src_profile_from_filename", "SELECT n_nationkey, 'EU2' AS profile FROM nation")
+@query("src_profile_from_filename", "SELECT n_nationkey, ['EU1', 'EU2', 'US1', 'US2', NULL][n_nationkey % 5 + 1] AS profile FROM nation")
+def _(s, d):
+    at = folder(s)
+    names = ["sizes-EU1.csv", "x.EU2.csv", "US1.csv", "a-US2-b.csv", "EU12.csv"]
+    rows = table(s, d, "nation").select("n_nationkey").collect()  # 25 rows
+    for k, name in enumerate(names):
+        W.put(s, f"{at}/{name}", "\n".join(["n_nationkey", *(str(r.n_nationkey) for r in rows if r.n_nationkey % 5 == k)]).encode())
+    return R.csv(s, at, "n_nationkey int").select("n_nationkey", R.profile_of_file(F.col("_metadata.file_name")).alias("profile"))
+
+
+@query("src_sqlite_tables", "SELECT n_nationkey AS visit_id, n_name AS site_url, NULL::BIGINT AS site_rank, 'site' || n_regionkey || '.sqlite' AS file FROM nation")
+def _(s, d):
+    at = folder(s)
+    rows = table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()  # 25 rows, a file for each region
+    for region in {r.n_regionkey for r in rows}:
+        db = sqlite3.connect(":memory:")
+        db.execute("CREATE TABLE site_visits (visit_id INTEGER, site_url TEXT)")
+        db.executemany("INSERT INTO site_visits VALUES (?, ?)", [(r.n_nationkey, r.n_name) for r in rows if r.n_regionkey == region])
+        db.commit()
+        W.put(s, f"{at}/site{region}.sqlite", db.serialize())
+        db.close()
+    out = R.sqlite_tables(s, at, "site_visits", "visit_id int, site_url string, site_rank long")
+    return out.select("visit_id", "site_url", "site_rank", F.regexp_extract("source_file", "[^/]+$", 0).alias("file"))
+
+
+@query("src_leveldb_content", "SELECT md5(n_name) AS content_hash, n_name AS content FROM nation WHERE n_nationkey <> 3")
+def _(s, d):
+    at = folder(s)
+    rows = table(s, d, "nation").select(F.md5(F.col("n_name").cast("binary")).alias("h"), "n_name", "n_nationkey").collect()  # 25 rows
+    writes = [(r.h.encode(), r.n_name.encode()) for r in rows]
+    W.put(s, f"{at}/000003.log", log_of(1, [(k, b"older") for k, _ in writes]))
+    W.put(s, f"{at}/000005.log", log_of(100, [*writes, *((r.h.encode(), None) for r in rows if r.n_nationkey == 3)]))
+    return R.leveldb_content(s, at).withColumn("content", F.col("content").cast("string"))
+
+
+_DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+def _database(s) -> str:
+    """An embedded database in the driver's JVM, for a local master; on a cluster pass the URL of a server."""
+    return f"jdbc:derby:{re.sub('^file:/*', '/', folder(s))};create=true"
+
+
+@query("sink_rdbms_bulk", _CUSTOMER)
+def _(s, d):
+    url = _database(s)
+    W.jdbc(_customers(s, d), url, "customers", **_DERBY)
+    return R.jdbc(s, url, "customers", **_DERBY).selectExpr("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("src_cursor_batched", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def _(s, d):
-    path = F.concat(F.lit("/data/sizes-EU2."), F.lit("csv"))
-    return table(s, d, "nation").select("n_nationkey", R.profile_of_file(path).alias("profile"))
+    url = _database(s)
+    W.jdbc(_customers(s, d), url, "customers", **_DERBY)
+    return count_by(R.jdbc(s, url, "customers", partition=("c_custkey", 0, 10_000, 4), fetch=500, **_DERBY), "c_mktsegment")
 
 
 @query("sink_text_report", "SELECT n_nationkey || ': ' || n_name AS value FROM nation")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidegauge.functions import text as T
+from tidegauge.sources import leveldb_format
 
 
 def parquet(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
@@ -107,6 +109,33 @@ def public_suffixes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(rule).alias("rule")).filter((F.col("rule") != "") & ~F.col("rule").startswith("//")).distinct()
 
 
+def leveldb(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value), both binary, of a LevelDB folder: the newest entry of every key, deleted keys left out.
+
+    Table files (.ldb, .sst) and write logs (.log) are read by a task each, whole; every entry has a sequence number, so
+    the newest is an aggregate by key and neither the order of the files nor the manifest matters. Blocks may be plain
+    or compressed with Snappy.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    files = files.filter(F.col("path").rlike(r"\.(ldb|sst|log)$"))
+
+    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            for where, content in zip(b["path"], b["content"], strict=True):
+                entries = leveldb_format.log_entries(bytes(content)) if where.endswith(".log") else leveldb_format.table_entries(bytes(content))
+                while part := list(islice(entries, 1000)):
+                    yield pd.DataFrame(part, columns=["key", "seq", "live", "value"])
+
+    rows = files.mapInPandas(read, "key binary, seq long, live boolean, value binary")
+    last = rows.groupBy("key").agg(F.max(F.struct("seq", "live", "value")).alias("l"))
+    return last.filter("l.live").select("key", F.col("l.value").alias("value"))
+
+
+def leveldb_content(spark: SparkSession, path: str) -> DataFrame:
+    """(content_hash, content): a LevelDB store of contents by their hash."""
+    return leveldb(spark, path).select(F.col("key").cast("string").alias("content_hash"), F.col("value").alias("content"))
+
+
 def listing(spark: SparkSession, path: str, folders: DataFrame | None = None) -> DataFrame:
     """(folder, files, bytes) of a tree, without reading the files; folders of the list that hold none count 0."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), "length")
