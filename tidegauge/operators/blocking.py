@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import text as T
 from tidegauge.operators.overview import r6
-from tidegauge.plans.views import view
+from tidegauge.plans.views import select, view
 from tidegauge.registry import query, table
 
 # ---- identifier heuristic
@@ -306,9 +306,31 @@ def _(s, d):
     return overlap(view(s, d, "cls"), "easylist", "easyprivacy", "custom")
 
 
-@query("ev_label_table", "SELECT toxic AS tracking, quality = 1 AS heuristic, count(*) AS n FROM labels GROUP BY ALL")
+def label_study(df: DataFrame, label: str, flag: str) -> DataFrame:
+    """(flag, yes, possible, no, total, strict_pct, lenient_pct) of hand-labelled rows: how many that the flag marks, and doesn't, are labelled so.
+
+    ``label`` is yes, possible or no; strict counts yes only, lenient possible too. Rows without a label or flag are left out.
+    """
+    n = {v: F.count_if(F.col(label) == v).alias(v) for v in ("yes", "possible", "no")}
+    per = df.filter(F.col(label).isin(*n) & F.col(flag).isNotNull()).groupBy(F.col(flag).alias("flag")).agg(*n.values(), F.count("*").alias("total"))
+    pct = lambda x: F.round(x * 100.0 / F.col("total"), 2)
+    return per.select("*", pct(F.col("yes")).alias("strict_pct"), pct(F.col("yes") + F.col("possible")).alias("lenient_pct"))
+
+
+_STUDY = "SELECT CASE WHEN toxic = 1 THEN 'yes' WHEN doc_id % 3 = 0 THEN 'possible' WHEN doc_id % 41 <> 7 THEN 'no' END AS tracking, quality = 1 AS heuristic FROM labels"
+
+
+@query("ev_label_table", f"SELECT tracking, heuristic, count(*) AS n FROM ({_STUDY}) x GROUP BY ALL")
+def _(s, d):
+    return confusion(select(s, d, _STUDY), "tracking", "heuristic")
+
+
+@query(
+    "ev_label_study",
+    f"SELECT heuristic AS flag, count(*) FILTER (tracking = 'yes') AS yes, count(*) FILTER (tracking = 'possible') AS possible, count(*) FILTER (tracking = 'no') AS no, count(*) AS total, round(count(*) FILTER (tracking = 'yes') * 100.0 / count(*), 2)::DOUBLE AS strict_pct, round(count(*) FILTER (tracking <> 'no') * 100.0 / count(*), 2)::DOUBLE AS lenient_pct FROM ({_STUDY}) x WHERE tracking IS NOT NULL AND heuristic IS NOT NULL GROUP BY heuristic",
+)
 def _(s, d):
-    return confusion(table(s, d, "labels").select(F.col("toxic").alias("tracking"), (F.col("quality") == 1).alias("heuristic")), "tracking", "heuristic")
+    return label_study(select(s, d, _STUDY), "tracking", "heuristic")
 
 
 def _site_cookies(s, d):

@@ -179,13 +179,27 @@ def _(s, d):
     return count_by(s.read.schema(_SCHEMA).json(at), "c_mktsegment")
 
 
-@query("sink_warehouse_stream", "SELECT count(*) AS failed FROM customer WHERE c_custkey % 50 = 0")
+@query("sink_warehouse_stream", "SELECT c_custkey, 'ValueError: refused' AS error FROM customer WHERE c_custkey % 50 = 0")
 def _(s, d):
+    at = folder(s)
+    _customers(s, d).write.parquet(f"{at}/in")
+
     def send(batch):
+        seen = globals().setdefault("_tried", set())  # of a worker: a target that is busy the first time
+        first = (batch[0]["c_custkey"], len(batch))
+        if first not in seen:
+            seen.add(first)
+            raise OSError("busy")
         if any(r["c_custkey"] % 50 == 0 for r in batch):
             raise ValueError("refused")
 
-    return W.in_batches(_customers(s, d), send, rows=100, tries=1).agg(F.count("*").alias("failed"))
+    def insert(batch, epoch):
+        W.in_batches(batch, send, rows=100, tries=2, wait=0.01).write.mode("overwrite").parquet(f"{at}/dead/epoch={epoch}")
+
+    stream = s.readStream.schema(_SCHEMA).parquet(f"{at}/in")
+    stream.writeStream.foreachBatch(insert).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    dead = s.read.schema("record string, error string").parquet(f"{at}/dead")
+    return dead.select(F.get_json_object("record", "$.c_custkey").cast("bigint").alias("c_custkey"), "error")
 
 
 @query("ddl_ctas", "SELECT r_regionkey, r_name FROM region")
