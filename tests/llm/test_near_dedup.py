@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -7,6 +8,8 @@ from helpers import ODD, docs, near_groups, shingles
 
 from tidegauge.llm import near_dedup as N
 
+SF = "/root/testdata/sf0.01"
+
 
 def texts(n=60, seed=1):
     """Originals, near copies of different strength, chains of copies, and documents that share a passage."""
@@ -187,3 +190,11 @@ def test_repeated_lines(spark):
             rows += [(2 * len(rows), once), (2 * len(rows) + 1, more)]
     out = check(spark, rows)
     assert all(x.class_size == 2 for x in out)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_documents_against_all_pairs(spark):
+    """All links of the test documents, copies and short texts among them, compared pair by pair."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    out = check(spark, rows)
+    assert sum(x.class_size > 1 for x in out) > 100

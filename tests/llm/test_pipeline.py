@@ -6,6 +6,7 @@ import os
 import public_tokenizers
 import pytest
 from helpers import ODD, contamination, docs, near_groups
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -15,17 +16,15 @@ from tidegauge.llm.common import folds, table
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_run(spark):
-    d = table(spark, SF, "documents")
-    model = quality.fit(d, table(spark, SF, "labels"), ~folds(3, 1))
+def plain(d, labels, items):
+    """Rows of the last stage, by plain versions of all but the classifier."""
+    model = quality.fit(d, labels, ~folds(3, 1))
     rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").orderBy("doc_id").collect()]
-    rows = [r for r in rows if model.score([r[1]])[0] >= 0.5]
+    rows = [r for r in rows if model is None or model.score([r[1]])[0] >= 0.5]
     last = {t: max(i for i, u in rows if u == t) for _, t in rows}
     rows = [r for r in rows if last[r[1]] == r[0]]
     groups = near_groups(rows)
     rows = [r for k, r in enumerate(rows) if groups[k] == k]
-    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
     rows = [r for r in rows if not contamination(r[1], items)[1]]
     ref = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
@@ -33,7 +32,22 @@ def test_run(spark):
     for i, t in rows:
         ids = ref.encode(t, add_special_tokens=False).ids
         want.add((i, len(ids), sha(" ".join(map(str, ids))), sha(ref.decode(ids, skip_special_tokens=False))))
-    assert {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()} == want
+    return want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("kept", ["true", "doc_id % 3 = 0", "false"])
+def test_run(spark, tmp_path, kept):
+    """The whole pipeline, with all labels, with some of them (and some null), and with none."""
+    d = table(spark, SF, "documents")
+    labels = table(spark, SF, "labels").filter(kept)
+    if kept != "true":
+        labels = labels.withColumn("quality", F.expr("CASE WHEN doc_id % 12 <> 0 THEN quality END"))
+    for name, t in (("documents", d), ("labels", labels), ("benchmark", table(spark, SF, "benchmark"))):
+        t.write.parquet(str(tmp_path / f"{name}.parquet"))
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
+    got = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == plain(table(spark, str(tmp_path), "documents"), table(spark, str(tmp_path), "labels"), items)
 
 
 def test_stages_on_odd_rows(spark):
