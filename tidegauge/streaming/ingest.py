@@ -182,8 +182,10 @@ def to_table(stream: DataFrame, mode: str, folder: str, idle_s: float | None = N
         if idle_s is not None and not spark.read.schema(stream.schema).parquet(f"{folder}/out/epoch={epoch}").isEmpty():
             last[0] = time.monotonic()
 
-    started = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state")
+    started = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
     if idle_s is None:
+        # rows that are only added go to files without a way through Python
+        started = started.format("parquet").option("path", f"{folder}/out") if mode == "append" else started.foreachBatch(keep)
         setting = "spark.sql.streaming.noDataMicroBatches.enabled"
         before = spark.conf.get(setting)
         spark.conf.set(setting, str(not timers).lower())
@@ -193,7 +195,7 @@ def to_table(stream: DataFrame, mode: str, folder: str, idle_s: float | None = N
             spark.conf.set(setting, before)
         q.awaitTermination()
     else:
-        q = started.trigger(processingTime="500 milliseconds").start()
+        q = started.foreachBatch(keep).trigger(processingTime="500 milliseconds").start()
         try:
             while q.isActive and (not q.recentProgress or time.monotonic() - last[0] < idle_s):
                 q.awaitTermination(0.5)
