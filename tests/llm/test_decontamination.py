@@ -106,4 +106,4 @@ def test_near_copies(spark):
             db.register("documents", documents)
             db.register("benchmark", benchmark)
             told = db.sql(D.SQL).fetchall()
-        assert Counter((x[0], x[6], x[7], x[8]) for x in told) == Counter((i, len(n := nearly(t, it, slack)), ",".join(sorted(n)), min(n.values(), default=None)) for i, t in given)
+        assert Counter((x[0], x[6], x[7], x[8]) for x in told) == Counter((i, len(n := nearly(t, it, slack)), ",".join(sorted(n)), min(n.values(), default=-1)) for i, t in given)

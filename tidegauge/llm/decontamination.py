@@ -201,7 +201,7 @@ there AS (SELECT r, g, s, n, o, min(abs(d)) AS gap FROM (SELECT r, g, s, n, o, w
 near AS (SELECT r, g, CASE WHEN count(*) FILTER (gap = 0) >= n - (n = {WINDOW})::INT THEN 0 ELSE 1 END AS gap FROM there GROUP BY r, g, s, n HAVING count(*) >= n - (n = {WINDOW})::INT),
 close AS (SELECT r, count(DISTINCT item_id) AS n_near, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS near_items, min(gap) AS near_gap FROM near JOIN win USING (g) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
-    coalesce(n_near, 0)::BIGINT AS n_near, coalesce(near_items, '') AS near_items, near_gap::INTEGER AS near_gap
+    coalesce(n_near, 0)::BIGINT AS n_near, coalesce(near_items, '') AS near_items, coalesce(near_gap, -1)::INTEGER AS near_gap
 FROM t LEFT JOIN pos USING (r) LEFT JOIN its USING (r) LEFT JOIN close USING (r)
 """
 
@@ -209,4 +209,4 @@ FROM t LEFT JOIN pos USING (r) LEFT JOIN its USING (r) LEFT JOIN close USING (r)
 @query("op6_decontamination", SQL)
 def op6(spark, sf_dir):
     out = report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=SLACK)
-    return out.withColumn("near_items", F.array_join("near_items", ",")).drop("items", "mark")
+    return out.withColumn("near_items", F.array_join("near_items", ",")).withColumn("near_gap", F.coalesce("near_gap", F.lit(-1))).drop("items", "mark")
