@@ -102,7 +102,8 @@ class Bpe:
         self.bytes = {c: b for b, c in enumerate(letters)}
         self.inner, self.last = [self.vocab.get(x) for x in letters], [self.vocab.get(x + self.end) for x in letters]
         self.complete = None not in self.inner and None not in self.last
-        self.spec, self._library = spec, None
+        # normalizer and pre-tokenizer are all that the library is asked for, so it gets no vocabulary
+        self.spec, self._library = json.dumps({**t, "added_tokens": [], "model": {**model, "vocab": {}, "merges": []}}), None
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word by the queue of merge ranks."""
