@@ -46,7 +46,8 @@ MARGIN = 0.2
 BLOCK = 256
 #: Counters of the sketch by which shingles are ordered; any order finds every pair, so its size is no matter of results.
 SKETCH = 1 << 20
-_PIECE = 1 << 20
+#: Bytes of text that are hashed together, which bounds the arrays of a worker.
+_PIECE = 1 << 18
 _U = np.uint64
 _GOLD, _P = _U(0x9E3779B97F4A7C15), 0x100000001B3 * 2 + 1
 _COEFFICIENTS = [_U(c) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -82,7 +83,7 @@ def _word_hashes(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(raw: bytes) -> Iterator[bytes]:
-    """A text in pieces of about a megabyte, cut at breaks between words."""
+    """A text in pieces of about ``_PIECE`` bytes, cut at breaks between words."""
     at = 0
     while len(raw) - at > _PIECE:
         x = np.frombuffer(raw, dtype=np.uint8, count=_PIECE, offset=at)
@@ -457,7 +458,7 @@ def buckets(reps: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, text: str = "text", weighted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between classes, enough to join all that belong together, and the components (node, root); ``reps`` is from :func:`representatives`."""
+    """Edges (a, b) between classes, enough to join all that verified links join, and the components (node, root); ``reps`` is from :func:`representatives`."""
     shared = buckets(reps)
     # who shares the largest buckets is the likely origin of a group; the other leader is drawn
     central = shared.groupBy("set").agg(F.sum("n").alias("c"))
@@ -467,7 +468,7 @@ def links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, text
     pairs = sized_join(shared, leaders, ["band", "bucket"], "n").filter("set <> leader").select("leader", "set").distinct()
     near = cut(_agree(pairs, reps, similarity - MARGIN, 2 * shared.count()))
     star = verify(near, reps, docs, similarity, text, weighted)
-    sure = star.select(F.least("leader", "set").alias("a"), F.greatest("leader", "set").alias("b")).distinct()
+    sure = cut(_skeleton(star))
     roots = cut(components(sure))
     more = _leftover(shared, reps, _homes(star, roots), docs, similarity, text, weighted)
     if not more.isEmpty():
@@ -476,6 +477,16 @@ def links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, text
     return sure, roots
 
 
+def _skeleton(star: DataFrame) -> DataFrame:
+    """Edges (a, b) that join what the links (leader, set) join: every set with its smallest leader, and each of its other leaders with that one.
+
+    A set has at most two leaders a band, so near copies of one text give an edge each, and the leaders a few more.
+    """
+    own = star.groupBy("set").agg(F.array_sort(F.collect_set("leader")).alias("leaders")).select("set", F.col("leaders")[0].alias("center"), "leaders")
+    others = own.select(F.explode("leaders").alias("a"), F.col("center").alias("b")).filter("a <> b").distinct()
+    return own.select(F.col("set").alias("a"), F.col("center").alias("b")).unionByName(others)
+
+
 def report(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
     """One row for each document: doc_id, class_id (the smallest id that it is linked to, directly or not), class_size, kept, and the text's mark."""
     found = cut(classes(docs, key, text, weighted))
