@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators.overview import r6
 from tidegauge.plans.checkpoints import cut
-from tidegauge.plans.skew import components
+from tidegauge.plans.skew import BROADCAST_ROWS, components
 from tidegauge.plans.views import select, view
 from tidegauge.registry import query
 
@@ -85,37 +85,44 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def modularity(both: DataFrame, labels: DataFrame, total: float) -> float:
+def _hint(n: int):
+    """A broadcast of tables with a row for each of n nodes, while those are few (counted)."""
+    return F.broadcast if n <= BROADCAST_ROWS else lambda df: df
+
+
+def modularity(both: DataFrame, labels: DataFrame, total: float, nodes: int | None = None) -> float:
     """Modularity of communities (node, community) for edges in both directions (a, b, weight) whose weights sum to ``total``."""
-    named = both.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b")
+    few = _hint(labels.count() if nodes is None else nodes)
+    named = both.join(few(labels.toDF("a", "ca")), "a").join(few(labels.toDF("b", "cb")), "b")
     per = named.groupBy("ca").agg(F.sum("weight").alias("out"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("own"))
     return per.agg(F.sum(F.col("own") / total - (F.col("out") / total) * (F.col("out") / total))).first()[0] or 0.0
 
 
-def _local_moves(both: DataFrame, total: float, rounds: int) -> DataFrame:
+def _local_moves(both: DataFrame, total: float, rounds: int, least: float = 1e-5) -> DataFrame:
     """(node, community) after moves to neighbouring communities while the modularity grows, from a community for each node.
 
     In each round the half of the nodes that a hash picks moves at once, each to the community of the largest gain, so
-    two nodes seldom chase each other; a round that doesn't raise the modularity is undone.
+    two nodes seldom chase each other; two rounds in turn that don't raise the modularity by ``least`` are the end.
     """
     degree = cut(both.groupBy("a").agg(F.sum("weight").alias("k")))
+    n = degree.count()
+    few = _hint(n)
     labels = degree.select(F.col("a").alias("node"), F.col("a").alias("community"))
-    best, idle = modularity(both, labels, total), 0
+    best, idle = modularity(both, labels, total, n), 0
     for r in range(rounds):
-        sums = labels.join(degree.withColumnRenamed("a", "node"), "node").groupBy("community").agg(F.sum("k").alias("all"))
-        links = both.filter("a <> b").join(labels.toDF("b", "to"), "b").groupBy("a", "to").agg(F.sum("weight").alias("w"))
-        own = labels.join(degree.withColumnRenamed("a", "node"), "node").toDF("a", "at", "k")
+        own = labels.join(few(degree.withColumnRenamed("a", "node")), "node").toDF("a", "at", "k")
+        sums = own.groupBy(F.col("at").alias("to")).agg(F.sum("k").alias("all"))
+        links = both.filter("a <> b").join(few(labels.toDF("b", "to")), "b").groupBy("a", "to").agg(F.sum("weight").alias("w"))
         turn = F.pmod(F.xxhash64("a", F.lit(r // 2)) + r, F.lit(2)) == 0
-        to = links.join(own.filter(turn), "a").join(sums.withColumnRenamed("community", "to"), "to")
-        # weight to the community less what chance would give, the node itself left out
+        to = links.join(few(own.filter(turn)), "a").join(few(sums), "to")
+        # weight to the community less what chance would give, the node itself left out; the own community counts 0 where no link leads into it
         value = F.col("w") - F.col("k") * (F.col("all") - F.when(F.col("to") == F.col("at"), F.col("k")).otherwise(0.0)) / total
-        rated = to.withColumn("value", F.round(value, 9))
-        stay = rated.filter("to = at").select("a", F.col("value").alias("stay"))
-        alone = F.coalesce("stay", F.lit(0.0))  # without a link into the own community leaving it costs what chance gives: none of it is certain, so 0
-        moved = rated.join(stay, "a", "left").filter((F.col("to") != F.col("at")) & (F.col("value") > alone)).groupBy("a").agg(F.max(F.struct("value", "to")).alias("m"))
-        new = cut(labels.join(moved.select(F.col("a").alias("node"), F.col("m.to").alias("new")), "node", "left").select("node", F.coalesce("new", "community").alias("community")))
-        q = modularity(both, new, total)
-        if q > best + 1e-9:
+        there = F.col("to") == F.col("at")
+        rated = to.withColumn("value", F.round(value, 9)).groupBy("a").agg(F.max(F.when(~there, F.struct("value", "to"))).alias("m"), F.max(F.when(there, F.col("value"))).alias("stay"))
+        moved = rated.filter(F.col("m.value") > F.coalesce("stay", F.lit(0.0))).select(F.col("a").alias("node"), F.col("m.to").alias("new"))
+        new = cut(labels.join(few(moved), "node", "left").select("node", F.coalesce("new", "community").alias("community")))
+        q = modularity(both, new, total, n)
+        if q > best + least:
             labels, best, idle = new, q, 0
         else:
             idle += 1

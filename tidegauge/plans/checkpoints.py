@@ -23,3 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what was computed before the last cuts.
+
+    Its cleaner learns from the driver's garbage collector which shuffles nothing refers to any more, and a driver with
+    memory to spare may not collect for a long time; so a long job says when it is between two steps.
+    """
+    spark._jvm.System.gc()
