@@ -60,11 +60,11 @@ def _(s, d):
     return R.ndjson(s, at, _SCHEMA)
 
 
-@query("sink_ndjson_split", "SELECT count(*) AS n, true AS split, 100::BIGINT AS most FROM customer")
+@query("sink_ndjson_split", "SELECT count(*) AS n, true AS split, true AS bounded FROM customer")
 def _(s, d):
     W.ndjson(_customers(s, d).repartition(3), at := folder(s), rows_per_file=100)
     per = R.ndjson(s, at, _SCHEMA).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("k"))
-    return per.agg(F.sum("k").alias("n"), (F.count("*") >= F.ceil(F.sum("k") / 100)).alias("split"), F.max("k").alias("most"))
+    return per.agg(F.sum("k").alias("n"), (F.count("*") >= F.ceil(F.sum("k") / 100)).alias("split"), (F.max("k") <= 100).alias("bounded"))
 
 
 @query("src_json_nested_flatten", "SELECT c_custkey AS id, c_name AS name FROM customer")
