@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import cut, fresh, query, slices, small, table
+from tidegauge.plans.checkpoints import release
 from tidegauge.plans.skew import components, match, sized_join, skew_join
 
 SHINGLE = 5
@@ -349,7 +350,9 @@ def _narrow(groups: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
 
 def _meet(groups: DataFrame, reps: DataFrame, docs: DataFrame, similarity: float, text: str, weighted: bool) -> DataFrame:
     """Links (a, b) between members of a group (band, bucket; set, root) that are in different components: registers first, then whole texts."""
+    release(docs.sparkSession)
     kept = _narrow(groups.withColumn("wide", F.lit(False)), reps, similarity)
+    release(docs.sparkSession)
     texts = _texts(kept.select("set"), reps, docs, text)
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,6 +433,7 @@ def _leftover(shared: DataFrame, reps: DataFrame, homes: DataFrame, docs: DataFr
     inside = cut(sized_join(of, mixed, ["band", "bucket"], "n"))
     n = inside.count()
     cells = cut(stars(inside))
+    release(docs.sparkSession)
     per = cells.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
     crowded = cut(per.groupBy("band", "bucket").agg((F.sum("n") - F.max("n")).alias("others")).filter(F.col("others") > block).select("band", "bucket"))
     few = crowded.count()
@@ -467,9 +471,12 @@ def links(docs: DataFrame, reps: DataFrame, similarity: float = SIMILARITY, text
     leaders = leaders.select("band", "bucket", "n", F.explode(F.array_distinct(F.array("l.set", "r.set"))).alias("leader"))
     pairs = sized_join(shared, leaders, ["band", "bucket"], "n").filter("set <> leader").select("leader", "set").distinct()
     near = cut(_agree(pairs, reps, similarity - MARGIN, 2 * shared.count()))
+    release(docs.sparkSession)
     star = verify(near, reps, docs, similarity, text, weighted)
+    release(docs.sparkSession)
     sure = cut(_skeleton(star))
     roots = cut(components(sure))
+    release(docs.sparkSession)
     more = _leftover(shared, reps, _homes(star, roots), docs, similarity, text, weighted)
     if not more.isEmpty():
         sure = sure.union(more)
@@ -492,6 +499,7 @@ def report(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id",
     found = cut(classes(docs, key, text, weighted))
     reps = representatives(found)
     _, roots = links(docs, reps, similarity, text, weighted)
+    release(docs.sparkSession)
     linked = cut(match(reps.select("set", "first", "n"), roots.withColumnRenamed("node", "set"), ["set"], reps.count()))
     groups = linked.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("class_size"))
     joined = match(linked.select("root", "set"), groups, ["root"], linked.count()).drop("root")
