@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import text as T
+from tidegauge.operators.matching import hits, literals
 from tidegauge.operators.overview import r6
 from tidegauge.plans.views import select, view
 from tidegauge.registry import query, table
@@ -129,36 +130,14 @@ def parse_rule(line: str) -> Rule:
     return rule
 
 
-def literal_token(regex: str) -> str:
-    """The longest run of letters and digits that every match holds and that stands between other characters; empty if there is none."""
-    regex = regex.replace(LABEL_START, "/").replace(SEPARATOR, "/")  # both stand at the edge of a word
-    bare = re.sub(r"\(\?[^)]*\)\??|\[[^\]]*\]|\\[wdsb]", "\0", regex)
-    if re.search(r"[|?+{(]", re.sub(r"\\.", "", bare)):
-        return ""
-    text = re.sub(r"\\(.)", r"\1", bare.replace(".*", "\0\0"))
-    runs = re.finditer(r"[A-Za-z0-9]+", text)
-    closed = [m.group() for m in runs if m.start() > 0 and text[m.start() - 1] != "\0" and m.end() < len(text) and text[m.end()] != "\0"]
-    return max((r.lower() for r in closed), key=len, default="")
-
-
-def literal_gram(regex: str) -> str:
-    """Three lower-cased characters that every match holds, from the longest literal run; empty if there are none."""
-    bare = re.sub(r"\(\?[^)]*\)\??|\[[^\]]*\]|\\[A-Za-z]", "\0", regex.replace(LABEL_START, "\0").replace(SEPARATOR, "\0"))
-    if re.search(r"[|?+*{(]", re.sub(r"\\.", "", bare.replace(".*", ""))):
-        return ""
-    text = re.sub(r"\\(.)", r"\1", re.sub(r"(?<!\\)(\.\*|\.|\^|\$)", "\0", bare))
-    runs = [r.lower() for r in text.split("\0") if r.isascii() and len(r) >= 3]
-    return max(runs, key=len)[:3] if runs else ""
-
-
 def parse_rules(lines: DataFrame, text: str = "value", list_name: Column | None = None) -> DataFrame:
-    """(list, raw, kind, regex, token, gram, options, domains) of the lines; comments and element-hiding rules included."""
-    schema = "list string, raw string, kind string, regex string, token string, gram string, options map<string,boolean>, domains map<string,boolean>"
+    """(list, raw, kind, regex, literals, options, domains) of the lines; comments and element-hiding rules included."""
+    schema = "list string, raw string, kind string, regex string, literals array<string>, options map<string,boolean>, domains map<string,boolean>"
 
     def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
             parsed = [parse_rule(t or "") for t in b["raw"]]
-            yield pd.DataFrame({"list": b["list"], "raw": b["raw"], "kind": [p.kind for p in parsed], "regex": [p.regex for p in parsed], "token": [literal_token(p.regex) for p in parsed], "gram": [literal_gram(p.regex) for p in parsed], "options": [p.options for p in parsed], "domains": [p.domains for p in parsed]})
+            yield pd.DataFrame({"list": b["list"], "raw": b["raw"], "kind": [p.kind for p in parsed], "regex": [p.regex for p in parsed], "literals": [literals(p.regex.replace(LABEL_START, "^").replace(SEPARATOR, ".")) for p in parsed], "options": [p.options for p in parsed], "domains": [p.domains for p in parsed]})
 
     return lines.select((list_name if list_name is not None else F.lit("rules")).alias("list"), F.col(text).alias("raw")).mapInPandas(batches, schema)
 
@@ -166,9 +145,8 @@ def parse_rules(lines: DataFrame, text: str = "value", list_name: Column | None
 def match_rules(urls: DataFrame, rules: DataFrame, url: str = "url", options: dict[str, bool] | None = None, domain: str | None = None) -> DataFrame:
     """(url, list, blocked, rule) of each distinct URL and list: an exception wins, else the first blocking rule by text.
 
-    URL words are joined to the rules' literal tokens and only those pairs are matched; rules without a token are looked
-    up by three literal characters, and the few that have no such either (at most ``UNTOKENED``) meet every URL. A rule
-    whose options aren't given is not applied.
+    An automaton of the rules' literals finds the rules to try (:mod:`tidegauge.operators.matching`); any number of rules will do.
+    A rule whose options aren't given is not applied. Rules of equal text are one.
     """
     given = options or {}
     active = rules.filter(F.col("kind").isin("block", "allow"))
@@ -180,23 +158,11 @@ def match_rules(urls: DataFrame, rules: DataFrame, url: str = "url", options: di
         verdicts = F.filter(F.array(*(F.try_element_at("domains", F.lit(x)) for x in variants)), lambda v: v.isNotNull())
         active = active.filter((F.size("domains") == 0) | F.coalesce(F.get(verdicts, F.lit(0)), ~F.exists(F.map_values("domains"), lambda v: v)))
     u = urls.select(url).distinct()
-    words = u.select(url, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(url), F.lit("([a-z0-9]+)"), F.lit(1)))).alias("token"))
-    hits = words.join(active.filter("token <> ''"), "token").filter(F.expr(f"{url} rlike regex")).select(url, "list", "kind", "raw")
-    grams = active.filter("token = '' and gram <> ''")
-    if not grams.isEmpty():
-        parts = u.select(url, F.explode(F.array_distinct(T.ngrams(F.lower(url), 3))).alias("gram"))
-        hits = hits.unionByName(parts.join(grams, "gram").filter(F.expr(f"{url} rlike regex")).select(url, "list", "kind", "raw"))
-    loose = active.filter("token = '' and gram = ''").select("list", "kind", "raw", "regex")
-    if loose.limit(UNTOKENED + 1).count() > UNTOKENED:
-        raise ValueError(f"more than {UNTOKENED} rules have no three literal characters")
-    rest = u.join(F.broadcast(loose), F.expr(f"{url} rlike regex")).select(url, "list", "kind", "raw")
-    g = hits.unionByName(rest).groupBy(url, "list").agg(F.bool_or(F.col("kind") == "allow").alias("allowed"), F.min(F.when(F.col("kind") == "block", F.col("raw"))).alias("rule"))
+    found = hits(u, active.dropDuplicates(["list", "kind", "raw"]), url)
+    g = found.groupBy(url, "list").agg(F.bool_or(F.col("kind") == "allow").alias("allowed"), F.min(F.when(F.col("kind") == "block", F.col("raw"))).alias("rule"))
     return g.select(url, "list", (~F.col("allowed") & F.col("rule").isNotNull()).alias("blocked"), F.when(~F.col("allowed"), F.col("rule")).alias("rule"))
 
 
-UNTOKENED = 10_000
-
-
 def multi_list(urls: DataFrame, rules: DataFrame, lists: Sequence[str], url: str = "url") -> DataFrame:
     """Each distinct URL with a boolean and the rule text per list, and whether any list blocks it."""
     m = match_rules(urls, rules, url)
@@ -241,19 +207,44 @@ def _rules(s):
     return parse_rules(s.createDataFrame([(r,) for r in _RULES], "value string"))
 
 
-@query("fr_parse", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{k}')" for r, k in zip(_RULES, "comment comment block allow block block block block block html block allow".split(), strict=True)) + ") v(raw, kind)")
+# Rules that the pages give, of all kinds; the texts hold no backslash, so Spark and DuckDB read them alike.
+_LINES = """SELECT page_id, host, seg, leaf, url, CASE page_id % 9 WHEN 0 THEN concat('! ', url) WHEN 1 THEN concat('||', host, '^') WHEN 2 THEN concat('@@||', host, '^$third-party')
+    WHEN 3 THEN concat(host, '##.ad') WHEN 4 THEN concat('/', seg, '/', leaf, '|') WHEN 5 THEN concat('|', url, '|') WHEN 6 THEN concat('||', host, '/', seg, '*', leaf)
+    WHEN 7 THEN concat('@@|', url) ELSE concat('/', seg, '.[0-9]+5/') END AS value
+  FROM (SELECT page_id, url, split_part(split_part(url, '://', 2), '/', 1) AS host, split_part(url, '/', 4) AS seg, split_part(url, '/', 5) AS leaf FROM pages) x"""
+_KIND = "CASE page_id % 9 WHEN 0 THEN 'comment' WHEN 3 THEN 'html' WHEN 2 THEN 'allow' WHEN 7 THEN 'allow' ELSE 'block' END"
+
+
+def _plain_regex(part):
+    return rf"replace(replace({part}, '.', '\.'), '?', '\?')"
+
+
+_LABEL, _SEP = LABEL_START, SEPARATOR
+_REGEX = f"""SELECT *, {_KIND} AS kind, CASE page_id % 9 WHEN 0 THEN '' WHEN 3 THEN '' WHEN 1 THEN '{_LABEL}' || {_plain_regex("host")} || '{_SEP}' WHEN 2 THEN '{_LABEL}' || {_plain_regex("host")} || '{_SEP}'
+    WHEN 4 THEN '/' || {_plain_regex("seg")} || '/' || {_plain_regex("leaf")} || '$' WHEN 5 THEN '^' || {_plain_regex("url")} || '$' WHEN 6 THEN '{_LABEL}' || {_plain_regex("host")} || '/' || {_plain_regex("seg")} || '.*' || {_plain_regex("leaf")}
+    WHEN 7 THEN '^' || {_plain_regex("url")} ELSE seg || '.[0-9]+5' END AS regex FROM ({_LINES}) l"""
+
+
+def _page_rules(s, d):
+    return parse_rules(select(s, d, _LINES))
+
+
+@query("fr_parse", f"SELECT value AS raw, {_KIND} AS kind FROM ({_LINES}) l")
+def _(s, d):
+    return _page_rules(s, d).select("raw", "kind")
+
+
+@query("fr_to_regex", f"SELECT value AS raw, regex FROM ({_REGEX}) r")
 def _(s, d):
-    return _rules(s).select("raw", "kind")
+    return _page_rules(s, d).select("raw", "regex")
 
 
-_REGEX = r"""SELECT * FROM (VALUES ('! comment', '', ''), ('[Adblock Plus 2.0]', '', ''), ('||example.net^', '^(?:[^:/?#]+:)?(?://(?:[^/?#]*\.)?)?example\.net(?:[^\w\-.%]|$)', 'example'),
-    ('@@||www.example.net^', '^(?:[^:/?#]+:)?(?://(?:[^/?#]*\.)?)?www\.example\.net(?:[^\w\-.%]|$)', 'example'), ('utm_source=', 'utm_source=', 'source'), ('/page=\d/', 'page=\d', ''), ('|http://blog.', '^http://blog\.', 'http'),
-    ('.html|', '\.html$', 'html'), ('spam-farm$third-party', 'spam-farm', ''), ('##.ad', '', ''), ('*pills*de', '.*pills.*de', ''), ('@@/en/4$domain=example.com', '/en/4', 'en')) v(raw, regex, token)"""
+_PAGE_MATCH = f"SELECT p.url, bool_or(kind = 'allow') AS allowed, min(value) FILTER (kind = 'block') AS rule FROM (SELECT DISTINCT url FROM pages) p, (SELECT DISTINCT value, kind, regex FROM ({_REGEX}) r WHERE kind IN ('allow', 'block') AND page_id % 9 <> 2) r WHERE regexp_matches(p.url, regex) GROUP BY p.url"
 
 
-@query("fr_to_regex", _REGEX)
+@query("fr_match_pages", f"SELECT url, NOT allowed AND rule IS NOT NULL AS blocked, CASE WHEN NOT allowed THEN rule END AS rule FROM ({_PAGE_MATCH}) x")
 def _(s, d):
-    return _rules(s).select("raw", "regex", "token")
+    return match_rules(table(s, d, "pages"), _page_rules(s, d)).select("url", "blocked", "rule")
 
 
 _HIT = {
