@@ -100,6 +100,30 @@ def plan_pieces(k: int, n: int, bits: int = BITS) -> int:
     return min(cost, key=cost.__getitem__)
 
 
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >= 1 << (BITS - 1) else x
+
+
+def _choices(k: int, m: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Masks of m pieces, and each choice of m - k of them as the bits of its pieces and its mask."""
+    masks = [((1 << w) - 1) << o for o, w in bands(m - 1)]
+    return masks, [(sum(1 << i for i in c), _signed(sum(masks[i] for i in c))) for c in combinations(range(m), m - k)]
+
+
+def piece_keys(hashes: DataFrame, k: int, m: int) -> DataFrame:
+    """(choice, v, simhash) for every choice of m - k of m pieces: hashes within distance k have a choice with equal values."""
+    chosen = _choices(k, m)[1]
+
+    def keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            h = b["simhash"].to_numpy(dtype=np.int64)
+            for lo in range(0, len(chosen), 64):
+                some = chosen[lo : lo + 64]
+                yield pd.DataFrame({"choice": np.repeat([c for c, _ in some], len(h)), "v": np.concatenate([h & np.int64(mask) for _, mask in some]), "simhash": np.tile(h, len(some))})
+
+    return hashes.select("simhash").mapInPandas(keys, "choice long, v long, simhash long")
+
+
 def near_pairs(hashes: DataFrame, key: str, k: int, pieces: int | None = None) -> DataFrame:
     """Pairs (ha, hb, distance, a, b) of different hashes with Hamming distance at most k; a and b are the smallest keys that have them.
 
@@ -108,10 +132,7 @@ def near_pairs(hashes: DataFrame, key: str, k: int, pieces: int | None = None) -
     """
     distinct = cut(hashes.groupBy("simhash").agg(F.min(key).alias("rep")))
     m = pieces or plan_pieces(k, distinct.count())
-    cuts = bands(m - 1)
-    masks = [((1 << w) - 1) << o for o, w in cuts]
-    signed = lambda x: x - (1 << BITS) if x >= 1 << (BITS - 1) else x
-    chosen = [(sum(1 << i for i in c), signed(sum(masks[i] for i in c))) for c in combinations(range(m), m - k)]
+    masks, chosen = _choices(k, m)
 
     def keys(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
@@ -126,7 +147,7 @@ def near_pairs(hashes: DataFrame, key: str, k: int, pieces: int | None = None) -
     both = F.col("ha").bitwiseXOR(F.col("hb"))
     equal = F.lit(0).cast("bigint")
     for i, mask in enumerate(masks):
-        equal = equal + F.when(both.bitwiseAND(F.lit(signed(mask)).cast("bigint")) == 0, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+        equal = equal + F.when(both.bitwiseAND(F.lit(_signed(mask)).cast("bigint")) == 0, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     found = a.join(b, ["choice", "v"]).filter((F.col("ha") < F.col("hb")) & (F.bit_count(both) <= k)).withColumn("equal", equal)
     # the lowest m - k pieces that are equal are the choice: none that is equal stands below its highest piece and isn't chosen
     high = F.pow(F.lit(2.0), F.floor(F.log2("choice")) + 1).cast("bigint") - 1
