@@ -55,10 +55,10 @@ def test_against_plain_counts(spark):
 
 
 def test_other_parameters_and_small_blocks(spark, monkeypatch):
-    """Blocks of a few texts, every level joined by shuffle, and the first few phrases only."""
+    """Blocks of a few texts, many ranges, and the first few phrases only."""
     monkeypatch.setattr(C, "BLOCK_BYTES", 2_000)
     monkeypatch.setattr(C, "CUT_BYTES", 500)
-    monkeypatch.setattr(C, "small", lambda df: df)
+    monkeypatch.setattr(C, "RANGE_PAIRS", 300)
     data = rows(2)
     for longest, support, within, first in ((3, 10, 60, 7), (2, 12, 80, 2000)):
         want = plain(data, longest, support, within, first)

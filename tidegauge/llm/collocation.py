@@ -6,8 +6,9 @@ one number at every level, and the pair behind an id leads to all first and last
 counts there, and what stands inside a longer phrase is found as the parent of one.
 
 Texts are gathered to blocks of about ``BLOCK_BYTES`` in one language, which hold words, and later phrases, by numbers of
-their own. A block counts its pairs before they are shuffled, and gets back the ids of those that are frequent in the
-corpus (broadcast if few, counted). A frequent phrase has only frequent parts, so places without any fall out of the
+their own. A block counts its pairs and deals them into ranges by their hash, a packed row for each range. A range joins
+what all blocks have of its pairs (about ``RANGE_PAIRS`` rows; one pair has at most one from each block), names the frequent
+ones, and answers every block that asked. A frequent phrase has only frequent parts, so places without any fall out of the
 blocks as they go. Every level is a checkpoint in the shared folder; counts are exact, and scores use decimals of 38 digits.
 
 Edge cases: null texts have no words; a null language is ``und``; repeated rows count again; ties are broken by the
@@ -17,18 +18,21 @@ tabs, whatever it is; a document of any length is spread over batches, not block
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import cut, query, small, table, text_of
+from tidegauge.llm.common import cut, query, table, text_of
 from tidegauge.plans.skew import match
 
 #: Words of a phrase at most, occurrences of a candidate at least, phrases of a language that are returned.
@@ -39,20 +43,32 @@ WITHIN = 80
 SCALE = 1_000_000
 #: Bytes of text in a block, about; bytes that are cut into words at once.
 BLOCK_BYTES, CUT_BYTES = 1 << 25, 1 << 20
+#: Pairs (or words) of blocks that a range joins, about.
+RANGE_PAIRS = 250_000
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_ENDS + b"\t", b"\n" * len(_ENDS) + b" ")
 _BREAK = -1
 
-WORDS = "block long, lang string, n_words long, words array<string>, freq array<long>, seq binary"
-PAIRS = "block long, lang string, gids array<long>, left binary, right binary, freq binary, seq binary"
+def _pack(a: np.ndarray, kind=np.int32) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, dtype=kind).tobytes())
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, dtype=np.int32).tobytes())
+def _unpack(b: bytes, kind=np.int32) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=kind)
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.int32)
+def _schema(text: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in text.split(", "))])
+
+
+#: Blocks of words, and of pairs of ids; n is the number of different ones.
+WORDS = "block long, lang string, n_words long, n long, words binary, freq binary, seq binary"
+PAIRS = "block long, lang string, n long, gids binary, left binary, right binary, freq binary, seq binary"
+#: What a block has in a range: its numbers, their keys (words, or pairs of ids) and counts.
+ASKED = "range long, block long, lang string, at binary, words binary, left binary, right binary, freq binary"
+#: What a range answers: its frequent keys by id, with the block and number where a word can be read; or the ids for the numbers of one block.
+ANSWERS = "block long, at binary, ids binary, id array<long>, a array<long>, left array<long>, right array<long>, lang array<string>, word array<string>"
 
 
 class Words:
@@ -74,7 +90,7 @@ class Words:
     def row(self, block: int, lang: str) -> tuple:
         seq = np.concatenate(self.parts)
         freq = np.bincount(seq[seq >= 0], minlength=len(self.codes) - 2)
-        return block, lang, int(freq.sum()), [w.decode("utf-8") for w in list(self.codes)[2:]], freq, _pack(squeezed(seq))
+        return block, lang, int(freq.sum()), len(freq), zstandard.compress(b"\n".join(list(self.codes)[2:]), 1), _pack(freq), _pack(squeezed(seq))
 
 
 def squeezed(seq: np.ndarray) -> np.ndarray:
@@ -95,14 +111,11 @@ def pairs_of(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return keys // width, keys % width, n, squeezed(out)
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+def _batch(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    schema = _schema(fields)
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-_WORDS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("words", pa.list_(pa.string())), ("freq", pa.list_(pa.int64())), ("seq", pa.binary())])
-_PAIRS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("gids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("left", "right", "freq", "seq"))])
-
-
 def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to blocks of words."""
     block, held = TaskContext.get().partitionId() << 32, 0
@@ -124,51 +137,123 @@ def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = held + size, 0
                 if held >= BLOCK_BYTES:
                     for r in rows():
-                        yield _batch([r], _WORDS)
+                        yield _batch([r], WORDS)
                     block, held = block + len(by), 0
                     by.clear()
         for k, v in waiting.items():
             by[k].add(v)
         held += size
     for r in rows():
-        yield _batch([r], _WORDS)
+        yield _batch([r], WORDS)
 
 
 def _next_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, lang, seq, found): numbers that have an id stay, the others are breaks; what is left is paired."""
     for batch in batches:
         for i in range(batch.num_rows):
-            block, lang, seq = (batch.column(c)[i].as_py() for c in ("block", "lang", "seq"))
-            found = batch.column("found")[i].values
-            at, gids = found.field("at").to_numpy(), found.field("id").to_numpy()
+            block, lang, seq, found = (batch.column(c)[i].as_py() for c in ("block", "lang", "seq", "found"))
             seq = _unpack(seq)
+            at, gids = np.concatenate([_unpack(f["at"]) for f in found]), np.concatenate([_unpack(f["ids"], np.int64) for f in found])
             own = np.full(max(int(seq.max(initial=-1)), int(at.max(initial=-1))) + 2, _BREAK, dtype=np.int32)
             own[at] = np.arange(len(at))
             left, right, n, seq = pairs_of(own[seq])  # a break is -1, and so the last of own, which is a break
             if len(n):
-                yield _batch([(block, lang, gids, _pack(left), _pack(right), _pack(n), _pack(seq))], _PAIRS)
+                yield _batch([(block, lang, len(n), _pack(gids, np.int64), _pack(left), _pack(right), _pack(n), _pack(seq))], PAIRS)
+
+
+def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A hash of pairs of ids."""
+    x = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
 
 
-def _pair_rows(places: bool):
-    """The pairs of blocks by their ids: (left, right, n), or (block, at, left, right)."""
+def _asking(ranges: int, words: bool):
+    """Blocks to a packed row for each range that they have something of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                gids = batch.column("gids")[i].values.to_numpy()
-                left, right, n = (_unpack(batch.column(c)[i].as_py()) for c in ("left", "right", "freq"))
-                for k in range(0, len(n), 1 << 16):
-                    part = slice(k, k + (1 << 16))
-                    ids = [pa.array(gids[left[part]]), pa.array(gids[right[part]])]
-                    if places:
-                        m = len(n[part])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, batch.column("block")[i].as_py())), pa.array(np.arange(k, k + m)), *ids], ["block", "at", "left", "right"])
-                    else:
-                        yield pa.RecordBatch.from_arrays([*ids, pa.array(n[part].astype(np.int64))], ["left", "right", "n"])
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
+                n = _unpack(row["freq"])
+                if words:
+                    keys = np.array(zstandard.decompress(row["words"]).split(b"\n") if len(n) else [], dtype=object)
+                    seed = xxhash.xxh3_64_intdigest(row["lang"].encode()) & 0xFFFFFFFF
+                    of = np.array([xxhash.xxh3_64_intdigest(w, seed) % ranges for w in keys.tolist()], dtype=np.int64)
+                    order = np.argsort(of, kind="stable")
+                else:
+                    gids = _unpack(row["gids"], np.int64)
+                    left, right = gids[_unpack(row["left"])], gids[_unpack(row["right"])]
+                    of = (_mixed(left, right) % np.uint64(ranges)).astype(np.int64)
+                    order = np.lexsort((right, left, of))
+                of = of[order]
+                starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
+                out = []
+                for x, y in zip(starts, np.r_[starts[1:], len(of)], strict=True):
+                    at = order[x:y]
+                    body = (zstandard.compress(b"\n".join(keys[at].tolist()), 1), None, None) if words else (None, _pack(left[at], np.int64), _pack(right[at], np.int64))
+                    out.append((int(of[x]), row["block"], row["lang"], _pack(at), *body, _pack(n[at])))
+                    if len(out) == 256:
+                        yield _batch(out, ASKED)
+                        out = []
+                if out:
+                    yield _batch(out, ASKED)
 
     return run
 
 
+def _naming(support: int, words: bool):
+    """All rows of one range to its frequent keys and the answers to the blocks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = [r for b in table.to_batches() for r in zip(*(b.column(c).to_pylist() for c in ("range", "block", "lang", "at", "words", "left", "right", "freq")), strict=True)]
+        rows.sort(key=lambda r: r[1])
+        at, n = ([_unpack(r[k]) for r in rows] for k in (3, 7))
+        own = np.repeat(np.arange(len(rows)), [len(x) for x in at])
+        at, n = np.concatenate(at), np.concatenate(n).astype(np.int64)
+        if words:  # a block has one language
+            texts = pa.array([w for r in rows for w in zstandard.decompress(r[4]).split(b"\n")], type=pa.binary())
+            code = pc.dictionary_encode(texts)
+            langs, lang = np.unique([r[2] for r in rows], return_inverse=True)
+            key = code.indices.to_numpy().astype(np.int64) * len(langs) + lang[own]
+            order = np.argsort(key, kind="stable")
+            new = np.r_[True, key[order][1:] != key[order][:-1]]
+        else:
+            left, right = (np.concatenate([_unpack(r[k], np.int64) for r in rows]) for k in (5, 6))
+            order = np.lexsort((right, left))
+            new = np.r_[True, (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])]
+        first = np.flatnonzero(new)
+        a = np.add.reduceat(n[order], first)
+        good = a >= support
+        id_of = np.full(len(first), -1, dtype=np.int64)
+        id_of[good] = (rows[0][0] << 32) + np.arange(int(good.sum()))
+        ids = np.empty(len(at), dtype=np.int64)
+        ids[order] = id_of[np.cumsum(new) - 1]
+        out = []
+        if good.any():
+            where, none = order[first[good]], [None] * int(good.sum())
+            if words:
+                named = (none, none, [rows[i][2] for i in own[where].tolist()], [w.decode("utf-8") for w in texts.take(pa.array(where)).to_pylist()])
+            else:
+                named = (left[where], right[where], none, none)
+            out.append((None, None, None, id_of[good], a[good], *named))
+        ends = np.cumsum(np.bincount(own, minlength=len(rows)))
+        for r, x, y in zip(rows, np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+            held = ids[x:y] >= 0
+            if held.any():
+                out.append((r[1], _pack(at[x:y][held]), _pack(ids[x:y][held], np.int64), *[None] * 6))
+        return pa.Table.from_batches([_batch(out, ANSWERS)])
+
+    return run
+
+
+def _level(held: DataFrame, support: int) -> DataFrame:
+    """Names for what all blocks hold, and the answers to them."""
+    words = "words" in held.columns
+    ranges = max(1, math.ceil((held.agg(F.sum("n")).first()[0] or 0) / RANGE_PAIRS))
+    return cut(held.mapInArrow(_asking(ranges, words), ASKED).groupBy("range").applyInArrow(_naming(support, words), ANSWERS))
+
+
 def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, support: int = SUPPORT) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, n) of all words, and for each length 1, 2, ... the frequent phrases.
 
@@ -178,19 +263,17 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", longest: in
     two = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), text_of(text).cast("binary").alias("text"))
     held = cut(two.filter(F.octet_length("text") > 0).mapInArrow(_word_blocks, WORDS))
     total = held.groupBy("lang").agg(F.sum("n_words").alias("n")).filter("n > 0")
-    words = held.select("block", "lang", F.posexplode(F.arrays_zip("words", "freq")).alias("at", "x")).select("block", "lang", "at", F.col("x.words").alias("phrase"), F.col("x.freq").alias("freq"))
-    counts = words.groupBy("lang", "phrase").agg(F.sum("freq").alias("a")).filter(F.col("a") >= support)
-    level = cut(counts.select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", F.col("phrase").alias("last"), "a", F.array("a").alias("firsts"), F.array("a").alias("lasts")))
+    answers = _level(held, support)
+    named = answers.select(F.explode(F.arrays_zip("id", "lang", "word", "a")).alias("x")).select("x.*")
+    level = named.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", F.array("a").alias("firsts"), F.array("a").alias("lasts"))
     levels = [level]
-    found = words.join(small(level.select("lang", "phrase", "id")), ["lang", "phrase"]).select("block", "at", "id")
     for _ in range(2, longest + 1):
-        mine = found.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("found"))
-        held = cut(held.select("block", "lang", "seq").join(mine, "block").mapInArrow(_next_pairs, PAIRS))
-        pairs = held.mapInArrow(_pair_rows(False), "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= support)
-        named = cut(pairs.select(F.monotonically_increasing_id().alias("id"), "left", "right", "a"))
+        found = answers.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
+        held = cut(held.select("block", "lang", "seq").join(found, "block").mapInArrow(_next_pairs, PAIRS))
+        answers = _level(held, support)
+        named = answers.select(F.explode(F.arrays_zip("id", "left", "right", "a")).alias("x")).select("x.*")
         level = cut(_named(named, level))
         levels.append(level)
-        found = held.mapInArrow(_pair_rows(True), "block long, at long, left long, right long").join(small(named.select("left", "right", "id")), ["left", "right"]).select("block", "at", "id")
     return total, levels
 
 
