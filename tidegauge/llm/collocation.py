@@ -176,8 +176,10 @@ def _asking(ranges: int, words: bool):
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 n = _unpack(row["freq"])
+                if not len(n):
+                    continue
                 if words:
-                    keys = np.array(zstandard.decompress(row["words"]).split(b"\n") if len(n) else [], dtype=object)
+                    keys = np.array(zstandard.decompress(row["words"]).split(b"\n"), dtype=object)
                     seed = xxhash.xxh3_64_intdigest(row["lang"].encode()) & 0xFFFFFFFF
                     of = np.array([xxhash.xxh3_64_intdigest(w, seed) % ranges for w in keys.tolist()], dtype=np.int64)
                     order = np.argsort(of, kind="stable")
