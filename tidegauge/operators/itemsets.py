@@ -6,12 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidegauge.functions import url as U
+from tidegauge.operators import bitmaps
 from tidegauge.plans.checkpoints import cut
 from tidegauge.plans.views import view
 from tidegauge.registry import query, table
@@ -52,14 +52,9 @@ def inverted_support(baskets: DataFrame, basket: str, item: str, sets: DataFrame
 
 
 def fp_growth(baskets: DataFrame, basket: str, item: str, min_support: float, max_len: int) -> DataFrame:
-    """Frequent itemsets (sorted items, n) of at most ``max_len`` items: level-wise up to 4, Spark's FP-growth beyond."""
-    if max_len <= 4:
-        n = baskets.select(basket).distinct().count()
-        least = max(1, int(np.ceil(min_support * n - 1e-9)))
-        return reduce(DataFrame.unionByName, levels(baskets, basket, item, least, max_len))
-    lists = baskets.groupBy(basket).agg(F.collect_set(item).alias("items"))
-    found = FPGrowth(itemsCol="items", minSupport=min_support).fit(lists).freqItemsets
-    return found.filter(F.size("items") <= max_len).select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
+    """Frequent itemsets (sorted items, n) of at most ``max_len`` items, on bitmaps (:mod:`tidegauge.operators.bitmaps`)."""
+    n = baskets.select(basket).distinct().count()
+    return bitmaps.eclat(baskets, basket, item, max(1, int(np.ceil(min_support * n - 1e-9))), max_len)
 
 
 @F.pandas_udf(DoubleType())
@@ -84,7 +79,8 @@ def contrast(pos: DataFrame, neg: DataFrame, basket: str, item: str, min_support
     n_pos, n_neg = pos.select(basket).distinct().count(), neg.select(basket).distinct().count()
     a, b = (fp_growth(x, basket, item, min_support, max_len).select("items") for x in (pos, neg))
     sets = a.union(b).distinct()
-    both = inverted_support(pos, basket, item, sets).withColumnRenamed("n", "count_pos").join(inverted_support(neg, basket, item, sets).withColumnRenamed("n", "count_neg"), "items")
+    count = lambda x, total, n: bitmaps.supports(bitmaps.prepared(x, basket, item), sets, bitmaps.ranges_of(total)).withColumnRenamed("n", n)
+    both = count(pos, n_pos, "count_pos").join(count(neg, n_neg, "count_neg"), "items")
     sp, sn = F.col("count_pos") / float(max(n_pos, 1)), F.col("count_neg") / float(max(n_neg, 1))
     lift = (sp + EPS) / (sn + EPS)
     out = both.select(
@@ -180,6 +176,16 @@ def _(s, d):
     return fp_growth(view(s, d, "bk"), "cluster_id", "cookie", 0.02, 2)
 
 
+_SETS = " UNION ALL ".join(
+    f"SELECT [{', '.join(x + '.cookie' for x in names)}] AS items, count(*) AS n FROM bk a {' '.join(f'JOIN bk {y} ON {x}.cluster_id = {y}.cluster_id AND {x}.cookie < {y}.cookie' for x, y in zip(names, names[1:], strict=False))} GROUP BY ALL" for names in ("a", "ab", "abc", "abce")
+)
+
+
+@query("fp_growth_four", f"SELECT * FROM ({_SETS}) x WHERE n >= ceil((SELECT count(DISTINCT cluster_id) FROM bk) * 0.001)")
+def _(s, d):
+    return fp_growth(view(s, d, "bk"), "cluster_id", "cookie", 0.001, 4)
+
+
 # The queries named _deep are the same at the reference's depth; SQL would have to spell out every level.
 DEEP = 3
 
