@@ -201,17 +201,39 @@ def test_evidence_of_one_rule_is_not_enough(spark):
 
 
 def test_urls_of_many_tokens(spark):
-    """Keys that always come together count as one token; others that come together often raise the support."""
+    """Keys that always come together count as one token; of others a URL gives the miner its most frequent ones only."""
     keys = "&".join(f"k{i}=1" for i in range(60))
     r = random.Random(1)
     urls = [f"http://x.net/{i}?{keys}" for i in range(40)] + [f"http://h{i}.example.com/de/{i}?{keys}" for i in range(40)] + [f"http://y.org/a?{keys}", "http://y.org/b?k3=1", "http://z.org/c"]
     out = {x.page_id: x for x in U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     assert [out[i].verdict for i in range(80, 83)] == ["block", "block", "allow"]
-    rows = [(i, [f"t{k:02}" for k in range(40) if r.random() < 0.9], f"r{i % 2}", "block") for i in range(200)]
+    rows = [(i, [f"t{k:02}" for k in range(40) if r.random() < 0.9] + ["rare"] * (i == 3), f"r{i % 2}", "block" if i % 5 else "allow") for i in range(200)]
     df = spark.createDataFrame(rows, "_row long, tokens array<string>, rule string, verdict string")
     named = U.bundles(df)
     items = U.as_items(df, named, ["rule", "verdict"])
-    support = U.least_support(items, 200, 0.01, together=5)
     n = Counter(t for _, ts, _, _ in rows for t in ts)
-    assert max(sum(n[t] >= support * 200 for t in ts) for _, ts, _, _ in rows) <= 5
-    assert U.least_support(items, 200, 0.01, together=50) == 0.01
+    got = {x["_row"]: x["items"] for x in items.select("_row", U.narrowed(2.0, 5).alias("items")).collect()}
+    assert got == {i: sorted((t for t in ts if n[t] >= 2), key=lambda t: (-n[t], t))[:5] for i, ts, _, _ in rows}
+    # what is mined from a part is counted over all rows and tokens
+    rules = U.mine(items, named, 0.01, 0.6, together=3).collect()
+    assert rules
+    for x in rules:
+        own = [v for _, ts, _, v in rows if set(x["items"]) <= set(ts)]
+        assert abs(x.confidence - own.count(x.learned) / len(own)) < 1e-9 and abs(x.support - own.count(x.learned) / 200) < 1e-9
+
+
+def test_one_url_changes_no_other(spark):
+    """A URL that holds many tokens of others, each frequent, leaves the rules and all other verdicts as they were."""
+    r = random.Random(2)
+    names = [f"common{i}" for i in range(20)]
+    urls = [f"http://h{i % 9}.{'net' if i % 2 else 'example.com'}/{'' if i % 2 else 'de/'}{'promo/' if i % 7 < 2 else 'x/'}{i}?" + "&".join(f"{k}=1" for k in r.sample(names, 2)) for i in range(1200)]
+    urls += [f"http://h{i % 9}.org/fr/x/{i}?" + "&".join(f"{k}=1" for k in r.sample(names, 2)) for i in range(900)]
+    urls += [f"http://h{i % 9}.example.net/en/x/{i}" for i in range(300)] + [f"http://other{i}.info/promo/{i}" for i in range(50)] + [f"http://other{i}.info/x/{i}" for i in range(50)]
+    odd = "http://odd.net/promo/y?" + "&".join(f"{k}=1" for k in names)
+
+    def verdicts(given):
+        return {x.page_id: (x.rule, x.verdict, x.learned_rule) for x in U.judge(spark.createDataFrame(list(enumerate(given)), "page_id long, url string")).collect()}
+
+    before, after = verdicts(urls), verdicts([*urls, odd])
+    assert all(before[len(urls) - 100 + i][1] == "block" and before[len(urls) - 100 + i][2] for i in range(50))
+    assert {k: v for k, v in after.items() if k < len(urls)} == before and after[len(urls)][1] == "block"
