@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.prefix_join import prefixes_of
 from tidegauge.plans.views import select, view
 from tidegauge.registry import query
 
@@ -46,22 +47,9 @@ def flag_in(df: DataFrame, keys: DataFrame, on: str, flag: str) -> DataFrame:
     return out.withColumn(flag, F.when(F.col(on).isNotNull(), F.coalesce("_hit", F.lit(False)))).drop("_hit")
 
 
-def own_prefixes(values: DataFrame, col: str, prefixes: DataFrame, prefix: str) -> DataFrame:
-    """(col, prefix) of each distinct value and each listed prefix that it starts with.
-
-    Instead of a theta join, the value's own prefixes of the listed lengths are looked up; the lengths are one array.
-    """
-    lengths = F.broadcast(prefixes.agg(F.array_sort(F.collect_set(F.length(prefix))).alias("_lengths")))  # one row
-    v = values.select(col).distinct().filter(F.col(col).isNotNull())
-    fits = F.filter("_lengths", lambda n: n <= F.length(col))
-    parts = v.crossJoin(lengths).select(col, F.explode(F.transform(fits, lambda n: F.substring(F.col(col), F.lit(1), n))).alias(prefix))
-    return parts.join(prefixes.select(prefix).distinct(), prefix).select(col, prefix)
-
-
 def longest_prefix(values: DataFrame, col: str, prefixes: DataFrame, prefix: str) -> DataFrame:
     """Each distinct value with the longest listed prefix that it starts with (null if none)."""
-    found = own_prefixes(values, col, prefixes, prefix).groupBy(col).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
-    return values.select(col).distinct().join(found, col, "left")
+    return prefixes_of(values, col, prefixes, prefix)
 
 
 def name_overlap(ours: DataFrame, theirs: DataFrame, name: str) -> DataFrame:
@@ -72,7 +60,7 @@ def name_overlap(ours: DataFrame, theirs: DataFrame, name: str) -> DataFrame:
     a, b = (x.select(name).filter(F.col(name).isNotNull()).distinct() for x in (ours, theirs))
     one = lambda df, n: F.broadcast(df.agg(F.count("*").alias(n)))  # noqa: E731  (a row each)
     full, other = a.filter(F.col(name) != ""), b.filter(F.col(name) != "")
-    prefix = lambda v, p: own_prefixes(v, name, p.withColumnRenamed(name, "_p"), "_p").select(name).distinct()
+    prefix = lambda v, p: prefixes_of(v, name, p.withColumnRenamed(name, "_p"), "_p").filter("_p IS NOT NULL").select(name)
     out = one(a, "n_ours").crossJoin(one(b, "n_theirs")).crossJoin(one(a.join(b, name, "left_semi"), "n_exact")).crossJoin(one(prefix(full, other), "n_prefix")).crossJoin(one(prefix(other, full), "n_reverse"))
     pct = lambda n, of: F.round(F.try_divide(F.col(n) * 100.0, F.col(of)), 2)
     return out.select("*", pct("n_exact", "n_ours").alias("exact_pct"), pct("n_prefix", "n_ours").alias("prefix_pct"), pct("n_reverse", "n_theirs").alias("reverse_pct"))
