@@ -6,13 +6,16 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import text as T
+from tidegauge.operators.identifiers import alike, lengths_differ, may_be_alike
 from tidegauge.operators.matching import hits, literals
 from tidegauge.operators.overview import r6
+from tidegauge.plans.checkpoints import cut
 from tidegauge.plans.views import select, view
 from tidegauge.registry import query, table
 
@@ -21,6 +24,36 @@ from tidegauge.registry import query, table
 SIMILARITY = 0.6
 #: Values of a block whose pairs one group compares with another block.
 PAIR_BLOCK = 500
+#: Share of the longer value by which lengths may differ.
+LENGTHS = 0.25
+
+
+def _values(cookies: DataFrame, name: str, site: str, value: str, profile: str) -> DataFrame:
+    """(name, site, p, v) of the named cookies on sites that more than one profile saw; a null value counts as empty."""
+    none = F.lit("") if cookies.schema[profile].dataType.simpleString() == "string" else F.lit(-(1 << 31)).cast(cookies.schema[profile].dataType)  # stands before others
+    own = cookies.filter(F.col(name).isNotNull() & (F.length(name) > 0) & F.col(site).isNotNull()).select(F.col(name).alias("name"), F.col(site).alias("site"), F.coalesce(profile, none).alias("p"), F.coalesce(value, F.lit("")).alias("v"))
+    seen = own.groupBy("site").agg(F.countDistinct("p").alias("_k")).filter("_k > 1").select("site")
+    return own.join(seen, "site", "left_semi")
+
+
+def _block_pairs(values: DataFrame, which: str) -> DataFrame:
+    """The values (name, site, p, v, _b blocks) of every two blocks (_i, _j) that meet: a block with itself (``own``), or two different ones (``cross``)."""
+    held = values.withColumn("_own", F.pmod(F.xxhash64("p", "v"), F.col("_b")).cast("int"))
+    if which == "own":
+        return held.select("name", "site", "p", "v", F.col("_own").alias("_i"), F.col("_own").alias("_j"), F.lit(True).alias("_left"))
+    others = F.filter(F.sequence(F.lit(0), F.col("_b") - 1), lambda k: k != F.col("_own"))
+    met = held.select("name", "site", "p", "v", "_own", F.explode(others).alias("_o"))
+    return met.select("name", "site", "p", "v", F.least("_own", "_o").alias("_i"), F.greatest("_own", "_o").alias("_j"), (F.col("_own") < F.col("_o")).alias("_left"))
+
+
+def _pairs_of(pdf: pd.DataFrame, threshold: float) -> Iterator[tuple[tuple, tuple]]:
+    """Pairs of (p, v) of two blocks, or within one, that may be alike; the smaller one first."""
+    rows = sorted(zip(pdf["p"], pdf["v"], pdf["_left"], strict=True), key=lambda r: r[:2])
+    within = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
+    left, right = [r[:2] for r in rows if r[2]], [r[:2] for r in rows if within or not r[2]]
+    for i, j in may_be_alike([v for _, v in left], [v for _, v in right], threshold) if left and right else ():
+        if not within or i < j:
+            yield (left[i], right[j]) if left[i] <= right[j] else (right[j], left[i])
 
 
 def hold_id(cookies: DataFrame, name: str = "name", site: str = "top_level_etld", value: str = "value", profile: str = "browser_id", threshold: float = SIMILARITY) -> DataFrame:
@@ -29,49 +62,73 @@ def hold_id(cookies: DataFrame, name: str = "name", site: str = "top_level_etld"
     Sites seen by one profile only are left out; a cookie with one record holds no identifier. Equal values
     fail the similarity test, so a cookie with a repeated value is decided before any pair is made, and pairs
     are made between distinct values only. The similarity depends on the order of its arguments; the smaller
-    (profile, value) comes first.
+    (profile, value) comes first. Values are dealt into blocks of ``PAIR_BLOCK``; first each block is compared with itself,
+    which takes time in proportion and decides most cookies with like values, then the others' blocks with one another.
+    A bound by common subsequences goes before the matcher (:mod:`tidegauge.operators.identifiers`).
     """
-    own = cookies.filter(F.col(name).isNotNull() & (F.length(name) > 0) & F.col(site).isNotNull()).select(name, site, profile, F.coalesce(value, F.lit("")).alias("v"))
-    seen = own.groupBy(site).agg(F.countDistinct(profile).alias("p")).filter("p > 1").select(site)
-    own = own.join(seen, site, "left_semi")
+    own = _values(cookies, name, site, value, profile)
     # all lengths within a quarter of each other: the shortest against the longest decides
-    stats = own.groupBy(name, site).agg(F.count("*").alias("n"), F.countDistinct("v").alias("k"), F.min_by("v", F.length("v")).alias("short"), F.max_by("v", F.length("v")).alias("long"))
-    stats = stats.withColumn("open", (F.col("n") > 1) & (F.col("n") == F.col("k")) & T.length_ok(F.col("short"), F.col("long")))
-    live = own.join(stats.filter("open").select(name, site), [name, site], "left_semi").select(name, site, F.struct(profile, "v").alias("x"))
-    # the values of a cookie are cut into blocks by their hash, and each two blocks meet in a group of their own
-    blocks = stats.filter("open").select(name, site, F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("_b"))
-    live = live.join(blocks, [name, site]).withColumn("_own", F.pmod(F.xxhash64("x"), F.col("_b")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("_b") - 1)
-    left = live.select(name, site, "x", F.col("_own").alias("_i"), F.explode(others).alias("_j"))
-    right = live.select(name, site, F.col("x").alias("y"), F.explode(others).alias("_i"), F.col("_own").alias("_j"))
-    pairs = left.join(right, [name, site, "_i", "_j"]).filter("x < y")
-    alike = pairs.filter(T.similar(threshold)(F.col("x.v"), F.col("y.v"))).select(name, site).distinct().withColumn("bad", F.lit(True))
-    return stats.join(alike, [name, site], "left").select(name, site, "n", (F.col("open") & F.col("bad").isNull()).alias("hold_id"))
-
-
-def hold_id_faithful(cookies: DataFrame, name: str = "name", site: str = "top_level_etld", value: str = "value", profile: str = "browser_id") -> DataFrame:
-    """All four flags with the early exit of the pair loop, group by group; rows are sorted by (profile, value) first. For groups that fit a task."""
+    stats = own.groupBy("name", "site").agg(F.count("*").alias("n"), F.countDistinct("v").alias("k"), F.min_by("v", F.length("v")).alias("short"), F.max_by("v", F.length("v")).alias("long"))
+    stats = cut(stats.select("name", "site", "n", ((F.col("n") > 1) & (F.col("n") == F.col("k")) & T.length_ok(F.col("short"), F.col("long"))).alias("open")))
+    blocks = stats.filter("open").select("name", "site", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("_b"))
+    live = cut(own.join(blocks, ["name", "site"]))
 
     def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        from difflib import SequenceMatcher
-        from itertools import combinations
-
-        values = list(pdf.sort_values(["p", "v"])["v"])
-        lengths = similar = True
-        for a, b in combinations(values, 2):
-            longest = max(len(a), len(b))
-            if longest and (not a or not b or abs(len(a) - len(b)) / longest > 0.25):
-                lengths = False
+        found = any(alike(a[1], b[1], threshold) for a, b in _pairs_of(pdf, threshold))
+        return pd.DataFrame({"name": [key[0]], "site": [key[1]]} if found else {"name": [], "site": []}, dtype=object)
+
+    kind = live.schema["site"].dataType.simpleString()
+    met = lambda df, which: cut(_block_pairs(df, which).groupBy("name", "site", "_i", "_j").applyInPandas(decide, f"name string, site {kind}").distinct())
+    near = met(live, "own")
+    left = live.filter("_b > 1").join(near, ["name", "site"], "left_anti")
+    bad = near.unionByName(met(left, "cross")).withColumn("bad", F.lit(True))
+    out = stats.join(bad, ["name", "site"], "left").select(F.col("name").alias(name), F.col("site").alias(site), "n", (F.col("open") & F.col("bad").isNull()).alias("hold_id"))
+    return out
+
+
+def hold_id_faithful(cookies: DataFrame, name: str = "name", site: str = "top_level_etld", value: str = "value", profile: str = "browser_id", threshold: float = SIMILARITY) -> DataFrame:
+    """(name, site, hold_id, unique_ok, similarity_ok, passed_checkin): which test the first pair fails that fails any.
+
+    Pairs are ordered by their (profile, value); a pair whose lengths differ fails that test only. Every two blocks give their
+    least failing pair, and the least of these decides.
+    """
+    own = _values(cookies, name, site, value, profile)
+    distinct = own.groupBy("name", "site", "p", "v").agg(F.count("*").alias("_c"))
+    stats = cut(own.groupBy("name", "site").agg(F.count("*").alias("n"), F.countDistinct("p", "v").alias("_k")))
+    live = cut(distinct.join(stats.filter("n > 1").select("name", "site", F.ceil(F.col("_k") / PAIR_BLOCK).cast("int").alias("_b")), ["name", "site"]))
+    twice = live.filter("_c > 1").select("name", "site", F.struct(F.col("p").alias("p1"), F.col("v").alias("v1"), F.col("p").alias("p2"), F.col("v").alias("v2"), F.lit(False).alias("lengths")).alias("first"))
+
+    def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(pdf["p"], pdf["v"], pdf["_left"], strict=True), key=lambda r: r[:2])
+        within = key[2] == key[3]
+        left, right = [r[:2] for r in rows if r[2]], [r[:2] for r in rows if within or not r[2]]
+        n, m = (np.array([len(v) for _, v in x], dtype=np.int64) for x in (left, right))
+        longer = np.maximum.outer(n, m)
+        differ = (longer > 0) & ((np.minimum.outer(n, m) == 0) | (np.abs(np.subtract.outer(n, m)) > LENGTHS * longer))
+        if within:
+            differ &= np.triu(np.ones_like(differ), 1)
+        pair = lambda i, j: (left[i], right[j]) if left[i] <= right[j] else (right[j], left[i])
+        least = min((pair(i, j) for i, j in zip(*np.nonzero(differ), strict=True)), default=None)
+        failing, lengths = least, True
+        for a, b in sorted(_pairs_of(pdf, threshold)):
+            if failing is not None and (a, b) >= failing:
                 break
-            if SequenceMatcher(None, a, b).ratio() > SIMILARITY:
-                similar = False
+            if not lengths_differ(a[1], b[1], LENGTHS) and alike(a[1], b[1], threshold):
+                failing, lengths = (a, b), False
                 break
-        several = len(values) > 1
-        return pd.DataFrame({"name": [key[0]], "site": [key[1]], "hold_id": [several and lengths and similar], "unique_ok": [several and lengths], "similarity_ok": [several and similar], "passed_checkin": [several]})
-
-    own = cookies.filter(F.col(name).isNotNull() & (F.length(name) > 0)).select(F.col(name).alias("name"), F.col(site).cast("string").alias("site"), F.col(profile).alias("p"), F.coalesce(value, F.lit("")).alias("v"))
-    seen = own.groupBy("site").agg(F.countDistinct("p").alias("k")).filter("k > 1").select("site")
-    return own.join(seen, "site", "left_semi").groupBy("name", "site").applyInPandas(decide, "name string, site string, hold_id boolean, unique_ok boolean, similarity_ok boolean, passed_checkin boolean")
+        if failing is None:
+            return pd.DataFrame({c: [] for c in ("name", "site", "p1", "v1", "p2", "v2", "lengths")}, dtype=object)
+        (p1, v1), (p2, v2) = failing
+        return pd.DataFrame({"name": [key[0]], "site": [key[1]], "p1": [p1], "v1": [v1], "p2": [p2], "v2": [v2], "lengths": [lengths]})
+
+    types = {c: live.schema[c].dataType.simpleString() for c in ("site", "p")}
+    schema = f"name string, site {types['site']}, p1 {types['p']}, v1 string, p2 {types['p']}, v2 string, lengths boolean"
+    both = _block_pairs(live.drop("_c"), "own").unionByName(_block_pairs(live.drop("_c"), "cross"))
+    found = both.groupBy("name", "site", "_i", "_j").applyInPandas(first, schema).select("name", "site", F.struct("p1", "v1", "p2", "v2", "lengths").alias("first"))
+    least = found.unionByName(twice).groupBy("name", "site").agg(F.min("first").alias("first"))
+    several, failed = F.col("n") > 1, F.col("first.lengths")
+    flags = [(several & failed.isNull()).alias("hold_id"), (several & ~F.coalesce(failed, F.lit(False))).alias("unique_ok"), (several & F.coalesce(failed, F.lit(True))).alias("similarity_ok"), several.alias("passed_checkin")]
+    return stats.join(least, ["name", "site"], "left").select("name", F.col("site").cast("string").alias("site"), *flags)
 
 
 # ---- filter rules
