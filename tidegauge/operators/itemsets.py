@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 from tidegauge.functions import url as U
 from tidegauge.operators import bitmaps
 from tidegauge.plans.checkpoints import cut
-from tidegauge.plans.views import view
+from tidegauge.plans.views import select, view
 from tidegauge.registry import query, table
 
 EPS = 1e-6
@@ -298,10 +298,18 @@ def _(s, d):
     return segment_lift(l.filter("positive"), l.filter(~F.col("positive")), "url", top=2)
 
 
-@query("rg_rules", r"SELECT '/[\?&]' || string_agg('(?=[^#]*\b' || k || '=)', '' ORDER BY k) || '[^#]*/' AS rule, 4.0::DOUBLE AS lift_ratio FROM (VALUES ('page'), ('ref')) v(k) UNION ALL SELECT '/[\?&]utm_source=/', 3.0")
+# Contrast rows that the parts give: one to three keys with characters that a pattern must escape, and one row that holds no key.
+_ITEMSETS = "SELECT CASE p_partkey % 4 WHEN 0 THEN concat('has_', p_brand) WHEN 1 THEN concat('has_', p_brand, ' & has_b-', p_size) WHEN 2 THEN concat('has_', p_brand, ' & has_c.', p_size % 5, ' & has_x') ELSE 'other' END AS itemset, p_size / 10.0 AS lift_ratio FROM part"
+_AHEAD = r"list_transform(list_transform(list_filter(string_split(itemset, ' & '), lambda x: starts_with(x, 'has_')), lambda x: x[5:]), lambda x: regexp_replace(x, '([^A-Za-z0-9_])', '\\\1', 'g'))"
+
+
+@query(
+    "rg_rules",
+    rf"""SELECT CASE WHEN len(p) = 0 THEN '' WHEN len(p) = 1 THEN '/[\?&]' || p[1] || '=/' ELSE '/[\?&]' || array_to_string(list_transform(p, lambda x: '(?=[^#]*\b' || x || '=)'), '') || '[^#]*/' END AS rule, max(lift_ratio)::DOUBLE AS lift_ratio
+    FROM (SELECT {_AHEAD} AS p, lift_ratio FROM ({_ITEMSETS}) i) x WHERE len(p) > 0 AND lift_ratio >= 2 GROUP BY ALL""",
+)
 def _(s, d):
-    t = s.createDataFrame([("has_page & has_ref", 4.0), ("has_page & has_ref", 2.5), ("has_utm_source", 3.0), ("has_low", 1.5), ("other", 9.0)], "itemset string, lift_ratio double")
-    return rules(t)
+    return rules(select(s, d, _ITEMSETS).withColumn("lift_ratio", F.col("lift_ratio").cast("double")))
 
 
 @query("gr_edges_distinct", "SELECT DISTINCT cookie, cluster_id FROM bk")

@@ -260,9 +260,9 @@ def _(s, d):
     return g.select("cluster_id", F.posexplode("c").alias("pos", "cookie"))
 
 
-@query("arr_generate", "SELECT unnest(range(1, 68))::BIGINT AS slot")
+@query("arr_generate", "SELECT l_orderkey, l_linenumber, unnest(range(1, l_linenumber + 1))::BIGINT AS slot FROM lineitem")
 def _(s, d):
-    return s.range(1).select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(67).cast("bigint"))).alias("slot"))
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("l_linenumber").cast("bigint"))).alias("slot"))
 
 
 @query("json_extract_array", "SELECT cluster, url, count(*) AS n FROM (SELECT cluster, url, cookie_name FROM mem GROUP BY ALL) x GROUP BY ALL")
