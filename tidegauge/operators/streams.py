@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators.io import folder
 from tidegauge.registry import query, table
 from tidegauge.streaming import ingest as I
+from tidegauge.streaming.leases import leases
 
 TYPES = ["click", "view", "purchase", "signup"]
 
@@ -136,6 +137,20 @@ def _(s, d):
     return I.claim(I.site_states(t, F.timestamp_seconds(F.lit(0))), 7)
 
 
+@query("st_site_lease")
+def _(s, d):
+    """Events as transitions of the sites they name: three claimers, each numbering what it sends; checked in tests/test_leases.py."""
+    kind = F.element_at(F.array(*(F.lit(x) for x in ("wait", "claim", "claim", "done", "renew", "claim", "error"))), (F.col("event_id") % 7 + 1).cast("int"))
+    t = events(s, d).select(F.col("user_id").alias("site_id"), kind.alias("event"), F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")).alias("claimer"), F.col("event_id").alias("seq"), F.timestamp_seconds(F.col("event_id")).alias("at"))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(store)
+    s.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return I.to_table(leases(t, 1800), "append", folder(s), timers=True)
+    finally:
+        s.conf.set(store, before)
+
+
 @query("st_completion_queue", f"WITH {_VALID} SELECT visit_id, mark LIKE '%true%' AS success FROM e")
 def _(s, d):
     return I.completed(_finished(s, d))
