@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import cut, query, table, text_of
-from tidegauge.plans.skew import match
+from tidegauge.plans.checkpoints import release
 
 #: Words of a phrase at most, occurrences of a candidate at least, phrases of a language that are returned.
 LONGEST, SUPPORT, FIRST = 4, 30, 2_000
@@ -45,16 +45,29 @@ SCALE = 1_000_000
 BLOCK_BYTES, CUT_BYTES = 1 << 25, 1 << 20
 #: Pairs (or words) of blocks that a range joins, about.
 RANGE_PAIRS = 250_000
+#: Level of compression of what blocks and ranges send each other.
+SQUEEZE = 7
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(_ENDS + b"\t", b"\n" * len(_ENDS) + b" ")
 _BREAK = -1
 
 def _pack(a: np.ndarray, kind=np.int32) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a, dtype=kind).tobytes())
+    """Numbers as planes of their bytes, compressed: the high bytes of small or slowly rising numbers take next to nothing."""
+    wide = np.dtype(kind).itemsize
+    return zstandard.compress(np.ascontiguousarray(a, dtype=kind).view(np.uint8).reshape(-1, wide).T.tobytes(), SQUEEZE)
 
 
 def _unpack(b: bytes, kind=np.int32) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=kind)
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), dtype=np.uint8).reshape(wide, -1).T).reshape(-1).view(kind)
+
+
+def _pack_rising(a: np.ndarray) -> bytes:
+    return _pack(np.diff(a, prepend=0))
+
+
+def _unpack_rising(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b), dtype=np.int64)
 
 
 def _schema(text: str) -> pa.Schema:
@@ -90,7 +103,7 @@ class Words:
     def row(self, block: int, lang: str) -> tuple:
         seq = np.concatenate(self.parts)
         freq = np.bincount(seq[seq >= 0], minlength=len(self.codes) - 2)
-        return block, lang, int(freq.sum()), len(freq), zstandard.compress(b"\n".join(list(self.codes)[2:]), 1), _pack(freq), _pack(squeezed(seq))
+        return block, lang, int(freq.sum()), len(freq), zstandard.compress(b"\n".join(list(self.codes)[2:]), SQUEEZE), _pack(freq), _pack(squeezed(seq))
 
 
 def squeezed(seq: np.ndarray) -> np.ndarray:
@@ -153,7 +166,7 @@ def _next_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             block, lang, seq, found = (batch.column(c)[i].as_py() for c in ("block", "lang", "seq", "found"))
             seq = _unpack(seq)
-            at, gids = np.concatenate([_unpack(f["at"]) for f in found]), np.concatenate([_unpack(f["ids"], np.int64) for f in found])
+            at, gids = np.concatenate([_unpack_rising(f["at"]) for f in found]), np.concatenate([_unpack(f["ids"], np.int64) for f in found])
             own = np.full(max(int(seq.max(initial=-1)), int(at.max(initial=-1))) + 2, _BREAK, dtype=np.int32)
             own[at] = np.arange(len(at))
             left, right, n, seq = pairs_of(own[seq])  # a break is -1, and so the last of own, which is a break
@@ -182,19 +195,18 @@ def _asking(ranges: int, words: bool):
                     keys = np.array(zstandard.decompress(row["words"]).split(b"\n"), dtype=object)
                     seed = xxhash.xxh3_64_intdigest(row["lang"].encode()) & 0xFFFFFFFF
                     of = np.array([xxhash.xxh3_64_intdigest(w, seed) % ranges for w in keys.tolist()], dtype=np.int64)
-                    order = np.argsort(of, kind="stable")
                 else:
                     gids = _unpack(row["gids"], np.int64)
                     left, right = gids[_unpack(row["left"])], gids[_unpack(row["right"])]
                     of = (_mixed(left, right) % np.uint64(ranges)).astype(np.int64)
-                    order = np.lexsort((right, left, of))
+                order = np.argsort(of, kind="stable")  # by range, and by number in it
                 of = of[order]
                 starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
                 out = []
                 for x, y in zip(starts, np.r_[starts[1:], len(of)], strict=True):
                     at = order[x:y]
-                    body = (zstandard.compress(b"\n".join(keys[at].tolist()), 1), None, None) if words else (None, _pack(left[at], np.int64), _pack(right[at], np.int64))
-                    out.append((int(of[x]), row["block"], row["lang"], _pack(at), *body, _pack(n[at])))
+                    body = (zstandard.compress(b"\n".join(keys[at].tolist()), SQUEEZE), None, None) if words else (None, _pack(left[at], np.int64), _pack(right[at], np.int64))
+                    out.append((int(of[x]), row["block"], row["lang"], _pack_rising(at), *body, _pack(n[at])))
                     if len(out) == 256:
                         yield _batch(out, ASKED)
                         out = []
@@ -210,7 +222,7 @@ def _naming(support: int, words: bool):
     def run(table: pa.Table) -> pa.Table:
         rows = [r for b in table.to_batches() for r in zip(*(b.column(c).to_pylist() for c in ("range", "block", "lang", "at", "words", "left", "right", "freq")), strict=True)]
         rows.sort(key=lambda r: r[1])
-        at, n = ([_unpack(r[k]) for r in rows] for k in (3, 7))
+        at, n = [_unpack_rising(r[3]) for r in rows], [_unpack(r[7]) for r in rows]
         own = np.repeat(np.arange(len(rows)), [len(x) for x in at])
         at, n = np.concatenate(at), np.concatenate(n).astype(np.int64)
         if words:  # a block has one language
@@ -243,7 +255,7 @@ def _naming(support: int, words: bool):
         for r, x, y in zip(rows, np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
             held = ids[x:y] >= 0
             if held.any():
-                out.append((r[1], _pack(at[x:y][held]), _pack(ids[x:y][held], np.int64), *[None] * 6))
+                out.append((r[1], _pack_rising(at[x:y][held]), _pack(ids[x:y][held], np.int64), *[None] * 6))
         return pa.Table.from_batches([_batch(out, ANSWERS)])
 
     return run
@@ -276,15 +288,15 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", longest: in
         named = answers.select(F.explode(F.arrays_zip("id", "left", "right", "a")).alias("x")).select("x.*")
         level = cut(_named(named, level))
         levels.append(level)
+        release(docs.sparkSession)  # the files of the level before
     return total, levels
 
 
 def _named(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     """Phrases from pairs of the ids of shorter ones."""
-    n = pairs.count()
     left = parts.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("_first"), "firsts")
     right = parts.select(F.col("id").alias("right"), "last", "lasts")
-    both = match(match(pairs, left, ["left"], n), right, ["right"], n)
+    both = pairs.join(left, "left").join(right, "right")  # a part may begin any share of the phrases: adaptive execution splits it
     longer = lambda c: F.concat(c, F.array("a"))
     return both.select("id", "lang", F.concat_ws(" ", "_first", "last").alias("phrase"), "last", "a", longer("firsts").alias("firsts"), longer("lasts").alias("lasts"), "left", "right")
 
