@@ -175,7 +175,7 @@ def _(s, d):
 @query("sink_json_per_folder", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def _(s, d):
     at = folder(s)
-    _customers(s, d).write.partitionBy("c_mktsegment").json(at)
+    W.json_folders(_customers(s, d), at, ["c_mktsegment"])
     return count_by(s.read.schema(_SCHEMA).json(at), "c_mktsegment")
 
 

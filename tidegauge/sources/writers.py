@@ -19,6 +19,11 @@ def ndjson(df: DataFrame, path: str, rows_per_file: int = 100_000, mode: str = "
     df.write.mode(mode).option("maxRecordsPerFile", rows_per_file).json(path)
 
 
+def json_folders(df: DataFrame, path: str, by: Sequence[str], mode: str = "append") -> None:
+    """JSON lines in a folder for each value of the columns, which the folder names hold and the lines don't."""
+    df.write.mode(mode).partitionBy(*by).json(path)
+
+
 def csv(df: DataFrame, path: str, mode: str = "overwrite", by: Sequence[str] = ()) -> None:
     df.write.mode(mode).partitionBy(*by).option("header", True).csv(path)
 
