@@ -387,6 +387,22 @@ def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFram
     return keyed.join(found, digest, "left").join(copies, digest, "left").withColumn(kept, left).drop(digest, whole)
 
 
-@query("op11_suffix_dedup")
+#: Every string of 200 bytes by its digest, in hexadecimal digits; texts are first cut into parts, as a place deep in a text is slow to reach.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT r, b, substr(h, 2 * b + 1, 1398) AS h FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199, 500)) AS b FROM d WHERE len(h) >= 400) y),
+g AS (SELECT r, b + i AS i, md5(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT r, b, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM x) y),
+s AS (SELECT r, i FROM g SEMI JOIN (SELECT m FROM g GROUP BY m HAVING count(*) > 1) t USING (m)),
+n AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM s),
+u AS (SELECT r, min(i) AS f, max(i) + 200 AS t FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM n) y GROUP BY r, run),
+p AS (SELECT *, coalesce(lag(t) OVER (PARTITION BY r ORDER BY f), 0) AS q FROM u),
+k AS (SELECT r, sum(t - f)::BIGINT AS gone, count(*) AS spans, max(t) AS e, string_agg(substr(h, 2 * q + 1, 2 * (f - q)), '' ORDER BY f) AS head FROM p JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN e IS NULL THEN h ELSE head || substr(h, 2 * e + 1) END)) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
+
+
+@query("op11_suffix_dedup", SQL)
 def op11(spark, sf_dir):
     return report(table(spark, sf_dir, "documents")).drop("spans")
