@@ -42,7 +42,7 @@ def assert_connected(spark, edges, named):
         assert len({root.get(x, x) for x, n in named.items() if n == c}) == 1 and c == min(x for x, n in named.items() if n == c)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_small_graphs(spark, seed):
     """Against all partitions of eight nodes."""
     rng = random.Random(seed)

@@ -185,8 +185,13 @@ def leiden(edges: DataFrame, rounds: int = 12, passes: int = 8) -> DataFrame:
     both, start = whole, None
     total = both.agg(F.sum("weight")).first()[0] or 0.0
     named = cut(both.select(F.col("a").alias("node")).distinct().withColumn("part", F.col("node")).withColumn("community", F.col("node")))
+    best = -1.0
     for _ in range(passes if total else 0):
         labels = cut(connected_parts(both, _local_moves(both, total, rounds, start=start, polish=True)))
+        q = modularity(both, labels, total)
+        if q <= best + 1e-6:
+            break
+        best = q
         named = cut(named.select("node", "part").join(labels.toDF("part", "community"), "part"))
         parts = cut(connected_parts(both, _local_moves(both, total, rounds, inside=labels, polish=True)).toDF("node", "part"))
         if parts.filter("node <> part").isEmpty():
@@ -275,12 +280,6 @@ def _(s, d):
     return hits(_edges(s, d), "s", "p").select("side", "node", F.round("score", 6).alias("score"))
 
 
-@query("gr_leiden")
-def _(s, d):
-    """Communities of the brands that are bought together; held against plain code in tests/test_leiden.py."""
-    return leiden(projection(view(s, d, "bk"), "cluster_id", "cookie"))
-
-
 @query("gr_louvain")
 def _(s, d):
     return louvain(projection(view(s, d, "bk"), "cluster_id", "cookie"))
