@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions import text as T
-from tidegauge.operators.identifiers import alike, lengths_differ, may_be_alike
+from tidegauge.operators.identifiers import alike, lengths_differ, may_be_alike, may_exceed
 from tidegauge.operators.matching import hits, literals
 from tidegauge.operators.overview import r6
 from tidegauge.plans.checkpoints import cut
@@ -26,6 +26,8 @@ SIMILARITY = 0.6
 PAIR_BLOCK = 500
 #: Share of the longer value by which lengths may differ.
 LENGTHS = 0.25
+#: Values that are compared one by one, since bit vectors pay for more only.
+FEW = 12
 
 
 def _values(cookies: DataFrame, name: str, site: str, value: str, profile: str) -> DataFrame:
@@ -46,11 +48,8 @@ def _block_pairs(values: DataFrame, which: str) -> DataFrame:
     return met.select("name", "site", "p", "v", F.least("_own", "_o").alias("_i"), F.greatest("_own", "_o").alias("_j"), (F.col("_own") < F.col("_o")).alias("_left"))
 
 
-def _pairs_of(pdf: pd.DataFrame, threshold: float) -> Iterator[tuple[tuple, tuple]]:
-    """Pairs of (p, v) of two blocks, or within one, that may be alike; the smaller one first."""
-    rows = sorted(zip(pdf["p"], pdf["v"], pdf["_left"], strict=True), key=lambda r: r[:2])
-    within = pdf["_i"].iloc[0] == pdf["_j"].iloc[0]
-    left, right = [r[:2] for r in rows if r[2]], [r[:2] for r in rows if within or not r[2]]
+def _like_pairs(left: list, right: list, within: bool, threshold: float) -> Iterator[tuple[tuple, tuple]]:
+    """Pairs of (p, v) of two blocks, or within one (sorted), that may be alike; the smaller one first."""
     for i, j in may_be_alike([v for _, v in left], [v for _, v in right], threshold) if left and right else ():
         if not within or i < j:
             yield (left[i], right[j]) if left[i] <= right[j] else (right[j], left[i])
@@ -73,12 +72,27 @@ def hold_id(cookies: DataFrame, name: str = "name", site: str = "top_level_etld"
     blocks = stats.filter("open").select("name", "site", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("_b"))
     live = cut(own.join(blocks, ["name", "site"]))
 
-    def decide(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = any(alike(a[1], b[1], threshold) for a, b in _pairs_of(pdf, threshold))
-        return pd.DataFrame({"name": [key[0]], "site": [key[1]]} if found else {"name": [], "site": []}, dtype=object)
+    def decide(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in it:
+            found = []
+            for within, rows in zip(batch["_within"], batch["_rows"], strict=True):
+                pdf = sorted((r["p"], r["v"], r["_left"]) for r in rows)
+                left, right = [r[:2] for r in pdf if r[2]], [r[:2] for r in pdf if within or not r[2]]
+                if len(pdf) <= FEW:
+                    pairs = ((x, y) if x <= y else (y, x) for i, x in enumerate(left) for y in (right[i + 1 :] if within else right))
+                    found.append(any(may_exceed(x[1], y[1], threshold) and alike(x[1], y[1], threshold) for x, y in pairs))
+                else:
+                    found.append(any(alike(x[1], y[1], threshold) for x, y in _like_pairs(left, right, within, threshold)))
+            yield batch.loc[found, ["name", "site"]]
 
     kind = live.schema["site"].dataType.simpleString()
-    met = lambda df, which: cut(_block_pairs(df, which).groupBy("name", "site", "_i", "_j").applyInPandas(decide, f"name string, site {kind}").distinct())
+
+    def met(df: DataFrame, which: str) -> DataFrame:
+        # two blocks at most are in a list
+        lists = _block_pairs(df, which).groupBy("name", "site", "_i", "_j").agg(F.collect_list(F.struct("p", "v", "_left")).alias("_rows"))
+        lists = lists.filter(F.size("_rows") > 1).select("name", "site", (F.col("_i") == F.col("_j")).alias("_within"), "_rows")
+        return cut(lists.mapInPandas(decide, f"name string, site {kind}").distinct())
+
     near = met(live, "own")
     left = live.filter("_b > 1").join(near, ["name", "site"], "left_anti")
     bad = near.unionByName(met(left, "cross")).withColumn("bad", F.lit(True))
@@ -110,7 +124,7 @@ def hold_id_faithful(cookies: DataFrame, name: str = "name", site: str = "top_le
         pair = lambda i, j: (left[i], right[j]) if left[i] <= right[j] else (right[j], left[i])
         least = min((pair(i, j) for i, j in zip(*np.nonzero(differ), strict=True)), default=None)
         failing, lengths = least, True
-        for a, b in sorted(_pairs_of(pdf, threshold)):
+        for a, b in sorted(_like_pairs(left, right, within, threshold)):
             if failing is not None and (a, b) >= failing:
                 break
             if not lengths_differ(a[1], b[1], LENGTHS) and alike(a[1], b[1], threshold):

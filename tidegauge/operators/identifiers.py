@@ -66,6 +66,12 @@ def alike(a: str, b: str, threshold: float) -> bool:
     return SequenceMatcher(None, a, b).ratio() > threshold
 
 
+def may_exceed(a: str, b: str, threshold: float) -> bool:
+    """The matcher's own bounds by lengths and common characters."""
+    m = SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() > threshold and m.quick_ratio() > threshold
+
+
 def lengths_differ(a: str, b: str, most: float = 0.25) -> bool:
     """Whether two lengths differ by more than the share of the longer; an empty value differs from all but an empty one."""
     longer = max(len(a), len(b))
