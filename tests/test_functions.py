@@ -389,3 +389,15 @@ def test_bodies_and_records(spark):
     assert [tuple(r) for r in df.select(T.coerce(F.col("b"), "bytes"), T.coerce(F.struct("i"), "record"), T.coerce(F.col("i"), "function")).collect()] == [("ok ", '{"i":1}', "1"), (None, '{"i":2}', "2")]
     ids = {r[0] for r in spark.createDataFrame([("a", None), (None, "a"), ("a", "a"), ("aa", "")], "x string, y string").select(T.stable_id(F.col("x"), F.col("y"))).collect()}
     assert len(ids) == 4 and all(len(i) == 36 for i in ids)
+
+
+def test_betweenness_runs_over_classes_of_twins(spark):
+    """Sixty nodes with the same neighbours are one class: the rounds hold a few rows and not one for each source and node."""
+    rows = [(a, f"n{b}") for a in range(60) for b in range(4)] + [(60, "n0"), (61, "n0"), (62, "n1"), (62, "m"), (63, "m")]
+    df = spark.createDataFrame(rows, "l long, r string")
+    both = df.selectExpr("inline(array(struct(concat('l:', l) AS v, concat('r:', r) AS w), struct(concat('r:', r) AS v, concat('l:', l) AS w)))")
+    kinds = {r.v: r.c for r in graph.twins(both).collect()}
+    assert len({kinds[f"l:{a}"] for a in range(60)}) == 1 and kinds["l:60"] == kinds["l:61"] and kinds["r:n2"] == kinds["r:n3"] and len(set(kinds.values())) == 8
+    want = paths_through([(f"l:{a}", f"r:{b}") for a, b in rows])
+    got = {r.node: r.score for r in graph.betweenness(df, "l", "r").collect()}
+    assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v], abs=1e-9) for v in want)

@@ -202,37 +202,61 @@ def leiden(edges: DataFrame, rounds: int = 12, passes: int = 8) -> DataFrame:
     return connected_parts(whole, named.select("node", "community"))
 
 
+def twins(both: DataFrame) -> DataFrame:
+    """(v, c): each node of edges in both directions (v, w) with the smallest of the nodes that have just its neighbours.
+
+    Neighbourhoods are alike when their sizes and the sums of two hashes of their nodes agree.
+    """
+    total = lambda *seed: F.sum(F.xxhash64("w", *(F.lit(x) for x in seed)).cast("decimal(38,0)"))
+    around = cut(both.groupBy("v").agg(F.count("*").alias("k"), total().alias("x"), total(7).alias("y")))
+    return around.join(around.groupBy("k", "x", "y").agg(F.min("v").alias("c")), ["k", "x", "y"]).select("v", "c")
+
+
 def betweenness(edges: DataFrame, left: str, right: str, k: int = 2000, seed: int = 42) -> DataFrame:
     """(node, score): betweenness from k sampled sources (all, where there are no more), by Brandes' accumulation in breadth-first rounds.
 
+    Nodes with the same neighbours (:func:`twins`) lie alike to every other node, so the rounds run over classes of them: a class counts
+    with the number of its members, and one run serves all sources of a class, whose other members are two steps from the source.
     All sources go one step further in each round: paths are counted per source and node, and the dependencies come back
-    level by level. There is a row for each source and node that it reaches, and every level is a checkpoint.
+    level by level. There is a row for each class of sources and class that it reaches, and every level is a checkpoint.
     """
     l, r = F.concat(F.lit("l:"), F.col(left).cast("string")), F.concat(F.lit("r:"), F.col(right).cast("string"))
     e = edges.filter(F.col(left).isNotNull() & F.col(right).isNotNull()).select(l.alias("v"), r.alias("w")).distinct()
     e = cut(e.select(F.inline(F.array(F.struct("v", "w"), F.struct(F.col("w").alias("v"), F.col("v").alias("w"))))))
-    nodes = cut(e.select("v").distinct())
+    nodes = cut(twins(e))
     n = nodes.count()
-    sources = nodes.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), "v").cast("binary"))).limit(k)
-    levels = [cut(sources.select(F.col("v").alias("s"), "v", F.lit(1.0).alias("paths")))]
-    used = levels[0].count()
+    sampled = cut(nodes.orderBy(F.md5(F.concat(F.lit(f"{seed}/"), "v").cast("binary"))).limit(k))
+    sources = cut(sampled.groupBy(F.col("c").alias("s")).agg(F.count("*").cast("double").alias("drawn")))
+    sizes = cut(nodes.groupBy(F.col("c").alias("v")).agg(F.count("*").cast("double").alias("size")))
+    # of twins the first one has all the edges of their class
+    e = e.join(sizes.select("v"), "v", "left_semi").join(sizes.select(F.col("v").alias("w")), "w", "left_semi")
+    e = cut(e.join(sizes.select(F.col("v").alias("w"), F.col("size").alias("w_size")), "w"))
+    # a source is a row of its own (one), apart from its twins; ``size`` has the members of the class at this level
+    levels = [cut(sources.select("s", F.col("s").alias("v"), F.lit(True).alias("one"), F.lit(1.0).alias("paths"), F.lit(1.0).alias("size")))]
+    used = sampled.count()
     while True:
-        near = levels[-1].join(e, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
+        near = levels[-1].join(e, "v").groupBy("s", F.col("w").alias("v"), "w_size").agg(F.sum(F.col("paths") * F.col("size")).alias("paths"))
+        near = near.select("s", "v", F.lit(False).alias("one"), "paths", (F.col("w_size") - (F.col("s") == F.col("v")).cast("double")).alias("size")).filter("size > 0")
         for before in levels[-2:]:  # a neighbour is at most one level nearer
-            near = near.join(before.select("s", "v"), ["s", "v"], "left_anti")
+            near = near.join(before.select("s", "v", "one"), ["s", "v", "one"], "left_anti")
         near = cut(near)
         if near.isEmpty():
             break
         levels.append(near)
-    scores, share = [], levels[-1].select("s", "v", "paths", F.lit(0.0).alias("share"))
+    scores, share = [], levels[-1].withColumn("share", F.lit(0.0))
     for nearer in reversed(levels[:-1]):
         scores.append(share)
-        back = share.select("s", F.col("v").alias("w"), ((F.col("share") + 1) / F.col("paths")).alias("part")).join(e, "w").groupBy("s", "v").agg(F.sum("part").alias("part"))
-        share = cut(nearer.join(back, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")))
+        back = share.select("s", F.col("v").alias("w"), (F.col("size") * (F.col("share") + 1) / F.col("paths")).alias("part")).join(e.select("v", "w"), "w").groupBy("s", "v").agg(F.sum("part").alias("part"))
+        share = cut(nearer.join(back, ["s", "v"], "left").select("s", "v", "one", "paths", "size", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")))
     scale = n / ((n - 1) * (n - 2) * used) if n > 2 and used else 1.0
-    parts = [x.filter("s <> v").groupBy("v").agg(F.sum("share").alias("share")) for x in scores]
-    total = reduce(DataFrame.unionByName, parts).groupBy("v").agg(F.sum("share").alias("share")) if parts else nodes.select("v", F.lit(0.0).alias("share"))
-    return nodes.join(total, "v", "left").select(F.col("v").alias("node"), (F.coalesce("share", F.lit(0.0)) * scale).alias("score"))
+    if not scores:
+        return nodes.select(F.col("v").alias("node"), F.lit(0.0).alias("score"))
+    parts = reduce(DataFrame.unionByName, scores).join(sources, "s")
+    # of a source's class each member counts for the sources other than itself
+    total = parts.groupBy(F.col("v").alias("c")).agg(F.sum(F.col("share") * F.col("drawn")).alias("share"), F.sum(F.when(F.col("s") == F.col("v"), F.col("share")).otherwise(0.0)).alias("own"))
+    all_ = nodes.join(total, "c", "left").join(sampled.select("v", F.lit(1.0).alias("_drawn")), "v", "left")
+    score = F.coalesce("share", F.lit(0.0)) - F.when(F.col("_drawn").isNotNull(), F.coalesce("own", F.lit(0.0))).otherwise(0.0)
+    return all_.select(F.col("v").alias("node"), (score * scale).alias("score"))
 
 
 _EDGES = "SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem"
