@@ -1,6 +1,10 @@
 import gzip
 import sqlite3
 import struct
+import subprocess
+import sys
+from functools import partial
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +12,8 @@ from pyspark.sql import functions as F
 from tidegauge.sources import readers as R
 from tidegauge.sources import writers as W
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def test_sqlite_tables(spark, tmp_path):
     for site in range(3):
@@ -184,3 +190,39 @@ def test_public_suffixes(spark, tmp_path):
     hosts = ["a.b.com", "x.y.co.uk", "co.uk", "a.b.c.ck", "www.ck", "x.www.ck", "one.uk", "h.other", "com"]
     got = {r.h: r.domain for r in U.registrable_domain(spark.createDataFrame([(h,) for h in hosts], "h string"), "h", rules).collect()}
     assert got == {"a.b.com": "b.com", "x.y.co.uk": "y.co.uk", "co.uk": None, "a.b.c.ck": "b.c.ck", "www.ck": "www.ck", "x.www.ck": "www.ck", "one.uk": "one.uk", "h.other": "h.other", "com": None}
+
+
+def test_dbapi_is_shared_by_all_executors(tmp_path):
+    """Two executors, each a process of its own, write to and read from one database."""
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sqlite3, sys
+from functools import partial
+sys.path.insert(0, {ROOT!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+from tidegauge.sources import readers as R, writers as W
+s = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/ck").config("spark.sql.warehouse.dir", "{tmp_path}/wh").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+print("BULK", e.queries()["sink_rdbms_bulk"](s, "/root/testdata/sf0.001").distinct().count(), s.read.parquet("/root/testdata/sf0.001/customer.parquet").count())
+print("CURSOR", e.queries()["src_cursor_batched"](s, "/root/testdata/sf0.001").agg(dict(n="sum")).first()[0])
+connect = partial(sqlite3.connect, "{tmp_path}/db.sqlite", timeout=60)
+connect().executescript("CREATE TABLE t (id INTEGER, name TEXT); CREATE TABLE t_parts (run TEXT, part INTEGER, PRIMARY KEY (run, part))")
+W.dbapi(s.sql("SELECT nullif(id, 5) AS id, 'x' AS name FROM range(0, 1000, 1, 6)"), connect, "t", batch=30)
+back = R.dbapi(s, connect, "t", "id long, name string", partition=("id", 4), fetch=7)
+print("BACK", back.count(), back.distinct().count(), back.filter("id IS NULL").count(), back.rdd.getNumPartitions())
+""")
+    said = subprocess.run([sys.executable, "-B", str(script)], capture_output=True, text=True, timeout=240, check=False, cwd=tmp_path)
+    lines = dict(x.split(" ", 1) for x in said.stdout.splitlines() if x.startswith(("BULK", "CURSOR", "BACK")))
+    n = lines["BULK"].split()[1]
+    assert lines == {"BULK": f"{n} {n}", "CURSOR": n, "BACK": "1000 1000 1 4"}, said.stderr[-2000:]
+
+
+def test_dbapi_transactions(spark, tmp_path):
+    connect = partial(sqlite3.connect, str(tmp_path / "db.sqlite"), timeout=60)
+    connect().executescript("CREATE TABLE t (id INTEGER); CREATE TABLE t_parts (run TEXT, part INTEGER, PRIMARY KEY (run, part))")
+    assert R.dbapi(spark, connect, "t", "id long", partition=("id", 4)).count() == 0
+    with pytest.raises(Exception, match="no such table"):
+        W.dbapi(spark.range(10), connect, "absent")
+    W.dbapi(spark.range(0, 100, 1, 3), connect, "t", batch=9)
+    assert R.dbapi(spark, connect, "t", "id long", fetch=8).distinct().count() == 100 == connect().execute("SELECT count(*) FROM t").fetchone()[0]
+    assert connect().execute("SELECT count(*) FROM t_parts").fetchone()[0] == 3

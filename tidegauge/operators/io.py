@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import sqlite3
 import uuid
+from contextlib import closing
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -144,26 +146,30 @@ def _(s, d):
     return R.leveldb_content(s, at).withColumn("content", F.col("content").cast("string"))
 
 
-_DERBY = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-
-
-def _database(s) -> str:
-    """An embedded database in the driver's JVM, for a local master; on a cluster pass the URL of a server."""
-    return f"jdbc:derby:{re.sub('^file:/*', '/', folder(s))};create=true"
+def _database(s):
+    """Connections to a database file in the shared folder, which any process may open; on a cluster without a shared disk pass those of a server."""
+    at = folder(s)
+    W.put(s, f"{at}/customers.sqlite", b"")
+    connect = partial(sqlite3.connect, re.sub("^file:/*", "/", at) + "/customers.sqlite", timeout=3600)
+    with closing(connect()) as db:
+        db.execute("CREATE TABLE customers (c_custkey INTEGER, c_name TEXT, c_mktsegment TEXT)")
+        db.execute("CREATE TABLE customers_parts (run TEXT, part INTEGER, PRIMARY KEY (run, part))")
+        db.commit()
+    return connect
 
 
 @query("sink_rdbms_bulk", _CUSTOMER)
 def _(s, d):
-    url = _database(s)
-    W.jdbc(_customers(s, d), url, "customers", **_DERBY)
-    return R.jdbc(s, url, "customers", **_DERBY).selectExpr("c_custkey", "c_name", "c_mktsegment")
+    connect = _database(s)
+    W.dbapi(_customers(s, d), connect, "customers")
+    return R.dbapi(s, connect, "customers", _SCHEMA, partition=("c_custkey", 4))
 
 
 @query("src_cursor_batched", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def _(s, d):
-    url = _database(s)
-    W.jdbc(_customers(s, d), url, "customers", **_DERBY)
-    return count_by(R.jdbc(s, url, "customers", partition=("c_custkey", 0, 10_000, 4), fetch=500, **_DERBY), "c_mktsegment")
+    connect = _database(s)
+    W.dbapi(_customers(s, d), connect, "customers")
+    return count_by(R.dbapi(s, connect, "customers", _SCHEMA, partition=("c_custkey", 4), fetch=500), "c_mktsegment")
 
 
 @query("sink_text_report", "SELECT n_nationkey || ': ' || n_name AS value FROM nation")

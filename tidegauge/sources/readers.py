@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import closing
 from itertools import islice
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +49,42 @@ def jdbc(spark: SparkSession, url: str, table: str, partition: tuple[str, int, i
     return r.load()
 
 
+def dbapi(spark: SparkSession, connect: Callable[[], Any], table: str, schema: str, partition: tuple[str, int] | None = None, fetch: int = 5000, mark: str = "?") -> DataFrame:
+    """A database table by DB-API connections of the executors, ``fetch`` rows from a cursor at a time; ``partition`` is (column, parts) for a parallel read of ranges.
+
+    ``connect`` is called in the tasks and must lead all of them to the same database; the driver asks for the ends of the column only.
+    """
+    names = StructType.fromDDL(schema).fieldNames()
+    text = f"SELECT {', '.join(names)} FROM {table}"
+    ranges: list[tuple[int | None, int | None]] = [(None, None)]
+    if partition:
+        column, parts = partition
+        with closing(connect()) as db:
+            cursor = db.cursor()
+            cursor.execute(f"SELECT min({column}), max({column}) FROM {table}")
+            low, high = cursor.fetchone()
+        if low is not None:
+            cuts = sorted({low + (high + 1 - low) * i // parts for i in range(1, parts)} - {low})
+            ranges = list(zip([None, *cuts], [*cuts, None], strict=True))  # nulls go with the first
+
+    def read(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            for at in b["at"]:
+                low, high = ranges[at]
+                tests, values = [], []
+                if low is not None:
+                    tests, values = [f"{column} >= {mark}"], [low]
+                if high is not None:
+                    tests, values = [*tests, f"({column} < {mark}{f' OR {column} IS NULL' if low is None else ''})"], [*values, high]
+                with closing(connect()) as db:
+                    cursor = db.cursor()
+                    cursor.execute(text + (f" WHERE {' AND '.join(tests)}" if tests else ""), values)
+                    while rows := cursor.fetchmany(fetch):
+                        yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    return spark.range(0, len(ranges), 1, len(ranges)).toDF("at").mapInPandas(read, schema)
+
+
 def sqlite_tables(spark: SparkSession, path: str, table: str, schema: str, visit_id: int | None = None) -> DataFrame:
     """One table out of many SQLite files, a file per task, with the file as ``source_file``.
 
