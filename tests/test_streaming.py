@@ -68,3 +68,18 @@ def test_site_states(spark):
     states = I.site_states(t, F.timestamp_seconds(F.lit(2001)))
     assert {r.site_id: r.state for r in states.collect()} == {1: 4, 2: 2, 3: 1, 4: 0, 5: 0}
     assert [tuple(r) for r in I.claim(states, 1).collect()] == [(4, 1)]
+
+
+def test_timers_fire_however_long_a_batch_takes(spark, tmp_path):
+    """A first batch that takes longer than the idle time: the stream goes on until the timers have fired."""
+
+    def slowly(it):
+        import time
+
+        time.sleep(4)
+        yield from it
+
+    spark.createDataFrame([("a", 5, "{}", 1), ("b", 6, "{}", 2)], "record_type string, visit_id long, payload string, seq long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("record_type string, visit_id long, payload string, seq long").parquet(str(tmp_path / "in")).mapInPandas(slowly, "record_type string, visit_id long, payload string, seq long")
+    out = I.to_table(I.visits(stream, timeout_ms=300), "append", str(tmp_path / "out"), idle_s=2)
+    assert sorted((r.visit_id, r.record_type, r.status) for r in out.collect()) == [(5, "a", "failed"), (5, "finalize", "failed"), (6, "b", "failed"), (6, "finalize", "failed")]

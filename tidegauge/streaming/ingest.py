@@ -10,8 +10,8 @@ number isn't used again for so long), so the state is bounded by the visits of t
 from __future__ import annotations
 
 import json
-import time
 from collections.abc import Iterator, Sequence
+from datetime import datetime
 from typing import Any
 
 import pandas as pd
@@ -171,16 +171,29 @@ def limited(spark: SparkSession, folder: str, schema: Any, files: int, **options
 def to_table(stream: DataFrame, mode: str, folder: str, idle_s: float | None = None, timers: bool = False) -> DataFrame:
     """Run a stream over what its source holds now, and return what it wrote.
 
-    With ``idle_s`` the stream runs on, so that timers fire, until nothing came out for so many seconds. A stream with
+    With ``idle_s`` the stream runs on, so that timers fire, until a batch that began so many seconds after the last one with
+    rows, in or out, has ended without any. However long batches take, timers of less than ``idle_s`` have fired then. A stream with
     ``timers`` asks for batches without data for ever, so without ``idle_s`` it gets none.
     """
     spark = stream.sparkSession
-    last = [time.monotonic()]
+    wrote: set[int] = set()
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
         if idle_s is not None and not spark.read.schema(stream.schema).parquet(f"{folder}/out/epoch={epoch}").isEmpty():
-            last[0] = time.monotonic()
+            wrote.add(epoch)
+
+    busy: dict[int, bool] = {}  # batch: whether it had rows
+    begun: dict[int, datetime] = {}
+
+    def over(q: StreamingQuery) -> bool:
+        for p in q.recentProgress:
+            busy[p["batchId"]] = busy.get(p["batchId"], False) or p["numInputRows"] > 0 or p["batchId"] in wrote
+            begun[p["batchId"]] = datetime.fromisoformat(p["timestamp"])
+        if not busy or busy[max(busy)]:
+            return False
+        last = max((begun[b] for b in busy if busy[b]), default=min(begun.values()))
+        return (begun[max(busy)] - last).total_seconds() >= (idle_s or 0)
 
     started = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state")
     if idle_s is None:
@@ -197,7 +210,7 @@ def to_table(stream: DataFrame, mode: str, folder: str, idle_s: float | None = N
     else:
         q = started.foreachBatch(keep).trigger(processingTime="500 milliseconds").start()
         try:
-            while q.isActive and (not q.recentProgress or time.monotonic() - last[0] < idle_s):
+            while q.isActive and not over(q):
                 q.awaitTermination(0.5)
             if q.exception() is not None:
                 raise q.exception()
