@@ -3,6 +3,7 @@ import sqlite3
 import struct
 import subprocess
 import sys
+import time
 from functools import partial
 from pathlib import Path
 
@@ -226,3 +227,14 @@ def test_dbapi_transactions(spark, tmp_path):
     W.dbapi(spark.range(0, 100, 1, 3), connect, "t", batch=9)
     assert R.dbapi(spark, connect, "t", "id long", fetch=8).distinct().count() == 100 == connect().execute("SELECT count(*) FROM t").fetchone()[0]
     assert connect().execute("SELECT count(*) FROM t_parts").fetchone()[0] == 3
+
+
+def test_in_batches_waits_between_tries_only(spark):
+    """Rows that are refused for good cost no wait after their last try."""
+
+    def send(batch):
+        raise ValueError("refused")
+
+    began = time.monotonic()
+    assert W.in_batches(spark.range(0, 40, 1, 1), send, rows=20, tries=2, wait=1.0).count() == 40
+    assert time.monotonic() - began < 30  # 42 waits of a second

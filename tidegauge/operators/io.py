@@ -200,7 +200,8 @@ def _(s, d):
             raise ValueError("refused")
 
     def insert(batch, epoch):
-        W.in_batches(batch, send, rows=100, tries=2, wait=0.01).write.mode("overwrite").parquet(f"{at}/dead/epoch={epoch}")
+        # a file may be one task: its rows are sent by all cores
+        W.in_batches(batch.repartition(s.sparkContext.defaultParallelism), send, rows=100, tries=2, wait=0.01).write.mode("overwrite").parquet(f"{at}/dead/epoch={epoch}")
 
     stream = s.readStream.schema(_SCHEMA).parquet(f"{at}/in")
     stream.writeStream.foreachBatch(insert).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
