@@ -401,3 +401,12 @@ def test_betweenness_runs_over_classes_of_twins(spark):
     want = paths_through([(f"l:{a}", f"r:{b}") for a, b in rows])
     got = {r.node: r.score for r in graph.betweenness(df, "l", "r").collect()}
     assert got.keys() == want.keys() and all(got[v] == pytest.approx(want[v], abs=1e-9) for v in want)
+
+
+def test_fingerprints_shuffle_a_row_for_each_text(spark):
+    """Grams are counted where their text is: the plan deals out by the key only, once."""
+    texts = [(i, x) for i, x in enumerate(["", None, "ab", "aaaaaaaaaa", "abcabcabc abcabc", "The cat sat on the mat. " * 9, "\u00e4 b-c_d " * 5])]
+    df = spark.createDataFrame(texts, "k long, t string")
+    out = simhash.fingerprint(df, "k", "t")
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in df.select("k", simhash.fingerprint_udf("t")).collect()}
