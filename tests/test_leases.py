@@ -81,3 +81,38 @@ def test_no_site_has_two_holders(rocks, tmp_path):
         closed = [r.at_ms for r in out if (r.site_id, r.lease, r.outcome) == (a.site_id, a.lease, "closed")]
         assert b.lease == a.lease + 1 and b.at_ms >= (closed[0] if closed else max(ends))
     assert all(r.claimer in {g.claimer for g in granted if (g.site_id, g.lease) == (r.site_id, r.lease)} for r in out if r.outcome in ("closed", "renewed"))
+
+
+def test_state_is_read_once_for_each_claimer():
+    """A site's rows in a batch cost state calls by their claimers, not by their number."""
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.rows, self.calls = {}, 0
+
+        def exists(self):
+            return False
+
+        def update(self, value):
+            pass
+
+        def containsKey(self, key):
+            self.calls += 1
+            return key in self.rows
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.rows[key]
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self.rows[key] = value
+
+    lease = L._Lease(1000)
+    lease.site, lease.seen = Held(), Held()
+    lease.seen.rows = {("a",): (3,)}
+    rows = pd.DataFrame({"at_ms": range(300), "seq": [i // 3 for i in range(300)], "claimer": ["a", "b", "b"] * 100, "event": "done"})
+    out = next(lease.handleInputRows((1,), iter([rows]), None))
+    assert lease.seen.rows == {("a",): (99,), ("b",): (99,)} and lease.seen.calls <= 6
+    assert list(out[out.claimer == "a"].outcome[:5]) == ["repeated"] * 4 + ["late"] and (out[out.claimer == "b"].outcome == "repeated").sum() == 100

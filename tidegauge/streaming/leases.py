@@ -60,14 +60,21 @@ class _Lease(StatefulProcessor):
         new = sorted(r for b in rows for r in zip(b["at_ms"], b["seq"], b["claimer"], b["event"], strict=True))
         held = list(self.site.get()) if self.site.exists() else [None, None, 0, 0]
         before, out = held[3], []
+        # the state is read and written once for each claimer, not for each row
+        known: dict[str, int | None] = {}
+        last: dict[str, int] = {}
         for at, seq, claimer, event in new:
             at, seq = int(at), int(seq)
-            if self.seen.containsKey((claimer,)) and seq <= self.seen.getValue((claimer,))[0]:
+            if claimer not in known:
+                known[claimer] = self.seen.getValue((claimer,))[0] if self.seen.containsKey((claimer,)) else None
+            if known[claimer] is not None and seq <= known[claimer]:
                 outcome = "repeated"
             else:
-                self.seen.updateValue((claimer,), (seq,))
+                known[claimer] = last[claimer] = seq
                 outcome = self._apply(held, event, claimer, at)
             out.append((key[0], event, claimer, seq, at, outcome, held[2], held[3]))
+        for claimer, seq in last.items():
+            self.seen.updateValue((claimer,), (seq,))
         self.site.update(tuple(held))
         if held[0] == LEASED and held[3] != before:
             for t in list(self.handle.listTimers()):
