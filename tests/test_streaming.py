@@ -83,3 +83,24 @@ def test_timers_fire_however_long_a_batch_takes(spark, tmp_path):
     stream = spark.readStream.schema("record_type string, visit_id long, payload string, seq long").parquet(str(tmp_path / "in")).mapInPandas(slowly, "record_type string, visit_id long, payload string, seq long")
     out = I.to_table(I.visits(stream, timeout_ms=300), "append", str(tmp_path / "out"), idle_s=2)
     assert sorted((r.visit_id, r.record_type, r.status) for r in out.collect()) == [(5, "a", "failed"), (5, "finalize", "failed"), (6, "b", "failed"), (6, "finalize", "failed")]
+
+
+def test_held_records_come_out_one_by_one():
+    """A closed visit is written while its state is read, whatever its length."""
+    from pyspark.sql import Row
+
+    read = []
+
+    class State:
+        exists = staticmethod(lambda: True)
+        clear = staticmethod(lambda: None)
+
+        def get(self):
+            for i in range(25_000):
+                read.append(i)
+                yield ("a", str(i))
+
+    visit = I._Visits(1, 1)
+    visit.held, visit.closed = State(), State()
+    out = visit._close(7, [], True, "complete")
+    assert next(out) == Row(visit_id=7, record_type="a", payload="0", status="complete") and len(read) == 1

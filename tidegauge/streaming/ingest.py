@@ -10,20 +10,18 @@ number isn't used again for so long), so the state is bounded by the visits of t
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from datetime import datetime
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery, StreamingQueryListener
 
 FINALIZE = "finalize"
 LATE = "late"
-#: Rows of a frame that a closed visit comes out in.
-FRAME = 10_000
 OUT_SCHEMA = "visit_id long, record_type string, payload string, status string"
+OUT = Row("visit_id", "record_type", "payload", "status")
 
 
 def valid(records: DataFrame, types: Sequence[str]) -> DataFrame:
@@ -53,31 +51,25 @@ class _Visits(StatefulProcessor):
         self.closed = handle.getValueState("closed", "closed boolean", self.forget_ms)
         self.held = handle.getListState("held", "record_type string, payload string")
 
-    def _out(self, visit: int, rows: list[tuple[str, str]], status: str) -> pd.DataFrame:
-        kinds, payloads = zip(*rows, strict=True)
-        return pd.DataFrame({"visit_id": visit, "record_type": kinds, "payload": payloads, "status": status})
+    def _out(self, visit: int, rows: Iterable[tuple[str, str]], status: str) -> Iterator[Row]:
+        for kind, payload in rows:
+            yield OUT(visit, kind, payload, status)
 
-    def _close(self, visit: int, rows: list[tuple[str, str]], buffered: bool, status: str) -> Iterator[pd.DataFrame]:
-        """What is held, then the rows, then the finalize record, in frames of bounded size."""
+    def _close(self, visit: int, rows: list[tuple[str, str]], buffered: bool, status: str) -> Iterator[Row]:
+        """What is held, one by one, then the rows, then the finalize record."""
         if buffered:
-            part: list[tuple[str, str]] = []
-            for r in self.held.get():
-                part.append((r[0], r[1]))
-                if len(part) == FRAME:
-                    yield self._out(visit, part, status)
-                    part = []
-            rows = part + rows
+            yield from self._out(visit, self.held.get(), status)
             self.held.clear()
-        yield self._out(visit, [*rows, (FINALIZE, "{}")], status)
+        yield from self._out(visit, [*rows, (FINALIZE, "{}")], status)
         self.closed.update((True,))
 
     def _still(self) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         visit = key[0]
-        new = sorted((r for b in rows for r in zip(b["seq"], b["record_type"], b["payload"], strict=True)), key=lambda r: (r[0], r[1] == FINALIZE))
+        new = sorted(((r["seq"], r["record_type"], r["payload"]) for r in rows), key=lambda r: (r[0], r[1] == FINALIZE))
         done = next((i for i, r in enumerate(new) if r[1] == FINALIZE), None)
         if self.closed.exists():
             own, late, done = [], new, None
@@ -95,9 +87,9 @@ class _Visits(StatefulProcessor):
             self.held.appendList([(k, p) for _, k, p in own])
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
         if late:
-            yield self._out(visit, [(k, p) for _, k, p in late], LATE)
+            yield from self._out(visit, [(k, p) for _, k, p in late], LATE)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         if not self.closed.exists():
             yield from self._close(key[0], [], self.held.exists(), "failed")
 
@@ -111,7 +103,7 @@ def visits(records: DataFrame, timeout_ms: int = 30_000, forget_ms: int = 7 * 24
     Timers and list states need the RocksDB state store, so the session is set to it.
     """
     records.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return records.groupBy("visit_id").transformWithStateInPandas(_Visits(timeout_ms, forget_ms), OUT_SCHEMA, "append", "ProcessingTime")
+    return records.groupBy("visit_id").transformWithState(_Visits(timeout_ms, forget_ms), OUT_SCHEMA, "append", "ProcessingTime")
 
 
 def incomplete(finished: DataFrame) -> DataFrame:
