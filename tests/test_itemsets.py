@@ -45,3 +45,19 @@ def test_deep_queries(spark, monkeypatch):
     assert {r.length: r.n for r in QUERIES["fp_significant_count_deep"](spark, "").collect()} == dict(many)
     n, every = counts(rows)
     assert {tuple(r["items"]): r.n for r in QUERIES["fp_growth_deep"](spark, "").collect()} == {k: v for k, v in every.items() if v >= 0.02 * n}
+
+
+def test_fisher_of_large_tables():
+    """The work doesn't grow with the counts: exact on all small tables, and near the normal law on tables of a billion."""
+    from itertools import product
+    from math import erfc, sqrt
+
+    for p, q, r, s in product(range(7), range(7), range(7), (0, 1, 5, 9)):
+        if p + q and r + s:
+            assert abs(I.fisher_p(p, q, r, s) - fisher(p, p + q, r, r + s)) < 1e-9
+    n = 10**9
+    for away in (0, 20_000, 40_000):
+        p, r = n // 4 + away, n // 4
+        z = away / sqrt(2 * n * (p + r) / (2 * n) * (1 - (p + r) / (2 * n)))
+        assert abs(I.fisher_p(p, n - p, r, n - r) - erfc(z / sqrt(2))) < 1e-2
+    assert I.fisher_p(n // 2, n // 2, n // 4, 3 * n // 4) == 0.0

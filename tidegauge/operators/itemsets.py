@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from math import lgamma
 
 import numpy as np
 import pandas as pd
@@ -57,21 +59,53 @@ def fp_growth(baskets: DataFrame, basket: str, item: str, min_support: float, ma
     return bitmaps.eclat(baskets, basket, item, max(1, int(np.ceil(min_support * n - 1e-9))), max_len)
 
 
+#: Tables that are likelier by less than ``TIE`` (of logarithms) count as equal; those less likely by more than ``FAR`` add nothing that a double holds.
+TIE, FAR = 1e-7, 60.0
+
+
+def _first(lo: int, hi: int, holds: Callable[[int], bool]) -> int:
+    """The first of lo, ..., hi - 1 from which on a condition holds, else hi."""
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if holds(mid) else (mid + 1, hi)
+    return lo
+
+
+def fisher_p(p: int, q: int, r: int, s: int) -> float:
+    """Two-sided Fisher exact p of [[p, q], [r, s]].
+
+    The probabilities rise to the mode and fall from there, so on either side the tables that count and that aren't
+    negligible lie together: their ends are searched for, and only what is between them is added up.
+    """
+    n1, n2, m = p + q, r + s, p + r
+    if n1 == 0 or n2 == 0 or m == 0 or m == n1 + n2:
+        return 1.0
+    lo, hi = max(0, m - n2), min(m, n1)
+    mode = min(max((m + 1) * (n1 + 1) // (n1 + n2 + 2), lo), hi)
+    choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    whole = choose(n1 + n2, m)
+    log_p = lambda x: choose(n1, x) + choose(n2, m - x) - whole
+    own = log_p(p)
+
+    def total(x: int, y: int) -> float:
+        """The probabilities of x, ..., y - 1, by the ratios of neighbours."""
+        if x >= y:
+            return 0.0
+        k = np.arange(x, y - 1, dtype=np.float64)
+        steps = np.log((n1 - k) * (m - k)) - np.log((k + 1) * (n2 - m + k + 1))
+        return float(np.exp(log_p(x) + np.concatenate(([0.0], np.cumsum(steps)))).sum())
+
+    left = _first(lo, mode + 1, lambda x: log_p(x) > own + TIE)
+    right = _first(mode + 1, hi + 1, lambda x: log_p(x) <= own + TIE)
+    far_left = _first(lo, left, lambda x: log_p(x) >= own - FAR)
+    far_right = _first(right, hi + 1, lambda x: log_p(x) < own - FAR)
+    return min(1.0, total(far_left, left) + total(right, far_right))
+
+
 @F.pandas_udf(DoubleType())
 def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided Fisher exact p of each table [[a, b], [c, d]]: the probabilities of all tables no likelier than it."""
-    t = np.stack([x.to_numpy(dtype=np.int64) for x in (a, b, c, d)], axis=1)
-    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, max(1, int(t.sum(axis=1).max(initial=0))) + 1)))))
-    out = np.ones(len(t))
-    for i, (p, q, r, s) in enumerate(t):
-        n1, n2, m = p + q, r + s, p + r
-        if n1 == 0 or n2 == 0 or m == 0 or m == n1 + n2:
-            continue
-        x = np.arange(max(0, m - n2), min(m, n1) + 1)
-        lp = logs[n1] - logs[x] - logs[n1 - x] + logs[n2] - logs[m - x] - logs[n2 - m + x] - (logs[n1 + n2] - logs[m] - logs[n1 + n2 - m])
-        own = lp[p - x[0]]
-        out[i] = min(1.0, float(np.exp(lp[lp <= own + 1e-7]).sum()))
-    return pd.Series(out)
+    return pd.Series([fisher_p(*map(int, x)) for x in zip(a, b, c, d, strict=True)], dtype="float64")
 
 
 def contrast(pos: DataFrame, neg: DataFrame, basket: str, item: str, min_support: float, max_len: int = 4) -> DataFrame:
