@@ -1,9 +1,12 @@
-"""Fingerprints by a table of grams against gram by gram."""
+"""Fingerprints by a table of grams against gram by gram, and clusters of near hashes against all pairs."""
 
 import hashlib
 import random
 import re
 
+import numpy as np
+
+from tidegauge.operators import near_links as L
 from tidegauge.operators import simhash as S
 
 
@@ -25,3 +28,45 @@ def test_no_gram_is_hashed_for_each_text(monkeypatch):
     S._gram_bits()
     monkeypatch.setattr(S, "md5", None)
     assert S.print_of(b"the quick brown fox") == plain("the quick brown fox")
+
+
+def dense(n, seed):
+    """Hashes within few bits of three bases, each with thousands of near pairs."""
+    rng = random.Random(seed)
+    bases = [rng.getrandbits(64) for _ in range(3)]
+    out = {rng.choice(bases) ^ sum(1 << b for b in rng.sample(range(0, 64, 4), rng.randint(0, 4))) for _ in range(n)} | {rng.getrandbits(64) for _ in range(50)}
+    return sorted(h - (1 << 64) if h >> 63 else h for h in out)
+
+
+def roots(hashes, k):
+    u = np.array(hashes).view(np.uint64)
+    label = np.arange(len(u))
+    L.join(label, *np.nonzero(np.bitwise_count(u[:, None] ^ u[None, :]) <= k))
+    return label
+
+
+def test_forest_joins_what_all_pairs_join(monkeypatch):
+    hashes = np.array(dense(1500, 7))
+    for few, crowded in ((48, 1 << 16), (2, 1 << 16), (2, 30)):
+        monkeypatch.setattr(L, "FEW", few)
+        monkeypatch.setattr(L, "CROWDED", crowded)
+        for k, m in ((2, 3), (2, 4), (1, 3), (3, 5)):
+            label = np.arange(len(hashes))
+            for c, mask in S._choices(k, m)[1]:
+                order = np.argsort(hashes & mask, kind="stable")
+                v = (hashes & mask)[order]
+                a, b = L.forest(np.cumsum(np.r_[False, v[1:] != v[:-1]]), [S.free_bits(k, m)[c]], np.zeros(len(v), dtype=int), hashes[order], k)
+                assert len(a) < len(hashes)
+                L.join(label, np.searchsorted(hashes, a), np.searchsorted(hashes, b))
+            assert (label == roots(hashes, k)).all(), (few, crowded, k, m)
+
+
+def test_clusters_make_no_pairs(spark, monkeypatch):
+    """Pairs grow with the square of like hashes; clusters used to join all of them."""
+    monkeypatch.setattr(S, "near_pairs", None)
+    hashes = dense(800, 9)
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)] + [(i + 5000, h) for i, h in enumerate(hashes[:20])], "k long, simhash long")
+    want = roots(hashes, 2).tolist()
+    assert {r.k: r.cluster for r in S.clusters(df, "k", 2).collect()} == {**dict(enumerate(want)), **{i + 5000: want[i] for i in range(20)}}
+    assert S.near_links(df, 2).count() <= len(hashes) * 20
+    assert S.clusters(df.limit(0), "k", 2).count() == 0
