@@ -71,3 +71,25 @@ def test_flags(spark, monkeypatch, block):
     assert got == want
     assert {(r.name, r.top_level_etld): r.hold_id for r in B.hold_id(df).collect()} == {k: v[0] for k, v in want.items()}
     assert B.hold_id_faithful(df.limit(0)).count() == B.hold_id(df.limit(0)).count() == 0
+
+
+def test_first_values_meet_the_others_first(spark, monkeypatch):
+    """Every two blocks used to be compared, though a pair of a first value decides."""
+    monkeypatch.setattr(B, "HEADS", ((3, 8), (5, 4)))
+    monkeypatch.setattr(B, "PAIR_BLOCK", 4)
+    met = []
+    monkeypatch.setattr(B, "_block_pairs", lambda v, which, f=B._block_pairs: (met.append(v.select("name").distinct().count()), f(v, which))[1])
+    rng = random.Random(11)
+    fresh = lambda n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(12)) for _ in range(n)]
+    held = {c: [(f"p{i % 2}{i:02d}", v) for i, v in enumerate(fresh(25))] for c in ("first", "second", "late", "none", "twice", "few")}
+    for c, i in (("first", 1), ("second", 4), ("late", 20)):  # ranks by profile
+        rows = sorted(held[c])
+        held[c] = [*rows[:-1], (rows[-1][0], rows[i][1])]
+    held["twice"] += [max(held["twice"])]
+    held["few"] = held["few"][:3]
+    rows = [(c, "s", v, p) for c, x in held.items() for p, v in x]
+    df = spark.createDataFrame(rows, "name string, top_level_etld string, value string, browser_id string")
+    want = {c: verdicts(x) for c, x in held.items()}
+    got = {r.name: (r.hold_id, r.unique_ok, r.similarity_ok) for r in B.hold_id_faithful(df).collect()}
+    assert got == {c: (f is None, f != "lengths", f != "like") for c, f in want.items()}
+    assert met == [3, 3]  # late, none and twice are compared in full

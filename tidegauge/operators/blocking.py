@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import text as T
@@ -26,6 +27,8 @@ SIMILARITY = 0.6
 PAIR_BLOCK = 500
 #: Share of the longer value by which lengths may differ.
 LENGTHS = 0.25
+#: First values of a cookie on a site that meet all its others, and the size of the others' blocks: a few, then more where those pass.
+HEADS = ((8, 8 * PAIR_BLOCK), (PAIR_BLOCK, PAIR_BLOCK))
 #: Values that are compared one by one, since bit vectors pay for more only.
 FEW = 12
 
@@ -103,8 +106,9 @@ def hold_id(cookies: DataFrame, name: str = "name", site: str = "top_level_etld"
 def hold_id_faithful(cookies: DataFrame, name: str = "name", site: str = "top_level_etld", value: str = "value", profile: str = "browser_id", threshold: float = SIMILARITY) -> DataFrame:
     """(name, site, hold_id, unique_ok, similarity_ok, passed_checkin): which test the first pair fails that fails any.
 
-    Pairs are ordered by their (profile, value); a pair whose lengths differ fails that test only. Every two blocks give their
-    least failing pair, and the least of these decides.
+    Pairs are ordered by their (profile, value); a pair whose lengths differ fails that test only. A pair of one of the first
+    values stands before all pairs of later ones, so a few first values meet all others, then more of them where none of those
+    failed (``HEADS``). What is open after that is compared in full: every two blocks give their least failing pair, and the least of these decides.
     """
     own = _values(cookies, name, site, value, profile)
     distinct = own.groupBy("name", "site", "p", "v").agg(F.count("*").alias("_c"))
@@ -137,9 +141,28 @@ def hold_id_faithful(cookies: DataFrame, name: str = "name", site: str = "top_le
 
     types = {c: live.schema[c].dataType.simpleString() for c in ("site", "p")}
     schema = f"name string, site {types['site']}, p1 {types['p']}, v1 string, p2 {types['p']}, v2 string, lengths boolean"
-    both = _block_pairs(live.drop("_c"), "own").unionByName(_block_pairs(live.drop("_c"), "cross"))
-    found = both.groupBy("name", "site", "_i", "_j").applyInPandas(first, schema).select("name", "site", F.struct("p1", "v1", "p2", "v2", "lengths").alias("first"))
-    least = found.unionByName(twice).groupBy("name", "site").agg(F.min("first").alias("first"))
+    found = lambda pairs: pairs.groupBy("name", "site", "_i", "_j").applyInPandas(first, schema).select("name", "site", F.struct("p1", "v1", "p2", "v2", "lengths").alias("first"))
+    least = lambda some: some.groupBy("name", "site").agg(F.min("first").alias("first"))
+    order = Window.partitionBy("name", "site").orderBy("p", "v")
+    open_, decided = live.drop("_c"), []
+    for n, size in HEADS:
+        heads = cut(open_.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r"))
+        last = heads.groupBy("name", "site").agg(F.max(F.struct("p", "v")).alias("last"), (F.count("*") < n).alias("all"))
+        blocks = F.ceil(F.col("_b") * PAIR_BLOCK / size).cast("int")
+        own = heads.select("name", "site", "p", "v", F.lit(-1).alias("_i"), F.explode(F.sequence(F.lit(-1), blocks - 1)).alias("_j"), F.lit(True).alias("_left"))
+        others = open_.join(last, ["name", "site"]).filter(F.struct("p", "v") > F.col("last"))
+        others = others.select("name", "site", "p", "v", F.lit(-1).alias("_i"), F.pmod(F.xxhash64("p", "v"), blocks).cast("int").alias("_j"), F.lit(False).alias("_left"))
+        met = least(found(own.unionByName(others)).unionByName(twice))
+        one = F.struct(F.col("first.p1").alias("p"), F.col("first.v1").alias("v"))
+        met = cut(last.join(met, ["name", "site"], "left").select("name", "site", "first", (F.col("all") | F.col("first").isNotNull() & (one <= F.col("last"))).alias("done")))
+        decided.append(met.filter("done").select("name", "site", "first"))
+        open_ = cut(open_.join(met.filter("not done").select("name", "site"), ["name", "site"]))
+        if open_.isEmpty():
+            break
+    else:
+        both = _block_pairs(open_, "own").unionByName(_block_pairs(open_, "cross"))
+        decided.append(least(found(both).unionByName(twice.join(open_.select("name", "site").distinct(), ["name", "site"], "left_semi"))))
+    least = reduce(DataFrame.unionByName, decided)
     several, failed = F.col("n") > 1, F.col("first.lengths")
     flags = [(several & failed.isNull()).alias("hold_id"), (several & ~F.coalesce(failed, F.lit(False))).alias("unique_ok"), (several & F.coalesce(failed, F.lit(True))).alias("similarity_ok"), several.alias("passed_checkin")]
     return stats.join(least, ["name", "site"], "left").select("name", F.col("site").cast("string").alias("site"), *flags)
