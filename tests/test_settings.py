@@ -33,3 +33,14 @@ def test_no_reduced_settings(monkeypatch):
             raise AssertionError(query)
         except Seen as e:
             assert {k: e.args[0][k] for k in want} == want
+
+
+def test_hits_sums_the_scores_every_fifth_round_only(spark, monkeypatch):
+    """The sum of every round used to take the joins of the round twice."""
+    edges = spark.createDataFrame([(i, j) for i in range(6) for j in range(i % 3 + 1)], "s long, p long")
+    sums = []
+    monkeypatch.setattr(graph.F, "broadcast", lambda df, f=graph.F.broadcast: (sums.append(1), f(df))[1])
+    got = graph.hits(edges, "s", "p", rounds=10, tolerance=0.0).collect()
+    assert len(sums) == 3
+    for side in ("left", "right"):
+        assert abs(sum(r.score for r in got if r.side == side) - 1) < 1e-12

@@ -44,18 +44,18 @@ def projection(edges: DataFrame, basket: str, item: str) -> DataFrame:
 def hits(edges: DataFrame, left: str, right: str, rounds: int = 200, tolerance: float = 1e-8) -> DataFrame:
     """(side, node, score): hubs and authorities, each side's scores summing to 1; stops early when they settle.
 
-    Each round is two joins on the edges; scores are one row per node and are checkpointed every fifth round.
+    Each round is two joins on the edges; scores are one row per node and are checkpointed every fifth round, which is when they
+    are made to sum to 1: until then they grow by less than the edges' number a round, which a double holds.
     """
     e = cut(edges.select(left, right).distinct())
     hub = e.select(left).distinct().withColumn("h", F.lit(1.0))
     last = None
     for i in range(rounds):
         auth = e.join(hub, left).groupBy(right).agg(F.sum("h").alias("a"))
-        new = e.join(auth, right).groupBy(left).agg(F.sum("a").alias("h"))
-        total = new.agg(F.sum("h").alias("t"))
-        hub = new.crossJoin(F.broadcast(total)).select(left, (F.col("h") / F.col("t")).alias("h"))
+        hub = e.join(auth, right).groupBy(left).agg(F.sum("a").alias("h"))
         if i % 5 == 4 or i == rounds - 1:
-            hub = cut(hub)
+            new = cut(hub)  # the sum reads the scores, it doesn't find them again
+            hub = new.crossJoin(F.broadcast(new.agg(F.sum("h").alias("t")))).select(left, (F.col("h") / F.col("t")).alias("h"))
             if last is not None and (hub.join(last.withColumnRenamed("h", "g"), left).agg(F.sum(F.abs(F.col("h") - F.col("g")))).first()[0] or 0) < tolerance:
                 break
             last = hub
