@@ -61,6 +61,28 @@ def test_forest_joins_what_all_pairs_join(monkeypatch):
             assert (label == roots(hashes, k)).all(), (few, crowded, k, m)
 
 
+def test_many_bits_are_compared_in_blocks(spark, monkeypatch):
+    """Pieces for 8 bits of like hashes made more pairs than there are, several times each."""
+    hashes = dense(900, 11)
+    df = spark.createDataFrame([(f"k{i:04}", h) for i, h in enumerate(hashes)] + [("a", hashes[5])], "k string, simhash long")
+    name = {h: f"k{i:04}" for i, h in enumerate(hashes)} | {hashes[5]: "a"}
+    monkeypatch.setattr(S, "_pairs_by_pieces", None)
+    monkeypatch.setattr(S, "LEAST_BLOCK", 200)
+    got = [tuple(r) for r in S.near_pairs(df, "k", 8).collect()]
+    want = {(x, y, d, name[x], name[y]) for i, x in enumerate(hashes) for y in hashes[i + 1 :] if (d := ((x ^ y) & (1 << 64) - 1).bit_count()) <= 8}
+    assert len(got) == len(want) > 20_000 and set(got) == want
+    assert S.near_pairs(df.limit(0), "k", 8).count() == 0
+
+
+def test_pairs_by_either_plan(spark):
+    hashes = dense(300, 12)
+    df = spark.createDataFrame(list(enumerate(hashes)), "rep long, simhash long")
+    for k, m in ((2, 4), (8, 10)):
+        assert sorted(map(tuple, S._pairs_by_blocks(df, k, 300).collect())) == sorted(map(tuple, S._pairs_by_pieces(df, k, m).collect()))
+    spread = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 4096)
+    assert S.plan_pairs(spread, 1_000_000, 2) and S.plan_pairs(np.array(hashes), 1_000_000, 8) is None
+
+
 def test_clusters_make_no_pairs(spark, monkeypatch):
     """Pairs grow with the square of like hashes; clusters used to join all of them."""
     monkeypatch.setattr(S, "near_pairs", None)
