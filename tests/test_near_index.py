@@ -99,3 +99,66 @@ def test_kept_clusters(spark):
         full = {r.node: r.root for r in components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
         got = {r.node: r.root for r in labels.collect()}
         assert got == {x: full.get(x, x) for x in nodes}
+
+
+def dense(n, seed):
+    """Different hashes of which most are within two bits of many others."""
+    rng = random.Random(seed)
+    out = {BASES[rng.randrange(3)] ^ sum(1 << b for b in rng.sample([*range(0, 60, 5), 63], rng.randint(0, 3))) for _ in range(n)} | {rng.getrandbits(64) for _ in range(20)}
+    return [h - (1 << 64) if h >> 63 else h for h in sorted(out)]
+
+
+def test_counts_of_near_entries_make_no_pairs(spark, tmp_path, monkeypatch):
+    """How many entries are near, the least distance and the smallest key: as by all pairs, which used to be made."""
+    hs = dense(500, 6)
+    rows = [(f"k{i:04}", h) for i, h in enumerate(hs[::2])] + [(f"c{i}", hs[0]) for i in range(9)] + [(f"d{i}", hs[2]) for i in range(3)]
+    index = N.NearIndex.create(df(spark, rows), str(tmp_path / "x"), "key", 2, buckets=4)
+    index.delete(df(spark, rows[5:60:3]).select("key"), "key")
+    held = {k: h for k, h in rows if k not in {k for k, _ in rows[5:60:3]}}
+    probes = [(f"p{i}", h) for i, h in enumerate(hs)] + [("again", hs[0])]
+    monkeypatch.setattr(N.NearIndex, "look_up", None)
+    for k in (0, 1, 2):
+        want = {}
+        for p, x, d in near(held, probes, k):
+            n, least, first = want.get(p, (0, 9, "z"))
+            want[p] = (n + 1, min(least, d), min(first, x))
+        got = index.near_counts(df(spark, probes), "key", k).collect()
+        assert len(got) == len(want) and {r.probe: (r.n, r.nearest, r.first_key) for r in got} == want
+    assert index.near_counts(df(spark, []), "key").count() == 0
+
+
+def test_clusters_are_kept_without_edges(spark, tmp_path):
+    """Hashes put in and taken out: the labels are those of all near pairs, and links are no more than rows of buckets."""
+
+    def clusters(hashes):
+        root = {h: h for h in hashes}
+        for h in sorted(hashes):
+            if root[h] == h:
+                todo = [h]
+                while todo:
+                    x = todo.pop()
+                    for y in hashes:
+                        if root[y] > h and ((x ^ y) & (1 << 64) - 1).bit_count() <= 2:
+                            root[y] = h
+                            todo.append(y)
+        return root
+
+    hs = dense(350, 8)
+    rng = random.Random(9)
+    rng.shuffle(hs)
+    rows = [(f"k{i}", h) for i, h in enumerate(hs)]
+    old, new, stale = rows[40:], rows[:30], rows[30:40]
+    index = N.NearIndex.create(df(spark, old + stale), str(tmp_path / "x"), "key", 2, buckets=4)
+    index.delete(df(spark, stale).select("key"), "key")  # their hashes stay among the pieces, and link nothing
+    labels = N.cut(N.components(N.near_links(df(spark, old), 2)))
+    index.add(df(spark, new), "key")
+    links = N.cut(index.new_links(df(spark, new)))
+    assert links.count() <= len(hs) * len(N.free_bits(2, index.pieces))
+    labels = N.cut(N.link(labels, links))
+    want = clusters([h for _, h in old + new])
+    assert {r.node: r.root for r in labels.collect()}.items() <= want.items() and all(h == r for h, r in want.items() if h not in {x.node for x in labels.collect()})
+    gone = rng.sample(old + new, 60)
+    labels = N.without(labels, df(spark, gone).selectExpr("simhash AS node"), 2)
+    want = clusters([h for _, h in set(old + new) - set(gone)])
+    got = {r.node: r.root for r in labels.collect()}
+    assert got.items() <= want.items() and all(h == r for h, r in want.items() if h not in got)
