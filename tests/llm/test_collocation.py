@@ -96,3 +96,24 @@ def test_sequences():
     assert list(C.squeezed(np.array([-1, 3, -1, -1, 4, 5, -1, 6]))) == [4, 5, -1]
     left, right, n, seq = C.pairs_of(np.array([4, 5, 4, 5, -1, 5, 4], dtype=np.int32))
     assert list(zip(left, right, n, strict=True)) == [(4, 5, 2), (5, 4, 2)] and list(seq) == [0, 1, 0, -1] or list(seq) == [0, 1, 0]
+
+
+def test_numbers_follow_the_order_of_ids():
+    """First ids used to be in no order, and took most of what blocks send beside the second ones."""
+    rng = np.random.default_rng(4)
+    gids = rng.permutation(np.arange(5_000, dtype=np.int64) + (3 << 32))
+    seq = rng.integers(-1, 6_000, 40_000).astype(np.int32)
+    at = np.arange(0, 6_000, 1)[np.sort(rng.permutation(6_000)[:5_000])]
+    low = np.sort(gids[:2_500]), np.sort(gids[2_500:])
+    found = [{"at": C._pack_rising(at[:2_500]), "ids": C._pack_rising(low[1], np.int64)}, {"at": C._pack_rising(at[2_500:]), "ids": C._pack_rising(low[0], np.int64)}]
+    given = C.pa.RecordBatch.from_pylist([{"block": 7, "lang": "en", "seq": C._pack(seq), "found": found}])
+    (pairs,) = list(C._next_pairs(iter([given])))
+    row = pairs.to_pylist()[0]
+    ids, left, right = C._unpack_rising(row["gids"], np.int64), C._unpack_rising(row["left"]), C._unpack(row["right"])
+    assert (ids == np.sort(gids)).all() and (np.diff(left) >= 0).all()
+    name = dict(zip(at.tolist(), np.r_[low[1], low[0]].tolist(), strict=True))
+    want = Counter((name[x], name[y]) for x, y in zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True) if x in name and y in name)
+    assert dict(zip(zip(ids[left].tolist(), ids[right].tolist(), strict=True), C._unpack(row["freq"]).tolist(), strict=True)) == want
+    asked = [r for b in C._asking(3, False)(iter([pairs])) for r in b.to_pylist()]
+    sent = [(x, y) for r in asked for x, y in zip(C._unpack_rising(r["left"], np.int64).tolist(), C._unpack(r["right"], np.int64).tolist(), strict=True)]
+    assert sorted(sent) == sorted(want) and all((np.diff(C._unpack_rising(r["left"], np.int64)) >= 0).all() for r in asked)

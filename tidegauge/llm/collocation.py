@@ -8,7 +8,8 @@ counts there, and what stands inside a longer phrase is found as the parent of o
 Texts are gathered to blocks of about ``BLOCK_BYTES`` in one language, which hold words, and later phrases, by numbers of
 their own. A block counts its pairs and deals them into ranges by their hash, a packed row for each range. A range joins
 what all blocks have of its pairs (about ``RANGE_PAIRS`` rows; one pair has at most one from each block), names the frequent
-ones, and answers every block that asked. A frequent phrase has only frequent parts, so places without any fall out of the
+ones, and answers every block that asked. A block numbers its phrases in the order of their ids, so its pairs lie in the order of a
+range's pairs: first ids and answered ids rise, and their steps take few bits. A frequent phrase has only frequent parts, so places without any fall out of the
 blocks as they go. Every level is a checkpoint in the shared folder; counts are exact, and scores use decimals of 38 digits.
 
 Edge cases: null texts have no words; a null language is ``und``; repeated rows count again; ties are broken by the
@@ -62,12 +63,12 @@ def _unpack(b: bytes, kind=np.int32) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), dtype=np.uint8).reshape(wide, -1).T).reshape(-1).view(kind)
 
 
-def _pack_rising(a: np.ndarray) -> bytes:
-    return _pack(np.diff(a, prepend=0))
+def _pack_rising(a: np.ndarray, kind=np.int32) -> bytes:
+    return _pack(np.diff(a, prepend=0), kind)
 
 
-def _unpack_rising(b: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(b), dtype=np.int64)
+def _unpack_rising(b: bytes, kind=np.int32) -> np.ndarray:
+    return np.cumsum(_unpack(b, kind), dtype=np.int64)
 
 
 def _schema(text: str) -> pa.Schema:
@@ -166,12 +167,14 @@ def _next_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             block, lang, seq, found = (batch.column(c)[i].as_py() for c in ("block", "lang", "seq", "found"))
             seq = _unpack(seq)
-            at, gids = np.concatenate([_unpack_rising(f["at"]) for f in found]), np.concatenate([_unpack(f["ids"], np.int64) for f in found])
+            at, gids = np.concatenate([_unpack_rising(f["at"]) for f in found]), np.concatenate([_unpack_rising(f["ids"], np.int64) for f in found])
+            order = np.argsort(gids)
+            at, gids = at[order], gids[order]
             own = np.full(max(int(seq.max(initial=-1)), int(at.max(initial=-1))) + 2, _BREAK, dtype=np.int32)
             own[at] = np.arange(len(at))
             left, right, n, seq = pairs_of(own[seq])  # a break is -1, and so the last of own, which is a break
             if len(n):
-                yield _batch([(block, lang, len(n), _pack(gids, np.int64), _pack(left), _pack(right), _pack(n), _pack(seq))], PAIRS)
+                yield _batch([(block, lang, len(n), _pack_rising(gids, np.int64), _pack_rising(left), _pack(right), _pack(n), _pack(seq))], PAIRS)
 
 
 def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -196,8 +199,8 @@ def _asking(ranges: int, words: bool):
                     seed = xxhash.xxh3_64_intdigest(row["lang"].encode()) & 0xFFFFFFFF
                     of = np.array([xxhash.xxh3_64_intdigest(w, seed) % ranges for w in keys.tolist()], dtype=np.int64)
                 else:
-                    gids = _unpack(row["gids"], np.int64)
-                    left, right = gids[_unpack(row["left"])], gids[_unpack(row["right"])]
+                    gids = _unpack_rising(row["gids"], np.int64)
+                    left, right = gids[_unpack_rising(row["left"])], gids[_unpack(row["right"])]
                     of = (_mixed(left, right) % np.uint64(ranges)).astype(np.int64)
                 order = np.argsort(of, kind="stable")  # by range, and by number in it
                 of = of[order]
@@ -205,7 +208,7 @@ def _asking(ranges: int, words: bool):
                 out = []
                 for x, y in zip(starts, np.r_[starts[1:], len(of)], strict=True):
                     at = order[x:y]
-                    body = (zstandard.compress(b"\n".join(keys[at].tolist()), SQUEEZE), None, None) if words else (None, _pack(left[at], np.int64), _pack(right[at], np.int64))
+                    body = (zstandard.compress(b"\n".join(keys[at].tolist()), SQUEEZE), None, None) if words else (None, _pack_rising(left[at], np.int64), _pack(right[at], np.int64))
                     out.append((int(of[x]), row["block"], row["lang"], _pack_rising(at), *body, _pack(n[at])))
                     if len(out) == 256:
                         yield _batch(out, ASKED)
@@ -233,7 +236,7 @@ def _naming(support: int, words: bool):
             order = np.argsort(key, kind="stable")
             new = np.r_[True, key[order][1:] != key[order][:-1]]
         else:
-            left, right = (np.concatenate([_unpack(r[k], np.int64) for r in rows]) for k in (5, 6))
+            left, right = (np.concatenate([unpack(r[k], np.int64) for r in rows]) for k, unpack in ((5, _unpack_rising), (6, _unpack)))
             order = np.lexsort((right, left))
             new = np.r_[True, (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])]
         first = np.flatnonzero(new)
@@ -255,7 +258,7 @@ def _naming(support: int, words: bool):
         for r, x, y in zip(rows, np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
             held = ids[x:y] >= 0
             if held.any():
-                out.append((r[1], _pack_rising(at[x:y][held]), _pack(ids[x:y][held], np.int64), *[None] * 6))
+                out.append((r[1], _pack_rising(at[x:y][held]), _pack_rising(ids[x:y][held], np.int64), *[None] * 6))
         return pa.Table.from_batches([_batch(out, ANSWERS)])
 
     return run
@@ -283,7 +286,9 @@ def phrases(docs: DataFrame, lang: str = "lang", text: str = "text", longest: in
     levels = [level]
     for _ in range(2, longest + 1):
         found = answers.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
+        release(docs.sparkSession)  # what the blocks have sent
         held = cut(held.select("block", "lang", "seq").join(found, "block").mapInArrow(_next_pairs, PAIRS))
+        release(docs.sparkSession)  # the blocks of the level before, and what was joined to them
         answers = _level(held, support)
         named = answers.select(F.explode(F.arrays_zip("id", "left", "right", "a")).alias("x")).select("x.*")
         level = cut(_named(named, level))
