@@ -104,3 +104,19 @@ def test_held_records_come_out_one_by_one():
     visit.held, visit.closed = State(), State()
     out = visit._close(7, [], True, "complete")
     assert next(out) == Row(visit_id=7, record_type="a", payload="0", status="complete") and len(read) == 1
+
+
+def test_every_visit_that_nobody_finalises_goes_idle(spark, tmp_path):
+    """Whatever the visit's number: the query reads its whole table."""
+    from datetime import datetime
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+
+    rows = [(i, i, "click", datetime(2024, 1, i), "{}") for i in range(1, 12)] + [(12, 1, "error", datetime(2024, 1, 1, 0, 0, 1), "{}")]
+    columns = [pa.array(x) for x in zip(*rows, strict=True)]
+    pq.write_table(pa.table(columns, names=["event_id", "user_id", "event_type", "ts", "props"]), tmp_path / "events.parquet")
+    got = entry.queries()["st_idle_timeout"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == [(101 * i, 1) for i in range(2, 12)]
