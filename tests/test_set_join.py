@@ -56,3 +56,20 @@ def test_a_point_stands_for_its_copies(spark):
     want = {r.k: r.cluster for r in simhash.dbscan(df(every, "a long, b long"), df([(x,) for _, x in copies], "k long"), "k", 5).collect()}
     got = {r.k: r.cluster for r in simhash.dbscan(df([(100 * a, 100 * b) for a, b in pairs], "a long, b long"), df([(100 * i, w) for i, w in weight.items()], "k long, w long"), "k", 5, "w").collect()}
     assert {x: got[100 * i] for i, x in copies} == want and len(set(want.values())) > 2
+
+
+def test_a_set_is_sent_once_to_each_block_it_may_meet(spark):
+    """Whatever its tokens and however many share them; small blocks and few keys at once change nothing."""
+    rows = families(7, 400)
+    want = plain(rows, 0.8)
+    sets = J.cut(J.distinct_sets(spark.createDataFrame(rows, "k long, s array<string>"), "k", "s"))
+    h = J.hashed(sets)
+    sizes = {r.n: r["count"] for r in sets.groupBy("n").count().collect()}
+    where, meets = J.plan(sizes, 0.8, 3)
+    assert max(parts for _, parts in where.values()) > 1
+    sent = h.mapInArrow(J._sending(where, meets, 0.8, J.prefix_keys(J.bucket_counts(h), 0.8)), J.ROWS.format("long"))
+    per = {r.rep: r["count"] for r in sent.groupBy("rep").count().collect()}
+    assert sent.distinct().count() == sent.count() and set(per) == {r.rep for r in sets.collect()}
+    assert max(per.values()) <= max(len(m) for m in meets) < len(meets)
+    found = J.meeting(h, sets, 0.8, J.prefix_keys(J.bucket_counts(h), 0.8), hot=3, entries=50)
+    assert {(r.a, r.b): r.jaccard for r in J.verified(found, sets, 0.8).collect()} == pytest.approx(want)
