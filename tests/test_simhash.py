@@ -92,3 +92,16 @@ def test_clusters_make_no_pairs(spark, monkeypatch):
     assert {r.k: r.cluster for r in S.clusters(df, "k", 2).collect()} == {**dict(enumerate(want)), **{i + 5000: want[i] for i in range(20)}}
     assert S.near_links(df, 2).count() <= len(hashes) * 20
     assert S.clusters(df.limit(0), "k", 2).count() == 0
+
+
+def test_rows_of_a_hash_do_not_grow_with_the_hashes(spark, monkeypatch):
+    """Blocks are as large as memory allows, so that a hash is sent to few; tiles of a block lose no pair."""
+    assert S.block_count(3_000_000) == S.block_count(300_000) == S.BLOCKS
+    rng = np.random.default_rng(4)
+    hashes = [int(x) for x in np.unique(rng.integers(0, 1 << 12, 500))]
+    df = spark.createDataFrame([(h, i) for i, h in enumerate(hashes)], "simhash long, rep long")
+    want = sorted((a, b) for a in hashes for b in hashes if a < b and (a ^ b).bit_count() <= 3)
+    monkeypatch.setattr(S, "TILE", 64)
+    for least in (S.LEAST_BLOCK, 100):
+        monkeypatch.setattr(S, "LEAST_BLOCK", least)
+        assert sorted((r.ha, r.hb) for r in S._pairs_by_blocks(df, 3, len(hashes)).collect()) == want
