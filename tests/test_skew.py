@@ -42,3 +42,10 @@ def test_components_with_a_hub(spark):
     got = {x.node: x.root for x in skew.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     ends = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in ends}
+
+
+def test_the_estimated_size_does_not_grow_with_the_rounds(spark):
+    """The planner multiplies the sizes of joined sides; kept over rounds, that is a number of 4^rounds digits in the driver."""
+    found = skew.components(spark.range(300).selectExpr("id AS a", "id + 1 AS b"))
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 100
+    assert {(r.node, r.root) for r in found.collect()} == {(i, 0) for i in range(301)}
